@@ -879,3 +879,36 @@ SELECT id, title, '{BASE}/content/' || slug AS canonical_url,
        tags[1] AS ld_first_keyword
 FROM h
 """
+
+# --- streaming (the deterministic ones) -----------------------------------
+ORACLES["dedupe_url_stream"] = blocks(LINKS, url_parts_cte("du", "links1", "page_id", "link")) + """
+SELECT DISTINCT 'urlcache:' || sha256(normalized_url) AS url_key FROM du WHERE normalized_url IS NOT NULL
+"""
+
+ORACLES["status_feed"] = f"""
+WITH ev AS (
+  SELECT 'd' || CAST(user_id AS VARCHAR) AS request_id,
+         ['scraping', 'scraped', 'scrape_failed', 'extracting_links', 'links_extracted', 'link_extraction_failed',
+          'enriching', 'enriched', 'enrichment_failed'][event_id % 9 + 1] AS status, ts, event_id AS seq
+  FROM events
+),
+w AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS request_id FROM documents WHERE doc_id % 2 = 0)
+SELECT request_id, arg_max(status, (ts, seq)) AS status, strftime(max(ts), {FMT}) AS last_event_at, count(*) AS events
+FROM ev WHERE request_id IN (SELECT request_id FROM w) GROUP BY request_id
+"""
+
+ORACLES["live_metrics"] = f"""
+WITH ev AS (
+  SELECT CAST(user_id AS VARCHAR) AS job_id, ts,
+         CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed'
+                         WHEN 'error' THEN 'failed' WHEN 'click' THEN 'retry' END AS event
+  FROM events
+),
+a AS (
+  SELECT job_id, min(ts) FILTER (WHERE event = 'queued') AS queued_at, min(ts) FILTER (WHERE event = 'processing') AS processing_at
+  FROM ev GROUP BY job_id
+)
+SELECT job_id, strftime(queued_at, {FMT}) AS queued_at, strftime(processing_at, {FMT}) AS processing_at,
+       round((epoch_us(processing_at) - epoch_us(queued_at)) / 1e6, 6) AS wait_seconds
+FROM a
+"""

@@ -680,3 +680,94 @@ def q_article_export(spark, sf_dir):
         F.get_json_object("jsonld", "$.image[0]").alias("ld_image"),
         F.get_json_object("jsonld", "$.keywords[0]").alias("ld_first_keyword"),
     )
+
+
+# ------------------------------------------------------------- streaming
+from folio.sources.tables import stream_table  # noqa: E402
+from folio.streaming import jobs as ST  # noqa: E402
+
+
+@register("enrich_stream")
+def q_enrich_stream(spark, sf_dir):
+    """Documents and analysis results as two streams, joined within the wait."""
+    docs = stream_table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
+        F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("job_id"),
+        FX.fixture_time(F.col("doc_id")).alias("created_at"),
+    )
+    labels = load_table(spark, sf_dir, "labels")
+    raw = stream_table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+    did = F.col("doc_id")
+    score = FX.text_score(F.col("quality"), F.col("toxic"))
+    results = raw.select(
+        F.concat(F.lit("a"), did.cast("string")).alias("job_id"),
+        F.when(did % 4 != 0, F.lit("completed")).otherwise(F.lit("processing")).alias("status"),
+        F.to_json(F.struct(F.when(score.isNotNull(), F.struct(score.alias("score"))).alias("quality_score"))).alias("analysis"),
+        FX.plus_micros(FX.fixture_time(did), (did % 120) * 60_000_000).alias("arrived_at"),
+    )
+    out = ST.run_available(ST.enrich_stream(docs, results), "enrich_stream")
+    return spark.read.parquet(out).select("id", "job_id", fmt_ts("created_at").alias("created_at"), "outcome", "elapsed_minutes")
+
+
+@register("dedupe_url_stream")
+def q_dedupe_url_stream(spark, sf_dir):
+    """Extracted links as a stream, once per normalised URL."""
+    pages = stream_table(spark, sf_dir, "pages")
+    links = crawl.page_links(pages).select(
+        F.col("link").alias("url"), FX.fixture_time(F.col("page_id")).alias("seen_at")
+    )
+    out = ST.run_available(ST.dedupe_url_stream(links), "dedupe_url_stream")
+    return spark.read.parquet(out).select("url_key")
+
+
+def _lifecycle(df: DataFrame) -> DataFrame:
+    statuses = F.array(*[F.lit(s) for s in ST.LIFECYCLE_STATUSES])
+    return df.select(
+        F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("request_id"),
+        F.element_at(statuses, (F.col("event_id") % len(ST.LIFECYCLE_STATUSES) + 1).cast("int")).alias("status"),
+        F.col("event_type").alias("stage"),
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("message"),
+        F.col("ts"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+@register("status_feed")
+def q_status_feed(spark, sf_dir):
+    """Lifecycle events of watched documents and their latest status."""
+    events = _lifecycle(stream_table(spark, sf_dir, "events"))
+    watched = load_table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0).select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("request_id")
+    )
+    feed = ST.status_feed(events, watched)
+    out = ST.run_available(ST.latest_status(feed), "status_feed", mode="complete")
+    return spark.read.parquet(out).select("request_id", "status", fmt_ts("last_event_at").alias("last_event_at"), "events")
+
+
+@register("live_metrics")
+def q_live_metrics(spark, sf_dir):
+    """Queue wait per job from the job-event stream, refreshed per beat
+    together with the document and job figures."""
+    from folio.session import scratch_path
+
+    ev = stream_table(spark, sf_dir, "events")
+    mapping = F.create_map(*[F.lit(x) for pair in FX.EVENT_STATUS for x in pair])
+    job_events = ev.select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("ts"), F.element_at(mapping, F.col("event_type")).alias("event")
+    )
+    base = scratch_path(spark, "live_metrics")
+    q = ST.live_metrics(
+        job_events,
+        lambda: (corpus_documents(spark, sf_dir), FX.crawl_jobs(spark, sf_dir)),
+        f"{base}/out",
+        as_of=AS_OF,
+        checkpoint=f"{base}/checkpoint",
+        available_now=True,
+    )
+    q.awaitTermination()
+    waits = spark.read.parquet(f"{base}/out/waits")
+    latest = waits.groupBy("job_id").agg(F.max(F.struct("batch_id", "queued_at", "processing_at", "wait_seconds")).alias("w"))
+    return latest.select(
+        "job_id", fmt_ts("w.queued_at").alias("queued_at"), fmt_ts("w.processing_at").alias("processing_at"),
+        F.round("w.wait_seconds", 6).alias("wait_seconds"),
+    )

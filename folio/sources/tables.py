@@ -29,3 +29,19 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(
         *[F.col(c).cast("timestamp").alias(c) if c in ntz else F.col(c) for c in df.columns]
     )
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The same table as a file stream (schema taken from the files once;
+    timestamps cast to instants as in ``load_table``)."""
+    configure(spark)
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    # the file source wants a folder or a glob; the driver's tables are
+    # single files, so a one-file glob names the table
+    df = reader.parquet(path[:-1] + "[" + path[-1] + "]")
+    ntz = [f.name for f in schema.fields if isinstance(f.dataType, TimestampNTZType)]
+    return df.select(*[F.col(c).cast("timestamp").alias(c) if c in ntz else F.col(c) for c in df.columns])
