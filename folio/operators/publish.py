@@ -67,11 +67,17 @@ def write_image_sitemap(entries: DataFrame, path: str) -> None:
     )
 
 
-def _meta_string(metadata: Column, path: str, default: str) -> Column:
-    """String at a JSON path, ``default`` when absent or not a string."""
-    v = F.try_variant_get(F.try_parse_json(metadata), path, "variant")
+def _variant_string(doc: Column, path: str) -> Column:
+    """String at a path of a parsed (VARIANT) document; null when absent or
+    not a string."""
+    v = F.try_variant_get(doc, path, "variant")
     is_str = F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
-    return F.when(is_str, F.variant_get(v, "$", "string")).otherwise(F.lit(default))
+    return F.when(is_str, F.variant_get(v, "$", "string"))
+
+
+def _meta_string(doc: Column, path: str, default: str) -> Column:
+    """String at a path, ``default`` when absent or not a string."""
+    return F.coalesce(_variant_string(doc, path), F.lit(default))
 
 
 def _nonempty(c: Column) -> Column:
@@ -112,22 +118,21 @@ def article_export(
     ``best_images`` (document_id, best_image_slug) comes from
     ``images.best_images``; without it the metadata's image list is used."""
     docs = documents.filter(F.col("slug").isNotNull() & (F.col("slug") != "") & F.col("seo_enabled"))
-    m = F.col("metadata")
+    # parse the metadata once; every field below reads the parsed value
+    docs = docs.withColumn("_meta_v", F.try_parse_json("metadata"))
+    m = F.col("_meta_v")
     if best_images is not None:
         docs = docs.join(best_images.withColumnRenamed("document_id", "id"), "id", "left")
         img_slug = F.col("best_image_slug")
     else:
         from folio.functions.scores import best_image
 
-        imgs = F.from_json(
-            F.get_json_object(m, "$.scraper_metadata.images"), "array<struct<slug:string,relevance_score:double>>"
-        )
+        imgs = F.try_variant_get(m, "$.scraper_metadata.images", "array<struct<slug:string,relevance_score:double>>")
         img_slug = best_image(imgs)
     title = _meta_string(m, "$.scraper_metadata.title", "Untitled")
     description = _meta_string(m, "$.scraper_metadata.description", "")
     raw = F.coalesce(
-        F.when(_meta_string(m, "$.text_analysis.content", "\u0000") != "\u0000", _meta_string(m, "$.text_analysis.content", "")),
-        _meta_string(m, "$.scraper_metadata.content", ""),
+        _variant_string(m, "$.text_analysis.content"), _meta_string(m, "$.scraper_metadata.content", "")
     )
     author = clean_author(_meta_string(m, "$.scraper_metadata.author", ""))
     html = paragraph_html(raw)
@@ -135,7 +140,6 @@ def article_export(
     image_url = F.when(img_slug.isNotNull() & (img_slug != ""), F.concat(F.lit(f"{image_base_url}/images/"), img_slug))
     canonical = F.concat(F.lit(f"{base_url}/content/"), F.col("slug"))
     keywords = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
-    images_arr = F.when(image_url.isNotNull(), F.array(image_url)).otherwise(F.array().cast("array<string>"))
     out = docs.select(
         "id",
         "slug",

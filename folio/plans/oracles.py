@@ -912,3 +912,10 @@ SELECT job_id, strftime(queued_at, {FMT}) AS queued_at, strftime(processing_at,
        round((epoch_us(processing_at) - epoch_us(queued_at)) / 1e6, 6) AS wait_seconds
 FROM a
 """
+
+ORACLES["ingest_read_documents"] = with_corpus(f"""
+SELECT id, strftime(effective_date, {FMT}) AS effective_date, strftime(tombstone_at, {FMT}) AS tombstone_at,
+       {tags_sql()} AS tags, seo_enabled, slug FROM corpus
+""")
+
+ORACLES["backfill_effective_date"] = with_corpus(f"SELECT id, strftime(effective_date, {FMT}) AS effective_date FROM corpus")

@@ -771,3 +771,33 @@ def q_live_metrics(spark, sf_dir):
         "job_id", fmt_ts("w.queued_at").alias("queued_at"), fmt_ts("w.processing_at").alias("processing_at"),
         F.round("w.wait_seconds", 6).alias("wait_seconds"),
     )
+
+
+# ------------------------------------------------------------- storage
+from folio.sources import documents as SD  # noqa: E402
+
+
+@register("ingest_read_documents")
+def q_ingest_read_documents(spark, sf_dir):
+    """R02 then R01: the corpus written as a month-partitioned table in the
+    shared folder and read back with the fixed schema."""
+    from folio.session import scratch_path
+
+    path = scratch_path(spark, "documents-table")
+    SD.ingest_documents(corpus_documents(spark, sf_dir), path)
+    back = SD.read_documents(spark, path)
+    return back.select(
+        "id", fmt_ts("effective_date").alias("effective_date"), fmt_ts("tombstone_at").alias("tombstone_at"),
+        _tags().alias("tags"), "seo_enabled", "slug",
+    )
+
+
+@register("backfill_effective_date")
+def q_backfill_effective_date(spark, sf_dir):
+    """Documents with an even key lose effective_date; the backfill
+    restores it from the metadata paths, else created_at."""
+    docs = corpus_documents(spark, sf_dir)
+    blanked = docs.withColumn(
+        "effective_date", F.when(_k() % 2 == 0, F.lit(None).cast("timestamp")).otherwise(F.col("effective_date"))
+    )
+    return SD.backfill_effective_date(blanked).select("id", fmt_ts("effective_date").alias("effective_date"))

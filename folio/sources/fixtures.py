@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from folio.functions.common import rfc3339
 from folio.functions.dates import effective_date
 from folio.functions.tags import assemble_tags, empty_tags
-from folio.functions.text import slug_source, slugify
+from folio.functions.text import slug_source, slugify, slugify_or
 from folio.functions.visibility import tombstone_at
 from folio.sources.tables import load_table
 
@@ -102,9 +102,15 @@ def url_documents(pages: DataFrame) -> DataFrame:
             _tombstone_text(pid, created).alias("tombstone_datetime"),
         )
     )
+    # promoted columns from the same values the metadata holds, so that
+    # queries not reading metadata never build or scan it (R40 runs on a
+    # small document with just the date paths)
+    tomb_text = _tombstone_text(pid, created)
+    date_doc = F.to_json(F.struct(F.struct(publish.alias("publish_date")).alias("scraper_metadata")))
     return pages.select(
         F.concat(F.lit("p"), pid.cast("string")).alias("id"),
         created.alias("created_at"),
+        effective_date(date_doc, created).alias("effective_date"),
         F.lit("url").alias("source_type"),
         F.col("url").alias("source_url"),
         F.concat(F.lit("s"), pid.cast("string")).alias("scraper_uuid"),
@@ -113,6 +119,7 @@ def url_documents(pages: DataFrame) -> DataFrame:
         metadata.alias("metadata"),
         slugify(F.concat(F.lit("page "), pid.cast("string"))).alias("slug"),
         (pid % 10 != 0).alias("seo_enabled"),
+        tomb_text.cast("timestamp").alias("tombstone_at"),
     )
 
 
@@ -157,14 +164,16 @@ def text_documents_fixture(texts: DataFrame) -> DataFrame:
     return joined.select(
         F.concat(F.lit("d"), did.cast("string")).alias("id"),
         created.alias("created_at"),
+        created.alias("effective_date"),  # text documents carry no publication date
         F.lit("text").alias("source_type"),
         F.lit(None).cast("string").alias("source_url"),
         F.lit(None).cast("string").alias("scraper_uuid"),
         F.concat(F.lit("a"), did.cast("string")).alias("textanalyzer_uuid"),
         tags.alias("tags"),
         metadata.alias("metadata"),
-        slugify(src).alias("slug"),
+        slugify_or(src, F.concat(F.lit("d"), did.cast("string"))).alias("slug"),
         (did % 10 != 0).alias("seo_enabled"),
+        _tombstone_text(did, created).cast("timestamp").alias("tombstone_at"),
     )
 
 
@@ -185,7 +194,7 @@ def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load_table(spark, sf_dir, "pages")
     url_docs = url_documents(pages)
     text_docs = text_documents_fixture(labelled_texts(spark, sf_dir))
-    return promote(url_docs.unionByName(text_docs))
+    return url_docs.unionByName(text_docs).select(*DOC_COLUMNS)
 
 
 def timeline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
