@@ -79,8 +79,12 @@ def test_image_sitemap(spark):
     assert {(i.caption, i.title) for i in entries[0].images} == {(None, "t2"), ("cap", "title")}
     out = os.path.join(tempfile.mkdtemp(prefix="folio-isitemap-"), "s")
     P.write_image_sitemap(I.image_sitemap_entries(imgs, "https://ex.com"), out)
-    xml = "".join(open(p).read() for p in glob.glob(out + "/*.xml"))
-    assert "<image:loc>https://ex.com/images/a</image:loc>" in xml and "image:image" in xml
+    files = glob.glob(out + "/shard=*/*.txt")
+    assert len(files) == 1
+    xml = open(files[0]).read()
+    assert xml.startswith('<?xml version="1.0" encoding="UTF-8"?>') and xml.rstrip().endswith("</urlset>")
+    assert "<image:loc>https://ex.com/images/a</image:loc>" in xml and "<image:caption>cap</image:caption>" in xml
+    assert 'xmlns:image="http://www.google.com/schemas/sitemap-image/1.1"' in xml
 
 
 def test_search_images_refuses_empty(spark):
