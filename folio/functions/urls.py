@@ -1,19 +1,23 @@
 """URL rules as native column expressions.
 
-The URL is split once by an RFC 3986 regex; every rule below reads those
-parts. No Python UDF: all of it runs inside whole-stage codegen.
+A URL is split once by one RFC 3986 regex into a parts struct
+(``url_parts``); every rule reads those parts. Used on a single column, a
+rule splits the URL itself; to apply several rules to the same URLs, add the
+parts as a column first (``with_url_parts``) and pass it as ``parts=`` — the
+split then runs once per row and every rule reads the materialised struct.
+No Python UDF: everything runs inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.common import col
 
-# scheme ':' ['//' authority] path ['?' query] ['#' fragment]
-_URL_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#.*)?$"
-_NO_SCHEME_RE = r"^(//([^/?#]*))?([^?#]*)"
+# [scheme ':'] ['//' authority] path ['?' query] ['#' fragment]
+_URL_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#.*)?$"
+_GROUPS = (("scheme", 1), ("slashes", 2), ("authority", 3), ("path", 4), ("qmark", 5), ("query", 6))
 
 # Image extensions skipped by the crawler.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "ico", "tiff", "tif")
@@ -32,81 +36,86 @@ _BAD_ESCAPE = r"%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)"
 _BAD_HOST_CHAR = r"[ {}|\\^`\"<>]"
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _URL_RE, group)
+def url_parts(url) -> Column:
+    """Struct of the URL's parts: scheme, slashes ('//' when an authority is
+    present), authority, path, qmark ('?' when a query is present), query,
+    hostport (authority without userinfo) and the URL itself."""
+    u = col(url)
+    fields = [F.regexp_extract(u, _URL_RE, g).alias(n) for n, g in _GROUPS]
+    hostport = F.regexp_extract(F.regexp_extract(u, _URL_RE, 3), r"^(?:.*@)?(.*)$", 1)
+    return F.struct(*fields, hostport.alias("hostport"), u.alias("url"))
 
 
-def _has_scheme(url: Column) -> Column:
-    return url.rlike(_URL_RE)
+def with_url_parts(df: DataFrame, url_col: str, name: str = "_url") -> DataFrame:
+    """Add the parts struct of ``url_col`` as column ``name``."""
+    return df.withColumn(name, url_parts(url_col))
 
 
-def url_path(url) -> Column:
-    """Path component as written (empty for opaque URLs such as mailto:)."""
-    u = col(url)
-    with_scheme = F.when(_part(u, 2) != "", _part(u, 4)).when(_part(u, 4).startswith("/"), _part(u, 4)).otherwise("")
-    return F.when(_has_scheme(u), with_scheme).otherwise(F.regexp_extract(u, _NO_SCHEME_RE, 3))
+def _p(url, parts) -> Column:
+    return parts if parts is not None else url_parts(url)
 
 
-def _authority(url: Column) -> Column:
-    return F.when(_has_scheme(url), _part(url, 3)).otherwise(F.regexp_extract(url, _NO_SCHEME_RE, 2))
+def _has_scheme(p: Column) -> Column:
+    return p["scheme"] != ""
 
 
-def _hostport(authority: Column) -> Column:
-    # userinfo ends at the last '@'
-    return F.regexp_extract(authority, r"^(?:.*@)?(.*)$", 1)
+def url_path(url=None, *, parts: Column | None = None) -> Column:
+    """Path as written; empty for opaque URLs such as ``mailto:x``."""
+    p = _p(url, parts)
+    opaque = _has_scheme(p) & (p["slashes"] == "") & ~p["path"].startswith("/")
+    return F.when(opaque, F.lit("")).otherwise(p["path"])
 
 
-def _port_ok(hostport: Column) -> Column:
-    # after an IPv6 literal only ':digits' may follow; otherwise the text after the last ':'
-    return F.when(
-        hostport.startswith("["), hostport.rlike(r"^\[[^\]]*\](:[0-9]*)?$")
-    ).otherwise(~hostport.rlike(r":[^:]*[^0-9:][^:]*$") | ~hostport.contains(":"))
+def _port_ok(hp: Column) -> Column:
+    # after an IPv6 literal only ':digits' may follow; else the text after the last ':'
+    return F.when(hp.startswith("["), hp.rlike(r"^\[[^\]]*\](:[0-9]*)?$")).otherwise(
+        ~hp.contains(":") | ~hp.rlike(r":[^:]*[^0-9:][^:]*$")
+    )
 
 
-def url_parses(url) -> Column:
-    """Whether the URL would parse at all: no control characters, well-formed
+def url_parses(url=None, *, parts: Column | None = None) -> Column:
+    """Whether the URL parses at all: no control characters, well-formed
     percent escapes in host and path, a legal host and port."""
-    u = col(url)
-    auth = _authority(u)
-    hp = _hostport(auth)
-    path = F.when(_has_scheme(u), _part(u, 4)).otherwise(F.regexp_extract(u, _NO_SCHEME_RE, 3))
+    p = _p(url, parts)
+    hp = p["hostport"]
     return (
-        u.isNotNull()
-        & ~u.rlike(_CONTROL)
-        & ~path.rlike(_BAD_ESCAPE)
+        p["url"].isNotNull()
+        & ~p["url"].rlike(_CONTROL)
+        & ~p["path"].rlike(_BAD_ESCAPE)
         & ~hp.rlike(_BAD_ESCAPE)
         & ~hp.rlike(_BAD_HOST_CHAR)
         & _port_ok(hp)
     )
 
 
-def is_image_url(url) -> Column:
+def is_image_url(url=None, *, parts: Column | None = None) -> Column:
     """Lower-cased path (no query, no fragment) ends in an image extension."""
+    p = _p(url, parts)
     ext = "|".join(IMAGE_EXTENSIONS)
-    return F.coalesce(url_parses(url) & F.lower(url_path(url)).rlike(rf"\.({ext})$"), F.lit(False))
+    return F.coalesce(url_parses(parts=p) & F.lower(url_path(parts=p)).rlike(rf"\.({ext})$"), F.lit(False))
 
 
-def is_scrapable_url(url) -> Column:
+def is_scrapable_url(url=None, *, parts: Column | None = None) -> Column:
     """Parses, scheme http/https in any case, and not an image."""
-    u = col(url)
-    scheme_ok = _has_scheme(u) & F.lower(_part(u, 1)).isin("http", "https")
-    return F.coalesce(url_parses(u) & scheme_ok & ~is_image_url(u), F.lit(False))
+    p = _p(url, parts)
+    scheme_ok = F.lower(p["scheme"]).isin("http", "https")
+    return F.coalesce(url_parses(parts=p) & scheme_ok & ~is_image_url(parts=p), F.lit(False))
 
 
-def url_hostname(url) -> Column:
+def url_hostname(url=None, *, parts: Column | None = None) -> Column:
     """Host without userinfo, port or IPv6 brackets; '' when absent."""
-    hp = _hostport(_authority(col(url)))
-    return F.when(
-        hp.startswith("["), F.regexp_extract(hp, r"^\[([^\]]*)\]", 1)
-    ).otherwise(F.regexp_extract(hp, r"^(.*?)(:[0-9]*)?$", 1))
+    hp = _p(url, parts)["hostport"]
+    return F.when(hp.startswith("["), F.regexp_extract(hp, r"^\[([^\]]*)\]", 1)).otherwise(
+        F.regexp_extract(hp, r"^(.*?)(:[0-9]*)?$", 1)
+    )
 
 
-def domain_tag(url) -> Column:
+def domain_tag(url=None, *, parts: Column | None = None) -> Column:
     """Host without port, one leading 'www.' removed (case kept); '' if unparseable."""
-    u = col(url)
-    host = url_hostname(u)
+    p = _p(url, parts)
+    host = url_hostname(parts=p)
     stripped = F.when(host.startswith("www."), F.regexp_replace(host, r"^www\.", "")).otherwise(host)
-    return F.when(url_parses(u), stripped).otherwise(F.lit(""))
+    return F.when(url_parses(parts=p), stripped).otherwise(F.lit(""))
 
 
 def _query_escape(s: Column) -> Column:
@@ -145,46 +154,46 @@ def _normal_path(raw: Column) -> Column:
     return F.when(keep, raw).otherwise(_path_escape(decoded))
 
 
-def normalize_url(url) -> Column:
-    """Canonical form of a URL for de-duplication, null when invalid.
-
-    Lower-cases scheme and host, drops the fragment and tracking parameters,
-    sorts the remaining parameters by key then value, re-encodes them, and
-    drops one trailing '/' from a path longer than '/'.
-    """
-    u = col(url)
-    scheme = F.lower(_part(u, 1))
-    authority = _part(u, 3)
-    userinfo = F.regexp_extract(authority, r"^(.*@)?", 1)
-    host = F.lower(_hostport(authority))
-    path = _normal_path(_part(u, 4))
-    has_q = _part(u, 5) != ""
-    raw_q = _part(u, 6)
-    pieces = F.filter(F.split(raw_q, "&"), lambda p: (p != "") & ~p.contains(";"))
+def _normal_query(p: Column) -> Column:
+    pieces = F.filter(F.split(p["query"], "&"), lambda x: (x != "") & ~x.contains(";"))
     kv = F.transform(
         pieces,
-        lambda p: F.struct(
-            F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"),
-            F.try_url_decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
+        lambda x: F.struct(
+            F.try_url_decode(F.substring_index(x, "=", 1)).alias("k"),
+            F.try_url_decode(F.regexp_extract(x, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
         ),
     )
     tracking = F.array(*[F.lit(t) for t in TRACKING_PARAMS])
-    kept = F.filter(
-        kv, lambda x: x["k"].isNotNull() & x["v"].isNotNull() & ~F.array_contains(tracking, F.lower(x["k"]))
-    )
+    kept = F.filter(kv, lambda e: e["k"].isNotNull() & e["v"].isNotNull() & ~F.array_contains(tracking, F.lower(e["k"])))
     encoded = F.array_join(
-        F.transform(F.array_sort(kept), lambda x: F.concat(_query_escape(x["k"]), F.lit("="), _query_escape(x["v"]))),
+        F.transform(F.array_sort(kept), lambda e: F.concat(_query_escape(e["k"]), F.lit("="), _query_escape(e["v"]))),
         "&",
     )
-    force_q = has_q & (raw_q == "")
-    query = F.when((encoded != "") | force_q, F.concat(F.lit("?"), encoded)).otherwise(F.lit(""))
-    valid = _has_scheme(u) & (_part(u, 2) != "") & (_hostport(authority) != "") & url_parses(u)
-    return F.when(valid, F.concat(scheme, F.lit("://"), userinfo, host, path, query))
+    force = (p["qmark"] != "") & (p["query"] == "")
+    return F.when((encoded != "") | force, F.concat(F.lit("?"), encoded)).otherwise(F.lit(""))
+
+
+def normalize_url(url=None, *, parts: Column | None = None) -> Column:
+    """Canonical form of a URL for de-duplication, null when invalid.
+
+    Lower-cases scheme and host, drops the fragment and tracking parameters,
+    sorts the remaining parameters by key then value, re-encodes them, and
+    drops one trailing '/' from a path longer than '/'.
+    """
+    p = _p(url, parts)
+    userinfo = F.regexp_extract(p["authority"], r"^(.*@)?", 1)
+    valid = _has_scheme(p) & (p["slashes"] != "") & (p["hostport"] != "") & url_parses(parts=p)
+    return F.when(
+        valid,
+        F.concat(
+            F.lower(p["scheme"]), F.lit("://"), userinfo, F.lower(p["hostport"]), _normal_path(p["path"]), _normal_query(p)
+        ),
+    )
 
 
-def url_key(url) -> Column:
+def url_key(url=None, *, parts: Column | None = None, normalized: Column | None = None) -> Column:
     """Cache key of a URL: 'urlcache:' + sha256 hex of its normal form."""
-    n = normalize_url(url)
+    n = normalized if normalized is not None else normalize_url(url, parts=parts)
     return F.when(n.isNotNull(), F.concat(F.lit("urlcache:"), F.sha2(n, 256)))
 
 
@@ -194,9 +203,9 @@ def resolve_link(base_url, href) -> Column:
     taken relative to the page's directory."""
     b = col(base_url)
     h = col(href)
-    scheme = _part(b, 1)
-    origin = F.concat(scheme, F.lit("://"), _part(b, 3))
-    directory = F.regexp_replace(url_path(b), r"[^/]*$", "")
+    scheme = F.regexp_extract(b, _URL_RE, 1)
+    origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    directory = F.regexp_replace(F.regexp_extract(b, _URL_RE, 4), r"[^/]*$", "")
     directory = F.when(directory == "", F.lit("/")).otherwise(directory)
     return (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)

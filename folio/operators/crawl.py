@@ -14,7 +14,7 @@ from folio.functions.common import micros, rfc3339, ts_lit
 from folio.functions.scores import score_gate
 from folio.functions.tags import analyzer_tags, assemble_tags, empty_tags
 from folio.functions.text import slug_source, slugify, slugify_or
-from folio.functions.urls import is_scrapable_url, normalize_url, resolve_link, url_key
+from folio.functions.urls import is_scrapable_url, normalize_url, resolve_link, url_key, url_parts, with_url_parts
 from folio.functions.visibility import tombstone_at
 
 DAY_US = 86_400_000_000
@@ -188,7 +188,7 @@ def seen_url_split(new_urls: DataFrame, seen: DataFrame, *, as_of, ttl_days: int
     lo = F.timestamp_micros(F.lit(micros(as_of) - ttl_days * DAY_US))
     recent = (
         seen.filter((F.col("seen_at") > lo) & (F.col("seen_at") <= ts_lit(as_of)))
-        .withColumn("k", url_key("url"))
+        .withColumn("k", url_key(parts=url_parts("url")))
         .filter(F.col("k").isNotNull())
         .groupBy("k")
         .agg(F.max(F.struct("seen_at", "scraper_uuid"))["scraper_uuid"].alias("cached_scraper_uuid"))
@@ -210,7 +210,8 @@ def expand_frontier(parents: DataFrame, links: DataFrame, *, max_depth: int) ->
     p = parents.filter(F.col("extract_links") & (F.col("depth") < max_depth)).select(
         F.col("id").alias("parent_job_id"), "depth", "page_id"
     )
-    j = p.join(links, "page_id").filter(is_scrapable_url("link"))
+    j = p.join(links, "page_id")
+    j = with_url_parts(j, "link", "_url").filter(is_scrapable_url(parts=F.col("_url"))).drop("_url")
     child_depth = F.col("depth") + 1
     return j.select(
         _doc_id(F.lit("job"), F.col("parent_job_id"), F.col("pos").cast("string"), F.col("link")).alias("id"),
@@ -225,15 +226,17 @@ def expand_frontier(parents: DataFrame, links: DataFrame, *, max_depth: int) ->
 
 
 def url_rules(urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """R19/R20/R45/R51/R52 side by side for a table of URLs."""
-    from folio.functions.urls import domain_tag, is_image_url
-
-    u = F.col(url_col)
-    return urls.select(
-        "*",
-        is_image_url(u).alias("is_image"),
-        is_scrapable_url(u).alias("is_scrapable"),
-        domain_tag(u).alias("domain"),
-        normalize_url(u).alias("normalized_url"),
-        url_key(u).alias("url_key"),
+    """R19/R20/R45/R51/R52 side by side for a table of URLs; the URL is split
+    once per row and every rule reads the split."""
+    from folio.functions.urls import domain_tag, is_image_url, with_url_parts
+
+    parts = F.col("_url")
+    split = with_url_parts(urls, url_col, "_url")
+    ruled = split.select(
+        *urls.columns,
+        is_image_url(parts=parts).alias("is_image"),
+        is_scrapable_url(parts=parts).alias("is_scrapable"),
+        domain_tag(parts=parts).alias("domain"),
+        normalize_url(parts=parts).alias("normalized_url"),
     )
+    return ruled.withColumn("url_key", url_key(normalized=F.col("normalized_url")))
