@@ -217,6 +217,12 @@ def quality_tombstone(documents: DataFrame, *, as_of) -> DataFrame:
     )
 
 
+def _applicable() -> Column:
+    """A result is applied only when completed and carrying an analysis
+    object; otherwise the reference keeps polling."""
+    return (F.col("status") == "completed") & M.is_object(F.try_parse_json(F.col("analysis")))
+
+
 def latest_results(results: DataFrame) -> DataFrame:
     """One result per job: the latest arrival (ties broken by content), found
     by aggregation so a job with many results never needs a sorted group."""
@@ -293,7 +299,7 @@ def apply_analysis(
     the analysis job id) with the quality tiers of R56. With
     ``keep_tag_tombstone`` a trigger tag among the merged tags tombstones the
     document (the reference loses that write; default keeps its behaviour)."""
-    res = latest_results(results).filter(F.col("status") == "completed").select(
+    res = latest_results(results).filter(_applicable()).select(
         F.col("job_id").alias("res_job"), F.col("analysis").alias("res_analysis"), F.lit(True).alias("_hit")
     )
     j = documents.join(res, _join_key("textanalyzer_uuid") == res["res_job"], "left")
@@ -358,7 +364,8 @@ def enrich(
     awaiting = F.coalesce(F.get_json_object(F.col("metadata"), "$.textanalyzer_status") == "queued", F.lit(False))
     wait_us = max_wait_minutes * 60_000_000
     created_us = F.unix_micros(F.col("created_at"))
-    arrival = F.when(F.col("res_status") == "completed", F.col("res_arrived"))
+    usable = (F.col("res_status") == "completed") & M.is_object(F.try_parse_json(F.col("res_analysis")))
+    arrival = F.when(usable, F.col("res_arrived"))
     timely = arrival.isNotNull() & (F.unix_micros(arrival) - created_us <= F.lit(wait_us))
     probe_at = F.coalesce(arrival, asof_ts)
     late = ~F.coalesce(timely, F.lit(False)) & (F.unix_micros(probe_at) - created_us > F.lit(wait_us))

@@ -485,7 +485,7 @@ SELECT source_url AS url, score, {_GATE} AS decision, score >= 0.5 AS meets_thre
 
 ORACLES["low_score_documents"] = with_corpus(f"""
 SELECT {sha_id("'low-score'", 'source_url')} AS id, source_url, {tags_sql()} AS tags, false AS seo_enabled,
-       strftime({ts_plus_days(30)}, {FMT}) AS tombstone_at, score AS link_score, 0.5 AS threshold
+       strftime({ts_plus_days(30)}, {FMT}) AS tombstone_at, score AS link_score, CAST(0.5 AS DOUBLE) AS threshold
 FROM d1_url WHERE {_GATE} = 'rejected'
 """)
 
@@ -858,7 +858,7 @@ FROM a WHERE action IS NULL OR action <> 'delete'
 
 ORACLES["sitemap_entries"] = with_corpus(f"""
 , top AS (SELECT * FROM corpus WHERE {VIS} ORDER BY effective_date DESC, id ASC LIMIT 1000)
-SELECT '{BASE}/content/' || slug AS loc, strftime(created_at, '%Y-%m-%d') AS lastmod, 'weekly' AS changefreq, 0.5 AS priority
+SELECT '{BASE}/content/' || slug AS loc, strftime(created_at, '%Y-%m-%d') AS lastmod, 'weekly' AS changefreq, CAST(0.5 AS DOUBLE) AS priority
 FROM top WHERE slug IS NOT NULL AND slug <> '' AND seo_enabled
 """)
 

@@ -92,6 +92,7 @@ def test_apply_analysis_fields_and_tiers(spark):
         dict(id="ok", textanalyzer_uuid="j3"),
         dict(id="pending", textanalyzer_uuid="j4"),
         dict(id="none"),
+        dict(id="empty", textanalyzer_uuid="j5"),
     ])
     results = spark.createDataFrame([
         _result("j1", "completed", {"tags": ["technology", "golang", 7], "synopsis": "S", "cleaned_text": "C",
@@ -100,6 +101,7 @@ def test_apply_analysis_fields_and_tiers(spark):
         _result("j2", "completed", {"quality_score": {"score": 0.3}}, T0),
         _result("j3", "completed", {"quality_score": {"score": "0.1"}}, T0),
         _result("j4", "processing", {}, T0),
+        ("j5", "completed", "null", T0),
     ], RES_SCHEMA)
     out = by_id(MG.apply_analysis(docs, results, as_of=AS_OF).documents)
     sev = json.loads(out["sev"].metadata)
@@ -113,6 +115,7 @@ def test_apply_analysis_fields_and_tiers(spark):
     assert out["std"].seo_enabled is True and out["std"].tombstone_at == dt.datetime(2025, 12, 1)
     assert "tombstone_reason" not in json.loads(out["ok"].metadata)  # a string score is not a number
     assert json.loads(out["pending"].metadata) == {}
+    assert json.loads(out["empty"].metadata) == {}  # completed without an analysis object: not applied
 
 
 def test_enrich_wait_rules(spark):
