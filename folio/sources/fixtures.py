@@ -142,9 +142,12 @@ def text_documents_fixture(texts: DataFrame) -> DataFrame:
     document 1's text, which yields slug clashes on purpose."""
     did = F.col("doc_id")
     created = fixture_time(did)
-    # slug source of document 1: one row at most (doc_id is the key)
-    first = texts.filter(did == 1).select(
-        F.col("doc_id").alias("clash_src"), slug_source(F.lit(None).cast("string"), F.col("text")).alias("clash_text")
+    # slug source of document 1, aggregated to exactly one row whatever the
+    # number of copies of that id, so the broadcast below has a proven size
+    first = (
+        texts.filter(did == 1)
+        .groupBy(F.col("doc_id").alias("clash_src"))
+        .agg(F.min(slug_source(F.lit(None).cast("string"), F.col("text"))).alias("clash_text"))
     )
     base = texts.withColumn("clash_src", F.when(did % 50 == 1, F.lit(1).cast("long")))
     joined = base.join(F.broadcast(first), "clash_src", "left")
