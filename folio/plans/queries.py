@@ -9,9 +9,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators.timeline import tag_timeline, timeline_stats
+from folio.functions import (
+    clean_author,
+    effective_date,
+    first_trigger_tag,
+    merge_tags,
+    normalize_tag,
+    slug_source,
+    slugify,
+)
+from folio.operators import crawl
+from folio.operators import documents as D
+from folio.operators import images as I  # noqa: E741
+from folio.operators import jobs as J
+from folio.operators import merges as MG
+from folio.operators import publish as P
+from folio.operators import stats as S
+from folio.operators.timeline import tag_timeline, timeline_extent, timeline_stats
 from folio.plans.common import AS_OF, CORPUS_END, CORPUS_START, TIMELINE_END, TIMELINE_START, fmt_ts, r6
+from folio.sources import documents as SD
+from folio.sources import fixtures as FX
 from folio.sources.fixtures import corpus_documents, timeline_documents
+from folio.sources.tables import load_table, stream_table
+from folio.streaming import jobs as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,20 +87,6 @@ def q_corpus_tag_timeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ helpers
-from folio.functions import (  # noqa: E402
-    clean_author,
-    effective_date,
-    first_trigger_tag,
-    merge_tags,
-    normalize_tag,
-    slug_source,
-    slugify,
-)
-from folio.functions.common import ts_lit  # noqa: E402
-from folio.operators import crawl, documents as D, images as I, jobs as J, merges as MG, publish as P, stats as S  # noqa: E402
-from folio.operators.timeline import timeline_extent  # noqa: E402
-from folio.sources import fixtures as FX  # noqa: E402
-from folio.sources.tables import load_table  # noqa: E402
 
 BASE_URL = "https://corpus.example.com"
 IMAGE_BASE_URL = "https://scraper.example.com"
@@ -683,8 +689,6 @@ def q_article_export(spark, sf_dir):
 
 
 # ------------------------------------------------------------- streaming
-from folio.sources.tables import stream_table  # noqa: E402
-from folio.streaming import jobs as ST  # noqa: E402
 
 
 @register("enrich_stream")
@@ -774,7 +778,6 @@ def q_live_metrics(spark, sf_dir):
 
 
 # ------------------------------------------------------------- storage
-from folio.sources import documents as SD  # noqa: E402
 
 
 @register("ingest_read_documents")

@@ -74,3 +74,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def size_partitions(
+    spark: SparkSession,
+    input_bytes: int,
+    *,
+    target_bytes: int = 256 * 1024 * 1024,
+    min_partitions: int = 8,
+    max_partitions: int = 200_000,
+) -> int:
+    """Size shuffle and scan partitions for an input of ``input_bytes``.
+
+    The initial shuffle partition count is input / target (clamped); AQE then
+    coalesces small partitions towards ``target_bytes`` and splits skewed
+    ones, so the count is an upper bound, not a promise. Scan splits are
+    capped at the same target so a task's input fits executor memory.
+    Returns the shuffle partition count set."""
+    import math
+
+    n = max(min_partitions, min(max_partitions, math.ceil(input_bytes / target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(target_bytes, 512 * 1024 * 1024)))
+    return n

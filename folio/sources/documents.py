@@ -81,12 +81,20 @@ def prepare_ingest(new_docs: DataFrame) -> DataFrame:
     return df.withColumn("eff_month", F.date_format("effective_date", "yyyy-MM"))
 
 
-def ingest_documents(new_docs: DataFrame, path: str) -> DataFrame:
+def ingest_documents(new_docs: DataFrame, path: str, *, max_records_per_file: int = 5_000_000) -> DataFrame:
     """Append a batch of documents; tags travel in the row (the tag
     index is derived, R03), so one write keeps both consistent. Returns the
     prepared batch."""
     df = prepare_ingest(new_docs)
-    df.write.mode("append").partitionBy("eff_month").parquet(path)
+    # each task writes its rows clustered by month and date, so row groups
+    # carry tight min/max statistics on effective_date for date-range skipping
+    (
+        df.sortWithinPartitions("eff_month", "effective_date")
+        .write.mode("append")
+        .option("maxRecordsPerFile", max_records_per_file)
+        .partitionBy("eff_month")
+        .parquet(path)
+    )
     return df
 
 

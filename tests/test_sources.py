@@ -94,3 +94,17 @@ def test_search_images_refuses_empty(spark):
     with pytest.raises(ValueError):
         I.search_images(imgs, [])
     assert [r.id for r in I.search_images(imgs, ["RED"]).collect()] == ["1"]
+
+
+def test_size_partitions(spark):
+    from folio.session import size_partitions
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_partitions(spark, 100 * 1024**4) == 200_000
+        assert size_partitions(spark, 10 * 1024**3) == 40
+        assert size_partitions(spark, 1) == 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
