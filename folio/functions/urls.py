@@ -197,21 +197,33 @@ def url_key(url=None, *, parts: Column | None = None, normalized: Column | None
     return F.when(n.isNotNull(), F.concat(F.lit("urlcache:"), F.sha2(n, 256)))
 
 
-def resolve_link(base_url, href) -> Column:
+def link_base(base_url) -> Column:
+    """What resolving an href against a page needs from the page URL,
+    computed once per page: scheme, origin (scheme://authority), directory
+    of the path, and the URL without fragment / without query."""
+    b = col(base_url)
+    directory = F.regexp_replace(F.regexp_extract(b, _URL_RE, 4), r"[^/]*$", "")
+    return F.struct(
+        F.regexp_extract(b, _URL_RE, 1).alias("scheme"),
+        F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1).alias("origin"),
+        F.when(directory == "", F.lit("/")).otherwise(directory).alias("directory"),
+        F.regexp_replace(b, "#.*$", "").alias("no_fragment"),
+        F.regexp_replace(b, r"[?#].*$", "").alias("no_query"),
+    )
+
+
+def resolve_link(base_url=None, href=None, *, base: Column | None = None) -> Column:
     """Absolute form of an href found on a page: absolute hrefs stay, '//x'
     takes the page's scheme, '/x' takes scheme and host, anything else is
-    taken relative to the page's directory."""
-    b = col(base_url)
+    taken relative to the page's directory. ``base`` is a ``link_base``
+    struct when the page parts are already computed."""
+    b = base if base is not None else link_base(base_url)
     h = col(href)
-    scheme = F.regexp_extract(b, _URL_RE, 1)
-    origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    directory = F.regexp_replace(F.regexp_extract(b, _URL_RE, 4), r"[^/]*$", "")
-    directory = F.when(directory == "", F.lit("/")).otherwise(directory)
     return (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin, h))
-        .when(h.startswith("#") | (h == ""), F.regexp_replace(b, "#.*$", ""))
-        .when(h.startswith("?"), F.concat(F.regexp_replace(b, r"[?#].*$", ""), h))
-        .otherwise(F.concat(origin, directory, h))
+        .when(h.startswith("//"), F.concat(b["scheme"], F.lit(":"), h))
+        .when(h.startswith("/"), F.concat(b["origin"], h))
+        .when(h.startswith("#") | (h == ""), b["no_fragment"])
+        .when(h.startswith("?"), F.concat(b["no_query"], h))
+        .otherwise(F.concat(b["origin"], b["directory"], h))
     )

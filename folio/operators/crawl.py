@@ -14,7 +14,15 @@ from folio.functions.common import micros, rfc3339, ts_lit
 from folio.functions.scores import score_gate
 from folio.functions.tags import analyzer_tags, assemble_tags, empty_tags
 from folio.functions.text import slug_source, slugify, slugify_or
-from folio.functions.urls import is_scrapable_url, normalize_url, resolve_link, url_key, url_parts, with_url_parts
+from folio.functions.urls import (
+    is_scrapable_url,
+    link_base,
+    normalize_url,
+    resolve_link,
+    url_key,
+    url_parts,
+    with_url_parts,
+)
 from folio.functions.visibility import tombstone_at
 
 DAY_US = 86_400_000_000
@@ -24,10 +32,13 @@ HREF_RE = r'href="([^"]*)"'
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, link) for every anchor of every page, in
     page order; relative hrefs resolved against the page URL."""
+    # the page URL's parts are computed once per page, before the explode
     found = pages.select(
-        "page_id", "url", F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(HREF_RE), 1)).alias("pos", "href")
+        "page_id",
+        link_base("url").alias("_base"),
+        F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(HREF_RE), 1)).alias("pos", "href"),
     )
-    return found.select("page_id", "pos", "href", resolve_link(F.col("url"), F.col("href")).alias("link"))
+    return found.select("page_id", "pos", "href", resolve_link(href=F.col("href"), base=F.col("_base")).alias("link"))
 
 
 def gate(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -210,8 +221,12 @@ def expand_frontier(parents: DataFrame, links: DataFrame, *, max_depth: int) ->
     p = parents.filter(F.col("extract_links") & (F.col("depth") < max_depth)).select(
         F.col("id").alias("parent_job_id"), "depth", "page_id"
     )
-    j = p.join(links, "page_id")
-    j = with_url_parts(j, "link", "_url").filter(is_scrapable_url(parts=F.col("_url"))).drop("_url")
+    j = with_url_parts(p.join(links, "page_id"), "link", "_url")
+    # keep scrapable links through a generator rather than a filter: a filter
+    # would be pushed below the projection and re-expand the URL split into
+    # the condition several times; the generator reads the split once
+    keep = F.when(is_scrapable_url(parts=F.col("_url")), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    j = j.select(*[c for c in j.columns if c != "_url"], F.explode(keep).alias("_keep")).drop("_keep")
     child_depth = F.col("depth") + 1
     return j.select(
         _doc_id(F.lit("job"), F.col("parent_job_id"), F.col("pos").cast("string"), F.col("link")).alias("id"),
