@@ -142,16 +142,11 @@ def text_documents_fixture(texts: DataFrame) -> DataFrame:
     document 1's text, which yields slug clashes on purpose."""
     did = F.col("doc_id")
     created = fixture_time(did)
-    # slug source of document 1, aggregated to exactly one row whatever the
-    # number of copies of that id, so the broadcast below has a proven size
-    first = (
-        texts.filter(did == 1)
-        .groupBy(F.col("doc_id").alias("clash_src"))
-        .agg(F.min(slug_source(F.lit(None).cast("string"), F.col("text"))).alias("clash_text"))
-    )
-    base = texts.withColumn("clash_src", F.when(did % 50 == 1, F.lit(1).cast("long")))
-    joined = base.join(F.broadcast(first), "clash_src", "left")
-    src = F.coalesce(F.col("clash_text"), slug_source(F.lit(None).cast("string"), F.col("text")))
+    # slug source of document 1 as a scalar subquery: one value (the min over
+    # however many copies of that id exist), computed once and shared by
+    # every row, with no join
+    first = texts.filter(did == 1).select(F.min(slug_source(F.lit(None).cast("string"), F.col("text")))).scalar()
+    src = F.when(did % 50 == 1, first).otherwise(slug_source(F.lit(None).cast("string"), F.col("text")))
     tags = F.concat(
         F.array(F.col("lang"), F.col("source")),
         F.when(F.col("quality") == 0, F.array(F.lit("low-quality"))).otherwise(empty_tags()),
@@ -164,7 +159,7 @@ def text_documents_fixture(texts: DataFrame) -> DataFrame:
             _tombstone_text(did, created).alias("tombstone_datetime"),
         )
     )
-    return joined.select(
+    return texts.select(
         F.concat(F.lit("d"), did.cast("string")).alias("id"),
         created.alias("created_at"),
         created.alias("effective_date"),  # text documents carry no publication date
