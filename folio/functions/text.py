@@ -116,24 +116,28 @@ FIGURE_HTML = (
 
 def insert_image(html, base_url, image_slug) -> Column:
     """Put the figure after the middle '</p>' piece when the HTML has at
-    least three non-blank pieces."""
+    least three non-blank pieces.
+
+    The HTML is split once; the pieces are bound to a lambda variable (a
+    one-element ``transform``) so the midpoint and the two halves read the
+    same array instead of re-splitting per piece."""
     h = F.coalesce(col(html), F.lit(""))
     slug = col(image_slug)
     head, tail = FIGURE_HTML.split("{base}")
     mid_text, end_text = tail.split("{slug}")
     figure = F.concat(F.lit(head), col(base_url), F.lit(mid_text), slug, F.lit(end_text))
-    pieces = F.split(h, "</p>", -1)
-    n_nonblank = F.size(F.filter(pieces, lambda p: trim_space(p) != ""))
-    mid = F.floor(F.size(pieces) / 2).cast("int")
-    joined = F.array_join(
-        F.transform(
-            pieces,
-            lambda p, i: F.concat(
-                F.when(p != "", F.concat(p, F.lit("</p>"))).otherwise(F.lit("")),
-                F.when(i == mid, figure).otherwise(F.lit("")),
-            ),
-        ),
-        "",
-    )
-    skip = (h == "") | slug.isNull() | (slug == "") | (n_nonblank < 3)
-    return F.when(skip, h).otherwise(joined)
+
+    def closed(p):
+        return F.when(p != "", F.concat(p, F.lit("</p>"))).otherwise(F.lit(""))
+
+    def with_figure(pieces):
+        n = F.size(pieces)
+        mid = F.floor(n / 2).cast("int")
+        before = F.array_join(F.transform(F.slice(pieces, F.lit(1), mid + 1), closed), "")
+        after = F.array_join(F.transform(F.slice(pieces, mid + 2, n - mid - 1), closed), "")
+        nonblank = F.size(F.filter(pieces, lambda p: trim_space(p) != ""))
+        return F.when(nonblank < 3, h).otherwise(F.concat(before, figure, after))
+
+    placed = F.element_at(F.transform(F.array(F.split(h, "</p>", -1)), with_figure), 1)
+    skip = (h == "") | slug.isNull() | (slug == "")
+    return F.when(skip, h).otherwise(placed)

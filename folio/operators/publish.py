@@ -159,37 +159,42 @@ def article_export(
     # parse the metadata once; every field below reads the parsed value
     docs = docs.withColumn("_meta_v", F.try_parse_json("metadata"))
     m = F.col("_meta_v")
+    # narrow the rows to the article's fields before any join: the shuffle
+    # then carries the content, not the whole metadata document
+    fields = [
+        F.col("id"),
+        F.col("slug"),
+        F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("keywords"),
+        F.col("created_at").alias("published_at"),
+        F.coalesce(F.col("source_url"), F.lit("")).alias("source_url"),
+        _meta_string(m, "$.scraper_metadata.title", "Untitled").alias("title"),
+        _meta_string(m, "$.scraper_metadata.description", "").alias("description"),
+        F.coalesce(_variant_string(m, "$.text_analysis.content"), _meta_string(m, "$.scraper_metadata.content", "")).alias("raw"),
+        clean_author(_meta_string(m, "$.scraper_metadata.author", "")).alias("author"),
+    ]
     if best_images is not None:
-        docs = docs.join(best_images.withColumnRenamed("document_id", "id"), "id", "left")
-        img_slug = F.col("best_image_slug")
+        narrow = docs.select(*fields).join(best_images.withColumnRenamed("document_id", "id"), "id", "left")
     else:
         from folio.functions.scores import best_image
 
         imgs = F.try_variant_get(m, "$.scraper_metadata.images", "array<struct<slug:string,relevance_score:double>>")
-        img_slug = best_image(imgs)
-    title = _meta_string(m, "$.scraper_metadata.title", "Untitled")
-    description = _meta_string(m, "$.scraper_metadata.description", "")
-    raw = F.coalesce(
-        _variant_string(m, "$.text_analysis.content"), _meta_string(m, "$.scraper_metadata.content", "")
-    )
-    author = clean_author(_meta_string(m, "$.scraper_metadata.author", ""))
-    html = paragraph_html(raw)
-    body = F.when(img_slug.isNotNull() & (img_slug != ""), insert_image(html, F.lit(image_base_url), img_slug)).otherwise(html)
-    image_url = F.when(img_slug.isNotNull() & (img_slug != ""), F.concat(F.lit(f"{image_base_url}/images/"), img_slug))
-    canonical = F.concat(F.lit(f"{base_url}/content/"), F.col("slug"))
-    keywords = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
-    out = docs.select(
+        narrow = docs.select(*fields, best_image(imgs).alias("best_image_slug"))
+    img_slug = F.col("best_image_slug")
+    has_img = img_slug.isNotNull() & (img_slug != "")
+    html = paragraph_html(F.col("raw"))
+    body = F.when(has_img, insert_image(html, F.lit(image_base_url), img_slug)).otherwise(html)
+    out = narrow.select(
         "id",
         "slug",
-        title.alias("title"),
-        description.alias("description"),
+        "title",
+        "description",
         body.alias("body_html"),
-        author.alias("author"),
-        keywords.alias("keywords"),
-        canonical.alias("canonical_url"),
-        image_url.alias("image_url"),
-        F.col("created_at").alias("published_at"),
-        F.coalesce(F.col("source_url"), F.lit("")).alias("source_url"),
+        "author",
+        "keywords",
+        F.concat(F.lit(f"{base_url}/content/"), F.col("slug")).alias("canonical_url"),
+        F.when(has_img, F.concat(F.lit(f"{image_base_url}/images/"), img_slug)).alias("image_url"),
+        "published_at",
+        "source_url",
     )
     return out.withColumn(
         "jsonld",
