@@ -204,3 +204,57 @@ def article_export(
             F.col("keywords"), F.col("body_html"), F.col("canonical_url"),
         ),
     )
+
+
+def image_object_jsonld(url: Column, description: Column, title: Column, width: Column, height: Column) -> Column:
+    """R76 (image form): schema.org ImageObject; description and name omitted
+    when empty, width and height omitted when 0."""
+    return F.to_json(
+        F.struct(
+            F.lit("https://schema.org").alias("@context"),
+            F.lit("ImageObject").alias("@type"),
+            F.coalesce(url, F.lit("")).alias("contentUrl"),
+            _nonempty(description).alias("description"),
+            _nonempty(title).alias("name"),
+            F.when(width != 0, width.cast("int")).alias("width"),
+            F.when(height != 0, height.cast("int")).alias("height"),
+        )
+    )
+
+
+def web_page_jsonld(title: Column, description: Column, url: Column, published: Column, modified: Column) -> Column:
+    """R76 (web-page form): schema.org WebPage; description and url omitted
+    when empty, dates omitted when unset, RFC 3339 otherwise."""
+    return F.to_json(
+        F.struct(
+            F.lit("https://schema.org").alias("@context"),
+            F.lit("WebPage").alias("@type"),
+            F.coalesce(title, F.lit("")).alias("name"),
+            _nonempty(description).alias("description"),
+            _nonempty(url).alias("url"),
+            rfc3339(published).alias("datePublished"),
+            rfc3339(modified).alias("dateModified"),
+        )
+    )
+
+
+def breadcrumb_jsonld(items: Column) -> Column:
+    """R76 (breadcrumb form): schema.org BreadcrumbList of
+    ``array<struct<position:int, name:string, item:string>>``; every element
+    typed ListItem, ``item`` omitted when empty."""
+    elements = F.transform(
+        F.coalesce(items, F.array().cast("array<struct<position:int,name:string,item:string>>")),
+        lambda e: F.struct(
+            F.lit("ListItem").alias("@type"),
+            e["position"].cast("int").alias("position"),
+            F.coalesce(e["name"], F.lit("")).alias("name"),
+            _nonempty(e["item"]).alias("item"),
+        ),
+    )
+    return F.to_json(
+        F.struct(
+            F.lit("https://schema.org").alias("@context"),
+            F.lit("BreadcrumbList").alias("@type"),
+            elements.alias("itemListElement"),
+        )
+    )

@@ -919,3 +919,16 @@ SELECT id, strftime(effective_date, {FMT}) AS effective_date, strftime(tombstone
 """)
 
 ORACLES["backfill_effective_date"] = with_corpus(f"SELECT id, strftime(effective_date, {FMT}) AS effective_date FROM corpus")
+
+ORACLES["image_jsonld"] = blocks(IMAGES) + f"""
+SELECT id,
+       '{{"@context":"https://schema.org","@type":"ImageObject","contentUrl":' || to_json('http://img.example.com/' || id || '.png')
+         || CASE WHEN summary <> '' THEN ',"description":' || to_json(summary) ELSE '' END
+         || CASE WHEN alt_text <> '' THEN ',"name":' || to_json(alt_text) ELSE '' END
+         || CASE WHEN CAST(relevance_score * 50 AS INTEGER) <> 0 THEN ',"width":' || CAST(CAST(relevance_score * 50 AS INTEGER) AS VARCHAR) ELSE '' END
+         || '}}' AS image_ld,
+       '{{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":['
+         || '{{"@type":"ListItem","position":1,"name":"Images","item":"{BASE}/images"}},'
+         || '{{"@type":"ListItem","position":2,"name":' || to_json(alt_text) || '}}]}}' AS breadcrumb_ld
+FROM images
+"""

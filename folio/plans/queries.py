@@ -804,3 +804,20 @@ def q_backfill_effective_date(spark, sf_dir):
         "effective_date", F.when(_k() % 2 == 0, F.lit(None).cast("timestamp")).otherwise(F.col("effective_date"))
     )
     return SD.backfill_effective_date(blanked).select("id", fmt_ts("effective_date").alias("effective_date"))
+
+
+@register("image_jsonld")
+def q_image_jsonld(spark, sf_dir):
+    """R76 (image and breadcrumb forms) for every image."""
+    imgs = _images(spark, sf_dir)
+    part = load_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_size")
+    j = imgs.join(part, "id")
+    crumbs = F.array(
+        F.struct(F.lit(1).alias("position"), F.lit("Images").alias("name"), F.lit(f"{BASE_URL}/images").alias("item")),
+        F.struct(F.lit(2).alias("position"), F.col("alt_text").alias("name"), F.lit("").alias("item")),
+    )
+    return j.select(
+        "id",
+        P.image_object_jsonld(F.col("url"), F.col("summary"), F.col("alt_text"), F.col("p_size"), F.lit(0)).alias("image_ld"),
+        P.breadcrumb_jsonld(crumbs).alias("breadcrumb_ld"),
+    )

@@ -219,3 +219,27 @@ def test_best_image(spark):
         "imgs array<struct<slug:string,relevance_score:double>>",
     )
     assert [r[0] for r in df.select(best_image("imgs")).collect()] == ["c", None, None]
+
+
+def test_jsonld_builders(spark):
+    import json
+
+    from folio.operators.publish import article_jsonld, breadcrumb_jsonld, web_page_jsonld
+
+    df = spark.createDataFrame(
+        [("T", "", "https://x/c/a", dt.datetime(2024, 5, 1, 12, 0), "", ["k"]), ("U", "d", "", None, "Ann", [])],
+        "t string, d string, u string, p timestamp, a string, k array<string>",
+    )
+    pages = [json.loads(r[0]) for r in df.select(web_page_jsonld(F.col("t"), F.col("d"), F.col("u"), F.col("p"), F.col("p"))).collect()]
+    assert pages[0] == {"@context": "https://schema.org", "@type": "WebPage", "name": "T", "url": "https://x/c/a",
+                        "datePublished": "2024-05-01T12:00:00Z", "dateModified": "2024-05-01T12:00:00Z"}
+    assert pages[1] == {"@context": "https://schema.org", "@type": "WebPage", "name": "U", "description": "d"}
+    arts = [json.loads(r[0]) for r in df.select(article_jsonld(F.col("t"), F.col("d"), F.col("a"), F.col("p"),
+                                                               F.array().cast("array<string>"), F.col("k"), F.lit(""), F.col("u"))).collect()]
+    assert "author" not in arts[0] and arts[0]["keywords"] == ["k"] and "articleBody" not in arts[0] and "image" not in arts[0]
+    assert arts[1]["author"] == {"@type": "Person", "name": "Ann"} and "keywords" not in arts[1] and "datePublished" not in arts[1]
+    crumbs = spark.createDataFrame([([(1, "Home", "https://x"), (2, "Here", "")],)],
+                                   "i array<struct<position:int,name:string,item:string>>")
+    b = json.loads(crumbs.select(breadcrumb_jsonld(F.col("i"))).collect()[0][0])
+    assert b["itemListElement"] == [{"@type": "ListItem", "position": 1, "name": "Home", "item": "https://x"},
+                                    {"@type": "ListItem", "position": 2, "name": "Here"}]
