@@ -50,3 +50,28 @@ def test_status_feed_latest(spark):
     watched = spark.createDataFrame([("r1",)], "request_id string")
     out = ST.run_available(ST.latest_status(ST.status_feed(ev, watched)), "t-status", mode="complete")
     assert [(r.request_id, r.status, r.events) for r in spark.read.parquet(out).collect()] == [("r1", "scraped", 2)]
+
+
+def test_live_metrics_beat(spark):
+    import datetime as dt
+
+    from folio.session import scratch_path
+
+    t0 = dt.datetime(2025, 1, 1)
+    path = _write(spark, [("j1", "queued", t0), ("j1", "processing", t0 + dt.timedelta(seconds=90)), ("j2", "queued", t0)],
+                  "job_id string, event string, ts timestamp")
+    ev = spark.readStream.schema("job_id string, event string, ts timestamp").parquet(path)
+    docs = spark.createDataFrame(
+        [("a", "url", ["x"], True, None), ("b", "text", [], False, dt.datetime(2024, 1, 1))],
+        "id string, source_type string, tags array<string>, seo_enabled boolean, tombstone_at timestamp",
+    )
+    jobs = spark.createDataFrame([("j1", "queued"), ("j2", "failed")], "id string, status string")
+    base = scratch_path(spark, "t-metrics")
+    q = ST.live_metrics(ev, lambda: (docs, jobs), f"{base}/out", as_of=dt.datetime(2025, 1, 2, tzinfo=dt.timezone.utc),
+                        checkpoint=f"{base}/ckpt", available_now=True)
+    q.awaitTermination()
+    waits = {r.job_id: r.wait_seconds for r in spark.read.parquet(f"{base}/out/waits").collect()}
+    assert waits == {"j1": 90.0, "j2": None}
+    figs = {(r.metric, r.key): r.value for r in spark.read.parquet(f"{base}/out/figures").collect()}
+    assert figs[("jobs_by_status", "failed")] == 1 and figs[("jobs_by_status", "pending")] == 0
+    assert figs[("tombstones_due", "")] == 1 and figs[("live_by_source_type", "url")] == 1
