@@ -24,7 +24,7 @@ from folio.functions.dates import effective_date
 from folio.functions.tags import assemble_tags, empty_tags
 from folio.functions.text import slug_source, slugify, slugify_or
 from folio.functions.visibility import tombstone_at
-from folio.sources.tables import load_table
+from folio.sources.tables import load_table, per_session
 
 # Fixed values of the fixture rules.
 BASE_EPOCH = 1704067200  # 2024-01-01T00:00:00Z
@@ -131,6 +131,7 @@ def text_score(quality: Column, toxic: Column) -> Column:
     )
 
 
+@per_session
 def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -187,6 +188,7 @@ def promote(documents: DataFrame) -> DataFrame:
     return out.select(*DOC_COLUMNS)
 
 
+@per_session
 def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document corpus (url + text branches)."""
     pages = load_table(spark, sf_dir, "pages")
@@ -195,6 +197,7 @@ def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_docs.unionByName(text_docs).select(*DOC_COLUMNS)
 
 
+@per_session
 def timeline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as documents tagged (event_type, 'u' || user_id % 20)."""
     ev = load_table(spark, sf_dir, "events")
@@ -211,6 +214,7 @@ def timeline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOB_STATUS = {"O": "queued", "P": "processing"}
 
 
+@per_session
 def crawl_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: orders as a 10-ary job tree (parent = key div 10 for keys >= 10)."""
     o = load_table(spark, sf_dir, "orders")
@@ -239,6 +243,7 @@ def crawl_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def images_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part rows as images."""
     p = load_table(spark, sf_dir, "part")
@@ -267,6 +272,7 @@ EVENT_STATUS = (
 )
 
 
+@per_session
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by user as job status events (job id = user id)."""
     ev = load_table(spark, sf_dir, "events")
@@ -281,6 +287,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@per_session
 def analysis_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One analysis result per text document."""
     t = labelled_texts(spark, sf_dir)

@@ -21,7 +21,10 @@ TABLES = (
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
+    return _load_table(spark, sf_dir, name)
+
+
+def _read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     ntz = [f.name for f in df.schema.fields if isinstance(f.dataType, TimestampNTZType)]
     if not ntz:
@@ -45,3 +48,31 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
     df = reader.parquet(path[:-1] + "[" + path[-1] + "]")
     ntz = [f.name for f in schema.fields if isinstance(f.dataType, TimestampNTZType)]
     return df.select(*[F.col(c).cast("timestamp").alias(c) if c in ntz else F.col(c) for c in df.columns])
+
+
+_PLANS: dict = {}
+
+
+def per_session(fn):
+    """Build a derived relation once per (session, table folder).
+
+    Only the lazy DataFrame — the logical plan — is reused; nothing is
+    cached or materialised, so every query still reads and computes its
+    inputs in full. It saves re-issuing the hundreds of column-building
+    calls a derivation makes from Python."""
+    import functools
+
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str, *args):
+        configure(spark)
+        key = (fn.__module__, fn.__qualname__, id(spark), sf_dir.rstrip("/"), args)
+        hit = _PLANS.get(key)
+        if hit is None or hit[0] is not spark:
+            hit = (spark, fn(spark, sf_dir, *args))
+            _PLANS[key] = hit
+        return hit[1]
+
+    return wrapper
+
+
+_load_table = per_session(_read_table)
