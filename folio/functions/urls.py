@@ -212,6 +212,16 @@ def link_base(base_url) -> Column:
     )
 
 
+def with_url_key(df: DataFrame, url_col: str = "url", name: str = "url_key") -> DataFrame:
+    """Add the cache key (R52) of ``url_col`` as column ``name``, splitting
+    each URL once. The key is emitted by a generator so later filters or
+    groupings on it test the column instead of being pushed below and
+    re-deriving the key."""
+    split = with_url_parts(df, url_col, "_url")
+    key = url_key(parts=F.col("_url")).alias(name)
+    return split.select(*df.columns, F.inline(F.array(F.struct(key))))
+
+
 def resolve_link(base_url=None, href=None, *, base: Column | None = None) -> Column:
     """Absolute form of an href found on a page: absolute hrefs stay, '//x'
     takes the page's scheme, '/x' takes scheme and host, anything else is

@@ -20,7 +20,7 @@ from folio.functions.urls import (
     normalize_url,
     resolve_link,
     url_key,
-    url_parts,
+    with_url_key,
     with_url_parts,
 )
 from folio.functions.visibility import tombstone_at
@@ -197,14 +197,14 @@ def seen_url_split(new_urls: DataFrame, seen: DataFrame, *, as_of, ttl_days: int
     fresh. ``seen``: url, scraper_uuid, seen_at. Output adds url_key,
     cached (bool) and cached_scraper_uuid."""
     lo = F.timestamp_micros(F.lit(micros(as_of) - ttl_days * DAY_US))
+    in_ttl = seen.filter((F.col("seen_at") > lo) & (F.col("seen_at") <= ts_lit(as_of)))
     recent = (
-        seen.filter((F.col("seen_at") > lo) & (F.col("seen_at") <= ts_lit(as_of)))
-        .withColumn("k", url_key(parts=url_parts("url")))
+        with_url_key(in_ttl, "url", "k")
         .filter(F.col("k").isNotNull())
         .groupBy("k")
         .agg(F.max(F.struct("seen_at", "scraper_uuid"))["scraper_uuid"].alias("cached_scraper_uuid"))
     )
-    keyed = new_urls.withColumn("url_key", url_key("url"))
+    keyed = with_url_key(new_urls, "url", "url_key")
     # invalid URLs have no key; give them a unique non-matching one so they
     # do not gather in one partition of the left join
     jk = F.coalesce(F.col("url_key"), F.concat(F.lit("\u0000"), F.col("url")))

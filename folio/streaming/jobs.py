@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions.urls import url_key, with_url_parts
+from folio.functions.urls import with_url_key
 from folio.operators import stats as S
 from folio.session import scratch_path
 
@@ -74,13 +74,8 @@ def dedupe_url_stream(urls: DataFrame, *, ttl: str = "30 days", ts_col: str = "s
     First sighting wins; the state for a key expires with the watermark.
     Invalid URLs (no key) pass through unchanged, as the reference does not
     cache them."""
-    cols = urls.columns
-    split = with_url_parts(urls, "url", "_url")
-    # the key comes out of a generator: the filters below then test a plain
-    # column instead of being pushed down and re-deriving the key per branch
-    keyed = split.select(
-        *cols, F.inline(F.array(F.struct(url_key(parts=F.col("_url")).alias("url_key"))))
-    )
+    # the key is derived once per row; the split below tests the column
+    keyed = with_url_key(urls, "url", "url_key")
     valid = keyed.filter(F.col("url_key").isNotNull()).withWatermark(ts_col, ttl).dropDuplicatesWithinWatermark(["url_key"])
     invalid = keyed.filter(F.col("url_key").isNull())
     return valid.unionByName(invalid)
