@@ -155,6 +155,7 @@ def apply_job_events(jobs: DataFrame, events: DataFrame) -> DataFrame:
     * failed adds one retry.
     * retry turns a failed job back to queued (error cleared, retries kept)
       and does nothing otherwise.
+    * task (with a ``task_id`` column) records the queue's task id.
 
     The fold is order-dependent only through 'retry', which acts iff the
     latest status event before it is 'failed'; so the final state is the
@@ -163,11 +164,15 @@ def apply_job_events(jobs: DataFrame, events: DataFrame) -> DataFrame:
     """
     order = F.struct("ts", "seq")
     is_status = F.col("event").isin(*STATUS_EVENTS)
+    if "task_id" not in events.columns:
+        events = events.withColumn("task_id", F.lit(None).cast("string"))
     agg = events.groupBy("job_id").agg(
         F.max(F.when(is_status, F.struct("ts", "seq", "event", "result_request_id", "message"))).alias("last"),
         F.max(F.when(F.col("event") == "retry", order)).alias("last_retry"),
         F.max(order).alias("last_any"),
         F.count_if(F.col("event") == "failed").alias("failures"),
+        # 'task' events carry the queue's task id; the latest one is kept
+        F.max(F.when((F.col("event") == "task") & F.col("task_id").isNotNull(), F.struct("ts", "seq", "task_id"))).alias("last_task"),
     )
     j = jobs.join(agg.withColumnRenamed("job_id", "id"), "id", "left")
     hit = F.col("last_any").isNotNull()
@@ -195,6 +200,7 @@ def apply_job_events(jobs: DataFrame, events: DataFrame) -> DataFrame:
             else F.when(hit, result).otherwise(F.col("result_request_id")).alias("result_request_id") if c == "result_request_id"
             else (F.col("retries") + F.coalesce(F.col("failures"), F.lit(0))).cast("int").alias("retries") if c == "retries"
             else F.when(hit, F.col("last_any")["ts"]).otherwise(F.col("updated_at")).alias("updated_at") if c == "updated_at"
+            else F.coalesce(F.col("last_task")["task_id"], F.col("asynq_task_id")).alias("asynq_task_id") if c == "asynq_task_id"
             else F.col(c)
             for c in jobs.columns
         ]

@@ -51,6 +51,11 @@ def test_apply_job_events(spark):
         ("d", t(1), 1, "failed", None, "x"), ("d", t(2), 2, "failed", None, "y"),
     ], "job_id string, ts timestamp, seq long, event string, result_request_id string, message string")
     out = {r.id: r for r in J.apply_job_events(jobs, ev).collect()}
+    tasks = ev.withColumn("task_id", F.lit(None).cast("string")).unionByName(
+        spark.createDataFrame([("d", t(5), 5, "task", None, "", "task-7")],
+                              "job_id string, ts timestamp, seq long, event string, result_request_id string, message string, task_id string"))
+    with_task = {r.id: r for r in J.apply_job_events(jobs, tasks).collect()}
+    assert with_task["d"].asynq_task_id == "task-7" and with_task["d"].status == "failed" and with_task["a"].asynq_task_id is None
     assert (out["a"].status, out["a"].retries, out["a"].error_message, out["a"].completed_at) == ("queued", 1, "", None)
     assert (out["b"].status, out["b"].result_request_id, out["b"].completed_at) == ("completed", "doc-9", t(2))
     assert (out["c"].status, out["c"].retries) == ("queued", 0)
