@@ -13,7 +13,7 @@ from folio.functions import metadata as M
 from folio.functions.common import micros, rfc3339, ts_lit
 from folio.functions.scores import score_gate
 from folio.functions.tags import analyzer_tags, assemble_tags, empty_tags
-from folio.functions.text import slug_source, slugify, slugify_or
+from folio.functions.text import slug_source, slugify_or
 from folio.functions.urls import (
     is_scrapable_url,
     link_base,

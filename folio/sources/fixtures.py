@@ -23,7 +23,6 @@ from folio.functions.common import rfc3339
 from folio.functions.dates import effective_date
 from folio.functions.tags import assemble_tags, empty_tags
 from folio.functions.text import slug_source, slugify, slugify_or
-from folio.functions.visibility import tombstone_at
 from folio.sources.tables import load_table, per_session
 
 # Fixed values of the fixture rules.
@@ -176,18 +175,6 @@ def text_documents_fixture(texts: DataFrame) -> DataFrame:
     )
 
 
-def promote(documents: DataFrame) -> DataFrame:
-    """Add the promoted columns derived from metadata (effective_date when
-    missing, tombstone_at) so predicates become plain column comparisons
-    that parquet min/max statistics can skip on."""
-    cols = documents.columns
-    out = documents
-    if "effective_date" not in cols:
-        out = out.withColumn("effective_date", effective_date("metadata", "created_at"))
-    out = out.withColumn("tombstone_at", tombstone_at("metadata"))
-    return out.select(*DOC_COLUMNS)
-
-
 @per_session
 def corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document corpus (url + text branches)."""
