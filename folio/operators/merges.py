@@ -241,15 +241,24 @@ def _join_key(c: str) -> Column:
 ANALYZER_STRING_FIELDS = ("synopsis", "cleaned_text", "heuristic_cleaned_text", "editorial_analysis")
 
 
+def _parsed(j: DataFrame, when: Column) -> DataFrame:
+    """Parse the analysis (``_v``) and the metadata document (``_m``) once,
+    and only on rows that ``when`` selects; the builders below read these
+    columns instead of re-parsing per field."""
+    return j.withColumn("_v", F.when(when, F.try_parse_json(F.col("res_analysis")))).withColumn(
+        "_m", F.when(when, M.meta_map("metadata"))
+    )
+
+
 def _analysis_columns(j: DataFrame, as_of, trigger_tags, keep_tag_tombstone: bool, tag_period_days: int):
     """New (tags, metadata, seo_enabled, tombstone_at) for a row whose
-    completed analysis is applied (R55, with the tiers of R56)."""
-    v = F.try_parse_json(F.col("res_analysis"))
+    completed analysis is applied (R55, with the tiers of R56). Reads the
+    parsed columns added by ``_parsed``."""
+    v = F.col("_v")
+    m = F.col("_m")
     tags_v = M.variant_at(v, "$.tags")
     qs_v = M.variant_at(v, "$.quality_score")
-    old_am = F.coalesce(
-        F.from_json(F.get_json_object(F.col("metadata"), "$.analyzer_metadata"), M.MAP_TYPE), M.empty_meta()
-    )
+    old_am = F.coalesce(F.try_variant_get(m.getItem("analyzer_metadata"), "$", M.MAP_TYPE), M.empty_meta())
     am_parts = [M.maybe_entry(M.is_array(tags_v), "ai_tags", tags_v)]
     for k in ANALYZER_STRING_FIELDS:
         x = M.variant_at(v, f"$.{k}")
@@ -258,7 +267,7 @@ def _analysis_columns(j: DataFrame, as_of, trigger_tags, keep_tag_tombstone: boo
     am_parts.append(M.maybe_entry(M.is_object(det), "ai_detection", det))
     new_am = F.map_concat(old_am, *am_parts)
     base = F.map_concat(
-        M.meta_map("metadata"),
+        m,
         M.entry("analyzer_metadata", F.parse_json(F.to_json(new_am))),
         M.maybe_entry(M.is_object(qs_v), "quality_score", qs_v),
         M.entry("textanalyzer_status", M.vtext(F.lit("completed"))),
@@ -302,7 +311,7 @@ def apply_analysis(
     res = latest_results(results).filter(_applicable()).select(
         F.col("job_id").alias("res_job"), F.col("analysis").alias("res_analysis"), F.lit(True).alias("_hit")
     )
-    j = documents.join(res, _join_key("textanalyzer_uuid") == res["res_job"], "left")
+    j = _parsed(documents.join(res, _join_key("textanalyzer_uuid") == res["res_job"], "left"), HIT())
     hit = HIT()
     tags, meta, seo, tomb = _analysis_columns(j, as_of, trigger_tags, keep_tag_tombstone, tag_period_days)
     snap = _finish(
@@ -319,10 +328,11 @@ def apply_analysis(
     return Merged(snap, missing)
 
 
-def _timeout_meta(elapsed: Column) -> Column:
+def _timeout_meta(elapsed: Column, meta_map: Column | None = None) -> Column:
+    base = meta_map if meta_map is not None else M.meta_map("metadata")
     return M.to_text(
-        M.overlay(
-            "metadata",
+        F.map_concat(
+            base,
             M.entry("analysis_retrieval_timeout", F.lit(True).cast("variant")),
             M.entry("analysis_retrieval_elapsed_minutes", elapsed.cast("long").cast("variant")),
             M.entry("textanalyzer_status", M.vtext(F.lit("failed"))),
@@ -379,12 +389,13 @@ def enrich(
     j = j.withColumn("enrich_outcome", outcome)
     applied = F.col("enrich_outcome") == "applied"
     timed_out = F.col("enrich_outcome") == "timeout"
+    j = _parsed(j, applied | timed_out)
     tags, meta, seo, tomb = _analysis_columns(j, as_of, trigger_tags, keep_tag_tombstone, 90)
     out = (
         j.withColumn("tags", F.when(applied, tags).otherwise(F.col("tags")))
         .withColumn(
             "metadata",
-            F.when(applied, meta).when(timed_out, _timeout_meta(elapsed)).otherwise(F.col("metadata")),
+            F.when(applied, meta).when(timed_out, _timeout_meta(elapsed, F.col("_m"))).otherwise(F.col("metadata")),
         )
         .withColumn("seo_enabled", F.when(applied, seo).otherwise(F.col("seo_enabled")))
         .withColumn("tombstone_at", F.when(applied, tomb).otherwise(F.col("tombstone_at")))
