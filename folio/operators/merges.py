@@ -202,11 +202,12 @@ def quality_tombstone(documents: DataFrame, *, as_of) -> DataFrame:
     """Two-tier tombstone from metadata.quality_score.score:
     0 < s < 0.25 → due in 7 days and seo off; 0.25 <= s < 0.35 → due in 30
     days and seo on (even if it was off); otherwise nothing."""
-    score = metadata_quality_score("metadata")
+    scored = documents.withColumn("_score", metadata_quality_score("metadata"))
+    score = F.col("_score")
     severe, standard, when_ts, _ = _tiers(score, as_of)
     tier = severe | standard
     meta = M.to_text(_tier_meta(M.meta_map("metadata"), score, as_of))
-    return documents.select(
+    return scored.select(
         *[
             F.when(tier, meta).otherwise(F.col("metadata")).alias(c) if c == "metadata"
             else F.when(severe, F.lit(False)).when(standard, F.lit(True)).otherwise(F.col(c)).alias(c) if c == "seo_enabled"
