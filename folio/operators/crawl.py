@@ -6,6 +6,8 @@ of URLs (or pages) and produces a table, so a crawl level is a few joins.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -255,3 +257,58 @@ def url_rules(urls: DataFrame, url_col: str = "url") -> DataFrame:
         normalize_url(parts=parts).alias("normalized_url"),
     )
     return ruled.withColumn("url_key", url_key(normalized=F.col("normalized_url")))
+
+
+class CrawlStep(NamedTuple):
+    documents: DataFrame  # new documents, slug clashes removed
+    conflicts: DataFrame  # new documents whose slug is already taken (quarantined)
+    outcomes: DataFrame  # per submitted URL: cached / accepted / error
+
+
+def crawl_step(
+    new_urls: DataFrame,
+    scores: DataFrame,
+    scrapes: DataFrame,
+    seen: DataFrame,
+    existing: DataFrame | None = None,
+    *,
+    as_of,
+    threshold: float = 0.5,
+    low_score_period_days: int = 30,
+    ttl_days: int = 30,
+) -> CrawlStep:
+    """One ingestion round for a table of submitted URLs, set-wise:
+
+    R32 cache split → R21 score gate on the fresh URLs → R58 documents for
+    rejected URLs and R59 documents for accepted/image URLs → R77 slug check
+    against the existing documents and within the batch → per-URL outcomes
+    (R39). The returned documents are ready for ``ingest_documents``.
+
+    ``scores``: url, score, reason, categories, is_recommended,
+    malicious_indicators. ``scrapes``: as for ``scraped_documents``.
+    ``seen``: url, scraper_uuid, seen_at. ``existing``: documents (id, slug,
+    created_at) already stored, or None."""
+    from folio.operators.documents import slug_conflicts
+
+    split = seen_url_split(new_urls, seen, as_of=as_of, ttl_days=ttl_days)
+    fresh = split.filter(~F.col("cached")).select("url").distinct()
+    scored = gate(fresh.join(scores, "url"), threshold)
+    low = low_score_documents(
+        scored.filter(F.col("decision") == "rejected"), threshold=threshold, period_days=low_score_period_days, as_of=as_of
+    )
+    scraped = scraped_documents(scored.filter(F.col("decision") != "rejected"), scrapes, as_of=as_of)
+    batch = low.unionByName(scraped)
+    # slug clashes: a new document loses to an existing one, or to an earlier
+    # new one (R77 order); documents without slug never clash
+    pool = batch.select("id", "slug", "created_at").withColumn("_new", F.lit(True))
+    if existing is not None:
+        pool = pool.unionByName(existing.select("id", "slug", "created_at").withColumn("_new", F.lit(False)))
+    clashes = slug_conflicts(pool).select("id", "kept_id").join(batch.select("id"), "id", "left_semi")
+    conflicts = batch.join(clashes, "id", "left_semi")
+    documents = batch.join(clashes, "id", "left_anti")
+    outcome = (
+        F.when(F.col("cached"), F.lit("cached"))
+        .when(is_scrapable_url("url"), F.lit("accepted"))
+        .otherwise(F.lit("error"))
+    )
+    return CrawlStep(documents, conflicts, split.select("url", outcome.alias("outcome")))

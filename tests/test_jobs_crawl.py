@@ -109,3 +109,32 @@ def test_low_score_and_text_documents(spark):
     td = crawl.text_documents(texts, res, as_of=as_of).collect()[0]
     assert td.tags == ["News-Today"] and td.slug == "hello-world-this-is-text"
     assert json.loads(td.metadata)["original_text"] == "Héllo wörld, this is text"
+
+
+def test_crawl_step(spark):
+    as_of = dt.datetime(2025, 2, 1, tzinfo=UTC)
+    new = spark.createDataFrame([("https://a.example/x",), ("https://a.example/y",), ("https://b.example/cached",),
+                                 ("https://c.example/pic.png",), ("https://d.example/clash",)], "url string")
+    scores = spark.createDataFrame([
+        ("https://a.example/x", 0.9, "good", ["news"], True, []),
+        ("https://a.example/y", 0.1, "bad", ["spam-farm-x"], False, []),
+        ("https://c.example/pic.png", 0.0, "img", ["image"], False, []),
+        ("https://d.example/clash", 0.8, "ok", ["tech"], True, []),
+    ], "url string, score double, reason string, categories array<string>, is_recommended boolean, malicious_indicators array<string>")
+    scrapes = spark.createDataFrame([
+        ("https://a.example/x", "s1", "Hello World", "body", "", None, None, ""),
+        ("https://c.example/pic.png", "s2", "", "", "", None, None, "pic-slug"),
+        ("https://d.example/clash", "s3", "Taken Title", "", "", None, None, ""),
+    ], "url string, scrape_id string, title string, content string, raw_text string, page_metadata string, page_score string, slug string")
+    seen = spark.createDataFrame([("https://b.example/cached", "s0", dt.datetime(2025, 1, 25))],
+                                 "url string, scraper_uuid string, seen_at timestamp")
+    existing = spark.createDataFrame([("old", "taken-title", dt.datetime(2024, 1, 1))], "id string, slug string, created_at timestamp")
+    step = crawl.crawl_step(new, scores, scrapes, seen, existing, as_of=as_of)
+    docs = {r.source_url: r for r in step.documents.collect()}
+    assert set(docs) == {"https://a.example/x", "https://a.example/y", "https://c.example/pic.png"}
+    assert docs["https://a.example/x"].slug == "hello-world" and docs["https://a.example/x"].seo_enabled
+    assert docs["https://a.example/y"].seo_enabled is False and docs["https://a.example/y"].tags == ["spam-farm", "a.example", "scrape"]
+    assert docs["https://c.example/pic.png"].slug == "pic-slug" and docs["https://c.example/pic.png"].textanalyzer_uuid == ""
+    assert [r.source_url for r in step.conflicts.collect()] == ["https://d.example/clash"]
+    outcomes = {r.url: r.outcome for r in step.outcomes.collect()}
+    assert outcomes["https://b.example/cached"] == "cached" and outcomes["https://a.example/x"] == "accepted"
