@@ -134,8 +134,8 @@ def live_metrics(
 ):
     """On a fixed beat, refresh the document statistics (R37) and job
     status counts (R38) from the current snapshot tables and the queue waits
-    from the job-event stream; each micro-batch appends the figures, tagged
-    with its batch id, under ``out_path``. ``snapshot()`` returns the current
+    from the job-event stream; each micro-batch writes its figures under
+    ``out_path/<figures|waits>/batch_id=N`` (idempotent on replay). ``snapshot()`` returns the current
     (documents, jobs) tables (re-read every beat)."""
     waits = queue_waits(job_events)
 
@@ -146,8 +146,10 @@ def live_metrics(
                 F.lit("jobs_by_status").alias("metric"), F.col("status").alias("key"), F.col("job_count").alias("value")
             )
         )
-        figures.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{out_path}/figures")
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{out_path}/waits")
+        # one folder per micro-batch, overwritten: a batch replayed after a
+        # failure replaces its own output instead of appending it twice
+        figures.write.mode("overwrite").parquet(f"{out_path}/figures/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out_path}/waits/batch_id={batch_id}")
 
     writer = waits.writeStream.outputMode("update").foreachBatch(beat).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
