@@ -81,18 +81,30 @@ def prepare_ingest(new_docs: DataFrame) -> DataFrame:
     return df.withColumn("eff_month", F.date_format("effective_date", "yyyy-MM"))
 
 
-def ingest_documents(new_docs: DataFrame, path: str, *, max_records_per_file: int = 5_000_000) -> DataFrame:
-    """Append a batch of documents; tags travel in the row (the tag
-    index is derived, R03), so one write keeps both consistent. Returns the
-    prepared batch."""
-    df = prepare_ingest(new_docs)
+def ingest_documents(
+    new_docs: DataFrame, path: str, *, batch_id: str | None = None, max_records_per_file: int = 5_000_000
+) -> DataFrame:
+    """Add a batch of documents to the table at ``path``; tags travel in
+    the row (the tag index is derived, R03), so one write keeps both
+    consistent. Returns the prepared batch.
+
+    Files land under ``eff_month=…/ingest_batch=<batch_id>/`` and the write
+    replaces only the partitions of this batch (dynamic partition overwrite):
+    re-running an ingestion with the same ``batch_id`` after a failure
+    replaces its own files instead of adding duplicates. Without a
+    ``batch_id`` a fresh one is drawn per call (on the driver)."""
+    import uuid
+
+    bid = batch_id or f"b-{uuid.uuid4().hex}"
+    df = prepare_ingest(new_docs).withColumn("ingest_batch", F.lit(bid))
     # each task writes its rows clustered by month and date, so row groups
     # carry tight min/max statistics on effective_date for date-range skipping
     (
         df.sortWithinPartitions("eff_month", "effective_date")
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy("eff_month")
+        .partitionBy("eff_month", "ingest_batch")
         .parquet(path)
     )
     return df

@@ -37,9 +37,13 @@ def test_ingest_and_read_back(spark):
          ("b", dt.datetime(2024, 5, 2), None, [])],
         "id string, created_at timestamp, metadata string, tags array<string>",
     )
-    SD.ingest_documents(src, path)
+    SD.ingest_documents(src, path, batch_id="b1")
     assert sorted(os.path.basename(p) for p in glob.glob(path + "/eff_month=*")) == ["eff_month=2024-04", "eff_month=2024-05"]
-    back = {r.id: r for r in SD.read_documents(spark, path).collect()}
+    SD.ingest_documents(src, path, batch_id="b1")  # a replayed batch replaces itself
+    assert SD.read_documents(spark, path).count() == 2
+    SD.ingest_documents(src.limit(1), path, batch_id="b2")  # another batch adds
+    assert SD.read_documents(spark, path).count() == 3
+    back = {r.id: r for r in SD.read_documents(spark, path).filter("ingest_batch = 'b1'").collect()}
     assert back["a"].effective_date == dt.datetime(2024, 4, 1) and back["a"].tombstone_at == dt.datetime(2024, 6, 1)
     assert back["b"].metadata == "{}" and back["b"].effective_date == dt.datetime(2024, 5, 2)
 
