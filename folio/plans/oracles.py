@@ -932,3 +932,30 @@ SELECT id,
          || '{{"@type":"ListItem","position":2,"name":' || to_json(alt_text) || '}}]}}' AS breadcrumb_ld
 FROM images
 """
+
+# enrich_stream: matches are emitted in the first micro-batch; an unmatched
+# document comes out once the global watermark W (the minimum over both
+# inputs of latest event time minus the 10-minute delay) has passed
+# created_at + 60 minutes, strictly.
+ORACLES["enrich_stream"] = f"""
+WITH d AS (
+  SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, 'a' || CAST(doc_id AS VARCHAR) AS job_id,
+         {fixture_time_sql('doc_id')} AS created_at
+  FROM documents
+),
+r AS (
+  SELECT 'a' || CAST(doc_id AS VARCHAR) AS job_id, {fixture_time_sql('doc_id')} + to_minutes(CAST(doc_id % 120 AS BIGINT)) AS arrived_at
+  FROM documents WHERE doc_id % 4 <> 0
+),
+w AS (SELECT least((SELECT max(created_at) FROM d), (SELECT max(arrived_at) FROM r)) - INTERVAL 10 MINUTE AS wm),
+j AS (
+  SELECT d.*, r.arrived_at FROM d LEFT JOIN r
+    ON r.job_id = d.job_id AND r.arrived_at >= d.created_at AND r.arrived_at <= d.created_at + INTERVAL 60 MINUTE
+)
+SELECT id, job_id, strftime(created_at, {FMT}) AS created_at,
+       CASE WHEN arrived_at IS NOT NULL THEN 'applied' ELSE 'timeout' END AS outcome,
+       CASE WHEN arrived_at IS NOT NULL THEN CAST(floor((epoch_us(arrived_at) - epoch_us(created_at)) / 60000000) AS BIGINT) END
+         AS elapsed_minutes
+FROM j, w
+WHERE arrived_at IS NOT NULL OR created_at + INTERVAL 60 MINUTE < wm
+"""
