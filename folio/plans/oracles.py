@@ -6,6 +6,8 @@ oracle does not go through the JSON metadata the Spark side builds and parses.
 
 from __future__ import annotations
 
+from folio.functions.text import FIGURE_HTML
+from folio.functions.urls import IMAGE_EXTENSIONS, TRACKING_PARAMS
 from folio.plans.common import AS_OF, CORPUS_END, CORPUS_START, TIMELINE_END, TIMELINE_START, sql_ts
 
 AS_OF_SQL = sql_ts(AS_OF)
@@ -184,8 +186,6 @@ ORACLES["corpus_tag_timeline_stats"] = with_corpus(
 # =====================================================================
 # Building blocks for the remaining oracles
 # =====================================================================
-from folio.functions.text import FIGURE_HTML  # noqa: E402
-from folio.functions.urls import IMAGE_EXTENSIONS, TRACKING_PARAMS  # noqa: E402
 
 FMT = "'%Y-%m-%d %H:%M:%S'"
 RFC = "'%Y-%m-%dT%H:%M:%SZ'"
