@@ -959,3 +959,12 @@ SELECT id, job_id, strftime(created_at, {FMT}) AS created_at,
 FROM j, w
 WHERE arrived_at IS NOT NULL OR created_at + INTERVAL 60 MINUTE < wm
 """
+
+ORACLES["status_feed_events"] = f"""
+SELECT 'd' || CAST(user_id AS VARCHAR) AS request_id,
+       ['scraping', 'scraped', 'scrape_failed', 'extracting_links', 'links_extracted', 'link_extraction_failed',
+        'enriching', 'enriched', 'enrichment_failed'][event_id % 9 + 1] AS status,
+       event_type AS stage, 'event ' || CAST(event_id AS VARCHAR) AS message, strftime(ts, {FMT}) AS ts, event_id AS seq
+FROM events
+WHERE 'd' || CAST(user_id AS VARCHAR) IN (SELECT 'd' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 2 = 0)
+"""

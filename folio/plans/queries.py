@@ -821,3 +821,14 @@ def q_image_jsonld(spark, sf_dir):
         P.image_object_jsonld(F.col("url"), F.col("summary"), F.col("alt_text"), F.col("p_size"), F.lit(0)).alias("image_ld"),
         P.breadcrumb_jsonld(crumbs).alias("breadcrumb_ld"),
     )
+
+
+@register("status_feed_events")
+def q_status_feed_events(spark, sf_dir):
+    """R72 (feed): every lifecycle event of the watched documents, as a stream."""
+    events = _lifecycle(stream_table(spark, sf_dir, "events"))
+    watched = load_table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0).select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("request_id")
+    )
+    out = ST.run_available(ST.status_feed(events, watched), "status_feed_events")
+    return spark.read.parquet(out).select("request_id", "status", "stage", "message", fmt_ts("ts").alias("ts"), "seq")

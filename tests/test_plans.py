@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-STREAMS = {"enrich_stream", "dedupe_url_stream", "status_feed", "live_metrics", "ingest_read_documents"}
+STREAMS = {"enrich_stream", "dedupe_url_stream", "status_feed", "status_feed_events", "live_metrics", "ingest_read_documents"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
