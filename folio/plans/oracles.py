@@ -968,3 +968,15 @@ SELECT 'd' || CAST(user_id AS VARCHAR) AS request_id,
 FROM events
 WHERE 'd' || CAST(user_id AS VARCHAR) IN (SELECT 'd' || CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 2 = 0)
 """
+
+ORACLES["live_metrics_figures"] = with_corpus(f"""
+, {JOBS.strip()}
+SELECT 'documents_with_tags' AS metric, '' AS key, count(*) FILTER (WHERE len(tags) > 0) AS value FROM corpus
+UNION ALL SELECT 'live_seo_enabled', '', count(*) FILTER (WHERE {VIS}) FROM corpus
+UNION ALL SELECT 'tombstones_due', '', count(*) FILTER (WHERE tombstone_at IS NOT NULL AND tombstone_at <= {AS_OF_SQL}) FROM corpus
+UNION ALL SELECT 'live_by_source_type', source_type, count(*) FROM corpus WHERE {live_sql()} GROUP BY source_type
+UNION ALL SELECT 'unique_tags', '', count(DISTINCT tag) FROM (SELECT unnest(tags) AS tag FROM corpus)
+UNION ALL SELECT 'jobs_by_status', s.status, coalesce(c.n, 0)
+FROM (VALUES ('pending'), ('processing'), ('completed'), ('failed'), ('queued')) s(status)
+LEFT JOIN (SELECT status, count(*) AS n FROM jobs GROUP BY status) c ON c.status = s.status
+""")

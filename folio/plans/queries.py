@@ -832,3 +832,29 @@ def q_status_feed_events(spark, sf_dir):
     )
     out = ST.run_available(ST.status_feed(events, watched), "status_feed_events")
     return spark.read.parquet(out).select("request_id", "status", "stage", "message", fmt_ts("ts").alias("ts"), "seq")
+
+
+@register("live_metrics_figures")
+def q_live_metrics_figures(spark, sf_dir):
+    """R73 (figures): document statistics and job status counts written by
+    the last beat of the metrics stream."""
+    from folio.session import scratch_path
+
+    ev = stream_table(spark, sf_dir, "events")
+    mapping = F.create_map(*[F.lit(x) for pair in FX.EVENT_STATUS for x in pair])
+    job_events = ev.select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("ts"), F.element_at(mapping, F.col("event_type")).alias("event")
+    )
+    base = scratch_path(spark, "live_metrics_figures")
+    q = ST.live_metrics(
+        job_events,
+        lambda: (corpus_documents(spark, sf_dir), FX.crawl_jobs(spark, sf_dir)),
+        f"{base}/out",
+        as_of=AS_OF,
+        checkpoint=f"{base}/checkpoint",
+        available_now=True,
+    )
+    q.awaitTermination()
+    figures = spark.read.parquet(f"{base}/out/figures")
+    last = figures.agg(F.max("batch_id").alias("b"))
+    return figures.join(last, figures["batch_id"] == last["b"], "left_semi").select("metric", "key", "value")
