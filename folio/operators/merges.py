@@ -329,6 +329,16 @@ def apply_analysis(
     return Merged(snap, missing)
 
 
+def _awaiting() -> Column:
+    """Document waits for its analysis: status 'queued' in the metadata. A
+    queued status is only ever written together with an analysis job id, so
+    the JSON is read only for rows that have one (the cheap column test
+    short-circuits the scan of every other document's metadata)."""
+    has_job = F.coalesce(F.col("textanalyzer_uuid") != "", F.lit(False))
+    queued = F.coalesce(F.get_json_object(F.col("metadata"), "$.textanalyzer_status") == "queued", F.lit(False))
+    return F.when(has_job, queued).otherwise(F.lit(False))
+
+
 def _timeout_meta(elapsed: Column, meta_map: Column | None = None) -> Column:
     base = meta_map if meta_map is not None else M.meta_map("metadata")
     return M.to_text(
@@ -372,7 +382,7 @@ def enrich(
         F.lit(True).alias("_hit"),
     )
     j = documents.join(res, _join_key("textanalyzer_uuid") == res["res_job"], "left")
-    awaiting = F.coalesce(F.get_json_object(F.col("metadata"), "$.textanalyzer_status") == "queued", F.lit(False))
+    awaiting = _awaiting()
     wait_us = max_wait_minutes * 60_000_000
     created_us = F.unix_micros(F.col("created_at"))
     usable = (F.col("res_status") == "completed") & M.is_object(F.try_parse_json(F.col("res_analysis")))
@@ -407,7 +417,7 @@ def enrich(
 def analysis_timeout(documents: DataFrame, *, as_of, max_wait_minutes: int = 60) -> DataFrame:
     """R57 alone: documents still awaiting analysis more than ``max_wait``
     minutes after creation get the timeout record."""
-    awaiting = F.coalesce(F.get_json_object(F.col("metadata"), "$.textanalyzer_status") == "queued", F.lit(False))
+    awaiting = _awaiting()
     created_us = F.unix_micros(F.col("created_at"))
     waited = F.lit(micros(as_of)) - created_us
     late = awaiting & (waited > F.lit(max_wait_minutes * 60_000_000))
