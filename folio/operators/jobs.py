@@ -91,12 +91,16 @@ def job_descendants(jobs: DataFrame, root_ids, *, include_roots: bool = True, ma
     deletes), with each job's level below its root.
 
     Breadth-first: each level is a join of the previous level's ids with the
-    parent pointers. Every level is checkpointed to the shared checkpoint
-    folder, which cuts lineage (a lost executor recomputes one level, not
-    the walk) and gives the loop its stop test."""
+    parent pointers (materialised once). Every level is checkpointed to the
+    shared checkpoint folder, which cuts lineage (a lost executor recomputes
+    one level, not the walk) and gives the loop its stop test."""
     spark = jobs.sparkSession
     checkpoint_dir(spark)
-    edges = jobs.select(F.col("id"), F.col("parent_job_id")).filter(F.col("parent_job_id").isNotNull())
+    # the parent pointers, materialised once: every level joins against these
+    # two columns instead of re-deriving the jobs relation
+    edges = (
+        jobs.select(F.col("id"), F.col("parent_job_id")).filter(F.col("parent_job_id").isNotNull()).distinct().checkpoint()
+    )
     roots = _ids(spark, root_ids, "id").join(jobs.select("id"), "id", "left_semi")
     level = roots.withColumn("level", F.lit(0)).checkpoint()
     found = [level]
