@@ -156,9 +156,13 @@ def article_export(
     ``best_images`` (document_id, best_image_slug) comes from
     ``images.best_images``; without it the metadata's image list is used."""
     docs = documents.filter(F.col("slug").isNotNull() & (F.col("slug") != "") & F.col("seo_enabled"))
-    # parse the metadata once; every field below reads the parsed value
-    docs = docs.withColumn("_meta_v", F.try_parse_json("metadata"))
-    m = F.col("_meta_v")
+    # parse only the two metadata objects an article reads; the parser skips
+    # every other key (the original text above all) without building it
+    docs = docs.withColumn(
+        "_meta", F.from_json("metadata", "struct<scraper_metadata: variant, text_analysis: variant>")
+    )
+    sm = F.col("_meta.scraper_metadata")
+    ta = F.col("_meta.text_analysis")
     # narrow the rows to the article's fields before any join: the shuffle
     # then carries the content, not the whole metadata document
     fields = [
@@ -167,17 +171,17 @@ def article_export(
         F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("keywords"),
         F.col("created_at").alias("published_at"),
         F.coalesce(F.col("source_url"), F.lit("")).alias("source_url"),
-        _meta_string(m, "$.scraper_metadata.title", "Untitled").alias("title"),
-        _meta_string(m, "$.scraper_metadata.description", "").alias("description"),
-        F.coalesce(_variant_string(m, "$.text_analysis.content"), _meta_string(m, "$.scraper_metadata.content", "")).alias("raw"),
-        clean_author(_meta_string(m, "$.scraper_metadata.author", "")).alias("author"),
+        _meta_string(sm, "$.title", "Untitled").alias("title"),
+        _meta_string(sm, "$.description", "").alias("description"),
+        F.coalesce(_variant_string(ta, "$.content"), _meta_string(sm, "$.content", "")).alias("raw"),
+        clean_author(_meta_string(sm, "$.author", "")).alias("author"),
     ]
     if best_images is not None:
         narrow = docs.select(*fields).join(best_images.withColumnRenamed("document_id", "id"), "id", "left")
     else:
         from folio.functions.scores import best_image
 
-        imgs = F.try_variant_get(m, "$.scraper_metadata.images", "array<struct<slug:string,relevance_score:double>>")
+        imgs = F.try_variant_get(sm, "$.images", "array<struct<slug:string,relevance_score:double>>")
         narrow = docs.select(*fields, best_image(imgs).alias("best_image_slug"))
     img_slug = F.col("best_image_slug")
     has_img = img_slug.isNotNull() & (img_slug != "")
