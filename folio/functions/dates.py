@@ -37,15 +37,32 @@ def parse_date_text(text) -> Column:
     return F.when(t.rlike(_STRICT_DATE), t.try_cast("timestamp"))
 
 
-def effective_date(metadata="metadata", created_at="created_at") -> Column:
+DATE_OBJECTS = "struct<scraper_metadata: variant, additional_metadata: variant>"
+
+
+def date_objects(metadata="metadata") -> Column:
+    """The two metadata objects that may hold a publication date, parsed on
+    their own (the parser skips every other key without building it)."""
+    return F.from_json(col(metadata), DATE_OBJECTS)
+
+
+def effective_date(metadata="metadata", created_at="created_at", *, objects: Column | None = None) -> Column:
     """First metadata path holding a parseable date string, else created_at.
 
     Non-string JSON values never match the shape check (numbers have no
     dashes in those positions, objects start with a brace), so the JSON type
-    test of the reference is implied.
+    test of the reference is implied. With ``objects`` (a materialised
+    ``date_objects`` column) the metadata is parsed once instead of once per
+    path.
     """
-    m = col(metadata)
-    candidates = [parse_date_text(F.get_json_object(m, p)) for p in DATE_PATHS]
+    if objects is None:
+        m = col(metadata)
+        candidates = [parse_date_text(F.get_json_object(m, p)) for p in DATE_PATHS]
+    else:
+        candidates = []
+        for p in DATE_PATHS:
+            obj, key = p[2:].split(".")
+            candidates.append(parse_date_text(F.try_variant_get(objects[obj], f"$.{key}", "string")))
     return F.coalesce(*candidates, col(created_at))
 
 

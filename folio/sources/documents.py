@@ -19,7 +19,7 @@ from pyspark.sql.types import (
 )
 
 from folio.functions.common import micros
-from folio.functions.dates import effective_date, effective_date_strict
+from folio.functions.dates import date_objects, effective_date, effective_date_strict
 from folio.functions.visibility import tombstone_at
 from folio.sources.fixtures import DOC_COLUMNS
 
@@ -54,7 +54,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         df = df.withColumn("metadata", F.col("metadata_json"))
     df = df.withColumn("metadata", F.coalesce(F.col("metadata"), F.lit("{}")))
     if "effective_date" not in cols:
-        df = df.withColumn("effective_date", effective_date("metadata", "created_at"))
+        df = df.withColumn("_dates", date_objects("metadata")).withColumn(
+            "effective_date", effective_date("metadata", "created_at", objects=F.col("_dates"))
+        )
     if "tombstone_at" not in cols:
         df = df.withColumn("tombstone_at", tombstone_at("metadata"))
     if "seo_enabled" not in cols:
@@ -69,10 +71,13 @@ def prepare_ingest(new_docs: DataFrame) -> DataFrame:
     """R02 row rules: metadata defaults to {}, effective_date filled from
     metadata when unset (R40), tombstone promoted, month partition column."""
     df = new_docs.withColumn("metadata", F.coalesce(F.col("metadata"), F.lit("{}")))
+    # the date objects are parsed once per document, not once per date path
+    derived = effective_date("metadata", "created_at", objects=F.col("_dates"))
     if "effective_date" in df.columns:
-        df = df.withColumn("effective_date", F.coalesce(F.col("effective_date"), effective_date("metadata", "created_at")))
+        df = df.withColumn("_dates", F.when(F.col("effective_date").isNull(), date_objects("metadata")))
+        df = df.withColumn("effective_date", F.coalesce(F.col("effective_date"), derived))
     else:
-        df = df.withColumn("effective_date", effective_date("metadata", "created_at"))
+        df = df.withColumn("_dates", date_objects("metadata")).withColumn("effective_date", derived)
     df = df.withColumn("tombstone_at", tombstone_at("metadata"))
     for f in DOCUMENT_SCHEMA.fields:
         if f.name not in df.columns:

@@ -194,6 +194,11 @@ def test_effective_date_precedence(spark):
     )
     got = [r[0] for r in df.orderBy("i").select(F.date_format(effective_date("m", "c"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).collect()]
     assert got == [w.strftime("%Y-%m-%d %H:%M:%S.%f") for _, w in cases]
+    from folio.functions.dates import date_objects
+
+    once = df.withColumn("o", date_objects("m")).orderBy("i").select(
+        F.date_format(effective_date("m", "c", objects=F.col("o")), "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    assert [r[0] for r in once.collect()] == got
 
 
 def test_bucket_width():
