@@ -149,10 +149,13 @@ def scraped_documents(accepted: DataFrame, scrapes: DataFrame, *, as_of) -> Data
         slug.alias("slug"),
         F.lit(True).alias("seo_enabled"),
     )
-    from folio.functions.dates import effective_date
+    from folio.functions.dates import date_objects, effective_date
 
-    return out.withColumn("effective_date", effective_date("metadata", "created_at")).withColumn(
-        "tombstone_at", tombstone_at("metadata")
+    dated = out.withColumn("_dates", date_objects("metadata"))
+    return (
+        dated.withColumn("effective_date", effective_date("metadata", "created_at", objects=F.col("_dates")))
+        .withColumn("tombstone_at", tombstone_at("metadata"))
+        .drop("_dates")
     )
 
 
