@@ -248,3 +248,25 @@ def test_jsonld_builders(spark):
     b = json.loads(crumbs.select(breadcrumb_jsonld(F.col("i"))).collect()[0][0])
     assert b["itemListElement"] == [{"@type": "ListItem", "position": 1, "name": "Home", "item": "https://x"},
                                     {"@type": "ListItem", "position": 2, "name": "Here"}]
+
+
+def test_slugify_fuzz_against_nfd_model(spark):
+    """Random strings over Latin, Latin-extended, combining marks, Greek,
+    Cyrillic and case-mapping oddities: the translate table must agree with
+    lower → NFD → drop nonspacing marks → NFC → keep [a-z0-9-]."""
+    import random
+    import re
+    import unicodedata
+
+    rng = random.Random(7)
+    pools = [range(0x20, 0x7F), range(0xC0, 0x250), range(0x1E00, 0x1F00), range(0x300, 0x370),
+             range(0x370, 0x400), range(0x400, 0x460), [0x2126, 0x212A, 0x212B, 0x130, 0xDF], [0x20, 0x5F, 0x2D, 0x9]]
+    samples = ["".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randint(0, 130))) for _ in range(600)]
+
+    def model(s):
+        s = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s.lower())
+                                                  if unicodedata.category(c) != "Mn"))
+        s = re.sub("-+", "-", re.sub("[^a-z0-9-]+", "", s.replace(" ", "-").replace("_", "-"))).strip("-")
+        return s[:100].rstrip("-") if len(s) > 100 else s
+
+    assert evaluate(spark, slugify, samples) == [model(s) for s in samples]
