@@ -104,3 +104,46 @@ def test_domain_tag(spark):
         ("http://bad host/", ""),
     ]
     assert evaluate(spark, domain_tag, [c[0] for c in cases]) == [c[1] for c in cases]
+
+
+def test_normalize_url_properties_fuzz(spark):
+    """Random URLs: no tracking key survives, parameters come out sorted by
+    (key, value), hosts are lower case, and a second pass changes nothing
+    (unless the path ends in '//', where one '/' is trimmed per pass)."""
+    import random
+    from urllib.parse import unquote_plus
+
+    from folio.functions.urls import TRACKING_PARAMS
+
+    rng = random.Random(11)
+    hosts = ["Example.COM", "www.x.org:8080", "user:pw@h.io", "[::1]:80", "a_b.example"]
+    segs = ["p", "für", "a b", "x%20y", "~t", "a*b", "q+r", "é"]
+    keys = ["q", "Page", "utm_source", "UTM_Medium", "ref", "a b", "t~", "k*", "fbclid"]
+    vals = ["1", "x y", "a+b", "%41", "é", "", "v=w", "~", "*"]
+
+    def rnd():
+        u = rng.choice(["http", "HTTPS", "https"]) + "://" + rng.choice(hosts)
+        u += "".join("/" + rng.choice(segs) for _ in range(rng.randint(0, 3)))
+        if rng.random() < 0.3:
+            u += "/"
+        if rng.random() < 0.7:
+            u += "?" + "&".join(rng.choice(keys) + ("=" + rng.choice(vals) if rng.random() < 0.8 else "")
+                                for _ in range(rng.randint(0, 4)))
+        return u + ("#frag" if rng.random() < 0.3 else "")
+
+    urls = [rnd() for _ in range(400)]
+    once = evaluate(spark, normalize_url, urls)
+    twice = evaluate(spark, normalize_url, once)
+    tracking = set(TRACKING_PARAMS)
+    for u, n, n2 in zip(urls, once, twice):
+        assert n is not None, u
+        path_part = n.split("?", 1)[0]
+        if not path_part.endswith("//"):
+            assert n2 == n, (u, n, n2)
+        q = n.split("?", 1)[1] if "?" in n else ""
+        pairs = [p.split("=", 1) for p in q.split("&") if p]
+        decoded = [(unquote_plus(p[0]), unquote_plus(p[1])) for p in pairs]
+        assert not any(k.lower() in tracking for k, _ in decoded), (u, n)
+        assert decoded == sorted(decoded, key=lambda kv: (kv[0].encode(), kv[1].encode())), (u, n)
+        host = n.split("://", 1)[1].split("/", 1)[0].split("?", 1)[0]
+        assert host == host.lower(), (u, n)
