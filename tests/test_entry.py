@@ -44,3 +44,19 @@ def test_query_matches_oracle_small(spark, name):
     want = sorted((tuple(norm(r[i]) for i in idx) for r in cur.fetchall()), key=repr)
     got = sorted((tuple(norm(x) for x in r) for r in got), key=repr)
     assert got == want
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR=SF, BENCH_CPUS="2", BENCH_DRIVER_MEMORY="2g")
+    proc = subprocess.run([sys.executable, "bench.py", "tag_timeline", "url_rules"], cwd=root, env=env,
+                          capture_output=True, text=True, timeout=600)
+    assert proc.returncode == 0, proc.stderr[-2000:]
+    lines = [line for line in proc.stdout.splitlines() if line.strip()]
+    out = json.loads(lines[-1])
+    assert out["unit"] == "sec" and set(out["queries"]) == {"tag_timeline", "url_rules"} and "errors" not in out
+    assert out["sf"] == 0.001 and out["value"] == round(sum(out["queries"].values()), 3)
