@@ -69,13 +69,54 @@ def enrich_stream(
 
 
 # ---------------------------------------------------------------- R71 ----
-def dedupe_url_stream(urls: DataFrame, *, ttl: str = "30 days", ts_col: str = "seen_at") -> DataFrame:
+def _first_per_key(key: str, ts_col: str):
+    """Per-partition function for ``mapInArrow``: keep the earliest row of
+    each key in the batch (rows without a key pass through)."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if t.num_rows == 0:
+                yield batch
+                continue
+            has_key = pc.is_valid(t[key])
+            keyed = t.filter(has_key).sort_by([(key, "ascending"), (ts_col, "ascending")])
+            if keyed.num_rows:
+                import numpy as np
+
+                keys = keyed[key].to_numpy(zero_copy_only=False)
+                # sorted by (key, time): a row is the first of its key when its
+                # key differs from the previous row's
+                keep = np.concatenate([[True], keys[1:] != keys[:-1]])
+                keyed = keyed.filter(pa.array(keep))
+            out = pa.concat_tables([keyed, t.filter(pc.invert(has_key))])
+            for b in out.to_batches():
+                yield b
+
+    return run
+
+
+def dedupe_url_stream(
+    urls: DataFrame, *, ttl: str = "30 days", ts_col: str = "seen_at", pre_dedupe: bool = False
+) -> DataFrame:
     """Let a URL through once per TTL, keyed by its cache key.
     First sighting wins; the state for a key expires with the watermark.
     Invalid URLs (no key) pass through unchanged, as the reference does not
-    cache them."""
+    cache them.
+
+    ``pre_dedupe`` keeps only the earliest row per key inside each input
+    partition before the stateful operator's shuffle (Arrow, within the
+    tasks): a URL repeated heavily within a micro-batch then ships at most
+    once per partition instead of landing whole on one task. The output is
+    the same (those rows would be dropped by the state anyway); it costs a
+    Python stage, so it is off by default."""
     # the key is derived once per row; the split below tests the column
     keyed = with_url_key(urls, "url", "url_key")
+    if pre_dedupe:
+        keyed = keyed.mapInArrow(_first_per_key("url_key", ts_col), keyed.schema)
     valid = keyed.filter(F.col("url_key").isNotNull()).withWatermark(ts_col, ttl).dropDuplicatesWithinWatermark(["url_key"])
     invalid = keyed.filter(F.col("url_key").isNull())
     return valid.unionByName(invalid)

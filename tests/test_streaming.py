@@ -75,3 +75,17 @@ def test_live_metrics_beat(spark):
     figs = {(r.metric, r.key): r.value for r in spark.read.parquet(f"{base}/out/figures").collect()}
     assert figs[("jobs_by_status", "failed")] == 1 and figs[("jobs_by_status", "pending")] == 0
     assert figs[("tombstones_due", "")] == 1 and figs[("live_by_source_type", "url")] == 1
+
+
+def test_dedupe_url_stream_pre_dedupe(spark):
+    t0 = dt.datetime(2025, 1, 1)
+    rows = [("https://hot.example/a?utm_source=%d" % i, t0 + dt.timedelta(minutes=i)) for i in range(50)]
+    rows += [("https://e.com/b", t0), ("not a url", t0), ("not a url", t0)]
+    path = _write(spark, rows, "url string, seen_at timestamp")
+    stream = spark.readStream.schema("url string, seen_at timestamp").parquet(path)
+    out = ST.run_available(ST.dedupe_url_stream(stream, pre_dedupe=True), "t-dedupe-pre")
+    got = spark.read.parquet(out).collect()
+    keyed = [r for r in got if r.url_key is not None]
+    assert len(keyed) == 2 and sum(r.url_key is None for r in got) == 2
+    hot = [r for r in keyed if "hot.example" in r.url]
+    assert len(hot) == 1  # one survivor per key, whichever partition it came from
