@@ -480,7 +480,7 @@ _GATE = ("CASE WHEN list_contains(categories, 'image') THEN 'image' "
          "WHEN score < 0.5 THEN 'rejected' ELSE 'accepted' END")
 
 ORACLES["score_gate"] = with_corpus(f"""
-SELECT source_url AS url, score, {_GATE} AS decision, score >= 0.5 AS meets_threshold FROM d1_url
+SELECT source_url AS url, score, {_GATE} AS decision, score >= 0.5 AS meets_threshold, CAST(0.5 AS DOUBLE) AS threshold FROM d1_url
 """)
 
 ORACLES["low_score_documents"] = with_corpus(f"""

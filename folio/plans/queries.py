@@ -288,7 +288,9 @@ def q_score_gate(spark, sf_dir):
     scored = crawl.gate(_scored_pages(spark, sf_dir), 0.5)
     from folio.functions.scores import meets_threshold
 
-    return scored.select("url", "score", "decision", meets_threshold("score", 0.5).alias("meets_threshold"))
+    return scored.select(
+        "url", "score", "decision", meets_threshold("score", 0.5).alias("meets_threshold"), F.lit(0.5).alias("threshold")
+    )
 
 
 # ------------------------------------------------------------- crawl side
