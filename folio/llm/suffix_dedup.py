@@ -7,17 +7,22 @@ the input.
 Bringing equal strings together. Every window of 200 bytes has an anchor: the
 64-byte gram in it with the smallest hash (leftmost on a tie). Equal windows
 have equal anchors at equal offsets, so only anchors whose gram occurs twice
-need a look, and a task that gets all contexts of one gram can decide about all
-windows anchored there. A gram with thousands of different contexts is split by
-window offset and by the bytes that all windows of the offset range share.
+need a look, and a task that gets all contexts of one gram (the bytes of all
+windows anchored there) can decide about them. Equal contexts are one entry:
+those of one chunk are met before anything is shuffled, the others in the task
+that decides; all windows of a context met twice repeat. A gram with thousands
+of different contexts is split by window offset and by the bytes that all
+windows of the offset range share.
 
 Deciding. In a task the contexts are indexed by prefix polynomial hashes. The
-window starts are the suffixes; those of one gram and offset are merge-sorted,
-two suffixes being compared by a binary search over prefix hashes for their
-common extension and then by the next byte. Neighbours of the sorted order with
-a common extension of 200 bytes repeat; the bytes of every such pair are
-compared, and a hash collision makes its group sort again by the bytes
-themselves.
+suffixes at the anchors of one gram are merge-sorted, two suffixes being
+compared by a binary search over prefix hashes for their common extension and
+then by the next byte. The least common extension between two places of the
+sorted order is that of their suffixes; with the common extension to the left it
+tells which windows the two contexts share. Where a gram has very many contexts
+the window starts themselves are the suffixes, sorted per offset: neighbours
+with a common extension of 200 bytes repeat. The bytes of every pair found are
+compared; after a hash collision the gram is decided by the bytes themselves.
 
 Texts with the same 64-bit hash are indexed once and lose all windows.
 
@@ -39,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm import arrowtext as A
-from folio.llm.storage import stored
+from folio.llm.storage import discard, stored
 
 LENGTH = 200
 GRAM = 64
@@ -47,7 +52,10 @@ SPAN = LENGTH - GRAM + 1  # grams per window, and window offsets per anchor
 #: Grams with more contexts than this are split; all of them are still compared.
 WIDE = 1000
 SLICE = 8
+#: Up to so many different contexts are compared along the sorted anchors.
+CLOSE = 256
 BUDGET = 1 << 20
+SMALL_CHUNK = 1 << 20
 U = np.uint64
 
 
@@ -70,52 +78,34 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
         width *= 2
     windows = n - LENGTH + 1
     low = np.minimum(low[:windows], low[SPAN - width : SPAN - width + windows])
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    start = np.arange(windows)
-    inside = row[:windows] == row[LENGTH - 1 :]
-    # the leftmost gram with the minimum: next position at or after the start
-    places = np.flatnonzero(inside)
-    if not len(places):
+    # windows of one row with one minimum, as runs of starts
+    edge = np.ones(windows + 1, bool)
+    edge[1:windows] = low[1:] != low[:-1]
+    begins = offsets[:-1][np.diff(offsets) >= LENGTH]
+    ends = offsets[1:][np.diff(offsets) >= LENGTH] - LENGTH + 1  # past the last start
+    if not len(begins):
         return none, none, none, none, np.zeros(0, U)
-    order = np.flatnonzero(_is_minimum(gram, low, windows))
-    position = _next_equal(gram, low, order, places)
-    new = np.ones(len(places), bool)
-    new[1:] = (position[1:] != position[:-1]) | (places[1:] != places[:-1] + 1)
-    head = np.flatnonzero(new)
-    tail = np.concatenate([head[1:], [len(places)]]) - 1
-    where = position[head]
-    rows = row[where]
-    return rows, where - offsets[rows], where - start[places[tail]], where - start[places[head]], gram[where]
-
-
-def _is_minimum(gram: np.ndarray, low: np.ndarray, windows: int) -> np.ndarray:
-    """Grams that are the minimum of some window (a superset is harmless)."""
-    top = np.zeros(len(gram), U)
-    # a gram at p can serve windows p-SPAN+1 .. p: the largest of their minima
-    padded = np.concatenate([np.zeros(SPAN - 1, U), low, np.zeros(len(gram) - windows, U)])
-    width, high = 1, padded
-    while width * 2 <= SPAN:
-        high = np.maximum(high[: len(high) - width], high[width:])
-        width *= 2
-    span = len(gram)
-    top = np.maximum(high[:span], high[SPAN - width : SPAN - width + span])
-    return gram <= top
-
-
-def _next_equal(gram: np.ndarray, low: np.ndarray, order: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """For each window the first candidate at or after it whose hash is the
-    window's minimum."""
-    index = np.searchsorted(order, places)
-    wanted = low[places]
-    todo = np.arange(len(places))
-    out = np.zeros(len(places), np.int64)
-    while len(todo):
-        candidate = order[index[todo]]
-        hit = gram[candidate] == wanted[todo]
-        out[todo[hit]] = candidate[hit]
-        todo = todo[~hit]
-        index[todo] += 1
-    return out
+    edge[begins] = True
+    edge[ends] = True
+    first = np.flatnonzero(edge[:windows])
+    last = np.append(first[1:], windows) - 1
+    of = np.searchsorted(begins, first, "right") - 1
+    inside = (of >= 0) & (first < ends[of])
+    first, last = first[inside], last[inside]
+    view = np.lib.stride_tricks.sliding_window_view(gram, SPAN)
+    found = []
+    while len(first):
+        place = np.empty(len(first), np.int64)
+        for i in range(0, len(first), 2048):
+            some = first[i : i + 2048]
+            place[i : i + 2048] = some + (view[some] == low[some, None]).argmax(axis=1)
+        found.append((place, first, np.minimum(last, place)))
+        # starts behind the gram meet its next occurrence
+        go = last > place
+        first, last = place[go] + 1, last[go]
+    place, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    rows = np.searchsorted(offsets, place, "right") - 1
+    return rows, place - offsets[rows], place - last, place - first, gram[place]
 
 
 class SuffixIndex:
@@ -126,28 +116,46 @@ class SuffixIndex:
         self.prefix = A.prefix_hashes(data)
         self.inverse = A.powers(len(data) + 1)[1]
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common extension of suffix pairs up to the length, by binary search."""
+    def common(self, a: np.ndarray, b: np.ndarray, limit=None) -> np.ndarray:
+        """Common extension of suffix pairs, at most ``limit`` (the length), by
+        binary search over the prefix hashes."""
+        limit = self.length if limit is None else limit
         low = np.zeros(len(a), np.int64)
         step = 1 << (self.length.bit_length() - 1)
         base_a, base_b, inv_a, inv_b = self.prefix[a], self.prefix[b], self.inverse[a], self.inverse[b]
         while step:
-            size = low + step
-            ok = size <= self.length
-            size = np.where(ok, size, low)
+            size = np.minimum(low + step, limit)
             same = (self.prefix[a + size] - base_a) * inv_a == (self.prefix[b + size] - base_b) * inv_b
-            low = np.where(ok & same, size, low)
+            low = np.where(same, size, low)
+            step >>= 1
+        return low
+
+    def common_left(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Common extension to the left of two places, at most ``limit``."""
+        low = np.zeros(len(a), np.int64)
+        step = 1 << (self.length.bit_length() - 1)
+        end_a, end_b = self.prefix[a], self.prefix[b]
+        while step:
+            size = np.minimum(low + step, limit)
+            from_a, from_b = a - size, b - size
+            same = (end_a - self.prefix[from_a]) * self.inverse[from_a] == (end_b - self.prefix[from_b]) * self.inverse[from_b]
+            low = np.where(same, size, low)
             step >>= 1
         return low
 
-    def before(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray) -> np.ndarray:
-        """Whether suffix a sorts before b; equal ones as ``ties`` says."""
-        common = self.common(a, b)
-        whole = common >= self.length
+    def before(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray, room=None) -> np.ndarray:
+        """Whether suffix a sorts before b; equal ones as ``ties`` says. With
+        ``room`` a suffix ends after that many bytes and sorts before longer
+        ones that it begins."""
+        limit = self.length if room is None else np.minimum(room[a], room[b])
+        common = self.common(a, b, limit)
+        whole = common >= limit
+        if room is not None:
+            ties = (room[a] < room[b]) | (room[a] == room[b]) & ties
         end = len(self.data) - 1
         return np.where(whole, ties, self.data[np.minimum(a + common, end)] < self.data[np.minimum(b + common, end)])
 
-    def sort(self, suffix: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sort(self, suffix: np.ndarray, group: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
         """Merge sort of the suffixes inside each group, all groups at once.
         ``group`` must be sorted. Every level finds, for each element, its rank
         in the neighbouring run by binary search."""
@@ -172,7 +180,7 @@ class SuffixIndex:
                 mid = (lo[open_] + hi[open_]) // 2
                 rival = suffix[base[open_] + mid]
                 # ties keep the left run first
-                smaller = self.before(rival, mine[open_], ~left[open_])
+                smaller = self.before(rival, mine[open_], ~left[open_], room)
                 lo[open_] = np.where(smaller, mid + 1, lo[open_])
                 hi[open_] = np.where(smaller, hi[open_], mid)
             pair = (inside // (2 * run)) * 2 * run
@@ -181,7 +189,7 @@ class SuffixIndex:
             moved[base + pair + rank] = mine
             suffix = moved
             run *= 2
-        return suffix, group
+        return suffix
 
     def verified_equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the bytes of suffix pairs agree over the whole length."""
@@ -200,7 +208,7 @@ def repeated_suffixes(index: SuffixIndex, suffix: np.ndarray, group: np.ndarray)
     suffix, group = suffix[size > 1], group[size > 1]
     if not len(suffix):
         return suffix
-    order, group = index.sort(suffix, group)
+    order = index.sort(suffix, group)
     mates = np.flatnonzero(group[1:] == group[:-1])
     alike = mates[index.common(order[mates], order[mates + 1]) >= index.length]
     good = index.verified_equal(order[alike], order[alike + 1])
@@ -223,27 +231,57 @@ def _text_id():
 
 
 def _anchor_rows(documents: DataFrame) -> DataFrame:
-    """(gram, text_id, at) per anchor; each text once per task. ``at`` packs the
-    gram's position and its window offsets."""
+    """(gram, text_id, at) per anchor, each text once per task; ``at`` packs the
+    gram's position and its window offsets. Of equal contexts in a chunk only
+    one has its gram; and every one of them, with null for the gram, is a row
+    that says its windows repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in A.chunks(batch, "text"):
+            for part in A.chunks(batch, "text", SMALL_CHUNK):
                 ids = part.column("text_id").to_numpy()
                 new = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()], bool)
                 if not new.any():
                     continue
                 part = part.filter(pa.array(new))
-                row, at, lo, hi, gram = anchors(*A.flat(part.column("text")))
-                if len(row):
-                    packed = (at << 16) | (lo << 8) | hi
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram.view(np.int64)), pa.array(part.column("text_id").to_numpy()[row]), pa.array(packed)], names=["gram", "text_id", "at"])
+                data, offsets = A.flat(part.column("text"))
+                row, at, lo, hi, gram = anchors(data, offsets)
+                if not len(row):
+                    continue
+                start = offsets[row] + at
+                begin, end = start - hi, start - lo + LENGTH
+                first, many = _equal_contexts(data, begin, end, gram * U(65536) + (lo * 256 + hi).astype(U))
+                packed = (at << 16) | (lo << 8) | hi
+                text_id = part.column("text_id").to_numpy()[row]
+                pick = np.concatenate([first, many])
+                grams = pa.array(gram[pick].view(np.int64), mask=np.arange(len(pick)) >= len(first))
+                yield pa.RecordBatch.from_arrays([grams, pa.array(text_id[pick]), pa.array(packed[pick])], names=["gram", "text_id", "at"])
 
     return documents.select(_text_id().alias("text_id"), "text").mapInArrow(run, "gram long, text_id long, at long")
 
 
+def _equal_contexts(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that stand for their equal contexts (same kind, same bytes), and all
+    rows that have an equal. A row whose bytes differ from its hash's first row
+    stands for itself."""
+    key = A.mix64(A.range_hash(A.prefix_hashes(data), begin, end) + A.mix64(kind))
+    _, first, back, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    lead = first[back]
+    other = np.flatnonzero((count[back] > 1) & (np.arange(len(key)) != lead))
+    index = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    # a context is at most two windows long: its first and last cover it
+    good = np.zeros(len(other), bool)
+    for i in range(0, len(other), 4096):
+        o = other[i : i + 4096]
+        good[i : i + 4096] = (index[begin[o]] == index[begin[lead[o]]]).all(axis=1) & (index[end[o] - LENGTH] == index[end[lead[o]] - LENGTH]).all(axis=1)
+    alone = np.ones(len(key), bool)
+    alone[other[good]] = False
+    hit = ~alone
+    hit[lead[other[good]]] = True
+    return np.flatnonzero(alone), np.flatnonzero(hit)
+
+
 def _packed_texts(documents: DataFrame) -> DataFrame:
     """(text_id, packed) once per task and text long enough to repeat."""
 
@@ -311,27 +349,103 @@ def _context_batch(out: list[list], names: list[str]) -> pa.RecordBatch:
 
 
 def _decide(block: dict[str, np.ndarray], data: np.ndarray, offset: np.ndarray):
-    """(text_id, first window start, last window start) runs of repeated windows
-    among whole buckets."""
-    rows = len(block["bucket"])
-    count = (block["hi"] - block["lo"] + 1).astype(np.int64)
-    row = np.repeat(np.arange(rows), count)
-    step = A.spread(np.zeros(rows, np.int64), count)  # 0 .. hi-lo, from the left
-    suffix = offset[row] + step
-    bucket = np.cumsum(np.concatenate([[0], block["bucket"][1:] != block["bucket"][:-1]]))
-    group = bucket[row] * 256 + (block["hi"][row] - step)
-    order = np.argsort(group, kind="stable")
-    _, dense = np.unique(group[order], return_inverse=True)
-    found = np.sort(repeated_suffixes(SuffixIndex(data), suffix[order], dense))
-    if not len(found):
-        return None
+    """(text_id, first, last) runs of starts of repeated windows among whole
+    buckets; ``offset`` holds the begin of each context."""
+    lo, hi = block["lo"], block["hi"]
+    size = hi - lo + LENGTH
+    kind = block["bucket"].view(U) * U(65536) + (lo * 256 + hi).astype(U)
+    alone, many = _equal_contexts(data, offset, offset + size, kind)
+    met = np.zeros(len(lo), bool)
+    met[many] = True
+    # all windows of a context met twice repeat
+    runs = [(many, lo[many], hi[many])]
+    bucket = block["bucket"][alone]
+    number = np.cumsum(np.concatenate([[False], bucket[1:] != bucket[:-1]]))
+    count = np.bincount(number)[number]
+    undecided = np.bincount(number, weights=~met[alone])[number] > 0
+    index = SuffixIndex(data)
+    close = (count > 1) & undecided & (count <= CLOSE)
+    runs.append(_along_anchors(index, block, offset, alone[close], number[close]))
+    wide = alone[(count > CLOSE) & undecided]
+    if len(wide):
+        runs.append(_by_windows(index, block, offset, wide, number[(count > CLOSE) & undecided]))
+    row, low, high = (np.concatenate(x) for x in zip(*runs, strict=True))
+    # the window with offset x starts hi - x bytes into its context
+    first = block["start"][row] + hi[row] - high
+    return (block["text_id"][row], first, first + high - low) if len(row) else None
+
+
+def _along_anchors(index: SuffixIndex, block, offset: np.ndarray, rows: np.ndarray, group: np.ndarray):
+    """(row, lowest, highest offset) of windows that contexts of a group share,
+    from the sorted suffixes at their anchors."""
+    none = np.zeros(0, np.int64)
+    if not len(rows):
+        return none, none, none
+    lo, hi = block["lo"], block["hi"]
+    place = offset + hi  # of the gram
+    room = np.zeros(len(index.data) + 1, np.int64)
+    room[place[rows]] = LENGTH - lo[rows]
+    owner = np.zeros(len(index.data) + 1, np.int64)
+    owner[place[rows]] = rows
+    suffix = index.sort(place[rows], group, room)
+    of = owner[suffix]
+    same = group[1:] == group[:-1]
+    step = np.zeros(len(suffix), np.int64)
+    at = np.flatnonzero(same)
+    step[at] = index.common(suffix[at], suffix[at + 1], np.minimum(room[suffix[at]], room[suffix[at + 1]]))
+    out, bad = [], []
+    right, distance = step[at].copy(), 1
+    while len(at):
+        a, b = of[at], of[at + distance]
+        most = np.minimum(hi[a], hi[b])
+        far = right + most >= LENGTH
+        a, b, r = a[far], b[far], right[far]
+        left = index.common_left(place[a], place[b], most[far])
+        low = np.maximum(LENGTH - r, np.maximum(lo[a], lo[b]))
+        some = low <= left
+        a, b, low, left = a[some], b[some], low[some], left[some]
+        good = index.verified_equal(place[a] - left, place[b] - left) & index.verified_equal(place[a] - low, place[b] - low)
+        bad.append(a[~good])
+        out += [(a[good], low[good], left[good]), (b[good], low[good], left[good])]
+        # one place further in the sorted order: the extension can only shrink
+        at, right = at[far], right[far]
+        go = at + distance + 1 < len(suffix)
+        at, right = at[go], right[go]
+        go = group[at + distance + 1] == group[at]
+        at, right = at[go], right[go]
+        right = np.minimum(right, step[at + distance])
+        distance += 1
+    collided = np.unique(block["bucket"][np.concatenate(bad)]) if bad else none
+    for value in collided:
+        out.append(_by_bytes(index, block, offset, rows[block["bucket"][rows] == value]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none)
+
+
+def _by_bytes(index: SuffixIndex, block, offset: np.ndarray, rows: np.ndarray):
+    """The same by comparing the windows' bytes."""
+    met: dict[tuple[int, bytes], list[int]] = {}
+    for row in rows.tolist():
+        for x in range(int(block["lo"][row]), int(block["hi"][row]) + 1):
+            start = int(offset[row] + block["hi"][row] - x)
+            met.setdefault((x, index.data[start : start + LENGTH].tobytes()), []).append(row)
+    found = [(row, x) for (x, _), some in met.items() if len(some) > 1 for row in some]
+    row = np.array([r for r, _ in found], np.int64)
+    x = np.array([x for _, x in found], np.int64)
+    return row, x, x
+
+
+def _by_windows(index: SuffixIndex, block, offset: np.ndarray, rows: np.ndarray, group: np.ndarray):
+    """The same with every window start as a suffix, sorted per offset."""
+    count = block["hi"][rows] - block["lo"][rows] + 1
+    row = np.repeat(rows, count)
+    step = A.spread(np.zeros(len(rows), np.int64), count)  # 0 .. hi-lo, from the left
+    key = np.repeat(group, count) * 256 + (block["hi"][row] - step)
+    order = np.argsort(key, kind="stable")
+    _, dense = np.unique(key[order], return_inverse=True)
+    found = np.sort(repeated_suffixes(index, (offset[row] + step)[order], dense))
     of = np.searchsorted(offset, found, "right") - 1
-    start = block["start"][of] + found - offset[of]
-    new = np.ones(len(found), bool)
-    new[1:] = (of[1:] != of[:-1]) | (found[1:] != found[:-1] + 1)
-    head = np.flatnonzero(new)
-    tail = np.concatenate([head[1:], [len(found)]]) - 1
-    return block["text_id"][of[head]], start[head], start[tail]
+    x = block["hi"][of] - (found - offset[of])
+    return of, x, x
 
 
 def _repeats(contexts: DataFrame) -> DataFrame:
@@ -373,16 +487,23 @@ def _repeats(contexts: DataFrame) -> DataFrame:
 def repeated_windows(documents: DataFrame) -> DataFrame:
     """(text_id, first, last): runs of starts of repeated 200-byte strings. A
     text that occurs several times repeats from its first to its last start."""
-    rows = _anchor_rows(documents)
+    rows = stored(_anchor_rows(documents), "suffix-anchors")
+    open_ = rows.filter("gram IS NOT NULL")
+    local = rows.filter("gram IS NULL").selectExpr("text_id", "shiftright(at, 16) - (at & 255) AS first", "shiftright(at, 16) - (shiftright(at, 8) & 255) AS last")
     # a gram counts each place once: smallest and largest place differ
     place = F.xxhash64("text_id", "at")
-    grams = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("gram", "contexts")
-    spots = rows.join(grams, "gram").groupBy("text_id").agg(F.collect_list(F.struct("gram", "at", "contexts")).alias("spots"))
-    texts = _packed_texts(documents).groupBy("text_id").agg(F.first("packed").alias("packed"))
-    found = _repeats(_contexts(texts.join(spots, "text_id").select("text_id", "packed", "spots")))
+    grams = open_.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("gram", "contexts")
+    spots = open_.join(grams, "gram").groupBy("text_id").agg(F.collect_list(F.struct("gram", "at", "contexts")).alias("spots"))
+    found = _repeats(_contexts(_one_each(documents).join(spots, "text_id").select("text_id", "packed", "spots")))
     size = F.octet_length(F.coalesce("text", F.lit("")))
     copies = documents.select(_text_id().alias("text_id"), size.alias("size")).filter(F.col("size") >= LENGTH).groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size")).filter("n > 1")
-    return found.union(copies.select("text_id", F.lit(0).cast("long"), (F.col("size") - LENGTH).cast("long")))
+    out = stored(found.union(local).union(copies.select("text_id", F.lit(0).cast("long"), (F.col("size") - LENGTH).cast("long"))), "suffix-repeats")
+    discard(rows)
+    return out
+
+
+def _one_each(documents: DataFrame) -> DataFrame:
+    return _packed_texts(documents).groupBy("text_id").agg(F.first("packed").alias("packed"))
 
 
 def _spans(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
@@ -400,8 +521,7 @@ def remove_repeats(documents: DataFrame, as_text: bool = False) -> DataFrame:
     """``documents`` plus (__kept, __spans array of [start, end)): the bytes that
     stay and the byte runs removed from each text. ``as_text`` gives __kept as a
     string, without the rest of a character that a run cuts."""
-    runs = stored(repeated_windows(documents), "suffix-repeats").groupBy("text_id").agg(
-        F.collect_list("first").alias("__first"), F.collect_list("last").alias("__last"))
+    runs = _run_lists(repeated_windows(documents))
     keyed = documents.withColumn("__text_id", _text_id())
     joined = keyed.join(runs.withColumnRenamed("text_id", "__text_id"), "__text_id", "left").drop("__text_id")
     kept = documents.columns
@@ -427,14 +547,35 @@ def remove_repeats(documents: DataFrame, as_text: bool = False) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
+def _run_lists(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("text_id").agg(F.collect_list("first").alias("__first"), F.collect_list("last").alias("__last"))
+
+
 def repeat_digest(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row."""
-    done = remove_repeats(documents.select("doc_id", "text"))
-    removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return done.select(
-        "doc_id",
-        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
-        removed.alias("n_removed"),
-        F.size("__spans").cast("long").alias("n_spans"),
-        F.sha2("__kept", 256).alias("kept_sha256"),
-    )
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row. Digests are
+    made once per text that loses something and joined to its rows."""
+    documents = documents.select("doc_id", "text")
+    texts = _one_each(documents).join(_run_lists(repeated_windows(documents)), "text_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            rows = []
+            for i, text_id in enumerate(batch.column("text_id").to_pylist()):
+                text = unpack.decompress(batch.column("packed")[i].as_buffer())
+                cut = _spans(batch.column("__first")[i].values.to_numpy(), batch.column("__last")[i].values.to_numpy())
+                edges = [0, *(e for s in cut for e in s), len(text)]
+                digest = hashlib.sha256()
+                for a, b in zip(edges[::2], edges[1::2], strict=True):
+                    digest.update(text[a:b])
+                rows.append((text_id, sum(b - a for a, b in cut), len(cut), digest.hexdigest()))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["text_id", "n_removed", "n_spans", "sha"])
+
+    cut = texts.mapInArrow(run, "text_id long, n_removed long, n_spans long, sha string")
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select("doc_id", _text_id().alias("text_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    zero = F.lit(0).cast("long")
+    return rows.join(cut, "text_id", "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
