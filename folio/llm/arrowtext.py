@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 # Fixed value: the word separators of the contracts, \x20 and \x09-\x0D.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -75,6 +78,22 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def tidy(run):
+    """Wrap a task's function: when its input has ended, what the allocators
+    still hold goes back to the system, since the worker stays for other tasks."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
+
+
 def chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of a batch with at most ``limit`` bytes of the column
     (a single longer text stays whole)."""

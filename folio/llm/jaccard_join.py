@@ -159,7 +159,7 @@ def set_table(documents: DataFrame) -> DataFrame:
                      pa.array([set_identity(s) if len(s) else None for s in sets], pa.int64())],
                     names=["doc_id", "n_shingles", "set_id"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(A.tidy(run), "doc_id long, n_shingles long, set_id long")
 
 
 def _keys(documents: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _keys(documents: DataFrame) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owner))], names=["key", "set_id"])
 
-    return documents.select("text").mapInArrow(run, "key long, set_id long")
+    return documents.select("text").mapInArrow(A.tidy(run), "key long, set_id long")
 
 
 def _stars(sorted_keys: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _stars(sorted_keys: DataFrame) -> DataFrame:
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(lead[out]), pa.array(node[out])], names=["key", "a", "b"])
 
-    return sorted_keys.mapInArrow(run, "key long, a long, b long")
+    return sorted_keys.mapInArrow(A.tidy(run), "key long, a long, b long")
 
 
 def _node_details(documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def _node_details(documents: DataFrame, nodes: DataFrame) -> DataFrame:
                         [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(list(sketches), pa.list_(pa.int64())), pa.array(texts, pa.binary())],
                         names=["set_id", "n", "sketch", "packed"])
 
-    made = documents.select("text").mapInArrow(run, "set_id long, n long, sketch array<long>, packed binary")
+    made = documents.select("text").mapInArrow(A.tidy(run), "set_id long, n long, sketch array<long>, packed binary")
     return made.join(nodes, "set_id", "left_semi").groupBy("set_id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("packed").alias("packed"))
 
 
@@ -264,7 +264,7 @@ def _verified(pairs: DataFrame, details: DataFrame) -> DataFrame:
             if ok.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["u", "v"])
 
-    return joined.mapInArrow(run, "u long, v long")
+    return joined.mapInArrow(A.tidy(run), "u long, v long")
 
 
 def _across(stars: DataFrame, comps: DataFrame, details: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def _across(stars: DataFrame, comps: DataFrame, details: DataFrame) -> DataFrame
             for g in groups({c: np.concatenate([h[c] for h in held]) for c in held[0]}, True):
                 yield from compare(g)
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "component", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "component", "n", "sketch").mapInArrow(A.tidy(run), "a long, b long").distinct()
 
 
 def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

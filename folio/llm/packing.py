@@ -135,4 +135,4 @@ def pack(documents: DataFrame, *, tokenizer: str | None = None, capacity: int =
             yield emit()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(A.tidy(run), schema)

@@ -145,8 +145,8 @@ def train(texts: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
         at = np.flatnonzero(weights).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights[at])], names=["slot", "weight"])
 
-    made = rows.mapInArrow(extract, "__order long, __label double, slots array<int>, values array<float>")
-    fitted = made.repartition(1).sortWithinPartitions("__order", F.size("slots"), "__label").mapInArrow(fit, "slot int, weight float").toPandas()
+    made = rows.mapInArrow(A.tidy(extract), "__order long, __label double, slots array<int>, values array<float>")
+    fitted = made.repartition(1).sortWithinPartitions("__order", F.size("slots"), "__label").mapInArrow(A.tidy(fit), "slot int, weight float").toPandas()
     weights = np.zeros((1 << bits) + 1, np.float32)
     weights[fitted["slot"].to_numpy()] = fitted["weight"].to_numpy()
     return weights
@@ -171,7 +171,7 @@ def score(texts: DataFrame, weights: np.ndarray, *, text_col: str = "text", outp
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-dot)), pa.float64())], names=[*kept, output])
 
     schema = texts.withColumn(output, F.lit(0.0).cast("double")).schema
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(A.tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

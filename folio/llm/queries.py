@@ -22,6 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepared(spark: SparkSession) -> SparkSession:
     """Session settings, and this package in the Python workers."""
     configure(spark)
+    # whole texts travel in Arrow batches: fewer rows each bound a worker's memory
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     ship_package(spark)
     return spark
 

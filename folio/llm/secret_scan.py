@@ -146,7 +146,7 @@ def secret_digest(documents: DataFrame) -> DataFrame:
                     names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(A.tidy(run), schema)
 
 
 def redact(documents: DataFrame, *, mark: str = "[SECRET]") -> DataFrame:
@@ -173,4 +173,4 @@ def redact(documents: DataFrame, *, mark: str = "[SECRET]") -> DataFrame:
                     part = pa.RecordBatch.from_arrays(columns, names=kept)
                 yield part
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(A.tidy(run), documents.schema)

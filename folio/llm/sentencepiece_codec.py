@@ -105,7 +105,7 @@ class Model:
 class Codec:
     def __init__(self, path: str):
         self.model = Model(path)
-        self.memory = PieceMemory(1 << 22)
+        self.memory = PieceMemory()
         self.unknown = len(self.model.pieces)  # stands for one character outside the vocabulary
         letters = sorted({c for p in self.model.text for c in p})
         self.letter = {c: i + 1 for i, c in enumerate(letters)}
@@ -120,7 +120,7 @@ class Codec:
             low[row, : len(p)] = high[row, : len(p)] = [self.letter[c] for c in p]
         self.low, self.high = self._as_keys(low), self._as_keys(high)
         self.scores = self.model.score.tolist()
-        self.table = PieceMemory(1 << 21)  # pair of pieces -> may follow (number 1) or not (0)
+        self.table = PieceMemory(1 << 20)  # pair of pieces -> may follow (number 1) or not (0)
         self.pairs = 0
         raw = [self._raw(i) for i in range(len(self.model.pieces))]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
@@ -328,7 +328,7 @@ def encode(documents: DataFrame, *, model: str | None = None) -> DataFrame:
                 ids, cut = codec(path).encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(A.tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
@@ -343,7 +343,7 @@ def decode(encoded: DataFrame, *, model: str | None = None) -> DataFrame:
             cut = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.decode("utf-8", "replace") for t in codec(path).decode(flat, cut)], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(A.tidy(run), "doc_id long, text string")
 
 
 def codec_digest(documents: DataFrame, *, model: str | None = None) -> DataFrame:
@@ -364,4 +364,4 @@ def codec_digest(documents: DataFrame, *, model: str | None = None) -> DataFrame
                     [part.column("doc_id"), pa.array(np.diff(cut)), pa.array(crc, pa.int64()), pa.array([len(d) for d in decoded], pa.int64()), pa.array(same)],
                     names=["doc_id", "n_pieces", "ids_crc32", "decoded_bytes", "round_trip"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, decoded_bytes long, round_trip boolean")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(A.tidy(run), "doc_id long, n_pieces long, ids_crc32 long, decoded_bytes long, round_trip boolean")

@@ -55,7 +55,7 @@ SLICE = 8
 #: Up to so many different contexts are compared along the sorted anchors.
 CLOSE = 256
 BUDGET = 1 << 20
-SMALL_CHUNK = 1 << 20
+SMALL_CHUNK = 1 << 19
 U = np.uint64
 
 
@@ -258,7 +258,7 @@ def _anchor_rows(documents: DataFrame) -> DataFrame:
                 grams = pa.array(gram[pick].view(np.int64), mask=np.arange(len(pick)) >= len(first))
                 yield pa.RecordBatch.from_arrays([grams, pa.array(text_id[pick]), pa.array(packed[pick])], names=["gram", "text_id", "at"])
 
-    return documents.select(_text_id().alias("text_id"), "text").mapInArrow(run, "gram long, text_id long, at long")
+    return documents.select(_text_id().alias("text_id"), "text").mapInArrow(A.tidy(run), "gram long, text_id long, at long")
 
 
 def _equal_contexts(data: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +296,7 @@ def _packed_texts(documents: DataFrame) -> DataFrame:
                     ids, texts = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary())], names=["text_id", "packed"])
 
-    return documents.select(_text_id().alias("text_id"), "text").mapInArrow(run, "text_id long, packed binary")
+    return documents.select(_text_id().alias("text_id"), "text").mapInArrow(A.tidy(run), "text_id long, packed binary")
 
 
 def _contexts(places: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def _contexts(places: DataFrame) -> DataFrame:
             if held:
                 yield _context_batch(out, names)
 
-    return places.mapInArrow(run, "bucket long, text_id long, start long, lo int, hi int, context binary")
+    return places.mapInArrow(A.tidy(run), "bucket long, text_id long, start long, lo int, hi int, context binary")
 
 
 def _context_batch(out: list[list], names: list[str]) -> pa.RecordBatch:
@@ -481,7 +481,7 @@ def _repeats(contexts: DataFrame) -> DataFrame:
         if held:
             yield from flush(True)
 
-    return contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "text_id long, first long, last long")
+    return contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(A.tidy(run), "text_id long, first long, last long")
 
 
 def repeated_windows(documents: DataFrame) -> DataFrame:
@@ -544,7 +544,7 @@ def remove_repeats(documents: DataFrame, as_text: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(remain, pa.string() if as_text else pa.binary()), pa.array(spans, kind)], names=[*kept, "__kept", "__spans"])
 
     schema = documents.withColumn("__kept", F.lit("" if as_text else b"")).withColumn("__spans", F.expr("array(struct(0L AS start, 0L AS end))")).schema
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(A.tidy(run), schema)
 
 
 def _run_lists(runs: DataFrame) -> DataFrame:
@@ -573,7 +573,7 @@ def repeat_digest(documents: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["text_id", "n_removed", "n_spans", "sha"])
 
-    cut = texts.mapInArrow(run, "text_id long, n_removed long, n_spans long, sha string")
+    cut = texts.mapInArrow(A.tidy(run), "text_id long, n_removed long, n_spans long, sha string")
     text = F.coalesce("text", F.lit(""))
     rows = documents.select("doc_id", _text_id().alias("text_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     zero = F.lit(0).cast("long")

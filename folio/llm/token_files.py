@@ -149,7 +149,7 @@ def write(documents: DataFrame, folder: str, *, tokenizer: str | None = None, en
                 names=["part", "file", "n_docs", "n_tokens"])
 
     ordered = documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return stored(ordered.mapInArrow(run, "part long, file string, n_docs long, n_tokens long"), "token-manifest")
+    return stored(ordered.mapInArrow(A.tidy(run), "part long, file string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
@@ -176,7 +176,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids_crc32"])
                         at = end
 
-    return by_file(stored(placed.select("part", "file", "base"), "token-bases"), "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return by_file(stored(placed.select("part", "file", "base"), "token-bases"), "part").mapInArrow(A.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digest(documents: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from folio.llm import arrowtext as A
 
 #: Slots of the piece memory (twice the pieces kept); when full it starts anew.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 
 _SPACE = np.zeros(256, np.uint8)
 _SPACE[0x20] = 1

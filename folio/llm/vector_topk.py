@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.llm import arrowtext as A
 from folio.llm.storage import stored
 
 PIVOTS = 32
@@ -118,7 +119,7 @@ def _blocks(keyed: DataFrame, size: int, name: str) -> DataFrame:
             yield close()
 
     ordered = keyed.repartitionByRange("pivot", "distance", "vec_id").sortWithinPartitions("pivot", "distance", "vec_id")
-    return stored(ordered.mapInArrow(run, "block long, pivot int, lo double, hi double, ids array<long>, data binary"), name)
+    return stored(ordered.mapInArrow(A.tidy(run), "block long, pivot int, lo double, hi double, ids array<long>, data binary"), name)
 
 
 def _search(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, space: _Space, k: int) -> DataFrame:
@@ -153,7 +154,7 @@ def _search(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, space: _Spa
                 if len(r):
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(ids[best[r, c]]), pa.array(score[r, best[r, c]])], names=["query_id", "vec_id", "score"])
 
-    return joined.mapInArrow(run, "query_id long, vec_id long, score long")
+    return joined.mapInArrow(A.tidy(run), "query_id long, vec_id long, score long")
 
 
 def top_k(embeddings: DataFrame, *, k: int = 5, query_filter=None, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
@@ -181,7 +182,7 @@ def top_k(embeddings: DataFrame, *, k: int = 5, query_filter=None, id_col: str =
                     names=["vec_id", "pivot", "distance", "data"])
 
     def keyed(rows: DataFrame) -> DataFrame:
-        return rows.select("vec_id", "vector", "norm2").mapInArrow(key, "vec_id long, pivot int, distance double, data binary")
+        return rows.select("vec_id", "vector", "norm2").mapInArrow(A.tidy(key), "vec_id long, pivot int, distance double, data binary")
 
     blocks = _blocks(keyed(vectors), BLOCK, "topk-blocks")
     asked = _blocks(keyed(vectors.filter(is_query)), QUERY_BLOCK, "topk-queries").withColumnRenamed("block", "query_block")
@@ -213,7 +214,7 @@ def top_k(embeddings: DataFrame, *, k: int = 5, query_filter=None, id_col: str =
                      pa.array((away - radius - slack).min(axis=0)), pa.array((away + radius + slack).max(axis=0))],
                     names=["query_block", "pivot", "from", "to"])
 
-    spans = ready.select("query_block", "data", "least").mapInArrow(reach, "query_block long, pivot int, from double, to double")
+    spans = ready.select("query_block", "data", "least").mapInArrow(A.tidy(reach), "query_block long, pivot int, from double, to double")
     more = b.join(spans, "pivot").filter("hi >= from AND lo <= to").select("query_block", "block").join(first, ["query_block", "block"], "left_anti")
     every = found.union(_search(more, ready, blocks, space, k))
     return every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -208,7 +208,7 @@ def write_arc(pages: DataFrame, folder: str, *, versions: tuple[int, ...] = (1,
             yield pa.RecordBatch.from_arrays([pa.array(made)], names=["file"])
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return stored(rows.mapInArrow(run, "file string"), "arc-manifest")
+    return stored(rows.mapInArrow(A.tidy(run), "file string"), "arc-manifest")
 
 
 def arc_index(files: DataFrame, folder: str) -> DataFrame:
@@ -228,7 +228,7 @@ def arc_index(files: DataFrame, folder: str) -> DataFrame:
                     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return by_file(files.select("file")).mapInArrow(run, "file string, position long, page_id long, payload_bytes long, digest string, id string, url string, date string")
+    return by_file(files.select("file")).mapInArrow(A.tidy(run), "file string, position long, page_id long, payload_bytes long, digest string, id string, url string, date string")
 
 
 def revisits(index: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
@@ -256,7 +256,7 @@ def write_warc(files: DataFrame, arc_folder: str, folder: str, again: DataFrame)
                 out.publication.publish()
                 yield pa.RecordBatch.from_arrays([pa.array([out.name])], names=["file"])
 
-    return stored(by_file(stored(files.join(lists, "file", "left"), "warc-plan")).mapInArrow(run, "file string"), "warc-manifest")
+    return stored(by_file(stored(files.join(lists, "file", "left"), "warc-plan")).mapInArrow(A.tidy(run), "file string"), "warc-manifest")
 
 
 def read_warc(files: DataFrame, folder: str) -> DataFrame:
@@ -284,7 +284,7 @@ def read_warc(files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return by_file(files).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, id string, refers_id string")
+    return by_file(files).mapInArrow(A.tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, id string, refers_id string")
 
 
 def archive_digest(pages: DataFrame) -> DataFrame:
