@@ -407,8 +407,10 @@ def _along_anchors(index: SuffixIndex, block, offset: np.ndarray, rows: np.ndarr
         good = index.verified_equal(place[a] - left, place[b] - left) & index.verified_equal(place[a] - low, place[b] - low)
         bad.append(a[~good])
         out += [(a[good], low[good], left[good]), (b[good], low[good], left[good])]
-        # one place further in the sorted order: the extension can only shrink
-        at, right = at[far], right[far]
+        # one place further in the sorted order: the extension can only shrink,
+        # but another partner may offer more to the left
+        can = right + hi[of[at]] >= LENGTH
+        at, right = at[can], right[can]
         go = at + distance + 1 < len(suffix)
         at, right = at[go], right[go]
         go = group[at + distance + 1] == group[at]
