@@ -509,7 +509,7 @@ ORACLES["text_documents"] = f"""
 WITH t AS (
   SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS text_id, turn, text,
          CASE WHEN turn % 2 = 0 THEN regexp_extract(text, '^[^\\n]*', 0) END AS cleaned
-  FROM conversations WHERE role = 'user'
+  FROM conversations
 ),
 u AS (
   SELECT *, {sha_id("'text'", 'text_id')} AS id,
@@ -682,7 +682,6 @@ ORACLES["delete_documents"] = blocks(CORPUS_CTE, JOBS) + """
 , gone AS (SELECT id FROM corpus WHERE source_type = 'text' AND CAST(substr(id, 2) AS BIGINT) % 9 = 0)
 SELECT j.id, CASE WHEN g.id IS NOT NULL THEN NULL ELSE j.result_request_id END AS result_request_id
 FROM jobs j LEFT JOIN gone g ON g.id = j.result_request_id
-WHERE j.status = 'completed'
 """
 
 ORACLES["tombstone_report"] = with_corpus(f"""
@@ -695,7 +694,8 @@ ORACLES["tombstone_report"] = with_corpus(f"""
   SELECT 'manual', 'none', 90 FROM corpus WHERE source_type = 'url' AND CAST(substr(id, 2) AS BIGINT) % 6 = 0
 )
 SELECT reason, tag, count(*) AS tombstones, min(period_days) AS min_days, round(avg(period_days), 6) AS avg_days,
-       max(period_days) AS max_days
+       max(period_days) AS max_days, round(quantile_cont(period_days, 0.5), 6) AS p50_days,
+       round(quantile_cont(period_days, 0.9), 6) AS p90_days, round(quantile_cont(period_days, 0.99), 6) AS p99_days
 FROM logs GROUP BY reason, tag
 """)
 
@@ -795,7 +795,7 @@ _TRACKED = f"""
 tracked AS (
   SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id,
          {fixture_time_sql('conv_id')} + INTERVAL 1 DAY AS expires_at
-  FROM conversations WHERE role = 'user'
+  FROM conversations
 )"""
 
 ORACLES["unexpired"] = blocks(_TRACKED) + f"""
@@ -933,10 +933,8 @@ SELECT id,
 FROM images
 """
 
-# enrich_stream: matches are emitted in the first micro-batch; an unmatched
-# document comes out once the global watermark W (the minimum over both
-# inputs of latest event time minus the 10-minute delay) has passed
-# created_at + 60 minutes, strictly.
+# enrich_stream: the rule itself - the first completed result within the wait,
+# else a timeout, for every document once
 ORACLES["enrich_stream"] = f"""
 WITH d AS (
   SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, 'a' || CAST(doc_id AS VARCHAR) AS job_id,
@@ -947,17 +945,16 @@ r AS (
   SELECT 'a' || CAST(doc_id AS VARCHAR) AS job_id, {fixture_time_sql('doc_id')} + to_minutes(CAST(doc_id % 120 AS BIGINT)) AS arrived_at
   FROM documents WHERE doc_id % 4 <> 0
 ),
-w AS (SELECT least((SELECT max(created_at) FROM d), (SELECT max(arrived_at) FROM r)) - INTERVAL 10 MINUTE AS wm),
 j AS (
-  SELECT d.*, r.arrived_at FROM d LEFT JOIN r
+  SELECT d.id, d.job_id, d.created_at, min(r.arrived_at) AS arrived_at FROM d LEFT JOIN r
     ON r.job_id = d.job_id AND r.arrived_at >= d.created_at AND r.arrived_at <= d.created_at + INTERVAL 60 MINUTE
+  GROUP BY d.id, d.job_id, d.created_at
 )
 SELECT id, job_id, strftime(created_at, {FMT}) AS created_at,
        CASE WHEN arrived_at IS NOT NULL THEN 'applied' ELSE 'timeout' END AS outcome,
        CASE WHEN arrived_at IS NOT NULL THEN CAST(floor((epoch_us(arrived_at) - epoch_us(created_at)) / 60000000) AS BIGINT) END
          AS elapsed_minutes
-FROM j, w
-WHERE arrived_at IS NOT NULL OR created_at + INTERVAL 60 MINUTE < wm
+FROM j
 """
 
 ORACLES["status_feed_events"] = f"""

@@ -30,7 +30,7 @@ from folio.plans.common import AS_OF, CORPUS_END, CORPUS_START, TIMELINE_END, TI
 from folio.sources import documents as SD
 from folio.sources import fixtures as FX
 from folio.sources.fixtures import corpus_documents, timeline_documents
-from folio.sources.tables import load_table, stream_table
+from folio.sources.tables import forget_plans, load_table, stream_table
 from folio.streaming import jobs as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -334,7 +334,7 @@ def q_scraped_documents(spark, sf_dir):
 
 
 def _texts(spark, sf_dir):
-    conv = load_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    conv = load_table(spark, sf_dir, "conversations")
     return conv.select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("text_id"),
         "conv_id", "turn", "text",
@@ -405,12 +405,16 @@ def _results(spark, sf_dir):
     return FX.analysis_results(spark, sf_dir)
 
 
-def _merge_out(df: DataFrame) -> DataFrame:
-    return df.select(
+def _merge_columns() -> list:
+    return [
         "id", _tags().alias("tags"), "seo_enabled", fmt_ts("tombstone_at").alias("tombstone_at"),
         F.get_json_object("metadata", "$.tombstone_reason").alias("tombstone_reason"),
         F.get_json_object("metadata", "$.textanalyzer_status").alias("textanalyzer_status"),
-    )
+    ]
+
+
+def _merge_out(df: DataFrame) -> DataFrame:
+    return df.select(*_merge_columns())
 
 
 @register("apply_analysis")
@@ -429,13 +433,8 @@ def q_apply_analysis(spark, sf_dir):
 def q_enrich(spark, sf_dir):
     """R33 + R57: results applied only when they arrive within 60 minutes."""
     out = MG.enrich(corpus_documents(spark, sf_dir), _results(spark, sf_dir), as_of=AS_OF, max_wait_minutes=60)
-    return _merge_out(out).join(
-        out.select(
-            "id", "enrich_outcome",
-            F.get_json_object("metadata", "$.analysis_retrieval_elapsed_minutes").cast("long").alias("elapsed_minutes"),
-        ),
-        "id",
-    )
+    elapsed = F.get_json_object("metadata", "$.analysis_retrieval_elapsed_minutes").cast("long").alias("elapsed_minutes")
+    return out.select(*_merge_columns(), "enrich_outcome", elapsed)
 
 
 @register("analysis_timeout")
@@ -499,12 +498,12 @@ def q_tombstone_manual(spark, sf_dir):
 
 @register("delete_documents")
 def q_delete_documents(spark, sf_dir):
-    """Text documents with key % 9 = 0 deleted; completed jobs lose their result."""
+    """Text documents with key % 9 = 0 deleted; jobs lose a result that is gone."""
     docs = corpus_documents(spark, sf_dir)
     jobs = FX.crawl_jobs(spark, sf_dir)
     ids = docs.filter((F.col("source_type") == "text") & (_k() % 9 == 0)).select("id")
     res = MG.delete_documents(docs, jobs, ids)
-    return res.jobs.filter(F.col("status") == "completed").select("id", "result_request_id")
+    return res.jobs.select("id", "result_request_id")
 
 
 @register("tombstone_report")
@@ -595,7 +594,7 @@ def q_get_jobs(spark, sf_dir):
 
 
 def _tracked(spark, sf_dir):
-    conv = load_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    conv = load_table(spark, sf_dir, "conversations")
     created = FX.fixture_time(F.col("conv_id"))
     return conv.select(
         F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
@@ -711,8 +710,15 @@ def q_enrich_stream(spark, sf_dir):
         F.to_json(F.struct(F.when(score.isNotNull(), F.struct(score.alias("score"))).alias("quality_score"))).alias("analysis"),
         FX.plus_micros(FX.fixture_time(did), (did % 120) * 60_000_000).alias("arrived_at"),
     )
-    out = ST.run_available(ST.enrich_stream(docs, results), "enrich_stream")
-    return spark.read.parquet(out).select("id", "job_id", fmt_ts("created_at").alias("created_at"), "outcome", "elapsed_minutes")
+    # event times are in no order over a month: the delay covers that
+    out = ST.run_available(ST.enrich_stream(docs, results, delay="40 days"), "enrich_stream")
+    batch = load_table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
+        F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("job_id"),
+        FX.fixture_time(F.col("doc_id")).alias("created_at"),
+    )
+    settled = ST.settle_enrichment(spark.read.schema(ST.ENRICHED).parquet(out), batch)
+    return settled.select("id", "job_id", fmt_ts("created_at").alias("created_at"), "outcome", "elapsed_minutes")
 
 
 @register("dedupe_url_stream")
@@ -722,7 +728,7 @@ def q_dedupe_url_stream(spark, sf_dir):
     links = crawl.page_links(pages).select(
         F.col("link").alias("url"), FX.fixture_time(F.col("page_id")).alias("seen_at")
     )
-    out = ST.run_available(ST.dedupe_url_stream(links), "dedupe_url_stream")
+    out = ST.run_available(ST.dedupe_url_stream(links, ttl="40 days"), "dedupe_url_stream")
     return spark.read.parquet(out).select("url_key")
 
 
@@ -746,8 +752,17 @@ def q_status_feed(spark, sf_dir):
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("request_id")
     )
     feed = ST.status_feed(events, watched)
-    out = ST.run_available(ST.latest_status(feed), "status_feed", mode="complete")
-    return spark.read.parquet(out).select("request_id", "status", fmt_ts("last_event_at").alias("last_event_at"), "events")
+    out = ST.run_available(ST.latest_status(feed), "status_feed", mode="update")
+    # each micro-batch wrote the documents it changed; the last one counts
+    rows = F.struct("batch_id", "status", "last_event_at", "events")
+    last = spark.read.parquet(out).groupBy("request_id").agg(F.max(rows).alias("s"))
+    return last.select("request_id", "s.status", fmt_ts("s.last_event_at").alias("last_event_at"), "s.events")
+
+
+def _snapshot(spark, sf_dir):
+    """Documents and jobs as the tables are now."""
+    forget_plans()
+    return corpus_documents(spark, sf_dir), FX.crawl_jobs(spark, sf_dir)
 
 
 @register("live_metrics")
@@ -764,7 +779,7 @@ def q_live_metrics(spark, sf_dir):
     base = scratch_path(spark, "live_metrics")
     q = ST.live_metrics(
         job_events,
-        lambda: (corpus_documents(spark, sf_dir), FX.crawl_jobs(spark, sf_dir)),
+        lambda: _snapshot(spark, sf_dir),
         f"{base}/out",
         as_of=AS_OF,
         checkpoint=f"{base}/checkpoint",
@@ -789,8 +804,8 @@ def q_ingest_read_documents(spark, sf_dir):
     from folio.session import scratch_path
 
     path = scratch_path(spark, "documents-table")
-    SD.ingest_documents(corpus_documents(spark, sf_dir), path)
-    back = SD.read_documents(spark, path)
+    SD.ingest_documents(corpus_documents(spark, sf_dir), path, batch_id="corpus")
+    back = SD.read_ingested(spark, path)
     return back.select(
         "id", fmt_ts("effective_date").alias("effective_date"), fmt_ts("tombstone_at").alias("tombstone_at"),
         _tags().alias("tags"), "seo_enabled", "slug",
@@ -832,7 +847,7 @@ def q_status_feed_events(spark, sf_dir):
     watched = load_table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("request_id")
     )
-    out = ST.run_available(ST.status_feed(events, watched), "status_feed_events")
+    out = ST.run_available(ST.status_feed(events, watched), "status_feed_events", order=("ts", "seq"))
     return spark.read.parquet(out).select("request_id", "status", "stage", "message", fmt_ts("ts").alias("ts"), "seq")
 
 
@@ -850,7 +865,7 @@ def q_live_metrics_figures(spark, sf_dir):
     base = scratch_path(spark, "live_metrics_figures")
     q = ST.live_metrics(
         job_events,
-        lambda: (corpus_documents(spark, sf_dir), FX.crawl_jobs(spark, sf_dir)),
+        lambda: _snapshot(spark, sf_dir),
         f"{base}/out",
         as_of=AS_OF,
         checkpoint=f"{base}/checkpoint",

@@ -34,9 +34,10 @@ def _read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = 64) -> DataFrame:
     """The same table as a file stream (schema taken from the files once;
-    timestamps cast to instants as in ``load_table``)."""
+    timestamps cast to instants as in ``load_table``). ``max_files_per_trigger``
+    bounds a micro-batch."""
     configure(spark)
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
@@ -51,6 +52,13 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
 
 
 _PLANS: dict = {}
+#: Plans remembered; the oldest goes first.
+MAX_PLANS = 256
+
+
+def forget_plans() -> None:
+    """Forget all plans, so that the next reads list the files anew."""
+    _PLANS.clear()
 
 
 def per_session(fn):
@@ -69,6 +77,8 @@ def per_session(fn):
         hit = _PLANS.get(key)
         if hit is None or hit[0] is not spark:
             hit = (spark, fn(spark, sf_dir, *args))
+            while len(_PLANS) >= MAX_PLANS:
+                _PLANS.pop(next(iter(_PLANS)))
             _PLANS[key] = hit
         return hit[1]
 

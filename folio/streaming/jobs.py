@@ -4,7 +4,7 @@ The reference's asynchronous behaviour (waiting for analysis, the URL cache
 TTL, the live status feed, the metrics ticker) maps onto four streaming
 queries. Event time is explicit; each operator states its delay, and rows
 later than the watermark are dropped by Spark (visible in the query
-progress as ``numRowsDroppedByWatermark``) rather than silently mixed in.
+progress as ``numRowsDroppedByWatermark``); ``run_available`` raises then.
 
 Each builder returns a streaming DataFrame (or starts a query when the sink
 is part of the semantics); ``run_available`` drives one to completion over
@@ -25,6 +25,10 @@ from folio.session import scratch_path
 
 
 # ---------------------------------------------------------------- R70 ----
+#: Columns of ``enrich_stream``'s output.
+ENRICHED = "id string, job_id string, created_at timestamp, outcome string, elapsed_minutes long, analysis string, arrived_at timestamp"
+
+
 def enrich_stream(
     documents: DataFrame,
     results: DataFrame,
@@ -33,20 +37,22 @@ def enrich_stream(
     delay: str = "10 minutes",
 ) -> DataFrame:
     """Each awaiting document (id, job_id, created_at) is matched with
-    its completed analysis result (job_id, status, analysis, arrived_at)
+    its completed analysis results (job_id, status, analysis, arrived_at)
     arriving within ``max_wait`` of creation; if none arrives, a timeout row
     comes out once the watermark passes created_at + max_wait.
 
     Stream-stream left outer join with watermarks on both sides and a
-    time-bounded condition, so the join state is bounded by the wait. A job's
-    first completed result wins (dropDuplicatesWithinWatermark)."""
+    time-bounded condition, so the join state is bounded by the wait and the
+    delay. ``delay`` must cover the disorder of the input; ``run_available``
+    fails if a row came later than that. A document with several results comes
+    out once per result; ``settle_enrichment`` reduces that to the first and adds
+    the documents still waiting when the input ended."""
     docs = documents.withWatermark("created_at", delay).select(
         F.col("id"), F.col("job_id").alias("d_job_id"), F.col("created_at")
     )
     res = (
         results.filter(F.col("status") == "completed")
         .withWatermark("arrived_at", delay)
-        .dropDuplicatesWithinWatermark(["job_id"])
         .select(F.col("job_id").alias("r_job_id"), "analysis", "arrived_at")
     )
     cond = (
@@ -65,58 +71,33 @@ def enrich_stream(
             matched, F.floor((F.unix_micros("arrived_at") - F.unix_micros("created_at")) / F.lit(60_000_000))
         ).cast("long").alias("elapsed_minutes"),
         "analysis",
+        "arrived_at",
+    )
+
+
+def settle_enrichment(answers: DataFrame, documents: DataFrame) -> DataFrame:
+    """R70 at the end of the input: one row per awaiting document. The first
+    result to arrive wins (ties by content); documents that the stream still
+    held get their timeout. ``documents`` is the stream's document input as a
+    table. The rows do not depend on how the input was cut into micro-batches."""
+    best = F.min(F.struct("arrived_at", "analysis", "elapsed_minutes")).alias("r")
+    applied = answers.filter("outcome = 'applied'").groupBy("id").agg(best)
+    return documents.select("id", "job_id", "created_at").join(applied, "id", "left").select(
+        "id", "job_id", "created_at",
+        F.when(F.col("r").isNotNull(), F.lit("applied")).otherwise(F.lit("timeout")).alias("outcome"),
+        "r.elapsed_minutes", "r.analysis",
     )
 
 
 # ---------------------------------------------------------------- R71 ----
-def _first_per_key(key: str, ts_col: str):
-    """Per-partition function for ``mapInArrow``: keep the earliest row of
-    each key in the batch (rows without a key pass through)."""
-
-    def run(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if t.num_rows == 0:
-                yield batch
-                continue
-            has_key = pc.is_valid(t[key])
-            keyed = t.filter(has_key).sort_by([(key, "ascending"), (ts_col, "ascending")])
-            if keyed.num_rows:
-                import numpy as np
-
-                keys = keyed[key].to_numpy(zero_copy_only=False)
-                # sorted by (key, time): a row is the first of its key when its
-                # key differs from the previous row's
-                keep = np.concatenate([[True], keys[1:] != keys[:-1]])
-                keyed = keyed.filter(pa.array(keep))
-            out = pa.concat_tables([keyed, t.filter(pc.invert(has_key))])
-            for b in out.to_batches():
-                yield b
-
-    return run
-
-
-def dedupe_url_stream(
-    urls: DataFrame, *, ttl: str = "30 days", ts_col: str = "seen_at", pre_dedupe: bool = False
-) -> DataFrame:
+def dedupe_url_stream(urls: DataFrame, *, ttl: str = "30 days", ts_col: str = "seen_at") -> DataFrame:
     """Let a URL through once per TTL, keyed by its cache key.
-    First sighting wins; the state for a key expires with the watermark.
-    Invalid URLs (no key) pass through unchanged, as the reference does not
-    cache them.
-
-    ``pre_dedupe`` keeps only the earliest row per key inside each input
-    partition before the stateful operator's shuffle (Arrow, within the
-    tasks): a URL repeated heavily within a micro-batch then ships at most
-    once per partition instead of landing whole on one task. The output is
-    the same (those rows would be dropped by the state anyway); it costs a
-    Python stage, so it is off by default."""
+    First sighting wins; the state for a key expires with the watermark, which
+    trails the newest sighting by the TTL. A sighting older than that fails
+    ``run_available`` instead of vanishing. Invalid URLs (no key) pass through
+    unchanged, as the reference does not cache them."""
     # the key is derived once per row; the split below tests the column
     keyed = with_url_key(urls, "url", "url_key")
-    if pre_dedupe:
-        keyed = keyed.mapInArrow(_first_per_key("url_key", ts_col), keyed.schema)
     valid = keyed.filter(F.col("url_key").isNotNull()).withWatermark(ts_col, ttl).dropDuplicatesWithinWatermark(["url_key"])
     invalid = keyed.filter(F.col("url_key").isNull())
     return valid.unionByName(invalid)
@@ -132,7 +113,8 @@ LIFECYCLE_STATUSES = (
 
 def status_feed(events: DataFrame, watched: DataFrame | None = None) -> DataFrame:
     """R72 (feed): lifecycle events (request_id, status, stage, message, ts)
-    of the watched documents, in arrival order within each micro-batch.
+    of the watched documents; ``run_available`` with ``order`` writes each
+    micro-batch in that order, and batches are numbered in order of arrival.
     ``watched`` is a static table of request ids (stream-static semi join;
     a broadcast when its size allows). Unlike a bounded channel, nothing is
     dropped."""
@@ -176,20 +158,14 @@ def live_metrics(
     """On a fixed beat, refresh the document statistics (R37) and job
     status counts (R38) from the current snapshot tables and the queue waits
     from the job-event stream; each micro-batch writes its figures under
-    ``out_path/<figures|waits>/batch_id=N`` (idempotent on replay). ``snapshot()`` returns the current
-    (documents, jobs) tables (re-read every beat)."""
+    ``out_path/<figures|waits>/batch_id=N`` (idempotent on replay). ``snapshot()``
+    returns the current (documents, jobs) tables, read anew every beat, and
+    ``as_of`` is an instant or a function that gives the beat's own. Spark calls
+    a beat when events came; ``metrics_beat`` also fires on an idle stream."""
     waits = queue_waits(job_events)
 
     def beat(batch: DataFrame, batch_id: int) -> None:
-        docs, jobs = snapshot()
-        figures = S.document_stats(docs, as_of=as_of).unionByName(
-            S.jobs_by_status(jobs).select(
-                F.lit("jobs_by_status").alias("metric"), F.col("status").alias("key"), F.col("job_count").alias("value")
-            )
-        )
-        # one folder per micro-batch, overwritten: a batch replayed after a
-        # failure replaces its own output instead of appending it twice
-        figures.write.mode("overwrite").parquet(f"{out_path}/figures/batch_id={batch_id}")
+        _write_figures(snapshot, as_of, f"{out_path}/figures/batch_id={batch_id}")
         batch.write.mode("overwrite").parquet(f"{out_path}/waits/batch_id={batch_id}")
 
     writer = waits.writeStream.outputMode("update").foreachBatch(beat).option("checkpointLocation", checkpoint)
@@ -197,23 +173,55 @@ def live_metrics(
     return writer.start()
 
 
+def _write_figures(snapshot, as_of, path: str) -> None:
+    docs, jobs = snapshot()
+    now = as_of() if callable(as_of) else as_of
+    figures = S.document_stats(docs, as_of=now).unionByName(
+        S.jobs_by_status(jobs).select(
+            F.lit("jobs_by_status").alias("metric"), F.col("status").alias("key"), F.col("job_count").alias("value")
+        )
+    )
+    # one folder per micro-batch, overwritten: a batch replayed after a
+    # failure replaces its own output instead of appending it twice
+    figures.write.mode("overwrite").parquet(path)
+
+
+def metrics_beat(
+    spark: SparkSession, snapshot: Callable[[], tuple[DataFrame, DataFrame]], out_path: str, *, as_of, every: str = "15 seconds", checkpoint: str
+):
+    """R73 (beat): the figures every ``every``, whether or not events come. The
+    clock is a rate stream; ``as_of`` is called at each beat."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def beat(batch: DataFrame, batch_id: int) -> None:
+        _write_figures(snapshot, as_of, f"{out_path}/figures/batch_id={batch_id}")
+
+    return ticks.writeStream.foreachBatch(beat).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 # ------------------------------------------------------------- driving ----
-def run_available(df: DataFrame, name: str, *, mode: str = "append", spark: SparkSession | None = None) -> str:
+def run_available(
+    df: DataFrame, name: str, *, mode: str = "append", order: tuple[str, ...] = (), spark: SparkSession | None = None
+) -> str:
     """Run a streaming DataFrame over everything available now into parquet
-    under the shared checkpoint folder; return the output path."""
+    under the shared checkpoint folder; return the output path. With ``order``
+    or in update mode every micro-batch is its own folder ``batch_id=N``, sorted
+    and overwritten if it runs again. Raises if the watermark dropped rows."""
     spark = spark or df.sparkSession
     base = scratch_path(spark, name)
     out, ckpt = f"{base}/out", f"{base}/checkpoint"
-    if mode == "append":
-        q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-        q = q.outputMode("append").trigger(availableNow=True).start()
+    writer = df.writeStream.option("checkpointLocation", ckpt).outputMode(mode).trigger(availableNow=True)
+    if mode == "append" and not order:
+        q = writer.format("parquet").option("path", out).start()
     else:
         def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
+            rows = batch.orderBy(*order) if order else batch
+            target = out if mode == "complete" else f"{out}/batch_id={batch_id}"
+            rows.write.mode("overwrite").parquet(target)
 
-        q = (
-            df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
-            .trigger(availableNow=True).start()
-        )
+        q = writer.foreachBatch(sink).start()
     q.awaitTermination()
+    dropped = sum(int(op["numRowsDroppedByWatermark"]) for p in q.recentProgress for op in p["stateOperators"])
+    if dropped:
+        raise RuntimeError(f"{name}: {dropped} rows came later than the watermark allows; use a longer delay")
     return out

@@ -1,9 +1,13 @@
 """Streaming operators on small file streams (availableNow)."""
 
 import datetime as dt
+import glob
+import json
 import os
 import tempfile
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from folio.streaming import jobs as ST
@@ -15,20 +19,80 @@ def _write(spark, rows, schema):
     return os.path.join(d, "part")
 
 
-def test_enrich_stream_match_and_timeout(spark):
-    t0 = dt.datetime(2025, 1, 1, 12)
-    m = lambda k: t0 + dt.timedelta(minutes=k)
-    docs_path = _write(spark, [("d1", "j1", m(0)), ("d2", "j2", m(0)), ("d3", "j3", m(0)), ("flush", "jf", m(600))],
-                       "id string, job_id string, created_at timestamp")
-    res_path = _write(spark, [("j1", "completed", "{}", m(30)), ("j2", "completed", "{}", m(90)), ("j3", "processing", "{}", m(5)),
-                              ("jf", "completed", "{}", m(600))],
-                      "job_id string, status string, analysis string, arrived_at timestamp")
-    docs = spark.readStream.schema("id string, job_id string, created_at timestamp").parquet(docs_path)
-    res = spark.readStream.schema("job_id string, status string, analysis string, arrived_at timestamp").parquet(res_path)
-    out = ST.run_available(ST.enrich_stream(docs, res), "t-enrich")
-    got = {r.id: (r.outcome, r.elapsed_minutes) for r in spark.read.parquet(out).collect()}
-    assert got["d1"] == ("applied", 30)
-    assert got["d2"][0] == "timeout" and got["d3"][0] == "timeout"
+DOC_ROWS = "id string, job_id string, created_at timestamp"
+RES_ROWS = "job_id string, status string, analysis string, arrived_at timestamp"
+
+
+def test_enrich_stream_is_the_same_in_one_batch_or_many(spark):
+    """Every awaiting document comes out once; several results per job; the
+    input in one file or in five, in any order."""
+    import random
+
+    rng = random.Random(4)
+    t0 = dt.datetime(2025, 1, 1)
+    docs = [(f"d{i}", f"j{i}", t0 + dt.timedelta(hours=rng.randint(0, 700))) for i in range(100)]
+    res, want = [], {}
+    for i, (d, job, at) in enumerate(docs):
+        waits = [rng.randint(0, 120) for _ in range(i % 4)]
+        res += [(job, "completed", json.dumps({"k": w}), at + dt.timedelta(minutes=w)) for w in waits]
+        res.append((job, "processing", "{}", at))
+        good = [w for w in waits if w <= 60]
+        want[d] = ("applied", min(good)) if good else ("timeout", None)
+    for parts in (1, 5):
+        a, b = tempfile.mkdtemp(), tempfile.mkdtemp()
+        rng.shuffle(docs)
+        rng.shuffle(res)
+        for k in range(parts):
+            spark.createDataFrame(docs[k::parts], DOC_ROWS).coalesce(1).write.mode("append").parquet(a)
+            spark.createDataFrame(res[k::parts], RES_ROWS).coalesce(1).write.mode("append").parquet(b)
+        one = lambda schema, path: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        out = ST.run_available(ST.enrich_stream(one(DOC_ROWS, a), one(RES_ROWS, b), delay="40 days"), "t-enrich")
+        rows = ST.settle_enrichment(spark.read.schema(ST.ENRICHED).parquet(out), spark.read.parquet(a)).collect()
+        assert len(rows) == 100 and {r.id: (r.outcome, r.elapsed_minutes) for r in rows} == want
+
+
+def test_late_rows_fail_loudly(spark):
+    t0 = dt.datetime(2025, 1, 1)
+    path = tempfile.mkdtemp()
+    for day in (90, 0):  # the second file is far behind the first
+        spark.createDataFrame([(f"https://e.com/{day}", t0 + dt.timedelta(days=day))], "url string, seen_at timestamp").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    for k in range(2):  # further files move the watermark on
+        spark.createDataFrame([(f"https://e.com/x{k}", t0 + dt.timedelta(days=1))], "url string, seen_at timestamp").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = spark.readStream.schema("url string, seen_at timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    with pytest.raises(RuntimeError, match="later than the watermark"):
+        ST.run_available(ST.dedupe_url_stream(stream), "t-late")
+
+
+def test_feed_is_ordered_within_batches(spark):
+    t0 = dt.datetime(2025, 1, 1)
+    rows = [("r", "scraping", "s", str(i), t0 + dt.timedelta(seconds=(i * 37) % 50), i) for i in range(50)]
+    schema = "request_id string, status string, stage string, message string, ts timestamp, seq long"
+    path = _write(spark, rows, schema)
+    out = ST.run_available(ST.status_feed(spark.readStream.schema(schema).parquet(path)), "t-feed", order=("ts", "seq"))
+    got = [(r.ts, r.seq) for p in sorted(glob.glob(f"{out.removeprefix('file:')}/batch_id=0/part-*")) for r in spark.read.parquet(p).collect()]
+    assert got == sorted(got) and len(got) == 50
+
+
+def test_metrics_beat_fires_on_an_idle_stream(spark):
+    from folio.session import scratch_path
+
+    docs = spark.createDataFrame([("a", "url", ["x"], True, None)], "id string, source_type string, tags array<string>, seo_enabled boolean, tombstone_at timestamp")
+    jobs = spark.createDataFrame([("j", "queued")], "id string, status string")
+    base, called = scratch_path(spark, "t-beat"), []
+
+    def clock():
+        called.append(1)
+        return dt.datetime(2025, 1, 2, tzinfo=dt.timezone.utc)
+
+    q = ST.metrics_beat(spark, lambda: (docs, jobs), f"{base}/out", as_of=clock, every="1 second", checkpoint=f"{base}/ckpt")
+    for _ in range(60):
+        if len(called) >= 2:
+            break
+        time.sleep(1)
+    q.stop()
+    assert len(called) >= 2
 
 
 def test_dedupe_url_stream(spark):
@@ -48,7 +112,7 @@ def test_status_feed_latest(spark):
                   "request_id string, status string, stage string, message string, ts timestamp, seq long")
     ev = spark.readStream.schema("request_id string, status string, stage string, message string, ts timestamp, seq long").parquet(path)
     watched = spark.createDataFrame([("r1",)], "request_id string")
-    out = ST.run_available(ST.latest_status(ST.status_feed(ev, watched)), "t-status", mode="complete")
+    out = ST.run_available(ST.latest_status(ST.status_feed(ev, watched)), "t-status", mode="update")
     assert [(r.request_id, r.status, r.events) for r in spark.read.parquet(out).collect()] == [("r1", "scraped", 2)]
 
 
@@ -75,17 +139,3 @@ def test_live_metrics_beat(spark):
     figs = {(r.metric, r.key): r.value for r in spark.read.parquet(f"{base}/out/figures").collect()}
     assert figs[("jobs_by_status", "failed")] == 1 and figs[("jobs_by_status", "pending")] == 0
     assert figs[("tombstones_due", "")] == 1 and figs[("live_by_source_type", "url")] == 1
-
-
-def test_dedupe_url_stream_pre_dedupe(spark):
-    t0 = dt.datetime(2025, 1, 1)
-    rows = [("https://hot.example/a?utm_source=%d" % i, t0 + dt.timedelta(minutes=i)) for i in range(50)]
-    rows += [("https://e.com/b", t0), ("not a url", t0), ("not a url", t0)]
-    path = _write(spark, rows, "url string, seen_at timestamp")
-    stream = spark.readStream.schema("url string, seen_at timestamp").parquet(path)
-    out = ST.run_available(ST.dedupe_url_stream(stream, pre_dedupe=True), "t-dedupe-pre")
-    got = spark.read.parquet(out).collect()
-    keyed = [r for r in got if r.url_key is not None]
-    assert len(keyed) == 2 and sum(r.url_key is None for r in got) == 2
-    hot = [r for r in keyed if "hot.example" in r.url]
-    assert len(hot) == 1  # one survivor per key, whichever partition it came from
