@@ -22,7 +22,14 @@ def empty_meta() -> Column:
 
 
 def meta_map(metadata="metadata") -> Column:
-    return F.coalesce(F.from_json(col(metadata), MAP_TYPE), empty_meta())
+    """The document's metadata keys. Null and blank text count as ``{}``; text
+    that is not a JSON object fails the job, since an edit would erase it."""
+    text = col(metadata)
+    blank = F.coalesce(F.trim(text) == "", F.lit(True))
+    parsed = F.from_json(text, MAP_TYPE, {"mode": "PERMISSIVE"})
+    whole = F.when(is_object(F.try_parse_json(text)), parsed)
+    broken = F.raise_error(F.concat(F.lit("metadata is not a JSON object: "), F.substring(text, 1, 200))).cast(MAP_TYPE)
+    return F.when(blank, empty_meta()).otherwise(F.coalesce(whole, broken))
 
 
 def entry(key: str, value: Column) -> Column:

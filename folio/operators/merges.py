@@ -38,12 +38,26 @@ def _missing(changes: DataFrame, documents: DataFrame, key: str = "id") -> DataF
     return changes.select(key).distinct().join(documents.select(key), key, "left_anti")
 
 
-def _keyed(changes: DataFrame, cols: dict[str, str]) -> DataFrame:
-    """Changes with prefixed value columns and a hit marker; one row per id
-    (the last row wins when the input repeats an id is not defined, so
-    callers pass one change per id)."""
+def one_per_key(changes: DataFrame, key: str, cols: list[str], order: str | None = None) -> DataFrame:
+    """One change per key. With an ``order`` column the last one counts (ties
+    broken by content); without one, equal repeats collapse and different
+    changes for one key fail the job. Aggregation, so a key that repeats in a
+    large share of the rows is combined before the shuffle."""
+    values = F.struct(*cols)
+    if order is not None:
+        picked = F.max_by(values, F.struct(order, F.to_json(F.struct(*cols)).alias("content")))
+    else:
+        differ = F.min(F.xxhash64(*cols)) != F.max(F.xxhash64(*cols))
+        clash = F.raise_error(F.concat(F.lit("different changes for one key: "), F.col(key).cast("string")))
+        picked = F.when(differ, clash.cast(changes.select(values.alias("v")).schema["v"].dataType)).otherwise(F.first(values))
+    return changes.groupBy(key).agg(picked.alias("_change")).select(key, "_change.*")
+
+
+def _keyed(changes: DataFrame, cols: dict[str, str], order: str | None = None) -> DataFrame:
+    """Changes with prefixed value columns and a hit marker, one row per id."""
+    single = one_per_key(changes, "id", list(cols), order)
     sel = [F.col("id")] + [F.col(src).alias(dst) for src, dst in cols.items()] + [F.lit(True).alias("_hit")]
-    return changes.select(*sel)
+    return single.select(*sel)
 
 
 def _finish(joined: DataFrame, documents: DataFrame, **new_cols: Column) -> DataFrame:
@@ -58,12 +72,12 @@ def HIT() -> Column:
 
 
 # ---------------------------------------------------------------- R61 ----
-def replace_tags(documents: DataFrame, changes: DataFrame, *, trigger_tags=(), period_days: int = 90, as_of) -> Merged:
+def replace_tags(documents: DataFrame, changes: DataFrame, *, trigger_tags=(), period_days: int = 90, as_of, order: str | None = None) -> Merged:
     """Replace tags wholly; when a trigger tag is present (first in tag
     order wins) set tombstone_datetime = as_of + period and the reason
     'auto-tombstone: <tag> tag', overwriting any earlier tombstone. Removing
     a trigger later does not clear it."""
-    ch = _keyed(changes, {"tags": "chg_tags"})
+    ch = _keyed(changes, {"tags": "chg_tags"}, order)
     j = documents.join(ch, "id", "left")
     hit = HIT()
     trig = first_trigger_tag("chg_tags", list(trigger_tags))
@@ -87,10 +101,10 @@ def replace_tags(documents: DataFrame, changes: DataFrame, *, trigger_tags=(), p
 
 
 # ---------------------------------------------------------------- R62 ----
-def set_metadata(documents: DataFrame, changes: DataFrame) -> Merged:
+def set_metadata(documents: DataFrame, changes: DataFrame, order: str | None = None) -> Merged:
     """Replace the whole metadata document (effective_date is not
     recomputed, as in the reference; the promoted tombstone is)."""
-    ch = _keyed(changes, {"metadata": "chg_metadata"})
+    ch = _keyed(changes, {"metadata": "chg_metadata"}, order)
     j = documents.join(ch, "id", "left")
     hit = HIT()
     new_meta = F.coalesce(F.col("chg_metadata"), F.lit("{}"))
@@ -104,9 +118,9 @@ def set_metadata(documents: DataFrame, changes: DataFrame) -> Merged:
 
 
 # ---------------------------------------------------------------- R63 ----
-def set_seo(documents: DataFrame, changes: DataFrame) -> Merged:
+def set_seo(documents: DataFrame, changes: DataFrame, order: str | None = None) -> Merged:
     """Set seo_enabled."""
-    ch = _keyed(changes, {"seo_enabled": "chg_seo"})
+    ch = _keyed(changes, {"seo_enabled": "chg_seo"}, order)
     j = documents.join(ch, "id", "left")
     snap = _finish(j, documents, seo_enabled=F.when(HIT(), F.col("chg_seo")).otherwise(F.col("seo_enabled")))
     return Merged(snap, _missing(changes, documents))
@@ -157,7 +171,9 @@ def delete_documents(documents: DataFrame, jobs: DataFrame, ids: DataFrame) -> D
     gone = keys.join(documents.select("id"), "id", "left_semi").select(
         F.col("id").alias("gone_id"), F.lit(True).alias("_gone")
     )
-    j = jobs.join(gone, jobs["result_request_id"] == gone["gone_id"], "left")
+    # jobs without a result get a key of their own, so they spread over partitions
+    key = F.coalesce(F.col("result_request_id"), F.concat(F.lit("\u0000"), F.col("id")))
+    j = jobs.withColumn("_k", key).join(gone.withColumnRenamed("gone_id", "_k"), "_k", "left")
     new_jobs = j.withColumn(
         "result_request_id", F.when(F.col("_gone").isNotNull(), F.lit(None).cast("string")).otherwise(F.col("result_request_id"))
     ).select(*jobs.columns)
@@ -224,11 +240,13 @@ def _applicable() -> Column:
     return (F.col("status") == "completed") & M.is_object(F.try_parse_json(F.col("analysis")))
 
 
-def latest_results(results: DataFrame) -> DataFrame:
-    """One result per job: the latest arrival (ties broken by content), found
-    by aggregation so a job with many results never needs a sorted group."""
-    best = F.max(F.struct("arrived_at", "status", "analysis")).alias("r")
-    return results.groupBy("job_id").agg(best).select("job_id", "r.arrived_at", "r.status", "r.analysis")
+def first_results(results: DataFrame) -> DataFrame:
+    """One result per job: the first usable one to arrive (ties broken by
+    content); results that are not completed or carry no analysis object never
+    stand in its way. Found by aggregation, so a job with many results never
+    needs a sorted group."""
+    best = F.min(F.struct("arrived_at", "status", "analysis")).alias("r")
+    return results.filter(_applicable()).groupBy("job_id").agg(best).select("job_id", "r.arrived_at", "r.status", "r.analysis")
 
 
 def _join_key(c: str) -> Column:
@@ -309,7 +327,7 @@ def apply_analysis(
     the analysis job id) with the quality tiers of R56. With
     ``keep_tag_tombstone`` a trigger tag among the merged tags tombstones the
     document (the reference loses that write; default keeps its behaviour)."""
-    res = latest_results(results).filter(_applicable()).select(
+    res = first_results(results).select(
         F.col("job_id").alias("res_job"), F.col("analysis").alias("res_analysis"), F.lit(True).alias("_hit")
     )
     j = _parsed(documents.join(res, _join_key("textanalyzer_uuid") == res["res_job"], "left"), HIT())
@@ -374,9 +392,8 @@ def enrich(
     ('applied' / 'timeout' / 'waiting', null when not awaiting analysis).
     """
     asof_ts = ts_lit(as_of)
-    res = latest_results(results.filter(F.col("arrived_at") <= asof_ts)).select(
+    res = first_results(results.filter(F.col("arrived_at") <= asof_ts)).select(
         F.col("job_id").alias("res_job"),
-        F.col("status").alias("res_status"),
         F.col("analysis").alias("res_analysis"),
         F.col("arrived_at").alias("res_arrived"),
         F.lit(True).alias("_hit"),
@@ -385,8 +402,7 @@ def enrich(
     awaiting = _awaiting()
     wait_us = max_wait_minutes * 60_000_000
     created_us = F.unix_micros(F.col("created_at"))
-    usable = (F.col("res_status") == "completed") & M.is_object(F.try_parse_json(F.col("res_analysis")))
-    arrival = F.when(usable, F.col("res_arrived"))
+    arrival = F.col("res_arrived")
     timely = arrival.isNotNull() & (F.unix_micros(arrival) - created_us <= F.lit(wait_us))
     probe_at = F.coalesce(arrival, asof_ts)
     late = ~F.coalesce(timely, F.lit(False)) & (F.unix_micros(probe_at) - created_us > F.lit(wait_us))

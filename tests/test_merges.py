@@ -160,3 +160,66 @@ def test_delete_documents(spark):
     assert [r.id for r in res.documents.collect()] == ["b"]
     assert {r.id: r.result_request_id for r in res.jobs.collect()} == {"j1": None, "j2": "b", "j3": None}
     assert [r.id for r in res.missing.collect()] == ["nope"]
+
+
+def test_repeated_change_ids_give_one_row_each(spark):
+    import pytest
+
+    docs = make_docs(spark, [dict(id="a"), dict(id="b")])
+    ch = spark.createDataFrame([("a", ["one"], 1), ("a", ["two"], 2), ("b", ["x"], 1), ("b", ["x"], 1), ("zz", ["x"], 1)], "id string, tags array<string>, n int")
+    out = MG.replace_tags(docs, ch, as_of=AS_OF, order="n")
+    assert {r.id: list(r.tags) for r in out.documents.collect()} == {"a": ["two"], "b": ["x"]} and out.documents.count() == 2
+    assert [r.id for r in out.missing.collect()] == ["zz"]
+    with pytest.raises(Exception, match="different changes for one key"):
+        MG.replace_tags(docs, ch, as_of=AS_OF).documents.collect()
+    same = ch.filter("id = 'b'")
+    assert MG.replace_tags(docs, same, as_of=AS_OF).documents.count() == 2
+    seo = spark.createDataFrame([("a", False), ("a", False)], "id string, seo_enabled boolean")
+    assert MG.set_seo(docs, seo).documents.count() == 2
+
+
+def test_malformed_metadata_fails_instead_of_vanishing(spark):
+    import pytest
+
+    ids = spark.createDataFrame([("a",)], "id string")
+    for broken in ('{"a":1', "[1,2]", "7", '"text"', "nonsense"):
+        docs = make_docs(spark, [dict(id="a", metadata=broken)])
+        with pytest.raises(Exception, match="not a JSON object"):
+            MG.tombstone(docs, ids, as_of=AS_OF).documents.collect()
+    for blank in (None, "", "  ", "{}"):
+        docs = make_docs(spark, [dict(id="a", metadata=blank)])
+        assert json.loads(MG.tombstone(docs, ids, as_of=AS_OF).documents.first()["metadata"]).keys() == {"tombstone_datetime"}
+
+
+def test_first_completed_result_wins(spark):
+    docs = make_docs(spark, [dict(id=i, textanalyzer_uuid=f"j{i}", metadata='{"textanalyzer_status":"queued"}') for i in "abc"])
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    good = '{"tags":["first"]}'
+    res = spark.createDataFrame(
+        [("ja", "completed", good, at(10)), ("ja", "completed", '{"tags":["second"]}', at(90)),
+         ("jb", "completed", good, at(10)), ("jb", "processing", None, at(20)),
+         ("jc", "completed", "no object", at(5)), ("jc", "completed", good, at(30))],
+        "job_id string, status string, analysis string, arrived_at timestamp")
+    out = by_id(MG.enrich(docs, res, as_of=AS_OF))
+    assert {i: (r["enrich_outcome"], list(r["tags"])) for i, r in out.items()} == {i: ("applied", ["first"]) for i in "abc"}
+    assert {i: list(r["tags"]) for i, r in by_id(MG.apply_analysis(docs, res, as_of=AS_OF).documents).items()} == {i: ["first"] for i in "abc"}
+
+
+def test_job_walk_ends_on_cycles_and_reaches_any_depth(spark):
+    from folio.operators import jobs as J
+
+    rows = [("1", "2"), ("2", "1"), ("3", "2")] + [(f"c{i}", f"c{i - 1}" if i else None) for i in range(8)]
+    jobs = spark.createDataFrame(rows, "id string, parent_job_id string")
+    assert sorted((r.id, r.level) for r in J.job_descendants(jobs, ["1"]).collect()) == [("1", 0), ("2", 1), ("3", 2)]
+    assert sorted(r.level for r in J.job_descendants(jobs, ["c0"]).collect()) == list(range(8))
+    assert [r.id for r in J.missing_jobs(jobs, ["1", "nope"]).collect()] == ["nope"]
+
+
+def test_links_of_every_form(spark):
+    from folio.operators.crawl import page_links
+
+    html = """<LINK HREF="/style.css"><A HREF='one.html'>1</A> <a class="x>y" href=two?a=1&amp;b=2>2</a><a
+      href="../up/./three">3</a><abbr href="no">n</abbr><a name="none">4</a><a href="#top">5</a>"""
+    pages = spark.createDataFrame([(1, "http://s.test/a/b/page", html)], "page_id long, url string, html string")
+    assert [r.link for r in page_links(pages).orderBy("pos").collect()] == [
+        "http://s.test/a/b/one.html", "http://s.test/a/b/two?a=1&b=2", "http://s.test/a/up/three", "http://s.test/a/b/page"]
