@@ -1,12 +1,12 @@
 """Read-side document operators.
 
 Document ids are the primary key: every operator relies on one row per id
-(enforced at ingest), which is what lets tag search skip a DISTINCT.
+(``ingest_documents`` sets repeated ids aside), which is what lets tag search skip a DISTINCT.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.common import ts_lit
@@ -78,34 +78,47 @@ def filter_documents(
     return _page(df, limit, offset)
 
 
-def list_documents(documents: DataFrame, *, as_of, limit: int = 50, offset: int = 0) -> DataFrame:
+def list_documents(documents: DataFrame, *, as_of, limit: int | None = 50, offset: int = 0) -> DataFrame:
     """Visible documents, newest first, one page."""
     return filter_documents(documents, as_of=as_of, limit=limit, offset=offset)
 
 
-def _keys_frame(spark: SparkSession, keys, name: str) -> DataFrame:
+#: Driver-side key lists up to this length become a pushed-down IN filter.
+LIST_LIMIT = 10_000
+
+
+def keyed_rows(table: DataFrame, column: str, keys) -> tuple[DataFrame, DataFrame]:
+    """(requested keys, rows of ``table`` having one of them). A short list is
+    an IN filter, which reaches the scan, so only matching rows are joined
+    afterwards. A long list or a table of keys is semi-joined; Spark broadcasts
+    the keys if their measured size allows."""
+    spark = table.sparkSession
     if isinstance(keys, DataFrame):
-        return keys.select(F.col(keys.columns[0]).alias(name))
-    rows = [(k,) for k in keys]
-    # a driver-side list: its size is known, so broadcasting it is safe
-    return F.broadcast(spark.createDataFrame(rows, f"{name} string"))
+        frame = keys.select(F.col(keys.columns[0]).alias("requested"))
+    else:
+        keys = list(keys)
+        frame = spark.createDataFrame([(k,) for k in keys], "requested string")
+        if len(keys) <= LIST_LIMIT:
+            return frame, table.filter(F.col(column).isin([k for k in keys if k is not None]))
+    wanted = frame.select(F.col("requested").alias(column)).distinct()
+    return frame, table.join(wanted, column, "left_semi")
 
 
 def get_documents(documents: DataFrame, ids) -> DataFrame:
     """Lookup by id; every requested id comes back, with ``found``."""
-    keys = _keys_frame(documents.sparkSession, ids, "requested_id")
-    out = keys.join(documents, keys["requested_id"] == documents["id"], "left")
+    keys, hits = keyed_rows(documents, "id", ids)
+    out = keys.withColumnRenamed("requested", "requested_id").join(hits, F.col("requested_id") == hits["id"], "left")
     return out.withColumn("found", F.col("id").isNotNull())
 
 
 def get_by_slug(documents: DataFrame, slugs, published_only: bool = False) -> DataFrame:
     """Lookup by slug; with ``published_only`` also requires seo_enabled
     (but not liveness, as in the reference)."""
-    keys = _keys_frame(documents.sparkSession, slugs, "requested_slug")
     docs = documents.filter(F.col("slug").isNotNull())
     if published_only:
         docs = docs.filter(F.col("seo_enabled"))
-    out = keys.join(docs, keys["requested_slug"] == docs["slug"], "left")
+    keys, hits = keyed_rows(docs, "slug", slugs)
+    out = keys.withColumnRenamed("requested", "requested_slug").join(hits, F.col("requested_slug") == hits["slug"], "left")
     return out.withColumn("found", F.col("id").isNotNull())
 
 

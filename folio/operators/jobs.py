@@ -11,19 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.common import ts_lit
+from folio.operators.documents import LIST_LIMIT, keyed_rows
 from folio.session import checkpoint_dir
 
 
 def _ids(spark: SparkSession, ids, name: str = "id") -> DataFrame:
     if isinstance(ids, DataFrame):
         return ids.select(F.col(ids.columns[0]).alias(name)).distinct()
-    return F.broadcast(spark.createDataFrame([(i,) for i in ids], f"{name} string"))
+    return spark.createDataFrame([(i,) for i in ids], f"{name} string")
 
 
 def get_jobs(jobs: DataFrame, ids) -> DataFrame:
     """Lookup by id with a ``found`` flag per requested id."""
-    keys = _ids(jobs.sparkSession, ids, "requested_id")
-    out = keys.join(jobs, keys["requested_id"] == jobs["id"], "left")
+    keys, hits = keyed_rows(jobs, "id", ids)
+    out = keys.distinct().withColumnRenamed("requested", "requested_id").join(hits, F.col("requested_id") == hits["id"], "left")
     return out.withColumn("found", F.col("id").isNotNull())
 
 
@@ -61,7 +62,8 @@ def jobs_with_children(jobs: DataFrame, limit: int = 50, offset: int = 0) -> Dat
     children (oldest first), one row per (parent, child); parents without
     children appear once with null child columns.
 
-    The page holds at most ``limit`` parents, so it is broadcast; children are
+    The page holds at most ``limit`` parents; up to ``LIST_LIMIT`` it is
+    broadcast to the jobs, so only the page's children are shuffled. They are
     joined and sorted globally (a parent with millions of children is spread
     over range partitions, never gathered into one list)."""
     page = top_level_page(jobs, limit, offset).select(
@@ -73,8 +75,10 @@ def jobs_with_children(jobs: DataFrame, limit: int = 50, offset: int = 0) -> Dat
         F.col("created_at").alias("child_created_at"),
         F.col("status").alias("child_status"),
     )
+    ids = page.select("parent_id")
+    kids = kids.join(F.broadcast(ids) if limit <= LIST_LIMIT else ids, "parent_id", "left_semi")
     return (
-        kids.join(F.broadcast(page), "parent_id", "right")
+        page.join(kids, "parent_id", "left")
         .select("parent_id", "parent_created_at", "parent_url", "child_id", "child_created_at", "child_status")
         .orderBy(F.col("parent_created_at").desc(), "parent_id", "child_created_at", "child_id")
     )
@@ -86,43 +90,43 @@ def child_jobs(jobs: DataFrame, parent_ids) -> DataFrame:
     return jobs.join(keys, "parent_job_id", "left_semi").orderBy("created_at", "id")
 
 
-def job_descendants(jobs: DataFrame, root_ids, *, include_roots: bool = True, max_levels: int = 10_000) -> DataFrame:
+def job_descendants(jobs: DataFrame, root_ids, *, include_roots: bool = True) -> DataFrame:
     """The whole subtree under the roots (what the cascading foreign key
     deletes), with each job's level below its root.
 
-    Breadth-first: each level is a join of the previous level's ids with the
-    parent pointers (materialised once). Every level is checkpointed to the
-    shared checkpoint folder, which cuts lineage (a lost executor recomputes
-    one level, not the walk) and gives the loop its stop test."""
+    Breadth-first: each level joins the previous level's ids with the parent
+    pointers, which are partitioned by parent and materialised once, and drops
+    ids already found; the walk ends when a level is empty, whatever the depth,
+    also on a cycle. Every level is checkpointed to the shared checkpoint
+    folder, which cuts lineage (a lost executor recomputes one level) and gives
+    the loop its stop test."""
     spark = jobs.sparkSession
     checkpoint_dir(spark)
-    # the parent pointers, materialised once: every level joins against these
-    # two columns instead of re-deriving the jobs relation
-    edges = (
-        jobs.select(F.col("id"), F.col("parent_job_id")).filter(F.col("parent_job_id").isNotNull()).distinct().checkpoint()
-    )
-    roots = _ids(spark, root_ids, "id").join(jobs.select("id"), "id", "left_semi")
-    level = roots.withColumn("level", F.lit(0)).checkpoint()
-    found = [level]
-    frontier = level
-    for depth in range(1, max_levels + 1):
-        nxt = (
-            edges.join(frontier.select(F.col("id").alias("parent_job_id")), "parent_job_id", "inner")
-            .select("id")
-            .distinct()
-            .withColumn("level", F.lit(depth))
-            .checkpoint()
-        )
-        if nxt.isEmpty():
+    pointers = jobs.select("id", "parent_job_id").filter(F.col("parent_job_id").isNotNull())
+    edges = pointers.repartition("parent_job_id").checkpoint()
+    roots = _ids(spark, root_ids, "id").distinct().join(jobs.select("id"), "id", "left_semi")
+    found = roots.withColumn("level", F.lit(0)).checkpoint()
+    frontier, depth = found, 0
+    while True:
+        depth += 1
+        below = edges.join(frontier.select(F.col("id").alias("parent_job_id")), "parent_job_id").select("id").distinct()
+        frontier = below.join(found.select("id"), "id", "left_anti").withColumn("level", F.lit(depth)).checkpoint()
+        if frontier.isEmpty():
             break
-        found.append(nxt)
-        frontier = nxt
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    if not include_roots:
-        out = out.filter(F.col("level") > 0)
-    return out
+        found = found.unionByName(frontier)
+    return found if include_roots else found.filter(F.col("level") > 0)
+
+
+def missing_jobs(jobs: DataFrame, ids) -> DataFrame:
+    """Requested ids that no job has (R65, R67: the reference's "not found")."""
+    wanted = _ids(jobs.sparkSession, ids, "id").distinct()
+    return wanted.join(jobs.select("id"), "id", "left_anti")
+
+
+def unmatched_events(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """Job ids of events that no job has, with their number of events."""
+    counted = events.groupBy("job_id").agg(F.count(F.lit(1)).alias("events"))
+    return counted.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_anti")
 
 
 def delete_jobs(jobs: DataFrame, ids) -> DataFrame:

@@ -16,7 +16,9 @@ def plan(spark, name):
 
 
 def test_no_cartesian_or_nested_loop_joins(spark):
-    for name in E.queries():
+    from folio.plans.queries import QUERIES
+
+    for name in QUERIES:
         if name in STREAMS:
             continue
         p = plan(spark, name)
@@ -36,3 +38,19 @@ def test_only_bounded_explicit_broadcasts(spark):
     # the timeline's only broadcast is the ranked rows (<= buckets x k)
     p = plan(spark, "tag_timeline")
     assert p.count("BroadcastExchange") == 1
+
+
+def test_lookups_shuffle_only_matching_rows(spark):
+    """Without automatic broadcasts an id list is a pushed filter below any exchange."""
+    from folio.operators import documents as D
+    from folio.sources.tables import load_table
+    from pyspark.sql import functions as F
+
+    docs = load_table(spark, SF, "documents").select(F.col("source").alias("id"), F.col("lang").alias("slug"), "text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (D.get_documents(docs, ["src1"]), D.get_by_slug(docs, ["de"])):
+            assert "PushedFilters: [IsNotNull" in (p := df._jdf.queryExecution().executedPlan().toString()) or "In(" in p or "EqualTo(" in p, p
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
