@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -13,6 +13,8 @@ REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # JSON metadata rebuilds overlay keys with map_concat: last writer wins
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # INT96 instants carry no statistics that a scan could skip row groups by
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -31,13 +33,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediates.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system). Only when the session leaves it unset — local tests — do we
-    pick a scratch folder ourselves.
+    file system). Only a local session that leaves it unset gets a scratch
+    folder; on a cluster that is an error, since executors would write to
+    folders that the driver and the others cannot see.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
         conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="folio-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -48,7 +53,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{os.getpid()}-{next(_COUNTER)}"
+    return f"{base}/{name}-{spark.sparkContext.applicationId}-{next(_COUNTER)}"
 
 
 def _counter():

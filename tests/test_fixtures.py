@@ -43,3 +43,26 @@ def test_late_results_and_anchors(spark):
     late = res.filter(F.unix_micros("arrived_at") - F.unix_micros("enqueued_at") > 60 * 60_000_000)
     assert (res.count(), late.count()) == (750, 360)
     assert crawl.page_links(spark.read.parquet(f"{SF}/pages.parquet")).count() == 1413
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    """Only a local session may fall back on a folder of its own."""
+    import pytest
+
+    from folio.session import checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())

@@ -1,4 +1,4 @@
-"""Sources and sinks: table round trip, mock corpus, sitemap XML."""
+"""Sources and sinks: table round trip, sitemap XML."""
 
 import datetime as dt
 import glob
@@ -9,43 +9,48 @@ from pyspark.sql import functions as F
 
 from folio.operators import images as I, publish as P
 from folio.sources import documents as SD
-from folio.sources.fixtures import DOC_COLUMNS
 
 UTC = dt.timezone.utc
 AS_OF = dt.datetime(2025, 6, 1, tzinfo=UTC)
 
 
-def test_synthetic_corpus_shape(spark):
-    df = SD.synthetic_corpus(spark, n=600, days=180, seed=3, as_of=AS_OF).cache()
-    assert df.columns == list(DOC_COLUMNS)
-    n = df.count()
-    assert n == 600
-    urls = df.filter(F.col("source_type") == "url").count()
-    assert 0.6 * n < urls < 0.8 * n
-    tomb = df.filter(F.col("tombstone_at").isNotNull()).count()
-    assert 0.08 * n < tomb < 0.22 * n
-    assert df.filter(F.size("tags") != 3).count() == 0
-    again = SD.synthetic_corpus(spark, n=600, days=180, seed=3, as_of=AS_OF)
-    assert sorted(r.id for r in again.filter(F.col("seo_enabled")).collect()) == sorted(
-        r.id for r in df.filter(F.col("seo_enabled")).collect())
-
-
 def test_ingest_and_read_back(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="folio-docs-"), "t")
-    src = spark.createDataFrame(
-        [("a", dt.datetime(2024, 5, 1), '{"scraper_metadata":{"publish_date":"2024-04-01"},"tombstone_datetime":"2024-06-01T00:00:00Z"}', ["x"]),
-         ("b", dt.datetime(2024, 5, 2), None, [])],
-        "id string, created_at timestamp, metadata string, tags array<string>",
-    )
-    SD.ingest_documents(src, path, batch_id="b1")
+    meta = '{"scraper_metadata":{"publish_date":"2024-04-01"},"tombstone_datetime":"2024-06-01T00:00:00Z"}'
+    rows = [("a", dt.datetime(2024, 5, 1), meta, ["x"]), ("b", dt.datetime(2024, 5, 2), None, []),
+            ("b", dt.datetime(2024, 5, 3), None, ["later"]), ("b", dt.datetime(2024, 5, 2), None, [])]
+    schema = "id string, created_at timestamp, metadata string, tags array<string>"
+    src = spark.createDataFrame(rows, schema)
+    done = SD.ingest_documents(src, path, batch_id="b1")
+    assert [(r.id, list(r.tags), r.kept_in) for r in done.duplicates.collect()] == [("b", ["later"], "b1")]
     assert sorted(os.path.basename(p) for p in glob.glob(path + "/eff_month=*")) == ["eff_month=2024-04", "eff_month=2024-05"]
     SD.ingest_documents(src, path, batch_id="b1")  # a replayed batch replaces itself
     assert SD.read_documents(spark, path).count() == 2
-    SD.ingest_documents(src.limit(1), path, batch_id="b2")  # another batch adds
-    assert SD.read_documents(spark, path).count() == 3
-    back = {r.id: r for r in SD.read_documents(spark, path).filter("ingest_batch = 'b1'").collect()}
+    # another batch adds new ids only
+    more = spark.createDataFrame([("a", dt.datetime(2024, 7, 1), None, []), ("c", dt.datetime(2024, 7, 1), None, [])], schema)
+    again = SD.ingest_documents(more, path, batch_id="b2")
+    assert [(r.id, r.kept_in) for r in again.duplicates.collect()] == [("a", "b1")]
+    back = {r.id: r for r in SD.read_ingested(spark, path).collect()}
+    assert set(back) == {"a", "b", "c"} and all(r.seo_enabled for r in back.values())
     assert back["a"].effective_date == dt.datetime(2024, 4, 1) and back["a"].tombstone_at == dt.datetime(2024, 6, 1)
     assert back["b"].metadata == "{}" and back["b"].effective_date == dt.datetime(2024, 5, 2)
+    # a replay that leaves a month removes the month's old files
+    SD.ingest_documents(src.filter("id = 'a'"), path, batch_id="b1")
+    assert {r.id for r in SD.read_ingested(spark, path).collect()} == {"a", "c"}
+
+
+def test_date_ranges_prune_months_and_instants_carry_statistics(spark):
+    import pyarrow.parquet as pq
+
+    path = os.path.join(tempfile.mkdtemp(prefix="folio-docs-"), "t")
+    src = spark.createDataFrame([(str(i), dt.datetime(2024, 1 + i % 12, 3)) for i in range(48)], "id string, created_at timestamp").withColumn("metadata", F.lit("{}"))
+    SD.ingest_documents(src, path, batch_id="b")
+    day = SD.read_ingested(spark, path, date_start=dt.datetime(2024, 5, 1), date_end=dt.datetime(2024, 5, 9))
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(eff_month" in plan and day.count() == 4
+    one = glob.glob(path + "/eff_month=2024-05/*/*.parquet")[0]
+    kinds = {c.name: c.physical_type for c in (pq.ParquetFile(one).schema.column(i) for i in range(11))}
+    assert kinds["effective_date"] == kinds["created_at"] == "INT64"
 
 
 def test_backfill_is_strict(spark):
@@ -112,3 +117,16 @@ def test_size_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
+
+
+def test_sitemap_beyond_its_default_and_large_image_groups(spark):
+    docs = spark.range(2500).select(
+        F.concat(F.lit("d"), F.col("id")).alias("id"), F.timestamp_seconds(F.col("id")).alias("created_at"),
+        F.timestamp_seconds(F.col("id")).alias("effective_date"), F.concat(F.lit("s"), F.col("id")).alias("slug"),
+        F.lit(True).alias("seo_enabled"), F.lit(None).cast("timestamp").alias("tombstone_at"))
+    assert P.sitemap_entries(docs, "http://x", as_of=AS_OF).count() == 1000
+    assert P.sitemap_entries(docs, "http://x", as_of=AS_OF, limit=None).count() == 2500
+    images = spark.range(20_000).select(F.col("id").cast("string").alias("id"), F.lit("one").alias("slug"), F.lit("").alias("summary"), F.lit("").alias("alt_text"))
+    sizes = [len(r.images) for r in I.image_sitemap_entries(images, "http://x").collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 1000
+    assert [len(r.images) for r in I.image_sitemap_entries(images, "http://x", max_images=None).collect()] == [20_000]
