@@ -89,11 +89,12 @@ def bucket_width(start, end) -> int:
     return 48 * _HOUR
 
 
-def timeline_plan(start: _dt.datetime, end: _dt.datetime, bucket_seconds: int | None):
+def timeline_plan(start: _dt.datetime, end: _dt.datetime, bucket_seconds: int | None, max_buckets: int | None = 1000):
     """Bucket count and width (micros) of a timeline request (§2.10 items 1-2).
 
     Returns (n, width_us, duration_seconds). Width is kept exact in micros; the
-    reported duration is truncated to whole seconds.
+    reported duration is truncated to whole seconds. More than ``max_buckets``
+    buckets (1000, as in the reference; None: no bound) widen the buckets.
     """
     from folio.functions.common import micros
 
@@ -108,9 +109,9 @@ def timeline_plan(start: _dt.datetime, end: _dt.datetime, bucket_seconds: int |
     n = total_us // width_us
     if n == 0:
         n = 1
-    if n > 1000:
-        n = 1000
-        width_us = total_us // 1000
+    if max_buckets is not None and n > max_buckets:
+        n = max_buckets
+        width_us = total_us // max_buckets
         if width_us < 1_000_000:
             raise ValueError("bucket width must be at least one second")
     return n, width_us, width_us // 1_000_000

@@ -237,3 +237,23 @@ def resolve_link(base_url=None, href=None, *, base: Column | None = None) -> Col
         .when(h.startswith("?"), F.concat(b["no_query"], h))
         .otherwise(F.concat(b["origin"], b["directory"], h))
     )
+
+
+_DOTS = r"(^|/)\.\.?(/|$|\?|#)"
+
+
+def without_dots(url: Column) -> Column:
+    """An absolute address with the ``.`` and ``..`` segments of its path
+    removed (only http-like addresses that have such segments are rebuilt)."""
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    segments = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
+    )
+    folder = F.element_at(segments, -1).isin(".", "..")
+    rebuilt = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+    origin = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    tail = F.regexp_extract(url, r"^[^?#]*([?#].*)?$", 1)
+    return F.when((origin != "") & path.rlike(_DOTS), F.concat(origin, rebuilt, tail)).otherwise(url)

@@ -24,11 +24,26 @@ from folio.functions.urls import (
     url_key,
     with_url_key,
     with_url_parts,
+    without_dots,
 )
 from folio.functions.visibility import tombstone_at
 
 DAY_US = 86_400_000_000
-HREF_RE = r'href="([^"]*)"'
+# an anchor's href: quoted either way or bare, in any case, after other attributes
+HREF_RE = (
+    r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+)
+# The character references that HTML writers use inside addresses.
+REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&"))
+
+
+def _address(raw: Column) -> Column:
+    """Attribute value without quotes and with character references decoded."""
+    bare = F.when(raw.rlike("^[\"']"), F.substring(raw, 2, F.length(raw) - 2)).otherwise(raw)
+    decoded = bare
+    for name, char in REFERENCES:
+        decoded = F.replace(decoded, F.lit(name), F.lit(char))
+    return F.when(F.contains(bare, F.lit("&")), decoded).otherwise(bare)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -38,9 +53,19 @@ def page_links(pages: DataFrame) -> DataFrame:
     found = pages.select(
         "page_id",
         link_base("url").alias("_base"),
-        F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(HREF_RE), 1)).alias("pos", "href"),
+        F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(HREF_RE), 1)).alias("pos", "_raw"),
+    ).withColumn("href", _address(F.col("_raw")))
+    linked = found.withColumn("_link", resolve_link(href=F.col("href"), base=F.col("_base")))
+    return linked.select("page_id", "pos", "href", without_dots(F.col("_link")).alias("link"))
+
+
+def unscraped(accepted: DataFrame, scrapes: DataFrame) -> DataFrame:
+    """R59 failures: accepted URLs that no scrape answers, as (url, outcome,
+    message) rows."""
+    done = scrapes.select("url").distinct()
+    return accepted.select("url").distinct().join(done, "url", "left_anti").select(
+        "url", F.lit("failed").alias("outcome"), F.lit("scrape result missing").alias("message")
     )
-    return found.select("page_id", "pos", "href", resolve_link(href=F.col("href"), base=F.col("_base")).alias("link"))
 
 
 def gate(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -262,6 +287,13 @@ def url_rules(urls: DataFrame, url_col: str = "url") -> DataFrame:
     return ruled.withColumn("url_key", url_key(normalized=F.col("normalized_url")))
 
 
+def _first_per_url(rows: DataFrame) -> DataFrame:
+    """One row per URL, the least by content (a defined choice)."""
+    rest = [c for c in rows.columns if c != "url"]
+    least = F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_r")
+    return rows.groupBy("url").agg(least).select("url", "_r.*").select(*rows.columns)
+
+
 class CrawlStep(NamedTuple):
     documents: DataFrame  # new documents, slug clashes removed
     conflicts: DataFrame  # new documents whose slug is already taken (quarantined)
@@ -295,6 +327,8 @@ def crawl_step(
 
     split = seen_url_split(new_urls, seen, as_of=as_of, ttl_days=ttl_days)
     fresh = split.filter(~F.col("cached")).select("url").distinct()
+    # one row per URL: document ids hash the URL, so repeats would repeat ids
+    scores, scrapes = _first_per_url(scores), _first_per_url(scrapes)
     scored = gate(fresh.join(scores, "url"), threshold)
     low = low_score_documents(
         scored.filter(F.col("decision") == "rejected"), threshold=threshold, period_days=low_score_period_days, as_of=as_of
@@ -309,8 +343,14 @@ def crawl_step(
     clashes = slug_conflicts(pool).select("id", "kept_id").join(batch.select("id"), "id", "left_semi")
     conflicts = batch.join(clashes, "id", "left_semi")
     documents = batch.join(clashes, "id", "left_anti")
+    lost = unscraped(scored.filter(F.col("decision") != "rejected"), scrapes).select("url").unionByName(
+        fresh.join(scores.select("url"), "url", "left_anti")
+    )
+    split = split.join(lost.distinct().withColumn("_lost", F.lit(True)), "url", "left")
+    # a URL without a score or a scrape fails visibly
     outcome = (
         F.when(F.col("cached"), F.lit("cached"))
+        .when(F.col("_lost") & is_scrapable_url("url"), F.lit("failed"))
         .when(is_scrapable_url("url"), F.lit("accepted"))
         .otherwise(F.lit("error"))
     )

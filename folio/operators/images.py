@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.common import micros
+from folio.operators.merges import one_per_key
 
 DAY_US = 86_400_000_000
 SITEMAP_IMAGES_PER_URL = 1000
@@ -30,18 +31,23 @@ def best_images(documents: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-def image_sitemap_entries(images: DataFrame, base_url: str) -> DataFrame:
+def image_sitemap_entries(images: DataFrame, base_url: str, *, max_images: int | None = SITEMAP_IMAGES_PER_URL) -> DataFrame:
     """Images grouped by slug: page loc base/content/slug, image loc
     base/images/slug, caption and title omitted when empty.
 
-    One row per (slug, chunk) with the image list; a slug with more than
-    1000 images is split into hashed chunks (the sitemap limit per URL), so
-    no group grows with the data."""
+    One row per (slug, chunk) with the image list. ``max_images`` is the
+    sitemap protocol's bound per entry: a slug with more is cut into chunks of
+    at most that many, by hashed salt and rank within it, so that no task
+    gathers a whole slug. None keeps each slug in one entry."""
     imgs = images.filter(F.col("slug").isNotNull() & (F.col("slug") != ""))
-    counts = imgs.groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
-    chunked = imgs.join(counts, "slug").withColumn(
-        "chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SITEMAP_IMAGES_PER_URL).cast("long"))
-    )
+    if max_images is None:
+        chunked = imgs.withColumn("chunk", F.lit(0).cast("long"))
+    else:
+        counts = imgs.groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
+        salted = imgs.join(counts, "slug").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / max_images).cast("long")))
+        rank = F.row_number().over(Window.partitionBy("slug", "salt").orderBy("id"))
+        part = F.floor((rank - 1) / max_images).cast("long")
+        chunked = salted.withColumn("chunk", F.col("salt") + part * F.ceil(F.col("n") / max_images).cast("long"))
     img = F.struct(
         F.concat(F.lit(f"{base_url}/images/"), F.col("slug")).alias("loc"),
         F.when(F.col("summary") != "", F.col("summary")).alias("caption"),
@@ -71,13 +77,13 @@ def search_images(images: DataFrame, terms) -> DataFrame:
     return images.filter(F.exists(F.coalesce("tags", F.array().cast("array<string>")), hit))
 
 
-def image_updates(images: DataFrame, changes: DataFrame, *, as_of, period_days: int = 30):
+def image_updates(images: DataFrame, changes: DataFrame, *, as_of, period_days: int = 30, order: str | None = None):
     """Batch of image changes (id, action, tags) with action in
-    {replace_tags, tombstone, untombstone, delete}; one change per id.
+    {replace_tags, tombstone, untombstone, delete}; of several changes for one id
+    the last by ``order`` counts, and without an order they must be equal.
     Returns (new images, missing ids)."""
-    ch = changes.select(
-        "id", F.col("action").alias("chg_action"), F.col("tags").alias("chg_tags"), F.lit(True).alias("_hit")
-    )
+    single = one_per_key(changes, "id", ["action", "tags"], order)
+    ch = single.select("id", F.col("action").alias("chg_action"), F.col("tags").alias("chg_tags"), F.lit(True).alias("_hit"))
     j = images.join(ch, "id", "left")
     act = F.col("chg_action")
     when_ts = F.timestamp_micros(F.lit(micros(as_of) + period_days * DAY_US))
@@ -92,5 +98,5 @@ def image_updates(images: DataFrame, changes: DataFrame, *, as_of, period_days:
         )
         .select(*images.columns)
     )
-    missing = changes.select("id").join(images.select("id"), "id", "left_anti")
+    missing = changes.select("id").distinct().join(images.select("id"), "id", "left_anti")
     return out, missing

@@ -10,6 +10,9 @@ from folio.functions.text import clean_author, insert_image, paragraph_html
 from folio.operators.documents import list_documents
 
 SITEMAP_LIMIT = 1000
+# Fixed value: URLs a sitemap file may hold; shards aim below it.
+SITEMAP_MAX_URLS = 50_000
+SITEMAP_SHARD_URLS = 45_000
 # Fixed values of the sitemap protocol and the article schema.
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 IMAGE_NS = "http://www.google.com/schemas/sitemap-image/1.1"
@@ -17,10 +20,11 @@ CHANGE_FREQ = "weekly"
 PRIORITY = 0.5
 
 
-def sitemap_entries(documents: DataFrame, base_url: str, *, as_of) -> DataFrame:
-    """The newest 1000 visible documents are taken first, then those
-    without a slug dropped; loc, lastmod (created date), changefreq, priority."""
-    page = list_documents(documents, as_of=as_of, limit=SITEMAP_LIMIT)
+def sitemap_entries(documents: DataFrame, base_url: str, *, as_of, limit: int | None = SITEMAP_LIMIT) -> DataFrame:
+    """The newest ``limit`` visible documents are taken first (1000 by
+    default, as in the reference; None takes all), then those without a slug
+    dropped; loc, lastmod (created date), changefreq, priority."""
+    page = list_documents(documents, as_of=as_of, limit=limit)
     kept = page.filter(F.col("slug").isNotNull() & (F.col("slug") != "") & F.col("seo_enabled"))
     return kept.select(
         F.concat(F.lit(f"{base_url}/content/"), F.col("slug")).alias("loc"),
@@ -33,12 +37,14 @@ def sitemap_entries(documents: DataFrame, base_url: str, *, as_of) -> DataFrame:
 
 
 def write_sitemap(entries: DataFrame, path: str) -> None:
-    """Write <urlset><url>…</url></urlset> XML (one file per partition: a
-    natural sitemap shard)."""
+    """Write <urlset><url>…</url></urlset> XML, as many files as the protocol's
+    bound per file needs; rows are dealt out by hash, so no task gets them all."""
+    rows = entries.select("loc", "lastmod", "changefreq", "priority")
+    files = max(1, -(-rows.count() // SITEMAP_SHARD_URLS))
     (
-        entries.select("loc", "lastmod", "changefreq", "priority")
-        .coalesce(1)
+        rows.repartition(files, F.xxhash64("loc"))
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", SITEMAP_MAX_URLS)
         .format("xml")
         .option("rootTag", f'urlset xmlns="{SITEMAP_NS}"')
         .option("rowTag", "url")

@@ -14,36 +14,28 @@ REPORTED_STATUSES = ("pending", "processing", "completed", "failed", "queued")
 def document_stats(documents: DataFrame, *, as_of) -> DataFrame:
     """R37 as (metric, key, value) rows: live documents per source_type;
     documents with at least one tag; distinct tags; live and seo-enabled;
-    tombstones due. The scalar figures come from one conditional-aggregate
-    pass; per-type counts and distinct tags are two small group-bys."""
+    tombstones due. All counts come from one pass grouped by source type, whose
+    few rows are then added up; only the distinct tags need a second one."""
+    spark = documents.sparkSession
     live = is_live("tombstone_at", as_of)
-    scalars = documents.agg(
+    per_type = documents.groupBy("source_type").agg(
+        F.count_if(live).alias("live"),
         F.count_if(F.size(F.coalesce("tags", F.array())) > 0).alias("documents_with_tags"),
         F.count_if(F.col("seo_enabled") & live).alias("live_seo_enabled"),
         F.count_if(is_due("tombstone_at", as_of)).alias("tombstones_due"),
     )
-    rows = scalars.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("metric"), F.lit("").alias("key"), F.col(c).cast("long").alias("value"))
-                    for c in ("documents_with_tags", "live_seo_enabled", "tombstones_due")
-                ]
-            )
-        ).alias("r")
-    ).select("r.*")
-    by_type = (
-        documents.filter(live)
-        .groupBy("source_type")
-        .agg(F.count(F.lit(1)).alias("value"))
-        .select(F.lit("live_by_source_type").alias("metric"), F.col("source_type").alias("key"), "value")
-    )
+    totals = ("documents_with_tags", "live_seo_enabled", "tombstones_due")
+    row = lambda metric, key, value: F.struct(F.lit(metric).alias("metric"), key.alias("key"), value.cast("long").alias("value"))
+    parts = [row("live_by_source_type", F.col("source_type"), F.col("live")), *(row(c, F.lit(""), F.col(c)) for c in totals)]
+    rows = per_type.select(F.inline(F.array(*parts))).filter("metric <> 'live_by_source_type' OR value > 0")
+    zeros = spark.createDataFrame([(c, "", 0) for c in totals], "metric string, key string, value long")
+    counted = rows.unionByName(zeros).groupBy("metric", "key").agg(F.sum("value").alias("value"))
     tags = (
         documents.select(F.explode("tags").alias("tag"))
         .agg(F.count_distinct("tag").alias("value"))
         .select(F.lit("unique_tags").alias("metric"), F.lit("").alias("key"), "value")
     )
-    return rows.unionByName(by_type).unionByName(tags)
+    return counted.unionByName(tags)
 
 
 def jobs_by_status(jobs: DataFrame) -> DataFrame:
@@ -59,12 +51,14 @@ def jobs_by_status(jobs: DataFrame) -> DataFrame:
 
 def tombstone_report(log: DataFrame) -> DataFrame:
     """Tombstones created per (reason, tag) with the period distribution
-    (count, min, avg, max days). ``log`` rows: reason, tag, period_days."""
+    (count, min, avg, max and percentiles of days). ``log`` rows: reason, tag,
+    period_days. Percentiles are exact; they count distinct periods, which are few."""
     return log.groupBy("reason", "tag").agg(
         F.count(F.lit(1)).alias("tombstones"),
         F.min("period_days").alias("min_days"),
         F.round(F.avg("period_days"), 6).alias("avg_days"),
         F.max("period_days").alias("max_days"),
+        *(F.round(F.percentile("period_days", p / 100), 6).alias(f"p{p}_days") for p in (50, 90, 99)),
     )
 
 

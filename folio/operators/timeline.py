@@ -57,8 +57,8 @@ def top_tags_per_bucket(counts: DataFrame, k: int = 20) -> DataFrame:
     return ranked.withColumn("popularity_score", pop).withColumn("size_factor", size_factor("popularity_score"))
 
 
-def _ranked(documents: DataFrame, start, end, bucket_seconds, max_tags, as_of):
-    n, width_us, duration = timeline_plan(start, end, bucket_seconds)
+def _ranked(documents: DataFrame, start, end, bucket_seconds, max_tags, as_of, max_buckets=1000):
+    n, width_us, duration = timeline_plan(start, end, bucket_seconds, max_buckets)
     docs = assign_buckets(visible(documents, as_of), start, end, width_us)
     ranked = top_tags_per_bucket(bucket_tag_counts(docs), max_tags)
     return ranked, n, width_us, duration
@@ -72,10 +72,12 @@ def tag_timeline(
     as_of,
     bucket_seconds: int | None = None,
     max_tags: int = 20,
+    max_buckets: int | None = 1000,
 ) -> DataFrame:
     """One row per (listed bucket, top tag); empty buckets appear once
-    with a null tag. Buckets 0..n-1 are listed (§2.10)."""
-    ranked, n, width_us, duration = _ranked(documents, start, end, bucket_seconds, max_tags, as_of)
+    with a null tag. Buckets 0..n-1 are listed (§2.10). A request for more than
+    ``max_buckets`` buckets gets wider ones; None lifts the bound."""
+    ranked, n, width_us, duration = _ranked(documents, start, end, bucket_seconds, max_tags, as_of, max_buckets)
     spark = documents.sparkSession
     spine = spark.range(n).select(
         F.col("id").alias("bucket"),
@@ -85,8 +87,9 @@ def tag_timeline(
     listed = ranked.filter(F.col("bucket") < n).select(
         "bucket", "tag", "doc_count", "rank", "popularity_score", "size_factor"
     )
-    # listed rows are at most n * max_tags <= 100 000: a bounded broadcast
-    return spine.join(F.broadcast(listed), "bucket", "left")
+    # listed rows are at most n * max_tags: broadcast only while that is small
+    bounded = n * max_tags <= 100_000
+    return spine.join(F.broadcast(listed) if bounded else listed, "bucket", "left")
 
 
 def timeline_stats(
