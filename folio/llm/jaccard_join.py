@@ -343,11 +343,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``documents`` (doc_id, text)."""
     sets = stored(set_table(documents), "jaccard-sets")
     linked, _ = links(documents)
-    placed = sets.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("__group", F.coalesce("component", "set_id"))
-    lowest = placed.filter("__group IS NOT NULL").groupBy("__group").agg(F.min("doc_id").alias("lowest"))
-    return placed.join(lowest, "__group", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")
-    )
+    # name the components from one row per set, so that copies meet no task twice
+    each = sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
+    placed = each.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("__group", F.coalesce("component", "set_id"))
+    lowest = placed.groupBy("__group").agg(F.min("first").alias("component_id"))
+    names = stored(placed.join(lowest, "__group").select("set_id", "component_id"), "jaccard-names")
+    named = sets.filter("set_id IS NOT NULL").join(names, "set_id", "left").select("doc_id", "n_shingles", "component_id")
+    return named.union(sets.filter("set_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_per_group(documents: DataFrame) -> DataFrame:
