@@ -146,6 +146,7 @@ def ingest_documents(
     else:
         kept = unique
     out = kept.select(*DOC_COLUMNS, "eff_month").withColumn("ingest_batch", F.lit(batch_id))
+    earlier = [x.getPath() for x in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/eff_month=*/ingest_batch={batch_id}")) or []]
     # each task writes its rows clustered by month and date, so row groups
     # carry tight min/max statistics on effective_date for date-range skipping
     (
@@ -157,11 +158,12 @@ def ingest_documents(
         .partitionBy("eff_month", "ingest_batch")
         .parquet(path)
     )
-    months = {r[0] for r in out.select("eff_month").distinct().collect()}  # one row per month
-    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/eff_month=*/ingest_batch={batch_id}")) or []:
-        month = status.getPath().getParent().getName().partition("=")[2]
-        if (None if month == "__HIVE_DEFAULT_PARTITION__" else month) not in months:
-            fs.delete(status.getPath(), True)
+    if earlier:  # a re-run: months that it no longer touches
+        months = {r[0] for r in out.select("eff_month").distinct().collect()}  # one row per month
+        for folder in earlier:
+            month = folder.getParent().getName().partition("=")[2]
+            if (None if month == "__HIVE_DEFAULT_PARTITION__" else month) not in months:
+                fs.delete(folder, True)
     return Ingested(out, repeated.select(*DOC_COLUMNS, "kept_in"))
 
 
