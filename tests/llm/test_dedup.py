@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from llm_fixtures import edge_docs, lspark, no_docs  # noqa: F401
 from folio.llm import jaccard_join, suffix_dedup
 from folio.llm.queries import QUERIES
 

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import edge_docs, lspark, no_docs  # noqa: F401
 from folio.llm import quality_classifier, quality_rules, secret_scan, vector_topk, warc
 from folio.llm.queries import ORACLES, QUERIES
 

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from llm_fixtures import edge_docs, lspark, no_docs  # noqa: F401
 from folio.llm import packing, sentencepiece_codec, token_files
 from folio.llm.queries import QUERIES
 from folio.llm.tokens import TextEncoder, default_tokenizer
