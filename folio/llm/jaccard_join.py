@@ -12,8 +12,9 @@ by the pigeonhole principle at least K-D blocks of a linked pair come from the
 same shingles. A document emits its fullest blocks, at least D+1 of them and
 all that hold as many shingles as the last of these; of two linked documents
 the one with the higher cut-off therefore emits a block that the other emits
-too. Blocks are 2**16 bits wide and almost empty, so each travels as the XOR of
-one random word per set bit. Sets of up to 12 shingles instead enumerate the
+too. Blocks are 2**32 bits wide and almost empty, so each travels as the XOR of
+one random word per set bit: blocks of different shingles stay apart however
+many documents there are. Sets of up to 12 shingles instead enumerate the
 sketches within their bound (at most two shingles left out).
 
 Work per group of equal blocks is linear: each member is paired with the
@@ -124,7 +125,7 @@ def block_keys(shingles: np.ndarray) -> np.ndarray:
         tokens = A.mix64(shingles)
         whole = np.bitwise_xor.reduce(tokens)
         out.append(np.array([whole ^ np.bitwise_xor.reduce(tokens[list(c)], initial=U(0)) for d in range(n * (DENOMINATOR - NUMERATOR) // DENOMINATOR + 1) for c in combinations(range(n), d)], U))
-    bit = A.mix64((shingles & U(0xFFFF)) + U(0x1234567))
+    bit = A.mix64((shingles & U(0xFFFFFFFF)) + U(0x1234567))
     for index, blocks, bound in roles(n):
         block = (((shingles >> U(32)) * U(blocks)) >> U(32)).astype(np.int64)
         count = np.bincount(block, minlength=blocks)
