@@ -31,7 +31,7 @@ MAX_REPEAT_PERCENT = 50
 #: Rules of a line; percentages are of its word characters or words.
 MAX_LINE_SYMBOL_PERCENT = 10
 MAX_LINE_LOSS_PERCENT = 50
-NAVIGATION = "([|»•].*){3}"
+NAVIGATION = "([|»•][^\\n]*){3}"
 PHRASES = (
     "ookie policy", "ookie Policy", "se cookies", "rivacy policy", "rivacy Policy", "erms of use", "erms of service",
     "ights reserved", "ights Reserved", "lick here", "nable JavaScript", "orem ipsum",
