@@ -149,18 +149,19 @@ def _sets(part: pa.RecordBatch, name: str) -> list[np.ndarray]:
 
 
 def set_table(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_id) per row; set_id null for empty sets."""
+    """(doc_id, text_id, n_shingles, set_id) per row; set_id null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in A.chunks(batch, "text"):
                 sets = _sets(part, "text")
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    [part.column("doc_id"), part.column("text_id"), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([set_identity(s) if len(s) else None for s in sets], pa.int64())],
-                    names=["doc_id", "n_shingles", "set_id"])
+                    names=["doc_id", "text_id", "n_shingles", "set_id"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(A.tidy(run), "doc_id long, n_shingles long, set_id long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
+    return rows.mapInArrow(A.tidy(run), "doc_id long, text_id long, n_shingles long, set_id long")
 
 
 def _keys(documents: DataFrame) -> DataFrame:
@@ -340,13 +341,20 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, edges
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``documents`` (doc_id, text)."""
+def _grouped_sets(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The set table, and per set (set_id, first, __group): its smallest doc_id
+    and the component it lies in."""
     sets = stored(set_table(documents), "jaccard-sets")
     linked, _ = links(documents)
     # name the components from one row per set, so that copies meet no task twice
     each = sets.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    placed = each.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("__group", F.coalesce("component", "set_id"))
+    placed = each.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left")
+    return sets, placed.select("set_id", "first", F.coalesce("component", "set_id").alias("__group"))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``documents`` (doc_id, text)."""
+    sets, placed = _grouped_sets(documents)
     lowest = placed.groupBy("__group").agg(F.min("first").alias("component_id"))
     names = stored(placed.join(lowest, "__group").select("set_id", "component_id"), "jaccard-names")
     named = sets.filter("set_id IS NOT NULL").join(names, "set_id", "left").select("doc_id", "n_shingles", "component_id")
@@ -354,7 +362,24 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def one_per_group(documents: DataFrame) -> DataFrame:
-    """``documents`` without those that a smaller doc_id of their component
-    stands for. Rows without an id or with an empty set stay."""
-    groups = near_duplicates(documents).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(groups, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """One row of ``documents`` per component: the smallest doc_id's, a row
+    without an id only where none of its component has one, of rows with the same
+    id and text any one. Rows with an empty set stay."""
+    sets, placed = _grouped_sets(documents)
+    # a row is told by its id and text: rows repeating an id may differ in text
+    kinds = sets.filter("set_id IS NOT NULL").groupBy("doc_id", "text_id").agg(F.first("set_id").alias("set_id"), F.count(F.lit(1)).alias("rows"))
+    # (component, keeper) from one row per set, so that copies meet no task twice
+    first = lambda *c: F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *c)).alias("keeper")
+    best = kinds.groupBy("set_id").agg(first("doc_id", "text_id"))
+    lowest = placed.join(best, "set_id").groupBy("__group").agg(F.min("keeper").alias("keeper"))
+    keeper = placed.join(lowest, "__group").select("set_id", F.col("keeper.doc_id").alias("__doc"), F.col("keeper.text_id").alias("__text"))
+    judged = stored(kinds.join(keeper, "set_id").select(
+        F.col("doc_id").alias("__id"), F.col("text_id").alias("__text_id"), "rows",
+        (F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("text_id") == F.col("__text"))).alias("keeps")), "jaccard-kinds")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__text_id"))
+    stay = documents.join(judged.filter("NOT keeps"), same, "left_anti")
+    several = judged.filter("keeps AND rows > 1")
+    if several.isEmpty():
+        return stay
+    once = stay.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.join(several, same, "left_anti").union(once)

@@ -79,11 +79,24 @@ def test_no_link_is_lost_by_the_blocks():
                 assert len(np.intersect1d(jaccard_join.block_keys(a), jaccard_join.block_keys(b))), (n, drop, add)
 
 
-def test_one_per_group_keeps_columns_and_odd_rows(edge_docs):
-    kept = jaccard_join.one_per_group(edge_docs)
-    assert kept.columns == edge_docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(None) == 2 and {4, 5, 6} <= set(ids)
+def test_one_per_group_keeps_one_row_of_each_component(lspark, edge_docs):
+    """Also of components with rows that repeat an id or have none."""
+    more = [(500, "un deux trois quatre cinq six"), (500, "un deux trois quatre cinq six"), (None, "seven eight nine"), (None, "Seven eight nine"),
+            (19, "an id twice with another text"), (1, "of id one as well but unlike it")]
+    extra = lspark.createDataFrame([(i, t, 0.5, 7, "s", 1, "k", len(t)) for i, t in more], edge_docs.schema)
+    docs = edge_docs.union(extra)
+    kept = jaccard_join.one_per_group(docs)
+    assert kept.columns == docs.columns
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    ids = [i for i, _ in rows]
+    assert 2 not in ids and 3 not in ids and {4, 5, 6} <= set(ids) and ids.count(500) == 1 and ids.count(14) == 1 and ids.count(19) == 2 and ids.count(1) == 2
+    assert sorted(t.lower() for i, t in rows if i is None and t) == ["seven eight nine"]
+    # as many non-empty sets stay as there are components, none linked with another
+    every = components([(k, r["text"]) for k, r in enumerate(docs.collect())])
+    alone = components([(k, t) for k, (_, t) in enumerate(rows)])
+    assert sum(n > 0 for _, n, _ in alone) == len({c for _, n, c in every if n})
+    assert all(i == c for i, _, c in alone)
+    assert jaccard_join.one_per_group(docs.limit(0)).count() == 0
 
 
 def test_chain_of_links_is_one_component(lspark):
