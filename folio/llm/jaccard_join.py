@@ -20,8 +20,12 @@ sketches within their bound (at most two shingles left out).
 Work per group of equal blocks is linear: each member is paired with the
 group's smallest set. Verified links are joined into components; only groups
 that still hold several components compare members across components, sketch
-against sketch, until nothing is left unchecked. No link between different sets
-is lost, and copies (equal sets) are one node throughout.
+against sketch, until nothing is left unchecked. Sets of an open group of more
+than ``TILE`` members are grouped anew by their rarest shingles: two linked sets
+share one of the first n - ceil(0.8 n) + 1 in any common order. What is still
+larger is cut in tiles, and pairs of tiles are dealt over the tasks; tiles of
+one component never meet. No link between different sets is lost, and copies
+(equal sets) are one node throughout.
 
 Edge cases: a null or empty text, or one without words, has an empty set, links
 with nothing and is its own component; fewer words than the width form one
@@ -51,6 +55,10 @@ WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
 TINY = 10
 SKETCH_WORDS = 16
+#: Members that a task compares at once; larger groups are cut.
+TILE = 1024
+#: Nodes in which shingles are counted, and shingles that get a place by count.
+COUNTED, ORDERED = 1 << 16, 1 << 16
 U = np.uint64
 
 
@@ -269,40 +277,144 @@ def _verified(pairs: DataFrame, details: DataFrame) -> DataFrame:
     return joined.mapInArrow(A.tidy(run), "u long, v long")
 
 
-def _across(stars: DataFrame, comps: DataFrame, details: DataFrame) -> DataFrame:
+def prefix_length(n: int) -> int:
+    """So many of the first shingles, in any order common to all sets, contain
+    one that each linked set of any size has among its own first ones."""
+    return n + (-NUMERATOR * n // DENOMINATOR) + 1
+
+
+def _frequent(details: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, count) of at most ``ORDERED`` frequent shingles of the nodes,
+    sorted by shingle. They only order shingles, and any order finds every link:
+    so they are counted in about ``COUNTED`` nodes, told by their hash."""
+    few = max(1, nodes.count() // COUNTED)
+    some = details.join(nodes.filter(F.pmod(F.xxhash64("set_id"), F.lit(few)) == 0), "set_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _unpacked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
+
+    counted = some.select("set_id", "packed").mapInArrow(A.tidy(run), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("count"))
+    top = counted.filter("count > 1").orderBy(F.desc("count"), "shingle").limit(ORDERED).toArrow()
+    shingle, count = top.column("shingle").to_numpy().view(U), top.column("count").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], count[order]
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Nodes and their sets, computed again from the packed texts."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        node = batch.column("set_id").to_numpy()
+        for lo in range(0, len(node), 64):
+            some = [unpack.decompress(batch.column("packed")[i].as_buffer()) for i in range(lo, min(lo + 64, len(node)))]
+            hashes, cut = shingle_hashes(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in some])]))
+            yield node[lo : lo + 64], [np.unique(hashes[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _prefixes(details: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(shingle, node) of each node's first shingles, rare ones first."""
+    known, count = _frequent(details, nodes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, sets in _unpacked(batches):
+            firsts = []
+            for s in sets:
+                often = np.zeros(len(s), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    often = np.where(known[at] == s, count[at], 0)
+                firsts.append(s[np.lexsort((s, often))[: prefix_length(len(s))]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(node, [len(f) for f in firsts]))], names=["shingle", "node"])
+
+    return details.join(nodes, "set_id", "left_semi").select("set_id", "packed").mapInArrow(A.tidy(run), "shingle long, node long")
+
+
+def _tiles(rows: DataFrame, key: str) -> DataFrame:
+    """(group, side, node, component) from (key, node, component): a key of at
+    most ``TILE`` members is one group with side 0. A larger one is cut in tiles
+    of about that size, large components in tiles of their own and small ones
+    pooled whole; a group is a pool (side 0) or two tiles (sides 1 and 2) that
+    are not of one large component."""
+    parts = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("c"))
+    sizes = parts.groupBy(key).agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("k"), F.sum(F.when(2 * F.col("c") <= TILE, F.col("c")).otherwise(0)).alias("pooled")).filter("k > 1")
+    small = rows.join(sizes.filter(F.col("m") <= TILE).select(key), key)
+    small = small.select(F.xxhash64(key).alias("group"), F.lit(0).alias("side"), "node", "component")
+    wide = sizes.filter(F.col("m") > TILE).select(key, F.ceil(F.col("pooled") / TILE).alias("pools"))
+    big = parts.filter(2 * F.col("c") > TILE).withColumn("own", F.ceil(F.col("c") / TILE))
+    # as many rows per key as it has tiles, at most
+    listed = big.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("component", "own"))).alias("bigs"))
+    total = F.aggregate("bigs", F.lit(0).cast("long"), lambda acc, x: acc + x["own"])
+    wide = wide.join(listed, key, "left").withColumn("bigs", F.coalesce("bigs", F.expr("array()").cast("array<struct<component:bigint,own:bigint>>"))).withColumn("tiles", F.col("pools") + total)
+    begins = wide.select(key, "pools", F.posexplode("bigs").alias("at", "big"), "bigs").select(
+        key, F.col("big.component").alias("component"), F.col("big.own").alias("own"),
+        (F.col("pools") + F.aggregate(F.slice("bigs", 1, F.col("at")), F.lit(0).cast("long"), lambda acc, x: acc + x["own"])).alias("begin"))
+    placed = rows.join(wide.select(key, "pools", "tiles"), key).join(begins, [key, "component"], "left")
+    mine = F.when(F.col("begin").isNull(), F.pmod(F.xxhash64("component"), "pools")).otherwise(F.col("begin") + F.pmod(F.xxhash64("node"), "own"))
+    placed = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    placed = placed.filter("begin IS NULL OR other < begin OR other >= begin + own")
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return small.union(placed.select(F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), side.alias("side"), "node", "component"))
+
+
+def _open_groups(stars: DataFrame, comps: DataFrame, details: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(group, side, node, component), and the stored tables it reads: every pair of linked sets that no star
+    compared and that lie in different components meets in a group, with side 0
+    or on its two sides. Keys of up to ``TILE`` members are groups; the sets of
+    larger ones are grouped by their rarest shingles instead (prefix filter)."""
+    # the star's centre was compared with all others
+    placed = stars.select("key", F.col("b").alias("node")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
+    open_ = stored(placed.join(keys.select("key", "m"), "key").select("key", "node", "component", "m"), "jaccard-open")
+    rows = _tiles(open_.filter(F.col("m") <= TILE), "key")
+    large = open_.filter(F.col("m") > TILE).select("node", "component").distinct()
+    if large.isEmpty():
+        return rows, [open_]
+    large = stored(large, "jaccard-large")
+    shingles = stored(_prefixes(details, large.select(F.col("node").alias("set_id"))), "jaccard-prefixes")
+    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("shingle")
+    meet = stored(shingles.join(shared, "shingle").join(large, "node").select("shingle", "node", "component"), "jaccard-shared")
+    discard(shingles, large)
+    return rows.union(_tiles(meet, "shingle")), [open_, meet]
+
+
+def _across(stars: DataFrame, comps: DataFrame, details: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs (a, b) of a key's members in different components that no star
-    compared, if sizes and sketches allow a link."""
-    members = stars.select("key", F.col("b").alias("node")).union(stars.groupBy("key").agg(F.min("a").alias("node")))
-    placed = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi AND m > 2").select("key")
-    rows = placed.join(open_keys, "key").join(details.select(F.col("set_id").alias("node"), "n", "sketch"), "node")
+    compared, if sizes and sketches allow a link; and the stored tables read."""
+    groups, tables = _open_groups(stars, comps, details)
+    rows = groups.join(details.select(F.col("set_id").alias("node"), "n", "sketch"), "node")
 
     def compare(block: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        node, comp, n, sketch = block["node"], block["component"], block["n"], block["sketch"]
-        for lo in range(1, len(node), 128):  # row 0 is the star's centre
-            for at in range(lo, len(node), 8192):
-                i, j = slice(lo, min(lo + 128, len(node))), slice(at, min(at + 8192, len(node)))
-                total = n[i, None] + n[None, j]
-                ok = (comp[i, None] != comp[None, j]) & (DENOMINATOR * np.minimum(n[i, None], n[None, j]) >= NUMERATOR * np.maximum(n[i, None], n[None, j]))
-                x, y = np.nonzero(ok)
-                keep = node[i][x] < node[j][y]
-                x, y = x[keep], y[keep]
+        if block["side"].any():  # two tiles
+            left, right = ({c: v[block["side"] == s] for c, v in block.items()} for s in (1, 2))
+        else:
+            left = right = block
+        within = left is right
+        for lo in range(0, len(left["node"]), 128):
+            for at in range(lo if within else 0, len(right["node"]), 8192):
+                i, j = slice(lo, lo + 128), slice(at, at + 8192)
+                a, b = left["node"][i], right["node"][j]
+                n, m = left["n"][i][:, None], right["n"][j][None, :]
+                ok = (left["component"][i][:, None] != right["component"][j][None, :]) & (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
+                x, y = np.nonzero(ok & (a[:, None] < b[None, :]) if within else ok)
                 for s in range(0, len(x), 65536):
                     p, q = x[s : s + 65536], y[s : s + 65536]
-                    far = np.bitwise_count(sketch[i][p] ^ sketch[j][q]).sum(axis=1)
-                    near = (DENOMINATOR + NUMERATOR) * far <= (DENOMINATOR - NUMERATOR) * total[p, q]
+                    far = np.bitwise_count(left["sketch"][i][p] ^ right["sketch"][j][q]).sum(axis=1)
+                    near = (DENOMINATOR + NUMERATOR) * far <= (DENOMINATOR - NUMERATOR) * (n[p, 0] + m[0, q])
                     if near.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(node[i][p[near]]), pa.array(node[j][q[near]])], names=["a", "b"])
+                        u, v = a[p[near]], b[q[near]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
 
         def columns(batch):
-            out = {c: batch.column(c).to_numpy() for c in ("key", "node", "component", "n")}
+            out = {c: batch.column(c).to_numpy() for c in ("group", "side", "node", "component", "n")}
             return out | {"sketch": batch.column("sketch").flatten().to_numpy().view(U).reshape(-1, SKETCH_WORDS)}
 
         def groups(block, last):
-            edges = np.concatenate([[0], np.flatnonzero(block["key"][1:] != block["key"][:-1]) + 1, [len(block["key"])]])
+            edges = np.concatenate([[0], np.flatnonzero(block["group"][1:] != block["group"][:-1]) + 1, [len(block["group"])]])
             for a, b in zip(edges[:-1], edges[1:] if last else edges[1:-1], strict=False):
                 yield {c: v[a:b] for c, v in block.items()}
             held[:] = [] if last else [{c: v[edges[-2] :] for c, v in block.items()}]
@@ -310,7 +422,7 @@ def _across(stars: DataFrame, comps: DataFrame, details: DataFrame) -> DataFrame
         for batch in batches:
             if batch.num_rows:
                 held.append(columns(batch))
-                if held[0]["key"][0] != held[-1]["key"][-1]:
+                if held[0]["group"][0] != held[-1]["group"][-1]:
                     block = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
                     for g in groups(block, False):
                         yield from compare(g)
@@ -318,7 +430,7 @@ def _across(stars: DataFrame, comps: DataFrame, details: DataFrame) -> DataFrame
             for g in groups({c: np.concatenate([h[c] for h in held]) for c in held[0]}, True):
                 yield from compare(g)
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "component", "n", "sketch").mapInArrow(A.tidy(run), "a long, b long").distinct()
+    return rows.repartition("group").sortWithinPartitions("group", "node").select("group", "side", "node", "component", "n", "sketch").mapInArrow(A.tidy(run), "a long, b long").distinct(), tables
 
 
 def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -330,8 +442,9 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     details = stored(_node_details(documents, nodes), "jaccard-nodes")
     edges = stored(_verified(_promising(pairs, details), details), "jaccard-links")
     found = components(edges, "jaccard-components")
-    more = stored(_verified(_across(stars, found, details), details), "jaccard-links")
-    discard(stars, details)
+    apart, tables = _across(stars, found, details)
+    more = stored(_verified(apart, details), "jaccard-links")
+    discard(stars, details, *tables)
     if not more.isEmpty():
         # the second round only joins components of the first
         both = stored(edges.union(more), "jaccard-links")

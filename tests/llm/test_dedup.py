@@ -162,3 +162,53 @@ def test_local_decision_paths_agree():
     want = windows(suffix_dedup._by_windows(index, block, offset, rows, group))
     assert want and windows(suffix_dedup._along_anchors(index, block, offset, rows, group)) == want
     assert set().union(*(windows(suffix_dedup._by_bytes(index, block, offset, rows[group == g])) for g in np.unique(group))) == want
+
+
+def hot_rows():
+    """A common passage with other words of each row's own, and near copies of some rows."""
+    passage = " ".join(f"p{j}" for j in range(60))
+    rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1].replace(f"w{i}x0", "new")) for i in range(0, 400, 20)]
+    return rows + [(2000 + i, rows[7][1] + f" more{i}") for i in range(60)]
+
+
+def _groups_of(df):
+    stars = jaccard_join.stored(jaccard_join._stars(jaccard_join._keys(df).repartition("key").sortWithinPartitions("key", "set_id")), "test-stars")
+    pairs = stars.select("a", "b").distinct()
+    details = jaccard_join._node_details(df, stars.selectExpr("a AS set_id").union(stars.selectExpr("b AS set_id")).distinct())
+    found = jaccard_join.components(jaccard_join._verified(jaccard_join._promising(pairs, details), details), "test-components")
+    groups, _ = jaccard_join._open_groups(stars, found, details)
+    return stars.groupBy("key").count().agg({"count": "max"}).first()[0], [r["count"] for r in groups.groupBy("group").count().collect()]
+
+
+def test_no_open_group_of_a_common_passage_is_one_task(lspark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 64)
+    rows = hot_rows()
+    df = lspark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key, groups = _groups_of(df)
+    assert key > 200 and max(groups, default=0) <= 4 * 64
+    assert as_rows(jaccard_join.near_duplicates(df)) == components(rows)
+
+
+@pytest.mark.parametrize("tile, counted", [(2, 1 << 16), (8, 4)])
+def test_join_equals_brute_force_in_tiles(lspark, edge_docs, monkeypatch, tile, counted):
+    """Also with nearly every open group cut, and shingles counted in few nodes."""
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "COUNTED", counted)
+    rows = [(r["doc_id"], r["text"]) for r in edge_docs.collect()] + hot_rows()[:60] + hot_rows()[400:]
+    df = lspark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert as_rows(jaccard_join.near_duplicates(df)) == components(rows)
+
+
+def test_linked_sets_share_a_shingle_of_their_prefixes():
+    rng = np.random.default_rng(6)
+    for n in range(1, 200):
+        for _ in range(10):
+            a = rng.permutation(2 * n + 4)[:n]
+            keep = rng.permutation(a)[: n - rng.integers(0, n // 5 + 1)]
+            common, most = len(keep), 0
+            while 100 * common >= 80 * (n + most + 1):
+                most += 1
+            b = np.concatenate([keep, 10_000 + np.arange(rng.integers(0, most + 1)) - 20_000 * rng.integers(0, 2)])
+            if 100 * common >= 80 * (len(a) + len(b) - common):
+                assert set(np.sort(a)[: jaccard_join.prefix_length(len(a))]) & set(np.sort(b)[: jaccard_join.prefix_length(len(b))])
