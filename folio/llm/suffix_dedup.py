@@ -12,7 +12,9 @@ windows anchored there) can decide about them. Equal contexts are one entry:
 those of one chunk are met before anything is shuffled, the others in the task
 that decides; all windows of a context met twice repeat. A gram with thousands
 of different contexts is split by window offset and by the bytes that all
-windows of the offset range share.
+windows of the offset range share; equal pieces are then met again, by a 256-bit
+digest on Spark, and only different ones go on. Where thousands of these still
+share a bucket, the windows themselves are met by their digests.
 
 Deciding. In a task the contexts are indexed by prefix polynomial hashes. The
 suffixes at the anchors of one gram are merge-sorted, two suffixes being
@@ -302,12 +304,14 @@ def _packed_texts(documents: DataFrame) -> DataFrame:
 def _contexts(places: DataFrame) -> DataFrame:
     """Cut the context of every repeated anchor. ``places``: (text_id, packed,
     spots: array of (gram, at, contexts)). Output (bucket, text_id, start, lo,
-    hi, context): context starts at ``start`` and holds the windows with
-    offsets lo..hi, the one with offset x starting at byte hi - x."""
+    hi, context, digest): context starts at ``start`` and holds the windows with
+    offsets lo..hi, the one with offset x starting at byte hi - x. Pieces of
+    split grams have a digest, and a context only where it is new in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        names = ["bucket", "text_id", "start", "lo", "hi", "context"]
+        names = ["bucket", "text_id", "start", "lo", "hi", "context", "digest"]
+        met: set[bytes] = set()
         for batch in batches:
             out: list[list] = [[] for _ in names]
             held = 0
@@ -332,7 +336,12 @@ def _contexts(places: DataFrame) -> DataFrame:
                         start = where - hi
                         context = text[start : where - lo + LENGTH]
                         held += len(context)
-                        for column, value in zip(out, (key, text_id, start, lo, hi, context), strict=True):
+                        digest = None
+                        if many > WIDE:
+                            digest = hashlib.blake2b(context, digest_size=32, salt=(lo * 256 + hi).to_bytes(2, "big"), key=key.to_bytes(8, "big", signed=True)).digest()
+                            context = None if digest in met else context
+                            met.add(digest)
+                        for column, value in zip(out, (key, text_id, start, lo, hi, context, digest), strict=True):
                             column.append(value)
                 if held > 4 * BUDGET:
                     yield _context_batch(out, names)
@@ -340,11 +349,36 @@ def _contexts(places: DataFrame) -> DataFrame:
             if held:
                 yield _context_batch(out, names)
 
-    return places.mapInArrow(A.tidy(run), "bucket long, text_id long, start long, lo int, hi int, context binary")
+    return places.mapInArrow(A.tidy(run), "bucket long, text_id long, start long, lo int, hi int, context binary, digest binary")
+
+
+def _pieces_apart(pieces: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(text_id, first, last) runs of repeated window starts among the pieces of
+    split grams, and the stored tables read. Pieces met twice repeat as a whole;
+    buckets with more than ``WIDE`` different ones are decided by window."""
+    pieces = stored(pieces, "suffix-pieces")
+    several = pieces.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    whole = pieces.join(several, "digest").select("text_id", F.col("start").alias("first"), (F.col("start") + F.col("hi") - F.col("lo")).alias("last"))
+    columns = ["bucket", "text_id", "start", "lo", "hi", "context"]
+    one = stored(pieces.filter("context IS NOT NULL").groupBy("digest").agg(F.first(F.struct(*columns)).alias("p")).select("p.*"), "suffix-different")
+    full = stored(one.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > WIDE).select("bucket"), "suffix-full")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in A.chunks(batch, "context", BUDGET):
+                rows = []
+                for text_id, start, lo, hi, context in zip(*(part.column(c).to_pylist() for c in columns[1:]), strict=True):
+                    rows += [(hashlib.blake2b(context[i : i + LENGTH], digest_size=32).digest(), text_id, start + i) for i in range(hi - lo + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["window", "text_id", "first"])
+
+    windows = stored(one.join(full, "bucket", "left_semi").select(*columns).mapInArrow(A.tidy(run), "window binary, text_id long, first long"), "suffix-windows")
+    again = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
+    found = _repeats(one.join(full, "bucket", "left_anti").select(*columns))
+    return whole.union(found).union(windows.join(again, "window").select("text_id", "first", F.col("first").alias("last"))), [pieces, one, full, windows]
 
 
 def _context_batch(out: list[list], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
 
@@ -494,13 +528,21 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     local = rows.filter("gram IS NULL").selectExpr("text_id", "shiftright(at, 16) - (at & 255) AS first", "shiftright(at, 16) - (shiftright(at, 8) & 255) AS last")
     # a gram counts each place once: smallest and largest place differ
     place = F.xxhash64("text_id", "at")
-    grams = open_.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("gram", "contexts")
-    spots = open_.join(grams, "gram").groupBy("text_id").agg(F.collect_list(F.struct("gram", "at", "contexts")).alias("spots"))
-    found = _repeats(_contexts(_one_each(documents).join(spots, "text_id").select("text_id", "packed", "spots")))
+    grams = stored(open_.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("gram", "contexts"), "suffix-grams")
+
+    def contexts(some: DataFrame) -> DataFrame:
+        spots = open_.join(some, "gram").groupBy("text_id").agg(F.collect_list(F.struct("gram", "at", "contexts")).alias("spots"))
+        return _contexts(_one_each(documents).join(spots, "text_id").select("text_id", "packed", "spots"))
+
+    found, tables = _repeats(contexts(grams.filter(F.col("contexts") <= WIDE)).drop("digest")), []
+    wide = grams.filter(F.col("contexts") > WIDE)
+    if not wide.isEmpty():
+        split, tables = _pieces_apart(contexts(wide))
+        found = found.union(split)
     size = F.octet_length(F.coalesce("text", F.lit("")))
     copies = documents.select(_text_id().alias("text_id"), size.alias("size")).filter(F.col("size") >= LENGTH).groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size")).filter("n > 1")
     out = stored(found.union(local).union(copies.select("text_id", F.lit(0).cast("long"), (F.col("size") - LENGTH).cast("long"))), "suffix-repeats")
-    discard(rows)
+    discard(rows, grams, *tables)
     return out
 
 

@@ -212,3 +212,24 @@ def test_linked_sets_share_a_shingle_of_their_prefixes():
             b = np.concatenate([keep, 10_000 + np.arange(rng.integers(0, most + 1)) - 20_000 * rng.integers(0, 2)])
             if 100 * common >= 80 * (len(a) + len(b) - common):
                 assert set(np.sort(a)[: jaccard_join.prefix_length(len(a))]) & set(np.sort(b)[: jaccard_join.prefix_length(len(b))])
+
+
+@pytest.mark.parametrize("length, wide", [(250, 30), (203, 30), (195, 30), (250, 4)])
+def test_no_bucket_holds_every_text_of_a_hot_passage(lspark, monkeypatch, length, wide):
+    """Texts that share a short passage with different bytes around it."""
+    rng = np.random.default_rng(8)
+    word = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage = word(length)
+    rows = [(i, word(int(rng.integers(100, 300))) + passage + word(int(rng.integers(100, 300)))) for i in range(150)]
+    df = lspark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    most = []
+    decide = suffix_dedup._repeats
+
+    def counted(contexts):
+        most.extend(r["count"] for r in contexts.groupBy("bucket").count().collect())
+        return decide(contexts)
+
+    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+    monkeypatch.setattr(suffix_dedup, "_repeats", counted)
+    assert as_rows(suffix_dedup.repeat_digest(df)) == repeats(rows)
+    assert max(most, default=0) <= wide
