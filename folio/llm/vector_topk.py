@@ -16,8 +16,12 @@ d(q', p) + r >= lo; all others are never read. Scores are computed in exact
 integer arithmetic (float64 products while they stay below 2^53, else 64-bit
 integers).
 
+Copies. Of equal vectors the k + 1 smallest ids are candidates, which is enough
+for every answer, and equal query vectors are searched once, for k + 1 answers;
+each query then drops itself and keeps k.
+
 The pivots are a documented, bounded sample (the ``PIVOTS`` vectors whose ids
-hash lowest); every row is indexed and the search is exact.
+hash lowest); every candidate is indexed and the search is exact.
 
 Edge cases: null vectors, vectors with a null or non-finite component and rows
 without an id take no part; rows repeating an id count once (greatest vector);
@@ -145,11 +149,9 @@ def _search(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, space: _Spa
                     continue
                 q, q_ids, least = q[near], q_ids[near], least[near]
                 score = products(q, x)
-                own = q_ids[:, None] == ids[None, :]
-                rank = np.where(own, np.iinfo(np.int64).max, -score)
-                best = np.argsort(rank, axis=1, kind="stable")[:, :k]
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 row = np.arange(len(q_ids))[:, None]
-                ok = ~own[row, best] & (score[row, best] >= least[:, None])
+                ok = score[row, best] >= least[:, None]
                 r, c = np.nonzero(ok)
                 if len(r):
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[r]), pa.array(ids[best[r, c]]), pa.array(score[r, best[r, c]])], names=["query_id", "vec_id", "score"])
@@ -184,17 +186,23 @@ def top_k(embeddings: DataFrame, *, k: int = 5, query_filter=None, id_col: str =
     def keyed(rows: DataFrame) -> DataFrame:
         return rows.select("vec_id", "vector", "norm2").mapInArrow(A.tidy(key), "vec_id long, pivot int, distance double, data binary")
 
-    blocks = _blocks(keyed(vectors), BLOCK, "topk-blocks")
-    asked = _blocks(keyed(vectors.filter(is_query)), QUERY_BLOCK, "topk-queries").withColumnRenamed("block", "query_block")
+    # of equal vectors the first k + 1 ids (Spark limits each group before it is shuffled)
+    copy = Window.partitionBy("vector").orderBy("vec_id")
+    candidates = vectors.withColumn("copy", F.row_number().over(copy)).filter(F.col("copy") <= k + 1)
+    asking = vectors.filter(is_query)
+    groups = stored(asking.groupBy("vector", "norm2").agg(F.min("vec_id").alias("vec_id")), "topk-asked")
+
+    blocks = _blocks(keyed(candidates), BLOCK, "topk-blocks")
+    asked = _blocks(keyed(groups), QUERY_BLOCK, "topk-queries").withColumnRenamed("block", "query_block")
 
     # first answers: annuli of the own pivot around the own distances
     b = blocks.select("block", "pivot", "lo", "hi")
     q = asked.select("query_block", "pivot", F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"))
     first = b.join(q, "pivot").filter("hi >= q_lo AND lo <= q_hi").select("query_block", "block")
     unknown = asked.withColumn("least", F.transform("ids", lambda _: F.lit(float("-inf"))))
-    found = stored(_search(first, unknown, blocks, space, k), "topk-first")
+    found = stored(_search(first, unknown, blocks, space, k + 1), "topk-first")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    bound = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("bound"))
+    bound = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k + 1).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("bound"))
     # put the bounds beside the ids of each query block, in their order
     each = asked.select("query_block", F.posexplode("ids").alias("at", "id")).join(bound, "id", "left")
     lists = each.groupBy("query_block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(float("-inf"))).alias("least")))).alias("l"))
@@ -216,8 +224,12 @@ def top_k(embeddings: DataFrame, *, k: int = 5, query_filter=None, id_col: str =
 
     spans = ready.select("query_block", "data", "least").mapInArrow(A.tidy(reach), "query_block long, pivot int, from double, to double")
     more = b.join(spans, "pivot").filter("hi >= from AND lo <= to").select("query_block", "block").join(first, ["query_block", "block"], "left_anti")
-    every = found.union(_search(more, ready, blocks, space, k))
-    return every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    every = found.union(_search(more, ready, blocks, space, k + 1))
+    answers = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k + 1).groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("answers"))
+    # back to every query of an equal vector, without itself
+    shared = groups.select("vector", F.col("vec_id").alias("query_id")).join(answers, "query_id").select("vector", "answers")
+    each = asking.select(F.col("vec_id").alias("query_id"), "vector").join(shared, "vector").select("query_id", F.explode("answers").alias("a")).select("query_id", "a.vec_id", "a.score")
+    return each.filter("query_id <> vec_id").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def oracle_sql(k: int = 5) -> str:

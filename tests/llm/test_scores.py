@@ -193,6 +193,29 @@ def test_top_k_edge_cases(lspark):
     assert [tuple(r) for r in vector_topk.top_k(few).collect()] == [(0, 1, 1, 131072)]
 
 
+def test_copies_of_a_vector_are_searched_once(lspark, monkeypatch):
+    rows = [(i, [1.0, 2.0] if i % 3 == 0 else [i / 256.0, 1.0]) for i in range(1500)]
+    df = lspark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    made = []
+    search = vector_topk._search
+
+    def counted(*a):
+        out = search(*a)
+        made.append([out.filter(f"{c} % 3 = 0").select(c).distinct().count() for c in ("query_id", "vec_id")])
+        return out
+
+    monkeypatch.setattr(vector_topk, "BLOCK", 16)
+    monkeypatch.setattr(vector_topk, "_search", counted)
+    got = sorted(tuple(r) for r in vector_topk.top_k(df).collect())
+    ints = {i: [round(x * 256) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 1500, 50):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], ints[i], strict=True)), i) for i in ints if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    assert got == sorted(want)
+    assert made and all(queries <= 1 and answers <= 6 for queries, answers in made)
+
+
 def test_products_stay_exact_beyond_doubles():
     import numpy as np
 
