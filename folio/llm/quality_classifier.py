@@ -107,15 +107,19 @@ def ftrl(examples, bits: int = BITS, epochs: int = 3, alpha: float = 0.3, beta:
 
 def train(texts: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label",
           usable: Column | None = None, max_docs: int = MAX_TRAIN_DOCS, bits: int = BITS) -> np.ndarray:
-    """Weights fitted on at most ``max_docs`` labelled rows, those whose id
-    hashes lowest. Features are made where the texts lie (the sampled ids, at
-    most ``max_docs``, are broadcast); one task runs the updates over them."""
+    """Weights fitted on at most ``max_docs`` labelled texts, those whose id
+    hashes lowest, then by id and the text's hash; rows repeating an id and its
+    text count once. Features are made where the texts lie (the sample, at most
+    ``max_docs``, is broadcast); one task runs the updates over them."""
     pool = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if usable is not None:
         pool = pool.filter(usable)
     pool = pool.groupBy(id_col).agg(F.max(label_col).cast("double").alias("__label"))
     sample = pool.withColumn("__order", F.xxhash64(id_col)).orderBy("__order", id_col).limit(max_docs)
-    rows = texts.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(sample), id_col)
+    rows = texts.select(F.col(id_col), F.col(text_col).alias("__text"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("__hash")).join(F.broadcast(sample), id_col)
+    # an id may have any number of rows: the bound holds for what is trained on
+    chosen = rows.select(id_col, "__hash", "__order").distinct().orderBy("__order", id_col, "__hash").limit(max_docs).drop("__order")
+    rows = rows.join(F.broadcast(chosen), [id_col, "__hash"]).groupBy(id_col, "__hash").agg(*(F.first(c).alias(c) for c in ("__text", "__order", "__label")))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +129,10 @@ def train(texts: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 pairs = [_combined(slot[a:b], value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("__order"), part.column("__label"),
+                    [part.column("__order"), part.column("__hash"), part.column("__label"),
                      pa.array([s.astype(np.int32) for s, _ in pairs], pa.list_(pa.int32())),
                      pa.array([v.astype(np.float32) for _, v in pairs], pa.list_(pa.float32()))],
-                    names=["__order", "__label", "slots", "values"])
+                    names=["__order", "__hash", "__label", "slots", "values"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
@@ -145,8 +149,8 @@ def train(texts: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
         at = np.flatnonzero(weights).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights[at])], names=["slot", "weight"])
 
-    made = rows.mapInArrow(A.tidy(extract), "__order long, __label double, slots array<int>, values array<float>")
-    fitted = made.repartition(1).sortWithinPartitions("__order", F.size("slots"), "__label").mapInArrow(A.tidy(fit), "slot int, weight float").toPandas()
+    made = rows.mapInArrow(A.tidy(extract), "__order long, __hash string, __label double, slots array<int>, values array<float>")
+    fitted = made.repartition(1).sortWithinPartitions("__order", F.size("slots"), "__label", "__hash").mapInArrow(A.tidy(fit), "slot int, weight float").toPandas()
     weights = np.zeros((1 << bits) + 1, np.float32)
     weights[fitted["slot"].to_numpy()] = fitted["weight"].to_numpy()
     return weights

@@ -49,6 +49,21 @@ def test_classifier_separates_held_out_rows(lspark):
     assert sum(r["predicted"] == r["quality"] for r in held) >= 0.95 * len(held)
 
 
+def test_an_id_of_many_rows_trains_at_most_the_bound(lspark):
+    """Copies of a row train once, and the bound is one of texts."""
+    rows = [(i, f"good text {i}" if i % 2 else f"bad words {i}") for i in range(20)]
+    labels = lspark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, label int")
+    make = lambda r: lspark.createDataFrame(r, "doc_id long, text string").repartition(3)
+    once = quality_classifier.train(make(rows), labels)
+    assert (quality_classifier.train(make(rows + [rows[3]] * 50 + [rows[4]]), labels) == once).all()
+    low, high = (r["id"] for r in lspark.range(2).selectExpr("id").orderBy(F.xxhash64("id")).collect())
+    two = labels.filter("doc_id < 2")
+    many = make([(low, "one text")] * 2 + [(high, f"other text {i}") for i in range(100)])
+    weights = lambda **a: (quality_classifier.train(many, two, **a)[:-1] != 0).sum()
+    # five of the 101 texts train
+    assert 0 < weights(max_docs=5) < weights(max_docs=50) < weights()
+
+
 def test_held_out_labels_never_train(lspark):
     docs, labels = lspark.read.parquet(f"{SF}/documents.parquet"), lspark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn("quality", F.when(quality_classifier.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
