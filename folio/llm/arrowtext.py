@@ -110,13 +110,14 @@ def chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> Iterat
         start = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of every row, and
-    the range of word numbers per row. Words never cross rows."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_BREAK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of every row (or
+    of the runs of bytes that ``breaks`` leaves), and the range of word numbers
+    per row. Words never cross rows."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~IS_BREAK[data]
+    solid = ~breaks[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, token_files, vector_topk, warc
+from folio.llm import conversation_repair, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, source_divergence, suffix_dedup, token_files, vector_topk, warc
 from folio.llm.storage import ship_package
 from folio.session import configure
 
@@ -86,8 +86,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@register("op11_source_divergence")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@register("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 ORACLES: dict[str, str] = {
     "op4_warc": warc.oracle_sql(),
     "op5_exact_topk": vector_topk.oracle_sql(),
     "op6_quality_rules": quality_rules.oracle_sql(),
+    "op11_source_divergence": source_divergence.oracle_sql(),
 }
