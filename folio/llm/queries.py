@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import conversation_repair, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, source_divergence, suffix_dedup, token_files, vector_topk, warc
+from folio.llm import conversation_repair, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, source_divergence, suffix_dedup, token_files, vector_topk, warc
 from folio.llm.storage import ship_package
 from folio.session import configure
 
@@ -91,6 +91,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+@register("op12_license_scan")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, sf_dir, "documents"))
+
+
 @register("op13_conversation_repair")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired(table(spark, sf_dir, "conversations"))
