@@ -29,10 +29,13 @@ from folio.functions.urls import (
 from folio.functions.visibility import tombstone_at
 
 DAY_US = 86_400_000_000
-# an anchor's href: quoted either way or bare, in any case, after other attributes
-HREF_RE = (
-    r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-)
+# an anchor's href: quoted either way or bare, in any case, after other attributes.
+# Every repetition is possessive: Java runs it as a loop, whatever the tag's length,
+# and never takes it back; a tag without href is consumed too (with nothing in the
+# group), so unclosed tags are not searched again from each of their starts.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+_HREF = r"(?<![\w:-])href\s*+=\s*+"
+HREF_RE = rf"""(?is)<a\s(?:(?!{_HREF}{_VALUE})(?:[^>"']|"[^"]*+"|'[^']*+'))*+(?:{_HREF}({_VALUE}))?+"""
 # The character references that HTML writers use inside addresses.
 REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&"))
 
@@ -48,13 +51,14 @@ def _address(raw: Column) -> Column:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, link) for every anchor of every page, in
-    page order; relative hrefs resolved against the page URL."""
+    page order; relative hrefs resolved against the page URL. Tags may be of any
+    length and need not be closed; quoted attribute text is not searched for
+    further tags, and other attributes that end in href are not addresses."""
+    hrefs = F.filter(F.regexp_extract_all(F.col("html"), F.lit(HREF_RE), 1), lambda raw: raw != "")
     # the page URL's parts are computed once per page, before the explode
-    found = pages.select(
-        "page_id",
-        link_base("url").alias("_base"),
-        F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(HREF_RE), 1)).alias("pos", "_raw"),
-    ).withColumn("href", _address(F.col("_raw")))
+    found = pages.select("page_id", link_base("url").alias("_base"), F.posexplode(hrefs).alias("pos", "_raw")).withColumn(
+        "href", _address(F.col("_raw"))
+    )
     linked = found.withColumn("_link", resolve_link(href=F.col("href"), base=F.col("_base")))
     return linked.select("page_id", "pos", "href", without_dots(F.col("_link")).alias("link"))
 
@@ -224,10 +228,12 @@ def text_documents(texts: DataFrame, results: DataFrame | None = None, *, as_of)
 def seen_url_split(new_urls: DataFrame, seen: DataFrame, *, as_of, ttl_days: int = 30) -> DataFrame:
     """Mark each new URL cached (its normalised key was seen within
     ``ttl_days`` before as_of — the latest sighting's scraper id wins) or
-    fresh. ``seen``: url, scraper_uuid, seen_at. Output adds url_key,
-    cached (bool) and cached_scraper_uuid."""
+    fresh. Only scrapes that gave an id are cached: sightings without one, or
+    with an empty one, neither count nor hide an earlier one. ``seen``: url,
+    scraper_uuid, seen_at. Output adds url_key, cached (bool) and
+    cached_scraper_uuid."""
     lo = F.timestamp_micros(F.lit(micros(as_of) - ttl_days * DAY_US))
-    in_ttl = seen.filter((F.col("seen_at") > lo) & (F.col("seen_at") <= ts_lit(as_of)))
+    in_ttl = seen.filter((F.col("seen_at") > lo) & (F.col("seen_at") <= ts_lit(as_of)) & (F.col("scraper_uuid") != ""))
     recent = (
         with_url_key(in_ttl, "url", "k")
         .filter(F.col("k").isNotNull())

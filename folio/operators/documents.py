@@ -104,6 +104,22 @@ def keyed_rows(table: DataFrame, column: str, keys) -> tuple[DataFrame, DataFram
     return frame, table.join(wanted, column, "left_semi")
 
 
+def found_keys(keys: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """The distinct ``keys`` (one column) that ``table`` has in ``column``. The
+    table is the streamed side: a few keys are broadcast to it and only its
+    matching rows are shuffled."""
+    key = keys.columns[0]
+    return table.select(F.col(column).alias(key)).join(keys.select(key).distinct(), key, "left_semi").distinct()
+
+
+def unmatched(keys: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Rows of ``keys`` (its first column) that ``table`` has not in ``column``: the
+    reference's "not found". The keys found come first, since an anti-join of the
+    keys with the table itself would shuffle every row of the table."""
+    key = keys.columns[0]
+    return keys.join(found_keys(keys, table, column), key, "left_anti")
+
+
 def get_documents(documents: DataFrame, ids) -> DataFrame:
     """Lookup by id; every requested id comes back, with ``found``."""
     keys, hits = keyed_rows(documents, "id", ids)

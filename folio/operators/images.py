@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.common import micros
+from folio.operators.documents import unmatched
 from folio.operators.merges import one_per_key
 
 DAY_US = 86_400_000_000
@@ -98,5 +99,4 @@ def image_updates(images: DataFrame, changes: DataFrame, *, as_of, period_days:
         )
         .select(*images.columns)
     )
-    missing = changes.select("id").distinct().join(images.select("id"), "id", "left_anti")
-    return out, missing
+    return out, unmatched(changes.select("id").distinct(), images, "id")

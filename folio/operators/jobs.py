@@ -2,7 +2,7 @@
 
 Jobs form a forest through parent_job_id. Listing pages are bounded (a page
 of parents), children are joined, never collected per parent, and the
-subtree walk is a level-by-level join whose lineage is cut every level.
+subtree walk doubles the paths it covers every round.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.common import ts_lit
-from folio.operators.documents import LIST_LIMIT, keyed_rows
+from folio.operators.documents import LIST_LIMIT, found_keys, keyed_rows, unmatched
 from folio.session import checkpoint_dir
 
 
@@ -90,43 +90,57 @@ def child_jobs(jobs: DataFrame, parent_ids) -> DataFrame:
     return jobs.join(keys, "parent_job_id", "left_semi").orderBy("created_at", "id")
 
 
+def _levels(jobs: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """((id, level) of every job below or among the roots, rounds taken).
+
+    Path doubling. Each job holds a pointer to the ancestor ``hops`` above it and
+    its level below the nearest root met on the way there, if any. A round looks
+    the pointer up among all jobs and takes over what that ancestor holds, so the
+    paths covered double and a tree of depth d is done after log2(d) rounds. A job
+    with a level, or whose path has passed the top, is settled; a path as long as
+    there are jobs is a cycle without a root. Every round is one join of the
+    unsettled jobs with all jobs on the id, checkpointed to the shared folder
+    (which cuts lineage: a lost executor recomputes one round)."""
+    marked = roots.withColumn("level", F.lit(0))
+    state = jobs.select("id", F.col("parent_job_id").alias("up"), F.lit(1).cast("long").alias("hops")).join(marked, "id", "left").checkpoint()
+    settled = F.col("level").isNotNull() | F.col("up").isNull()
+    size, rounds, covered = None, 0, 1
+    while True:
+        left = state.filter(~settled).count()
+        if size is None:
+            size = left
+        if not left or covered > size:
+            return state.filter("level IS NOT NULL").select("id", F.col("level").cast("int").alias("level")), rounds
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next_up"), F.col("hops").alias("next_hops"), F.col("level").alias("next_level"))
+        moved = state.filter(~settled).join(above, "up", "left").select(
+            "id", F.col("next_up").alias("up"), (F.col("hops") + F.coalesce("next_hops", F.lit(0))).alias("hops"),
+            (F.col("hops") + F.col("next_level")).alias("level"),
+        )
+        state = state.filter(settled).unionByName(moved).checkpoint()
+        rounds, covered = rounds + 1, covered * 2
+
+
 def job_descendants(jobs: DataFrame, root_ids, *, include_roots: bool = True) -> DataFrame:
     """The whole subtree under the roots (what the cascading foreign key
-    deletes), with each job's level below its root.
-
-    Breadth-first: each level joins the previous level's ids with the parent
-    pointers, which are partitioned by parent and materialised once, and drops
-    ids already found; the walk ends when a level is empty, whatever the depth,
-    also on a cycle. Every level is checkpointed to the shared checkpoint
-    folder, which cuts lineage (a lost executor recomputes one level) and gives
-    the loop its stop test."""
+    deletes), with each job's level below its nearest root. Ids are unique, as
+    everywhere in the table; cycles and pointers to missing jobs end the walk."""
     spark = jobs.sparkSession
     checkpoint_dir(spark)
-    pointers = jobs.select("id", "parent_job_id").filter(F.col("parent_job_id").isNotNull())
-    edges = pointers.repartition("parent_job_id").checkpoint()
-    roots = _ids(spark, root_ids, "id").distinct().join(jobs.select("id"), "id", "left_semi")
-    found = roots.withColumn("level", F.lit(0)).checkpoint()
-    frontier, depth = found, 0
-    while True:
-        depth += 1
-        below = edges.join(frontier.select(F.col("id").alias("parent_job_id")), "parent_job_id").select("id").distinct()
-        frontier = below.join(found.select("id"), "id", "left_anti").withColumn("level", F.lit(depth)).checkpoint()
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
+    roots = found_keys(_ids(spark, root_ids, "id"), jobs, "id")
+    found, _ = _levels(jobs, roots)
     return found if include_roots else found.filter(F.col("level") > 0)
 
 
 def missing_jobs(jobs: DataFrame, ids) -> DataFrame:
     """Requested ids that no job has (R65, R67: the reference's "not found")."""
     wanted = _ids(jobs.sparkSession, ids, "id").distinct()
-    return wanted.join(jobs.select("id"), "id", "left_anti")
+    return unmatched(wanted, jobs, "id")
 
 
 def unmatched_events(jobs: DataFrame, events: DataFrame) -> DataFrame:
     """Job ids of events that no job has, with their number of events."""
     counted = events.groupBy("job_id").agg(F.count(F.lit(1)).alias("events"))
-    return counted.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_anti")
+    return unmatched(counted, jobs, "id")
 
 
 def delete_jobs(jobs: DataFrame, ids) -> DataFrame:

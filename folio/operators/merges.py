@@ -21,6 +21,7 @@ from folio.functions import metadata as M
 from folio.functions.common import micros, rfc3339, ts_lit
 from folio.functions.tags import merge_tags, variant_strings
 from folio.functions.visibility import first_trigger_tag, tombstone_at
+from folio.operators.documents import found_keys, unmatched
 
 DAY_US = 86_400_000_000
 
@@ -35,7 +36,7 @@ def _days_after(as_of, days: int) -> Column:
 
 
 def _missing(changes: DataFrame, documents: DataFrame, key: str = "id") -> DataFrame:
-    return changes.select(key).distinct().join(documents.select(key), key, "left_anti")
+    return unmatched(changes.select(key).distinct(), documents, key)
 
 
 def one_per_key(changes: DataFrame, key: str, cols: list[str], order: str | None = None) -> DataFrame:
@@ -168,16 +169,14 @@ def delete_documents(documents: DataFrame, jobs: DataFrame, ids: DataFrame) -> D
     them get result_request_id = null; ids not found are reported."""
     keys = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
     kept = documents.join(keys, "id", "left_anti")
-    gone = keys.join(documents.select("id"), "id", "left_semi").select(
-        F.col("id").alias("gone_id"), F.lit(True).alias("_gone")
-    )
+    gone = found_keys(keys, documents, "id").select(F.col("id").alias("gone_id"), F.lit(True).alias("_gone"))
     # jobs without a result get a key of their own, so they spread over partitions
     key = F.coalesce(F.col("result_request_id"), F.concat(F.lit("\u0000"), F.col("id")))
     j = jobs.withColumn("_k", key).join(gone.withColumnRenamed("gone_id", "_k"), "_k", "left")
     new_jobs = j.withColumn(
         "result_request_id", F.when(F.col("_gone").isNotNull(), F.lit(None).cast("string")).otherwise(F.col("result_request_id"))
     ).select(*jobs.columns)
-    return Deleted(kept, new_jobs, keys.join(documents.select("id"), "id", "left_anti"))
+    return Deleted(kept, new_jobs, unmatched(keys, documents, "id"))
 
 
 # ------------------------------------------------------- R55 / R56 / R57 ----
@@ -341,10 +340,7 @@ def apply_analysis(
         seo_enabled=F.when(hit, seo).otherwise(F.col("seo_enabled")),
         tombstone_at=F.when(hit, tomb).otherwise(F.col("tombstone_at")),
     )
-    missing = res.select(F.col("res_job").alias("job_id")).join(
-        documents.select(F.col("textanalyzer_uuid").alias("job_id")), "job_id", "left_anti"
-    )
-    return Merged(snap, missing)
+    return Merged(snap, unmatched(res.select(F.col("res_job").alias("job_id")), documents, "textanalyzer_uuid"))
 
 
 def _awaiting() -> Column:

@@ -918,6 +918,28 @@ SELECT id, strftime(effective_date, {FMT}) AS effective_date, strftime(tombstone
        {tags_sql()} AS tags, seo_enabled, slug FROM corpus
 """)
 
+_KEY = "CAST(substr(id, 2) AS BIGINT)"
+ORACLES["ingest_second_batch"] = with_corpus(f"""
+, one AS (
+  SELECT *, row_number() OVER (PARTITION BY slug ORDER BY created_at, id) AS nth FROM corpus WHERE {_KEY} % 3 <> 0
+),
+held AS (SELECT id, slug FROM one WHERE slug IS NULL OR nth = 1),
+two AS (SELECT CASE WHEN {_KEY} % 10 <> 0 THEN id END AS id, slug, created_at FROM corpus WHERE {_KEY} % 2 = 0),
+tried AS (
+  SELECT two.*, held.id IS NOT NULL AS again, taken.id AS taken_by FROM two
+  LEFT JOIN held ON held.id = two.id LEFT JOIN held taken ON taken.slug = two.slug
+),
+led AS (
+  SELECT *, CASE WHEN id IS NOT NULL AND NOT again AND slug IS NOT NULL THEN
+           coalesce(taken_by, first_value(id) OVER (PARTITION BY slug, id IS NOT NULL AND NOT again ORDER BY created_at, id)) END AS owner
+  FROM tried
+)
+SELECT id, slug, strftime(created_at, {FMT}) AS created_at,
+       CASE WHEN id IS NULL THEN 'rejected' WHEN again THEN 'duplicate' WHEN owner <> id THEN 'conflict' ELSE 'stored' END AS outcome,
+       CASE WHEN again THEN 'first' END AS kept_in, CASE WHEN owner <> id THEN owner END AS kept_id
+FROM led
+""")
+
 ORACLES["backfill_effective_date"] = with_corpus(f"SELECT id, strftime(effective_date, {FMT}) AS effective_date FROM corpus")
 
 ORACLES["image_jsonld"] = blocks(IMAGES) + f"""

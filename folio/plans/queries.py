@@ -812,6 +812,30 @@ def q_ingest_read_documents(spark, sf_dir):
     )
 
 
+@register("ingest_second_batch")
+def q_ingest_second_batch(spark, sf_dir):
+    """R02 + R77 on insert: a first batch of two thirds of the corpus, then a
+    second one that repeats some of its ids, clashes with its slugs and has rows
+    without an id. What became of every row of the second."""
+    from folio.session import scratch_path
+
+    path = scratch_path(spark, "documents-batches")
+    docs = corpus_documents(spark, sf_dir)
+    SD.ingest_documents(docs.filter(_k() % 3 != 0), path, batch_id="first", unique_slugs=True)
+    second = docs.filter(_k() % 2 == 0).withColumn("id", F.when(_k() % 10 != 0, F.col("id")))
+    done = SD.ingest_documents(second, path, batch_id="second", unique_slugs=True)
+    none = F.lit(None).cast("string")
+    parts = (
+        (done.documents, "stored", none, none), (done.duplicates, "duplicate", F.col("kept_in"), none),
+        (done.conflicts, "conflict", none, F.col("kept_id")), (done.rejected, "rejected", none, none),
+    )
+    rows = [
+        df.select("id", "slug", fmt_ts("created_at").alias("created_at"), F.lit(outcome).alias("outcome"), kept_in.alias("kept_in"), kept_id.alias("kept_id"))
+        for df, outcome, kept_in, kept_id in parts
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 @register("backfill_effective_date")
 def q_backfill_effective_date(spark, sf_dir):
     """Documents with an even key lose effective_date; the backfill

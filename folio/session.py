@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators depend on for correct results (not tuning knobs).
 REQUIRED_CONF = {
@@ -56,6 +56,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{spark.sparkContext.applicationId}-{next(_COUNTER)}"
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, its lineage cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _counter():
     i = 0
     while True:

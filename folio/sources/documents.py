@@ -23,6 +23,8 @@ from pyspark.sql.types import (
 from folio.functions.common import ts_lit
 from folio.functions.dates import date_objects, effective_date, effective_date_strict
 from folio.functions.visibility import tombstone_at
+from folio.session import materialised
+from folio.sources import registry
 from folio.sources.fixtures import DOC_COLUMNS
 
 DOCUMENT_SCHEMA = StructType(
@@ -106,47 +108,105 @@ def read_ingested(spark: SparkSession, path: str, *, date_start=None, date_end=N
 
 
 class Ingested(NamedTuple):
-    documents: DataFrame
-    duplicates: DataFrame
+    documents: DataFrame  # what the batch stored
+    duplicates: DataFrame  # ids held already, with ``kept_in``, the batch that holds them
+    conflicts: DataFrame  # slugs taken already, with ``kept_id``, the document that has them
+    rejected: DataFrame  # rows without an id
+
+
+#: Rows that a batch did not store, at ``<path>/_refused/ingest_batch=…``.
+REFUSED_SCHEMA = StructType(
+    [
+        *[StructField(f.name, f.dataType) for f in DOCUMENT_SCHEMA.fields],
+        StructField("reason", StringType()),
+        StructField("kept_in", StringType()),
+        StructField("kept_id", StringType()),
+        StructField("ingest_batch", StringType()),
+    ]
+)
 
 
 def ingest_documents(
-    new_docs: DataFrame, path: str, *, batch_id: str, files_per_month: int = 8, max_records_per_file: int = 5_000_000
+    new_docs: DataFrame, path: str, *, batch_id: str, unique_slugs: bool = False, files_per_month: int = 8,
+    max_records_per_file: int = 5_000_000, key_buckets: int = registry.KEY_BUCKETS,
 ) -> Ingested:
     """Add a batch of documents to the table at ``path``; tags travel in
     the row (the tag index is derived, R03), so one write keeps both
     consistent.
 
-    Ids are unique: of rows repeating an id in the batch the first by
-    (created_at, content) is kept, and ids that another batch has stored are
-    not added again; all others are returned as ``duplicates`` (with ``kept_in``,
-    the batch that holds the id), not written.
+    Every row of the batch ends in exactly one of four tables (rows equal in all
+    columns count as one). Rows without an id
+    are ``rejected``. Ids are unique: of rows repeating an id in the batch the
+    first by (created_at, content) is kept, and ids that another batch holds are
+    not added again; all others are ``duplicates``. With ``unique_slugs`` (R77 on
+    insert) a slug has one document: one that another batch's document has, or an
+    earlier one of the batch by (created_at, id), makes the row a ``conflict``.
+    The rest is stored.
+
+    Ids and slugs held are looked up in the key registry beside the table
+    (``sources.registry``), of which only the buckets that the batch's keys fall
+    into are read; the table itself is not. ``key_buckets`` counts when the
+    registry is made, with the first batch.
 
     Files land under ``eff_month=…/ingest_batch=<batch_id>/`` and the write
     replaces only the partitions of this batch (dynamic partition overwrite);
     months that an earlier run of the batch wrote and this one does not are
-    removed. So a re-run of ``batch_id`` after a failure replaces its own files.
-    Rows are dealt out by month and a salt before the write, which bounds the
-    files per month."""
+    removed. So a re-run of ``batch_id`` after a failure replaces its own files,
+    its claims in the registry (written before the documents, so that no other
+    batch can store the keys meanwhile) and its refused rows. Rows are dealt out
+    by month and a salt before the write, which bounds the files per month."""
     spark = new_docs.sparkSession
-    prepared = prepare_ingest(new_docs).withColumn("_row", F.xxhash64(*[c for c in DOC_COLUMNS]))
-    first = prepared.groupBy("id").agg(F.min(F.struct("created_at", "_row")).alias("_first"))
-    marked = prepared.join(first, "id").withColumn("_kept", F.struct("created_at", "_row") == F.col("_first"))
-    # equal rows: one of them
-    unique = marked.filter("_kept").dropDuplicates(["id"])
-    repeated = marked.filter(~F.col("_kept")).withColumn("kept_in", F.lit(batch_id))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(folder) and len(fs.listStatus(folder)):
-        other = spark.read.schema(TABLE_SCHEMA).parquet(path).filter(F.col("ingest_batch") != batch_id)
-        stored = other.groupBy("id").agg(F.min("ingest_batch").alias("kept_in"))
-        known = unique.join(stored, "id")
-        kept = unique.join(stored, "id", "left_anti")
-        repeated = repeated.unionByName(known)
+    keys = registry.open_registry(spark, path, key_buckets, lambda: stored_keys(spark, path))
+    prepared = prepare_ingest(new_docs).withColumn("_row", F.xxhash64(*DOC_COLUMNS))
+    # one narrow row per id of the batch, the first; whether it may stay is decided on these
+    first = prepared.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("created_at", "_row", "slug")).alias("_first"))
+    mine = materialised(first.select("id", "_first.*"), "ingest-keys")
+    ids = mine.select(F.lit("id").alias("kind"), F.col("id").alias("key"))
+    held = keys.holders(ids, batch_id).select(F.col("key").alias("id"), F.col("ingest_batch").alias("kept_in"))
+    verdict = mine.join(held, "id", "left")
+    if unique_slugs:
+        wanting = verdict.filter("kept_in IS NULL AND slug IS NOT NULL")
+        slugs = wanting.select(F.lit("slug").alias("kind"), F.col("slug").alias("key"))
+        taken = keys.holders(slugs, batch_id).select(F.col("key").alias("slug"), F.col("id").alias("taken_by"))
+        earliest = wanting.groupBy("slug").agg(F.min(F.struct("created_at", "id"))["id"].alias("earliest"))
+        owner = earliest.join(taken, "slug", "left").select("slug", F.coalesce("taken_by", "earliest").alias("owner"))
+        # documents without a slug, or out already, get a key of their own: they spread over partitions
+        spread = F.when(F.col("kept_in").isNull() & F.col("slug").isNotNull(), F.col("slug")).otherwise(F.concat(F.lit("\u0000"), F.col("id")))
+        verdict = verdict.withColumn("_k", spread).join(owner.withColumnRenamed("slug", "_k"), "_k", "left").drop("_k")
+        verdict = verdict.withColumn("kept_id", F.when(F.col("owner") != F.col("id"), F.col("owner"))).drop("owner")
     else:
-        kept = unique
-    out = kept.select(*DOC_COLUMNS, "eff_month").withColumn("ingest_batch", F.lit(batch_id))
-    earlier = [x.getPath() for x in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/eff_month=*/ingest_batch={batch_id}")) or []]
+        verdict = verdict.withColumn("kept_id", F.lit(None).cast("string"))
+    verdict = materialised(verdict, "ingest-verdict")
+    claimed = verdict.filter("kept_in IS NULL AND kept_id IS NULL")
+    claims = claimed.select(F.explode(F.array(
+        F.struct(F.lit("id").alias("kind"), F.col("id").alias("key")), F.struct(F.lit("slug").alias("kind"), F.col("slug").alias("key"))
+    )).alias("c"), "id", "created_at").select("c.*", "id", "created_at").filter("key IS NOT NULL")
+    keys.claim(claims, batch_id)
+
+    # the batch's rows, each with what became of it; equal rows: one of them is kept
+    known = verdict.select(F.col("id").alias("_id"), F.col("created_at").alias("_at"), F.col("_row").alias("_kept_row"), "kept_in", "kept_id")
+    marked = prepared.withColumn("_k", F.coalesce("id", F.concat(F.lit("\u0000"), F.col("_row").cast("string"))))
+    marked = marked.join(known, F.col("_k") == F.col("_id"), "left")
+    is_first = (F.col("_row") == F.col("_kept_row")) & F.col("created_at").eqNullSafe(F.col("_at"))
+    reason = (
+        F.when(F.col("_id").isNull(), F.lit("rejected")).when(F.col("kept_in").isNotNull() | ~is_first, F.lit("duplicate"))
+        .when(F.col("kept_id").isNotNull(), F.lit("conflict")).otherwise(F.lit("stored"))
+    )
+    marked = marked.withColumn("reason", reason).select(
+        "_k", *DOC_COLUMNS, "eff_month", "reason",
+        F.when(F.col("reason") == "duplicate", F.coalesce("kept_in", F.lit(batch_id))).alias("kept_in"),
+        F.when(F.col("reason") == "conflict", F.col("kept_id")).alias("kept_id"),
+    )
+    # the join dealt the rows by this key, so equal rows meet without another shuffle
+    winners = marked.filter("reason = 'stored'").dropDuplicates(["_k"])
+    out = winners.select(*DOC_COLUMNS, "eff_month").withColumn("ingest_batch", F.lit(batch_id))
+    refused = marked.filter("reason <> 'stored'").drop("_k", "eff_month")
+    refused = refused.withColumn("ingest_batch", F.lit(batch_id))
+    folder = f"{path}/_refused"
+    refused.select(*[f.name for f in REFUSED_SCHEMA.fields]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_batch", "reason").parquet(folder)
+
+    fs, at = registry.filesystem(spark, path)
+    earlier = [x.getPath() for x in fs.globStatus(at(f"{path}/eff_month=*/ingest_batch={batch_id}")) or []]
     # each task writes its rows clustered by month and date, so row groups
     # carry tight min/max statistics on effective_date for date-range skipping
     (
@@ -160,11 +220,28 @@ def ingest_documents(
     )
     if earlier:  # a re-run: months that it no longer touches
         months = {r[0] for r in out.select("eff_month").distinct().collect()}  # one row per month
-        for folder in earlier:
-            month = folder.getParent().getName().partition("=")[2]
+        for month_folder in earlier:
+            month = month_folder.getParent().getName().partition("=")[2]
             if (None if month == "__HIVE_DEFAULT_PARTITION__" else month) not in months:
-                fs.delete(folder, True)
-    return Ingested(out, repeated.select(*DOC_COLUMNS, "kept_in"))
+                fs.delete(month_folder, True)
+    left = spark.read.schema(REFUSED_SCHEMA).parquet(folder).filter(F.col("ingest_batch") == batch_id)
+
+    def of(kind: str, *extra: str) -> DataFrame:
+        return left.filter(F.col("reason") == kind).select(*DOC_COLUMNS, *extra)
+
+    written = read_ingested(spark, path).filter(F.col("ingest_batch") == batch_id)
+    return Ingested(written, of("duplicate", "kept_in"), of("conflict", "kept_id"), of("rejected"))
+
+
+def stored_keys(spark: SparkSession, path: str) -> DataFrame | None:
+    """The keys of a table that has no registry yet: its ids and slugs, or None
+    if nothing is stored there."""
+    fs, at = registry.filesystem(spark, path)
+    if not fs.globStatus(at(f"{path}/eff_month=*")):
+        return None
+    held = spark.read.schema(TABLE_SCHEMA).parquet(path)
+    kinds = F.array(F.struct(F.lit("id").alias("kind"), F.col("id").alias("key")), F.struct(F.lit("slug").alias("kind"), F.col("slug").alias("key")))
+    return held.select(F.explode(kinds).alias("c"), "id", "created_at", "ingest_batch").select("c.*", "id", "created_at", "ingest_batch").filter("key IS NOT NULL")
 
 
 def backfill_effective_date(documents: DataFrame) -> DataFrame:

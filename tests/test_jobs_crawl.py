@@ -138,3 +138,51 @@ def test_crawl_step(spark):
     assert [r.source_url for r in step.conflicts.collect()] == ["https://d.example/clash"]
     outcomes = {r.url: r.outcome for r in step.outcomes.collect()}
     assert outcomes["https://b.example/cached"] == "cached" and outcomes["https://a.example/x"] == "accepted"
+
+
+def test_page_links_of_any_tag_length(spark):
+    """Long tags, unclosed tags and unclosed quotes: no recursion, linear time."""
+    long = "".join(f' data-{i}="{"v" * 90}"' for i in range(1000))
+    html = [
+        f"<a{long} href=/long>x</a> <a href='/next'>",
+        "<a " * 10_000 + "<b href=/not> <a href=/after>",
+        "<a x" * 10_000,
+        "<a title='" + "y" * 100_000 + " <a href=/in-unclosed-quote>",
+        "<A\nTITLE=\"a > b href=/quoted\" HREF = /bare>t</A><a data-href=/no><a href=>",
+        "<a href=/one <a href=/two>",
+        "<a " + "z" * 200_000 + " href=\"/wide\">",
+    ]
+    pages = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(html)], "page_id int, url string, html string")
+    got = {}
+    for r in crawl.page_links(pages).orderBy("page_id", "pos").collect():
+        got.setdefault(r.page_id, []).append((r.pos, r.href))
+    assert got == {
+        0: [(0, "/long"), (1, "/next")], 1: [(0, "/not"), (1, "/after")], 3: [(0, "/in-unclosed-quote")], 4: [(0, "/bare")],
+        5: [(0, "/one"), (1, "/two")], 6: [(0, "/wide")],
+    }
+
+
+def test_seen_urls_need_a_scrape_id(spark):
+    seen = spark.createDataFrame(
+        [("http://h/a", "s1", T0 - dt.timedelta(days=5)), ("http://h/a", None, T0 - dt.timedelta(days=2)), ("http://h/a", "", T0 - dt.timedelta(days=1)),
+         ("http://h/b", "", T0 - dt.timedelta(days=1)), ("http://h/c", None, T0 - dt.timedelta(days=1)), ("http://h/d", "old", T0 - dt.timedelta(days=40))],
+        "url string, scraper_uuid string, seen_at timestamp")
+    new = spark.createDataFrame([(f"http://h/{x}",) for x in "abcd"], "url string")
+    out = crawl.seen_url_split(new, seen, as_of=T0.replace(tzinfo=UTC)).collect()
+    assert {r.url[-1]: (r.cached, r.cached_scraper_uuid) for r in out} == {"a": (True, "s1"), "b": (False, None), "c": (False, None), "d": (False, None)}
+
+
+def test_deep_trees_and_cycles(spark):
+    """A chain of 10,000 jobs in at most 16 rounds; cycles and pointers to
+    missing jobs end the walk."""
+    chain = [(str(i), str(i - 1) if i else None) for i in range(10_000)]
+    ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
+    rows = chain + ring + [("lost", "nowhere"), ("below", "lost"), ("self", "self"), ("s1", "self")]
+    jobs = spark.createDataFrame(rows, "id string, parent_job_id string").repartition(4)
+    found, rounds = J._levels(jobs, spark.createDataFrame([("9",), ("r2",), ("lost",)], "id string"))
+    assert rounds <= 16
+    got = {r.id: r.level for r in found.collect()}
+    want = {str(i): i - 9 for i in range(9, 10_000)} | {f"r{i}": (2 - i) % 7 for i in range(7)} | {"lost": 0, "below": 1}
+    assert got == want
+    nested = {r.id: r.level for r in J.job_descendants(jobs, ["9990", "9995", "no such job"], include_roots=False).collect()}
+    assert nested == {str(i): i - (9995 if i > 9995 else 9990) for i in range(9991, 10_000) if i != 9995}

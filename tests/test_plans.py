@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-STREAMS = {"enrich_stream", "dedupe_url_stream", "status_feed", "status_feed_events", "live_metrics", "live_metrics_figures", "ingest_read_documents"}
+STREAMS = {"enrich_stream", "dedupe_url_stream", "status_feed", "status_feed_events", "live_metrics", "live_metrics_figures", "ingest_read_documents", "ingest_second_batch"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -54,3 +54,21 @@ def test_lookups_shuffle_only_matching_rows(spark):
             assert "PushedFilters: [IsNotNull" in (p := df._jdf.queryExecution().executedPlan().toString()) or "In(" in p or "EqualTo(" in p, p
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_not_found_reports_do_not_shuffle_the_table(spark, tmp_path):
+    """A few changes against all documents: the documents are the streamed side
+    of a broadcast semi-join, and no exchange lies directly on their scan."""
+    from folio.operators import jobs as J, merges as M
+    from folio.sources.tables import load_table
+    from pyspark.sql import functions as F
+
+    docs = load_table(spark, SF, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit(True).alias("seo_enabled"))
+    spark.createDataFrame([("1", False), ("none", True)], "id string, seo_enabled boolean").write.parquet(str(tmp_path / "changes"))
+    changes = spark.read.parquet(str(tmp_path / "changes"))
+    missing = M.set_seo(docs, changes).missing
+    assert [r.id for r in missing.collect()] == ["none"]
+    physical = missing._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in physical and "LeftSemi, BuildRight" in physical
+    events = spark.createDataFrame([("1", "failed"), ("x", "failed"), ("x", "retry")], "job_id string, event string")
+    assert [tuple(r) for r in J.unmatched_events(docs, events).collect()] == [("x", 2)]

@@ -130,3 +130,70 @@ def test_sitemap_beyond_its_default_and_large_image_groups(spark):
     sizes = [len(r.images) for r in I.image_sitemap_entries(images, "http://x").collect()]
     assert sum(sizes) == 20_000 and max(sizes) <= 1000
     assert [len(r.images) for r in I.image_sitemap_entries(images, "http://x", max_images=None).collect()] == [20_000]
+
+
+INGEST_ROWS = "id string, created_at timestamp, source_type string, tags array<string>, metadata string, slug string"
+
+
+def _rows(spark, *rows):
+    t0 = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(i, t0 + dt.timedelta(days=day), "text", ["t"], "{}", slug) for i, day, slug in rows], INGEST_ROWS)
+
+
+def test_every_row_is_stored_or_reported(spark):
+    """Null ids, repeated ids and rows, slugs taken in the batch and before it."""
+    path = os.path.join(tempfile.mkdtemp(prefix="folio-reg-"), "docs")
+    one = SD.ingest_documents(
+        _rows(spark, (None, 1, "a"), (None, 1, None), ("a", 1, "x"), ("a", 1, "x"), ("a", 2, "y"), ("b", 3, "x"), ("c", 4, None), ("d", 0, "")),
+        path, batch_id="b1", unique_slugs=True)
+    assert sorted(r.id for r in one.documents.collect()) == ["a", "c", "d"]
+    assert sorted((r.id, r.slug, r.kept_in) for r in one.duplicates.collect()) == [("a", "y", "b1")]
+    assert [(r.id, r.kept_id) for r in one.conflicts.collect()] == [("b", "a")]
+    assert sorted(r.slug or "" for r in one.rejected.collect()) == ["", "a"]
+
+    two = SD.ingest_documents(
+        _rows(spark, ("a", 0, "new"), ("b", 9, "y"), ("e", 9, "x"), ("f", 9, "z"), ("g", 8, "z"), ("h", 9, "new")), path, batch_id="b2", unique_slugs=True)
+    assert sorted(r.id for r in two.documents.collect()) == ["b", "g", "h"]  # slugs of refused rows stay free
+    assert [(r.id, r.kept_in) for r in two.duplicates.collect()] == [("a", "b1")]
+    assert sorted((r.id, r.kept_id) for r in two.conflicts.collect()) == [("e", "a"), ("f", "g")]
+    assert two.rejected.count() == 0
+    assert sorted(r.id for r in one.documents.collect()) == ["a", "c", "d"]  # what the batch wrote, also later
+    assert SD.read_ingested(spark, path).count() == 6
+
+    # a re-run with other rows gives up the claims that the first run made
+    SD.ingest_documents(_rows(spark, ("g", 8, "zz")), path, batch_id="b2", unique_slugs=True)
+    three = SD.ingest_documents(_rows(spark, ("b", 9, "y"), ("k", 9, "z"), ("m", 9, "zz")), path, batch_id="b3", unique_slugs=True)
+    assert sorted(r.id for r in three.documents.collect()) == ["b", "k"] and [r.kept_id for r in three.conflicts.collect()] == ["g"]
+
+
+def test_registry_reads_only_the_touched_buckets(spark):
+    from folio.sources import registry
+
+    path = os.path.join(tempfile.mkdtemp(prefix="folio-reg-"), "docs")
+    docs = spark.range(2000).select(
+        F.concat(F.lit("d"), F.col("id")).alias("id"), F.timestamp_seconds(F.col("id")).alias("created_at"), F.lit("text").alias("source_type"),
+        F.array(F.lit("t")).alias("tags"), F.lit("{}").alias("metadata"), F.concat(F.lit("s"), F.col("id")).alias("slug"))
+    SD.ingest_documents(docs, path, batch_id="b1", key_buckets=16)
+    keys = registry.open_registry(spark, path, 64, lambda: None)
+    assert keys.buckets == 16 and keys.read().count() == 4000
+    few = spark.createDataFrame([("id", "d7"), ("id", "nobody")], "kind string, key string")
+    held = keys.holders(few, "b2")
+    assert [(r.key, r.id, r.ingest_batch) for r in held.collect()] == [("d7", "d7", "b1")]
+    buckets = keys.touched(few)
+    assert len(buckets) == 2
+    files = {f.rsplit("key_bucket=", 1)[1].split("/")[0] for f in keys.read(buckets).inputFiles()}
+    assert len(files) == 16  # all of the table's files, of which the scan keeps the partitions below
+    text = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in text and "key_bucket" in text.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    second = SD.ingest_documents(docs.limit(5), path, batch_id="b2")
+    assert second.documents.count() == 0 and {r.kept_in for r in second.duplicates.collect()} == {"b1"}
+
+
+def test_registry_of_a_table_written_without_one(spark):
+    import shutil
+
+    path = os.path.join(tempfile.mkdtemp(prefix="folio-reg-"), "docs")
+    SD.ingest_documents(_rows(spark, ("a", 1, "x"), ("b", 2, None)), path, batch_id="b1")
+    shutil.move(glob.glob(f"{path}/_keys-*")[0], path + "-elsewhere")
+    two = SD.ingest_documents(_rows(spark, ("a", 5, "q"), ("c", 5, "x")), path, batch_id="b2", unique_slugs=True)
+    assert [r.kept_in for r in two.duplicates.collect()] == ["b1"] and [r.kept_id for r in two.conflicts.collect()] == ["a"]
