@@ -913,6 +913,35 @@ SELECT job_id, strftime(queued_at, {FMT}) AS queued_at, strftime(processing_at,
 FROM a
 """
 
+ORACLES["status_feed_bounded"] = ORACLES["status_feed"]
+ORACLES["queue_waits_bounded"] = ORACLES["live_metrics"]
+
+# a submission is cached if its key was scraped within five days before; scrapes
+# are all child links, and from the other submissions the first, then the first
+# five days or more after it, and so on
+ORACLES["scrape_stream"] = "WITH RECURSIVE " + blocks(LINKS, url_parts_cte("sc", "links1", "page_id, pos, link", "link")).strip().removeprefix("WITH") + f"""
+, k AS (
+  SELECT CASE WHEN normalized_url IS NOT NULL THEN 'urlcache:' || sha256(normalized_url) END AS url_key,
+         page_id % 4 = 0 AS child, {fixture_time_sql('page_id')} AS seen_at FROM sc
+),
+open AS (
+  SELECT DISTINCT url_key, seen_at FROM k s WHERE NOT child AND url_key IS NOT NULL
+     AND NOT EXISTS (SELECT 1 FROM k c WHERE c.child AND c.url_key = s.url_key AND c.seen_at <= s.seen_at AND c.seen_at > s.seen_at - INTERVAL 5 DAY)
+),
+following AS (
+  SELECT a.url_key, a.seen_at, min(b.seen_at) AS then_at FROM open a LEFT JOIN open b ON b.url_key = a.url_key AND b.seen_at >= a.seen_at + INTERVAL 5 DAY
+  GROUP BY a.url_key, a.seen_at
+),
+passed AS (
+  SELECT url_key, min(seen_at) AS seen_at FROM open GROUP BY url_key
+  UNION ALL
+  SELECT f.url_key, f.then_at FROM passed p JOIN following f ON f.url_key = p.url_key AND f.seen_at = p.seen_at WHERE f.then_at IS NOT NULL
+)
+SELECT url_key, child, strftime(seen_at, {FMT}) AS seen_at FROM k WHERE child OR url_key IS NULL
+UNION ALL
+SELECT url_key, false, strftime(seen_at, {FMT}) FROM passed
+"""
+
 ORACLES["ingest_read_documents"] = with_corpus(f"""
 SELECT id, strftime(effective_date, {FMT}) AS effective_date, strftime(tombstone_at, {FMT}) AS tombstone_at,
        {tags_sql()} AS tags, seo_enabled, slug FROM corpus

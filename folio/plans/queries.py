@@ -694,7 +694,8 @@ def q_article_export(spark, sf_dir):
 
 @register("enrich_stream")
 def q_enrich_stream(spark, sf_dir):
-    """Documents and analysis results as two streams, joined within the wait."""
+    """Documents and analysis results as two streams, joined within the wait;
+    one answer per document inside the stream."""
     docs = stream_table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
         F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("job_id"),
@@ -710,15 +711,12 @@ def q_enrich_stream(spark, sf_dir):
         F.to_json(F.struct(F.when(score.isNotNull(), F.struct(score.alias("score"))).alias("quality_score"))).alias("analysis"),
         FX.plus_micros(FX.fixture_time(did), (did % 120) * 60_000_000).alias("arrived_at"),
     )
+    docs, close_docs = ST.closing_mark(docs, "created_at", "id")
+    results, close_results = ST.closing_mark(results, "arrived_at", "job_id", status="completed")
     # event times are in no order over a month: the delay covers that
-    out = ST.run_available(ST.enrich_stream(docs, results, delay="40 days"), "enrich_stream")
-    batch = load_table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"),
-        F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("job_id"),
-        FX.fixture_time(F.col("doc_id")).alias("created_at"),
-    )
-    settled = ST.settle_enrichment(spark.read.schema(ST.ENRICHED).parquet(out), batch)
-    return settled.select("id", "job_id", fmt_ts("created_at").alias("created_at"), "outcome", "elapsed_minutes")
+    out = ST.run_available(ST.enrich_once(docs, results, delay="40 days"), "enrich_stream", closing=(close_docs, close_results))
+    answers = spark.read.schema(ST.ENRICHED).parquet(out)
+    return answers.select("id", "job_id", fmt_ts("created_at").alias("created_at"), "outcome", "elapsed_minutes")
 
 
 @register("dedupe_url_stream")
@@ -732,6 +730,17 @@ def q_dedupe_url_stream(spark, sf_dir):
     return spark.read.parquet(out).select("url_key")
 
 
+@register("scrape_stream")
+def q_scrape_stream(spark, sf_dir):
+    """R71 with renewal: links of every fourth page are scraped as children (and
+    renew their key), all others are submitted; TTL of five days."""
+    links = crawl.page_links(stream_table(spark, sf_dir, "pages")).select(
+        F.col("link").alias("url"), FX.fixture_time(F.col("page_id")).alias("seen_at"), (F.col("page_id") % 4 == 0).alias("child")
+    )
+    out = ST.run_available(ST.scrape_stream(links, ttl="5 days", delay="40 days"), "scrape_stream")
+    return spark.read.parquet(out).select("url_key", "child", fmt_ts("seen_at").alias("seen_at"))
+
+
 def _lifecycle(df: DataFrame) -> DataFrame:
     statuses = F.array(*[F.lit(s) for s in ST.LIFECYCLE_STATUSES])
     return df.select(
@@ -759,6 +768,37 @@ def q_status_feed(spark, sf_dir):
     return last.select("request_id", "s.status", fmt_ts("s.last_event_at").alias("last_event_at"), "s.events")
 
 
+@register("status_feed_bounded")
+def q_status_feed_bounded(spark, sf_dir):
+    """R72 with state that ends: the latest status of the watched documents, whose
+    state goes a week after their terminal event."""
+    events = _lifecycle(stream_table(spark, sf_dir, "events"))
+    watched = load_table(spark, sf_dir, "documents").filter(F.col("doc_id") % 2 == 0).select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("request_id")
+    )
+    feed = ST.latest_status_bounded(ST.status_feed(events, watched), delay="40 days")
+    out = ST.run_available(feed, "status_feed_bounded", mode="update")
+    rows = F.struct("batch_id", "status", "last_event_at", "events")
+    last = spark.read.parquet(out).groupBy("request_id").agg(F.max(rows).alias("s"))
+    return last.select("request_id", "s.status", fmt_ts("s.last_event_at").alias("last_event_at"), "s.events")
+
+
+@register("queue_waits_bounded")
+def q_queue_waits_bounded(spark, sf_dir):
+    """R73 (wait) with state that ends a week after a job was taken up."""
+    ev = stream_table(spark, sf_dir, "events")
+    mapping = F.create_map(*[F.lit(x) for pair in FX.EVENT_STATUS for x in pair])
+    job_events = ev.select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("ts"), F.element_at(mapping, F.col("event_type")).alias("event")
+    )
+    out = ST.run_available(ST.queue_waits_bounded(job_events, delay="40 days"), "queue_waits_bounded", mode="update")
+    latest = spark.read.parquet(out).groupBy("job_id").agg(F.max(F.struct("batch_id", "queued_at", "processing_at", "wait_seconds")).alias("w"))
+    return latest.select(
+        "job_id", fmt_ts("w.queued_at").alias("queued_at"), fmt_ts("w.processing_at").alias("processing_at"),
+        F.round("w.wait_seconds", 6).alias("wait_seconds"),
+    )
+
+
 def _snapshot(spark, sf_dir):
     """Documents and jobs as the tables are now."""
     forget_plans()

@@ -73,6 +73,27 @@ def _counter():
 _COUNTER = _counter()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers: Spark itself hands a zip
+    of the sources to every executor (once per application). Only the driver
+    reads the zip from its own disk."""
+    import os
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_folio_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(), "folio_sources.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.join("folio", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    context._folio_shipped = True
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the required settings."""
     builder = SparkSession.builder.appName("folio")

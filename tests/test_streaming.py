@@ -139,3 +139,157 @@ def test_live_metrics_beat(spark):
     figs = {(r.metric, r.key): r.value for r in spark.read.parquet(f"{base}/out/figures").collect()}
     assert figs[("jobs_by_status", "failed")] == 1 and figs[("jobs_by_status", "pending")] == 0
     assert figs[("tombstones_due", "")] == 1 and figs[("live_by_source_type", "url")] == 1
+
+
+def _cut(spark, rows, schema, parts):
+    """A file stream of ``parts`` files, one per micro-batch."""
+    path = tempfile.mkdtemp(prefix="folio-stream-cut-")
+    for k in range(parts):
+        size = -(-len(rows) // parts)
+        spark.createDataFrame(rows[k * size : (k + 1) * size], schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_enrich_stream_answers_each_document_once(spark):
+    """Inside the stream: one row per document in append mode, in one file or in
+    several, with the closing mark for those that still wait."""
+    import random
+
+    rng = random.Random(11)
+    t0 = dt.datetime(2025, 1, 1)
+    docs = [(f"d{i}", f"j{i}", t0 + dt.timedelta(hours=rng.randint(0, 300))) for i in range(60)]
+    res, want = [], {}
+    for i, (d, job, at) in enumerate(docs):
+        waits = [rng.randint(0, 120) for _ in range(i % 4)]
+        res += [(job, "completed", json.dumps({"k": w}), at + dt.timedelta(minutes=w)) for w in waits]
+        good = [w for w in waits if w <= 60]
+        want[d] = ("applied", min(good), json.dumps({"k": min(good)})) if good else ("timeout", None, None)
+    for parts in (1, 4):
+        rng.shuffle(docs)
+        rng.shuffle(res)
+        d, close_docs = ST.closing_mark(_cut(spark, docs, DOC_ROWS, parts), "created_at", "id")
+        r, close_res = ST.closing_mark(_cut(spark, res, RES_ROWS, parts), "arrived_at", "job_id", status="completed")
+        out = ST.run_available(ST.enrich_once(d, r, delay="40 days"), "t-enrich-once", closing=(close_docs, close_res))
+        rows = spark.read.schema(ST.ENRICHED).parquet(out).collect()
+        assert len(rows) == 60 and {x.id: (x.outcome, x.elapsed_minutes, x.analysis) for x in rows} == want
+
+
+def test_drops_are_counted_beyond_the_progress_that_spark_keeps(spark):
+    t0 = dt.datetime(2025, 1, 1)
+    days = [90, 90, 0, *range(91, 97)]  # one late row, then batches that push its report out
+    rows = [(f"https://e.com/{i}", t0 + dt.timedelta(days=day)) for i, day in enumerate(days)]
+    stream = _cut(spark, rows, "url string, seen_at timestamp", len(rows))
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        with pytest.raises(RuntimeError, match="later than the watermark"):
+            ST.run_available(ST.dedupe_url_stream(stream), "t-late-early")
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+SIGHTINGS = "url string, seen_at timestamp, child boolean"
+
+
+def scrapes(rows, ttl):
+    """One by one: (url, day) of what is scraped."""
+    last, out = {}, []
+    for url, at, child in sorted(rows, key=lambda r: (r[1], not r[2])):
+        if child or url not in last or at - last[url] >= ttl:
+            out.append((url, at))
+        if child or out and out[-1] == (url, at):
+            last[url] = max(last.get(url, at), at)
+    return sorted(out)
+
+
+def test_scrape_stream_renews_the_ttl(spark):
+    import random
+
+    rng = random.Random(2)
+    t0 = dt.datetime(2025, 1, 1)
+    rows = sorted({(f"https://e.com/{rng.randint(0, 5)}", t0 + dt.timedelta(hours=rng.randint(0, 2000)), rng.random() < 0.2) for _ in range(300)}, key=lambda r: (r[1], not r[2]))
+    want = scrapes(rows, dt.timedelta(days=7))
+    assert 40 < len(want) < len(rows)
+    for parts in (1, 4):
+        out = ST.run_available(ST.scrape_stream(_cut(spark, rows, SIGHTINGS, parts), ttl="7 days", delay="90 days"), "t-scrapes")
+        assert sorted((r.url, r.seen_at) for r in spark.read.parquet(out).collect()) == want
+    # a renewal by a link keeps a submission cached that the first scrape alone would not
+    few = [("https://e.com/a", t0, False), ("https://e.com/a", t0 + dt.timedelta(days=5), True), ("https://e.com/a", t0 + dt.timedelta(days=9), False),
+           ("https://e.com/a", t0 + dt.timedelta(days=12), False), ("nonsense", t0, False), ("nonsense", t0, False)]
+    out = ST.run_available(ST.scrape_stream(_cut(spark, few, SIGHTINGS, 1), ttl="7 days", delay="90 days"), "t-scrapes-few")
+    got = sorted((r.url, (r.seen_at - t0).days) for r in spark.read.parquet(out).collect())
+    assert got == [("https://e.com/a", 0), ("https://e.com/a", 5), ("https://e.com/a", 12), ("nonsense", 0), ("nonsense", 0)]
+
+
+def test_needed_sightings_change_nothing():
+    """What a task drops before the shuffle alters no decision, whatever came before."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(300):
+        rows = sorted(((rng.randint(0, 60), rng.random() < 0.4) for _ in range(rng.randint(1, 12))), key=lambda r: (r[0], not r[1]))
+        kept = ST.needed_sightings([c for _, c in rows], [t for t, _ in rows], 10)
+        other = [(rng.randint(-20, 60), rng.random() < 0.5) for _ in range(4)]
+
+        def passed(some):
+            last, out = None, []
+            for t, child in sorted(some, key=lambda r: (r[0], not r[1])):
+                if child:
+                    last = t
+                elif last is None or t - last >= 10:
+                    last = t
+                    out.append(t)
+            return out
+
+        assert passed([rows[i] for i in kept] + other) == passed(rows + other)
+
+
+def _state_rows(spark, df, name):
+    """Run, and return (output path, state rows at the end)."""
+    seen = []
+
+    class Watch(ST.StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            seen.append(sum(op.numRowsTotal for op in event.progress.stateOperators))
+
+    watch = Watch()
+    spark.streams.addListener(watch)
+    try:
+        return ST.run_available(df, name, mode="update"), seen
+    finally:
+        spark.streams.removeListener(watch)
+
+
+def test_status_state_ends(spark):
+    """Documents are forgotten after their terminal event and the idle time."""
+    t0 = dt.datetime(2025, 1, 1)
+    schema = "request_id string, status string, stage string, message string, ts timestamp, seq long"
+    rows = [(f"r{i}", s, "s", "m", t0 + dt.timedelta(hours=i, minutes=k), 10 * i + k) for i in range(20) for k, s in enumerate(["scraping", "scraped", "enriching", "enriched"])]
+    rows += [("end", "enriched", "s", "m", t0 + dt.timedelta(days=60 + d), 1000 + d) for d in range(0, 60, 20)]
+    out, state = _state_rows(spark, ST.latest_status_bounded(_cut(spark, rows, schema, 8), delay="1 day", idle="7 days"), "t-status-end")
+    last = spark.read.parquet(out).groupBy("request_id").agg(F.max(F.struct("batch_id", "status", "events")).alias("s")).collect()
+    got = {r.request_id: (r.s.status, r.s.events) for r in last}
+    assert {got[f"r{i}"] for i in range(20)} == {("enriched", 4)}
+    assert max(state) >= 20 and state[-1] <= 1  # at most the document of the newest event
+
+
+def test_wait_state_ends(spark):
+    t0 = dt.datetime(2025, 1, 1)
+    rows = [(f"j{i}", e, t0 + dt.timedelta(hours=i, minutes=k)) for i in range(20) for k, e in enumerate(["queued", "processing", "completed"])]
+    rows += [("open", "queued", t0), *[("end", e, t0 + dt.timedelta(days=60 + d)) for d, e in ((0, "queued"), (20, "processing"), (40, "completed"))]]
+    rows.sort(key=lambda r: r[2])
+    out, state = _state_rows(spark, ST.queue_waits_bounded(_cut(spark, rows, "job_id string, event string, ts timestamp", 8), delay="1 day", idle="7 days"), "t-wait-end")
+    last = spark.read.parquet(out).groupBy("job_id").agg(F.max(F.struct("batch_id", "queued_at", "processing_at", "wait_seconds")).alias("w")).collect()
+    got = {r.job_id: (r.w.queued_at, r.w.wait_seconds) for r in last}
+    assert {got[f"j{i}"][1] for i in range(20)} == {60.0} and got["j3"][0] == t0 + dt.timedelta(hours=3)
+    assert got["open"] == (t0, None)
+    assert max(state) >= 20 and state[-1] <= 2  # the job still waiting, and the newest
