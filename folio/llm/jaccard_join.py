@@ -146,9 +146,25 @@ def block_keys(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch_words(n: int) -> int:
+    """Words of a set's sketch: two bits per shingle at least, a power of two."""
+    return max(SKETCH_WORDS, 1 << (n // 32).bit_length())
+
+
 def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    bits = np.bincount(((shingles >> U(20)) & U(SKETCH_WORDS * 64 - 1)).astype(np.int64), minlength=SKETCH_WORDS * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """A bit's number is a remainder by the width, so that a sketch of half the
+    width is the XOR of the halves (``folded``)."""
+    size = sketch_words(len(shingles)) * 64
+    bits = np.bincount(((shingles >> U(20)) & U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (one a row) of a width that the smaller partner has."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
 def _sets(part: pa.RecordBatch, name: str) -> list[np.ndarray]:
@@ -245,7 +261,13 @@ def _promising(pairs: DataFrame, details: DataFrame) -> DataFrame:
     """Pairs whose sizes and sketch distance allow a link."""
     side = lambda c: details.select(F.col("set_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    distance = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x.cast("int"))
+    def narrow(mine: str, other: str):
+        half = (F.size(mine) / 2).cast("int")
+        both = F.zip_with(F.slice(mine, 1, half), F.slice(mine, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(mine) > F.size(other), both).otherwise(F.col(mine))
+
+    # widths differ by one step at most where the sizes allow a link
+    distance = F.aggregate(F.zip_with(narrow("s_a", "s_b"), narrow("s_b", "s_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x.cast("int"))
     sizes = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
     return joined.filter(sizes & ((DENOMINATOR + NUMERATOR) * distance <= (DENOMINATOR - NUMERATOR) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
 
@@ -379,58 +401,143 @@ def _open_groups(stars: DataFrame, comps: DataFrame, details: DataFrame) -> tupl
     return rows.union(_tiles(meet, "shingle")), [open_, meet]
 
 
+class _Group:
+    """Members of one group of a task: sets that are to be compared."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        self.group, self.side, self.node, self.component, self.n = (rows[c].to_numpy() for c in ("group", "side", "node", "component", "n"))
+        self.packed = rows["packed"] if "packed" in rows.column_names else None
+        sketch = rows["sketch"].chunk(0) if rows["sketch"].num_chunks else pa.array([], pa.list_(pa.int64()))
+        values, ends = sketch.flatten().to_numpy().view(U), np.cumsum(sketch.value_lengths().to_numpy())
+        width = np.diff(ends, prepend=0)
+        #: sketch width -> (members, their sketches)
+        self.classes = {}
+        for w in np.unique(width).tolist():
+            of = np.flatnonzero(width == w)
+            self.classes[w] = of, values[(ends[of] - w)[:, None] + np.arange(w)]
+
+    def near(self, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Members (x, y) of different labels whose sizes and sketches allow a
+        link, in blocks. Labels may change between blocks."""
+        two_sides = bool(self.side.any())
+        for w, (rows, sketch) in self.classes.items():
+            for v in (w, 2 * w):  # linked sets' sketches are at most twice as wide
+                if v not in self.classes:
+                    continue
+                others, wide = self.classes[v]
+                wide = folded(wide, w)
+                for lo in range(0, len(rows), 128):
+                    for at in range(0, len(others), 8192):
+                        a, b = rows[lo : lo + 128], others[at : at + 8192]
+                        n, m = self.n[a][:, None], self.n[b][None, :]
+                        ok = (label[a][:, None] != label[b][None, :]) & (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
+                        if two_sides:
+                            ok &= self.side[a][:, None] != self.side[b][None, :]
+                        if v == w:
+                            ok &= a[:, None] < b[None, :]
+                        x, y = np.nonzero(ok)
+                        step = max(1, (1 << 20) // w)
+                        for s in range(0, len(x), step):
+                            p, q = x[s : s + step], y[s : s + step]
+                            far = np.bitwise_count(sketch[lo + p] ^ wide[at + q]).sum(axis=1)
+                            some = (DENOMINATOR + NUMERATOR) * far <= (DENOMINATOR - NUMERATOR) * (n[p, 0] + m[0, q])
+                            if some.any():
+                                yield a[p[some]], b[q[some]]
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[_Group]:
+    """The groups of a task's rows, which are sorted by group."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column("group").to_numpy()
+        edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            part = pa.Table.from_batches([batch.slice(a, b - a)])
+            if held and held[0]["group"][0].as_py() != group[a]:
+                yield _Group(pa.concat_tables(held))
+                held = []
+            held.append(part)
+    if held:
+        yield _Group(pa.concat_tables(held))
+
+
+class _Shingles:
+    """Sets of a group's members, unpacked when asked for; the last ones stay."""
+
+    def __init__(self, packed: pa.ChunkedArray, limit: int = 64 << 20):
+        self.packed, self.limit, self.size = packed, limit, 0
+        self.unpack, self.sets = zstandard.ZstdDecompressor(), {}
+
+    def of(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            text = self.unpack.decompress(self.packed[i].as_buffer())
+            hashes, _ = shingle_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            if self.size > self.limit:
+                self.sets, self.size = {}, 0
+            self.sets[i] = np.unique(hashes)
+            self.size += self.sets[i].nbytes
+        return self.sets[i]
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        mine, theirs = self.of(i), [self.of(j) for j in others.tolist()]
+        size = np.array([len(t) for t in theirs])
+        every = np.concatenate(theirs)
+        at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+        common = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum(size) - size)
+        return DENOMINATOR * common >= NUMERATOR * (len(mine) + size - common)
+
+
+def _joining(group: _Group) -> list[tuple[int, int]]:
+    """Verified links that join two components of the group, one less than its
+    components at most."""
+    label, sets, out = group.component.copy(), _Shingles(group.packed), []
+    for x, y in group.near(label):
+        for i in np.unique(x).tolist():
+            rest = y[x == i]
+            while len(rest := rest[label[rest] != label[i]]):
+                some, rest = rest[:32], rest[32:]
+                for j in some[sets.linked(i, some)].tolist():
+                    if label[i] != label[j]:
+                        out.append((int(group.node[i]), int(group.node[j])))
+                        label[label == label[j]] = label[i]
+    return out
+
+
 def _across(stars: DataFrame, comps: DataFrame, details: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs (a, b) of a key's members in different components that no star
-    compared, if sizes and sketches allow a link; and the stored tables read."""
+    """Verified links (u, v) between a key's members in different components that
+    no star compared; and the stored tables read. A first pass over sketches finds
+    the members with a possible partner in their group; a second one verifies these
+    by their texts and hands on only the links that join two components of the
+    group, so both give at most a row per member."""
     groups, tables = _open_groups(stars, comps, details)
     rows = groups.join(details.select(F.col("set_id").alias("node"), "n", "sketch"), "node")
 
-    def compare(block: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if block["side"].any():  # two tiles
-            left, right = ({c: v[block["side"] == s] for c, v in block.items()} for s in (1, 2))
-        else:
-            left = right = block
-        within = left is right
-        for lo in range(0, len(left["node"]), 128):
-            for at in range(lo if within else 0, len(right["node"]), 8192):
-                i, j = slice(lo, lo + 128), slice(at, at + 8192)
-                a, b = left["node"][i], right["node"][j]
-                n, m = left["n"][i][:, None], right["n"][j][None, :]
-                ok = (left["component"][i][:, None] != right["component"][j][None, :]) & (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
-                x, y = np.nonzero(ok & (a[:, None] < b[None, :]) if within else ok)
-                for s in range(0, len(x), 65536):
-                    p, q = x[s : s + 65536], y[s : s + 65536]
-                    far = np.bitwise_count(left["sketch"][i][p] ^ right["sketch"][j][q]).sum(axis=1)
-                    near = (DENOMINATOR + NUMERATOR) * far <= (DENOMINATOR - NUMERATOR) * (n[p, 0] + m[0, q])
-                    if near.any():
-                        u, v = a[p[near]], b[q[near]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-
-        def columns(batch):
-            out = {c: batch.column(c).to_numpy() for c in ("group", "side", "node", "component", "n")}
-            return out | {"sketch": batch.column("sketch").flatten().to_numpy().view(U).reshape(-1, SKETCH_WORDS)}
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups_of(batches):
+            near = np.zeros(len(group.node), bool)
+            for x, y in group.near(group.component):
+                near[x] = near[y] = True
+            if near.any():
+                columns = (group.group, group.side, group.node, group.component)
+                yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in columns], names=["group", "side", "node", "component"])
 
-        def groups(block, last):
-            edges = np.concatenate([[0], np.flatnonzero(block["group"][1:] != block["group"][:-1]) + 1, [len(block["group"])]])
-            for a, b in zip(edges[:-1], edges[1:] if last else edges[1:-1], strict=False):
-                yield {c: v[a:b] for c, v in block.items()}
-            held[:] = [] if last else [{c: v[edges[-2] :] for c, v in block.items()}]
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups_of(batches):
+            if found := _joining(group):
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(columns(batch))
-                if held[0]["group"][0] != held[-1]["group"][-1]:
-                    block = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-                    for g in groups(block, False):
-                        yield from compare(g)
-        if held:
-            for g in groups({c: np.concatenate([h[c] for h in held]) for c in held[0]}, True):
-                yield from compare(g)
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition("group").sortWithinPartitions("group", "node")
 
-    return rows.repartition("group").sortWithinPartitions("group", "node").select("group", "side", "node", "component", "n", "sketch").mapInArrow(A.tidy(run), "a long, b long").distinct(), tables
+    sketched = dealt(rows).select("group", "side", "node", "component", "n", "sketch")
+    members = stored(sketched.mapInArrow(A.tidy(candidates), "group long, side int, node long, component long"), "jaccard-candidates")
+    texts = members.join(details.withColumnRenamed("set_id", "node"), "node")
+    verified = dealt(texts).select("group", "side", "node", "component", "n", "sketch", "packed").mapInArrow(A.tidy(join), "u long, v long")
+    return verified.distinct(), [*tables, members]
 
 
 def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -443,7 +550,7 @@ def links(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = stored(_verified(_promising(pairs, details), details), "jaccard-links")
     found = components(edges, "jaccard-components")
     apart, tables = _across(stars, found, details)
-    more = stored(_verified(apart, details), "jaccard-links")
+    more = stored(apart, "jaccard-links")
     discard(stars, details, *tables)
     if not more.isEmpty():
         # the second round only joins components of the first
