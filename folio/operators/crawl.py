@@ -27,6 +27,7 @@ from folio.functions.urls import (
     without_dots,
 )
 from folio.functions.visibility import tombstone_at
+from folio.session import checkpoint_dir
 
 DAY_US = 86_400_000_000
 # an anchor's href: quoted either way or bare, in any case, after other attributes.
@@ -276,6 +277,67 @@ def expand_frontier(parents: DataFrame, links: DataFrame, *, max_depth: int) ->
     )
 
 
+def crawl(
+    seeds: DataFrame, pages: DataFrame, links: DataFrame, seen: DataFrame | None = None, *, as_of, max_depth: int, threshold: float = 0.5, ttl_days: int = 30
+) -> DataFrame:
+    """R66 with R32 and R21, level by level to ``max_depth``: every URL that a crawl
+    of the submitted ``seeds`` (url) reaches, once per cache key (R52), with the
+    first level it is met on and what becomes of it:
+
+    * ``cached``: a seed scraped within ``ttl_days`` (R32; links skip the cache);
+    * ``error``: a seed that is no scrapable URL (R20; such links are not followed);
+    * ``failed``: no page answers;
+    * ``rejected``: the page's score is below the gate (R21), its links stay unread;
+    * ``accepted`` / ``image``: scraped; its links are the next level's.
+
+    ``pages``: page_id, url, score, categories; of pages with one key the smallest
+    id answers. ``links``: page_id, link, as of ``page_links``. Output: url_key, url
+    (the least of its spellings on that level), depth, outcome, page_id,
+    parent_page_id (the smallest page that links to it there; null for seeds).
+
+    A semi-naive fixpoint: page keys and links are keyed and written once, dealt by
+    the columns they are joined on; a round joins only the pages scraped in the
+    round before with the links, folds the targets by key (map-side, so a URL on
+    every page is one row per task) and drops keys met before. Each round is
+    checkpointed, which cuts lineage; there are at most max_depth + 1."""
+    checkpoint_dir(seeds.sparkSession)
+    keyed_pages = with_url_key(pages.select("page_id", "url", "score", "categories"), "url", "url_key").filter(F.col("url_key").isNotNull())
+    answer = F.min(F.struct("page_id", score_gate("score", "categories", threshold).alias("decision"))).alias("p")
+    site = keyed_pages.groupBy("url_key").agg(answer).select("url_key", "p.page_id", "p.decision").checkpoint()
+    with_key = with_url_key(links.select("page_id", "link"), "link", "url_key")
+    # a generator, not a filter: see expand_frontier
+    scrapable = F.when(is_scrapable_url("link") & F.col("url_key").isNotNull(), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    graph = with_key.select("page_id", "link", "url_key", F.explode(scrapable).alias("_s")).drop("_s").repartition("page_id").checkpoint()
+
+    if seen is not None:
+        started = seen_url_split(seeds.select("url"), seen, as_of=as_of, ttl_days=ttl_days)
+    else:
+        started = with_url_key(seeds.select("url"), "url", "url_key").withColumn("cached", F.lit(False))
+    valid = F.col("url_key").isNotNull() & is_scrapable_url("url")
+    entry = F.when(~valid, F.lit("error")).when(F.col("cached"), F.lit("cached"))
+    no_page = F.lit(None).cast(pages.schema["page_id"].dataType)
+    frontier = started.select("url_key", "url", entry.alias("entry")).groupBy("url_key", "entry").agg(F.min("url").alias("url")).withColumn("parent_page_id", no_page)
+
+    def answered(level: DataFrame, depth: int) -> DataFrame:
+        """The level's URLs with their pages and outcomes, written."""
+        met = level.join(site, "url_key", "left")
+        outcome = F.coalesce("entry", "decision", F.lit("failed"))
+        page = F.when(F.col("entry").isNull(), F.col("page_id")).alias("page_id")
+        return met.select("url_key", "url", F.lit(depth).alias("depth"), outcome.alias("outcome"), page, "parent_page_id").repartition("url_key").checkpoint()
+
+    current = answered(frontier, 0)
+    found = current
+    for depth in range(1, max_depth + 1):
+        scraped = current.filter(F.col("outcome").isin("accepted", "image")).select("page_id")
+        targets = scraped.join(graph, "page_id").groupBy("url_key").agg(F.min("link").alias("url"), F.min("page_id").alias("parent_page_id"))
+        fresh = targets.join(found.filter(F.col("url_key").isNotNull()).select("url_key"), "url_key", "left_anti")
+        current = answered(fresh.withColumn("entry", F.lit(None).cast("string")), depth)
+        if current.isEmpty():
+            break
+        found = found.unionByName(current)
+    return found
+
+
 def url_rules(urls: DataFrame, url_col: str = "url") -> DataFrame:
     """R19/R20/R45/R51/R52 side by side for a table of URLs; the URL is split
     once per row and every rule reads the split."""
@@ -332,6 +394,11 @@ def crawl_step(
     from folio.operators.documents import slug_conflicts
 
     split = seen_url_split(new_urls, seen, as_of=as_of, ttl_days=ttl_days)
+    # of the spellings of one cache key the first is scraped; the others find it cached then
+    spelled = split.filter(~F.col("cached") & F.col("url_key").isNotNull()).groupBy("url_key").agg(F.min("url").alias("first"))
+    split = split.withColumn("_k", F.coalesce("url_key", F.concat(F.lit("\u0000"), F.col("url")))).join(
+        spelled.withColumnRenamed("url_key", "_k"), "_k", "left").drop("_k")
+    split = split.withColumn("cached", F.col("cached") | F.coalesce(F.col("first") != F.col("url"), F.lit(False)))
     fresh = split.filter(~F.col("cached")).select("url").distinct()
     # one row per URL: document ids hash the URL, so repeats would repeat ids
     scores, scrapes = _first_per_url(scores), _first_per_url(scrapes)

@@ -913,6 +913,35 @@ SELECT job_id, strftime(queued_at, {FMT}) AS queued_at, strftime(processing_at,
 FROM a
 """
 
+# reached(key, depth) grows by the links of scraped pages; the least depth counts
+ORACLES["crawl"] = "WITH RECURSIVE " + blocks(
+    CORPUS_CTE, LINKS, url_parts_cte("pk", "pages", "page_id, url", "url"), url_parts_cte("lk", "links1", "page_id, pos, link", "link")
+).strip().removeprefix("WITH") + f"""
+, site AS (
+  SELECT 'urlcache:' || sha256(pk.normalized_url) AS key, min(pk.page_id) AS page_id, arg_min({_GATE}, pk.page_id) AS decision
+  FROM pk JOIN d1_url ON d1_url.k = pk.page_id GROUP BY 1
+),
+page_key AS (SELECT page_id, 'urlcache:' || sha256(normalized_url) AS key FROM pk),
+graph AS (
+  SELECT page_id, 'urlcache:' || sha256(normalized_url) AS key FROM lk
+  WHERE normalized_url IS NOT NULL AND has_scheme AND lower(p.scheme) IN ('http', 'https') AND parses AND NOT is_image
+  UNION
+  SELECT a.page_id, b.key FROM page_key a JOIN page_key b ON b.page_id IN (2 * a.page_id + 1, 2 * a.page_id + 2, a.page_id - 1)
+),
+seeds AS (SELECT DISTINCT key FROM page_key WHERE page_id % 25 = 0),
+cached AS (SELECT key FROM seeds WHERE key IN (SELECT key FROM page_key WHERE page_id % 75 = 0)),
+reached(key, depth) AS (
+  SELECT key, 0 FROM seeds
+  UNION
+  SELECT g.key, r.depth + 1 FROM reached r JOIN site s ON s.key = r.key JOIN graph g ON g.page_id = s.page_id
+  WHERE r.depth < 3 AND s.decision <> 'rejected' AND r.key NOT IN (SELECT key FROM cached)
+)
+SELECT r.key AS url_key, min(r.depth)::INTEGER AS depth,
+       CASE WHEN r.key IN (SELECT key FROM cached) THEN 'cached' ELSE coalesce(any_value(s.decision), 'failed') END AS outcome,
+       CASE WHEN r.key NOT IN (SELECT key FROM cached) THEN any_value(s.page_id) END AS page_id
+FROM reached r LEFT JOIN site s ON s.key = r.key GROUP BY r.key
+"""
+
 ORACLES["status_feed_bounded"] = ORACLES["status_feed"]
 ORACLES["queue_waits_bounded"] = ORACLES["live_metrics"]
 

@@ -369,6 +369,22 @@ def q_expand_frontier(spark, sf_dir):
     return out.select("id", "url", "extract_links", "depth", "parent_job_id", "status")
 
 
+@register("crawl")
+def q_crawl(spark, sf_dir):
+    """R66 + R32 + R21 over four levels: every 25th page submitted, of which every
+    third was seen lately; the pages' own links, and links between pages (p to 2p+1,
+    2p+2 and back to p-1, with a tracking parameter)."""
+    pages = _scored_pages(spark, sf_dir)
+    pid = F.col("page_id")
+    marked = F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.contains("url", F.lit("?")), F.lit("&utm_source=l")).otherwise(F.lit("?utm_source=l")))
+    target = pages.select(pid.alias("to"), marked.alias("link"))
+    between = pages.select("page_id", F.explode(F.array(2 * pid + 1, 2 * pid + 2, pid - 1)).alias("to")).join(target, "to")
+    links = crawl.page_links(pages).select("page_id", "link").unionByName(between.select("page_id", "link"))
+    seen = pages.filter(pid % 75 == 0).select("url", F.lit("s").alias("scraper_uuid"), FX.plus_micros(F.lit(AS_OF), F.lit(-3 * 86_400_000_000)).alias("seen_at"))
+    found = crawl.crawl(pages.filter(pid % 25 == 0), pages, links, seen, as_of=AS_OF, max_depth=3)
+    return found.select("url_key", "depth", "outcome", "page_id")
+
+
 def _new_urls(spark, sf_dir):
     pages = load_table(spark, sf_dir, "pages")
     base = F.regexp_replace(F.col("url"), "#.*$", "")

@@ -186,3 +186,38 @@ def test_deep_trees_and_cycles(spark):
     assert got == want
     nested = {r.id: r.level for r in J.job_descendants(jobs, ["9990", "9995", "no such job"], include_roots=False).collect()}
     assert nested == {str(i): i - (9995 if i > 9995 else 9990) for i in range(9991, 10_000) if i != 9995}
+
+
+def test_crawl_to_depth(spark):
+    """Each cache key once, on the first level that meets it; cycles end; cached
+    and rejected pages are not expanded; spellings of one key are one URL."""
+    pages = spark.createDataFrame(
+        [(i, f"http://h/{n}", 0.1 if n == "bad" else 0.9, ["image"] if n == "pic" else []) for i, n in enumerate(["a", "b", "c", "d", "bad", "pic", "old", "e"])],
+        "page_id long, url string, score double, categories array<string>")
+    at = {r.url[9:]: r.page_id for r in pages.collect()}
+    edges = [("a", "http://h/b?utm_source=x"), ("a", "http://H/b#top"), ("a", "http://h/bad"), ("b", "http://h/a"), ("b", "http://h/c"), ("c", "http://h/d"),
+             ("bad", "http://h/e"), ("old", "http://h/e"), ("a", "http://h/pic"), ("pic", "http://h/c/"), ("a", "mailto:x"), ("a", "http://h/x.png"), ("b", "http://h/gone")]
+    links = spark.createDataFrame([(at[p], link) for p, link in edges], "page_id long, link string")
+    seeds = spark.createDataFrame([("http://h/a",), ("http://h/a#again",), ("http://h/old",), ("ftp://h/a",), ("nothing",)], "url string")
+    seen = spark.createDataFrame([("http://h/old", "s", T0 - dt.timedelta(days=1)), ("http://h/b", "s", T0 - dt.timedelta(days=1))], "url string, scraper_uuid string, seen_at timestamp")
+    for depth, deep in ((2, {}), (3, {"d": (3, "accepted")}), (9, {"d": (3, "accepted")})):
+        found = crawl.crawl(seeds, pages, links, seen, as_of=T0.replace(tzinfo=UTC), max_depth=depth).collect()
+        got = {r.url.split("/")[-1].split("?")[0].split("#")[0] if r.outcome != "error" else r.url: (r.depth, r.outcome) for r in found}
+        want = {"a": (0, "accepted"), "old": (0, "cached"), "ftp://h/a": (0, "error"), "nothing": (0, "error"), "b": (1, "accepted"), "bad": (1, "rejected"),
+                "pic": (1, "image"), "gone": (2, "failed")}
+        assert {k: v for k, v in got.items() if k not in ("c", "")} == want | deep
+        assert len(found) == len(want | deep) + 1 and [r.depth for r in found if r.page_id == at["c"]] == [2]
+
+
+def test_crawl_step_scrapes_a_cache_key_once(spark):
+    """Of two spellings of one key the second finds it cached."""
+    new = spark.createDataFrame([("http://h/a",), ("http://H/a?utm_source=x",), ("http://h/b",)], "url string")
+    names = "url string, score double, reason string, categories array<string>, is_recommended boolean, malicious_indicators array<string>"
+    scores = spark.createDataFrame([(u, 0.9, "", [], True, []) for u in ("http://h/a", "http://H/a?utm_source=x", "http://h/b")], names)
+    scrapes = spark.createDataFrame(
+        [(u, f"s{i}", "t", "c", "", None, None, f"slug-{i}") for i, u in enumerate(("http://h/a", "http://H/a?utm_source=x", "http://h/b"))],
+        "url string, scrape_id string, title string, content string, raw_text string, page_metadata string, page_score string, slug string")
+    seen = spark.createDataFrame([], "url string, scraper_uuid string, seen_at timestamp")
+    step = crawl.crawl_step(new, scores, scrapes, seen, as_of=T0.replace(tzinfo=UTC))
+    assert sorted(r.source_url for r in step.documents.collect()) == ["http://H/a?utm_source=x", "http://h/b"]
+    assert {r.url: r.outcome for r in step.outcomes.collect()} == {"http://H/a?utm_source=x": "accepted", "http://h/a": "cached", "http://h/b": "accepted"}

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-STREAMS = {"enrich_stream", "dedupe_url_stream", "status_feed", "status_feed_events", "live_metrics", "live_metrics_figures", "ingest_read_documents", "ingest_second_batch", "scrape_stream", "status_feed_bounded", "queue_waits_bounded"}
+STREAMS = {"enrich_stream", "dedupe_url_stream", "status_feed", "status_feed_events", "live_metrics", "live_metrics_figures", "ingest_read_documents", "ingest_second_batch", "crawl", "scrape_stream", "status_feed_bounded", "queue_waits_bounded"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
