@@ -78,7 +78,12 @@ def tag_timeline(
     with a null tag. Buckets 0..n-1 are listed (§2.10). A request for more than
     ``max_buckets`` buckets gets wider ones; None lifts the bound."""
     ranked, n, width_us, duration = _ranked(documents, start, end, bucket_seconds, max_tags, as_of, max_buckets)
-    spark = documents.sparkSession
+    return on_spine(ranked, start, n, width_us, duration, max_tags)
+
+
+def on_spine(ranked: DataFrame, start, n: int, width_us: int, duration: int, max_tags: int) -> DataFrame:
+    """The listed buckets 0..n-1 with their ranked tags."""
+    spark = ranked.sparkSession
     spine = spark.range(n).select(
         F.col("id").alias("bucket"),
         F.timestamp_micros(F.lit(micros(start)) + F.col("id") * F.lit(width_us)).alias("bucket_start"),
@@ -110,6 +115,11 @@ def timeline_stats(
         .filter((eff >= ts_lit(start)) & (eff <= ts_lit(end)))
         .agg(F.count(F.lit(1)).alias("total_documents"))
     )
+    return stats_of(total, ranked, n)
+
+
+def stats_of(total: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
+    """One row of ``total`` (total_documents), the ranked rows' tags and n."""
     tags = ranked.agg(F.count_distinct("tag").alias("total_unique_tags"))
     # two single-row aggregates side by side, without a join
     null = F.lit(None).cast("long")

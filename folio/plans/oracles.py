@@ -164,6 +164,8 @@ _CTL = dict(start=CORPUS_START, end=CORPUS_END, width_s=86400, n=47, k=5)
 _VIS = f"seo_enabled AND {live_sql()}"
 
 ORACLES: dict[str, str] = {}
+#: number in a corpus document's id
+_KEY = "CAST(substr(id, 2) AS BIGINT)"
 
 ORACLES["tag_timeline"] = (
     "WITH " + _timeline_sql(EVENTS_DOCS, _TL["start"], _TL["end"], _TL["width_s"], _TL["n"], _TL["k"], _VIS)
@@ -942,6 +944,18 @@ SELECT r.key AS url_key, min(r.depth)::INTEGER AS depth,
 FROM reached r LEFT JOIN site s ON s.key = r.key GROUP BY r.key
 """
 
+_CHANGED = f"""
+SELECT id, effective_date,
+       CASE WHEN id[1] = 'd' AND {_KEY} % 11 = 0 THEN list_append(tags, 'spam') ELSE tags END AS tags,
+       CASE WHEN id[1] = 'p' AND {_KEY} % 4 = 0 THEN NOT seo_enabled ELSE seo_enabled END AS seo_enabled,
+       CASE WHEN id[1] = 'p' AND {_KEY} % 6 = 0 THEN {AS_OF_SQL} + INTERVAL 90 DAY
+            WHEN id[1] = 'd' AND {_KEY} % 11 = 0 THEN {AS_OF_SQL} - INTERVAL 10 DAY ELSE tombstone_at END AS tombstone_at
+FROM corpus"""
+_RTL = dict(_CTL, width_s=21_600, n=188)
+_ROLLED = "," + _timeline_sql(_CHANGED, _RTL["start"], _RTL["end"], _RTL["width_s"], _RTL["n"], _RTL["k"], _VIS)
+ORACLES["rollup_timeline"] = with_corpus(_ROLLED + _timeline_select(_RTL["start"], _RTL["width_s"]))
+ORACLES["rollup_timeline_stats"] = with_corpus(_ROLLED + _timeline_stats_select(_RTL["n"], _RTL["start"], _RTL["end"], _VIS))
+
 ORACLES["status_feed_bounded"] = ORACLES["status_feed"]
 ORACLES["queue_waits_bounded"] = ORACLES["live_metrics"]
 
@@ -976,7 +990,6 @@ SELECT id, strftime(effective_date, {FMT}) AS effective_date, strftime(tombstone
        {tags_sql()} AS tags, seo_enabled, slug FROM corpus
 """)
 
-_KEY = "CAST(substr(id, 2) AS BIGINT)"
 ORACLES["ingest_second_batch"] = with_corpus(f"""
 , one AS (
   SELECT *, row_number() OVER (PARTITION BY slug ORDER BY created_at, id) AS nth FROM corpus WHERE {_KEY} % 3 <> 0

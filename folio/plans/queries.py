@@ -4,6 +4,7 @@ library's operators. Oracles with the same keys live in ``oracles.py``."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from folio.operators import images as I  # noqa: E741
 from folio.operators import jobs as J
 from folio.operators import merges as MG
 from folio.operators import publish as P
+from folio.operators import rollup as R
 from folio.operators import stats as S
 from folio.operators.timeline import tag_timeline, timeline_extent, timeline_stats
 from folio.plans.common import AS_OF, CORPUS_END, CORPUS_START, TIMELINE_END, TIMELINE_START, fmt_ts, r6
@@ -86,6 +88,34 @@ def q_corpus_tag_timeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline_stats(docs, CORPUS_START, CORPUS_END, as_of=AS_OF, max_tags=5)
 
 
+def _changed_rollup(spark, sf_dir):
+    """The corpus' rollup, maintained through three batches of changes: tags that
+    bring a tombstone (due by now), seo switched, manual tombstones."""
+    docs = corpus_documents(spark, sf_dir)
+    text, url = F.col("source_type") == "text", F.col("source_type") == "url"
+    earlier = AS_OF - dt.timedelta(days=100)
+    tags = docs.filter(text & (_k() % 11 == 0)).select("id", F.concat("tags", F.array(F.lit("spam"))).alias("tags"))
+    seo = docs.filter(url & (_k() % 4 == 0)).select("id", (~F.col("seo_enabled")).alias("seo_enabled"))
+    gone = docs.filter(url & (_k() % 6 == 0)).select("id")
+    changed = tags.select("id").union(seo.select("id")).union(gone).distinct()
+    before = docs.join(changed, "id", "left_semi")  # only changed documents are read again
+    after = MG.replace_tags(before, tags, trigger_tags=TRIGGER_TAGS, as_of=earlier).documents
+    after = MG.tombstone(MG.set_seo(after, seo).documents, gone, as_of=AS_OF).documents
+    return R.merge_rollups(R.timeline_rollup(docs), R.rollup_changes(before, after))
+
+
+@register("rollup_timeline")
+def q_rollup_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R35 from the maintained rollup: buckets of six hours after R61, R63, R64."""
+    rollup = _changed_rollup(spark, sf_dir)
+    return _timeline_out(R.timeline_from_rollup(rollup, CORPUS_START, CORPUS_END, as_of=AS_OF, bucket_seconds=21_600, max_tags=5))
+
+
+@register("rollup_timeline_stats")
+def q_rollup_timeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.stats_from_rollup(_changed_rollup(spark, sf_dir), CORPUS_START, CORPUS_END, as_of=AS_OF, bucket_seconds=21_600, max_tags=5)
+
+
 # ------------------------------------------------------------------ helpers
 
 BASE_URL = "https://corpus.example.com"

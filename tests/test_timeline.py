@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -115,3 +116,40 @@ def test_bucket_counts_equal_direct_count(spark, items):
         for t in set(tags):
             want[(h // 6, t)] = want.get((h // 6, t), 0) + 1
     assert got == want
+
+
+def test_rollup_equals_the_timeline_after_changes(spark):
+    """Any multiple of the hour, with instants on and off the hour, documents
+    without tags, changed, added and deleted; changes folded in any order."""
+    import random
+
+    from folio.operators import rollup as R
+    from folio.operators.timeline import tag_timeline, timeline_stats
+
+    rng = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    schema = "id string, effective_date timestamp, tags array<string>, seo_enabled boolean, tombstone_at timestamp"
+
+    def version(i):
+        tags = [rng.choice(["a", "b", "c", None]) for _ in range(rng.randint(0, 4))] if rng.random() < 0.9 else None
+        tomb = t0 + dt.timedelta(minutes=rng.choice([0, 60, 90, 10_000])) if rng.random() < 0.4 else None
+        eff = t0 + dt.timedelta(minutes=rng.choice([0, 60, 61, 720, 1440, 1441, 30, 2880])) if rng.random() < 0.95 else None
+        return (str(i), eff, tags, rng.random() < 0.8, tomb)
+
+    one = {i: version(i) for i in range(200)}
+    two = dict(one) | {i: version(i) for i in range(150, 260)}
+    for i in range(20):
+        del two[i]
+    changed = set(range(20)) | set(range(150, 260))
+    df = lambda rows: spark.createDataFrame(list(rows), schema)
+    signed = R.rollup_changes(df(one[i] for i in one if i in changed), df(two[i] for i in two if i in changed))
+    rollup = R.merge_rollups(signed, R.timeline_rollup(df(one.values())))
+    assert R.merge_rollups(rollup, R.timeline_rollup(df(two.values())).withColumn("n", -F.col("n"))).count() == 0
+    for hours, end, now in ((1, 24, 1), (6, 24, 0), (24, 48, 2), (5, 24, 200)):
+        args = dict(as_of=t0 + dt.timedelta(hours=now), bucket_seconds=hours * 3600, max_tags=2)
+        span = (t0, t0 + dt.timedelta(hours=end))
+        got, want = R.timeline_from_rollup(rollup, *span, **args), tag_timeline(df(two.values()), *span, **args)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert R.stats_from_rollup(rollup, *span, **args).collect() == timeline_stats(df(two.values()), *span, **args).collect()
+    with pytest.raises(ValueError, match="full hour"):
+        R.timeline_from_rollup(rollup, t0, t0 + dt.timedelta(hours=2), as_of=t0, bucket_seconds=1800)
