@@ -29,6 +29,7 @@ from folio.operators import rollup as R
 from folio.operators import stats as S
 from folio.operators.timeline import tag_timeline, timeline_extent, timeline_stats
 from folio.plans.common import AS_OF, CORPUS_END, CORPUS_START, TIMELINE_END, TIMELINE_START, fmt_ts, r6
+from folio.session import materialised
 from folio.sources import documents as SD
 from folio.sources import fixtures as FX
 from folio.sources.fixtures import corpus_documents, timeline_documents
@@ -94,13 +95,13 @@ def _changed_rollup(spark, sf_dir):
     docs = corpus_documents(spark, sf_dir)
     text, url = F.col("source_type") == "text", F.col("source_type") == "url"
     earlier = AS_OF - dt.timedelta(days=100)
-    tags = docs.filter(text & (_k() % 11 == 0)).select("id", F.concat("tags", F.array(F.lit("spam"))).alias("tags"))
-    seo = docs.filter(url & (_k() % 4 == 0)).select("id", (~F.col("seo_enabled")).alias("seo_enabled"))
-    gone = docs.filter(url & (_k() % 6 == 0)).select("id")
-    changed = tags.select("id").union(seo.select("id")).union(gone).distinct()
-    before = docs.join(changed, "id", "left_semi")  # only changed documents are read again
+    tagged, switched, gone = text & (_k() % 11 == 0), url & (_k() % 4 == 0), url & (_k() % 6 == 0)
+    # only changed documents are read again
+    before = materialised(docs.filter(tagged | switched | gone), "changed-documents")
+    tags = before.filter(tagged).select("id", F.concat("tags", F.array(F.lit("spam"))).alias("tags"))
+    seo = before.filter(switched).select("id", (~F.col("seo_enabled")).alias("seo_enabled"))
     after = MG.replace_tags(before, tags, trigger_tags=TRIGGER_TAGS, as_of=earlier).documents
-    after = MG.tombstone(MG.set_seo(after, seo).documents, gone, as_of=AS_OF).documents
+    after = MG.tombstone(MG.set_seo(after, seo).documents, before.filter(gone).select("id"), as_of=AS_OF).documents
     return R.merge_rollups(R.timeline_rollup(docs), R.rollup_changes(before, after))
 
 
