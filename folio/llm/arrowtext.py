@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,22 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
+#: Ranges up to so many bytes have a polynomial key. Texts of 1024 bytes are known
+#: that any polynomial modulo 2**64 takes for equal; longer ranges get a digest.
+POLYNOMIAL_BYTES = 255
+
+
+def range_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *, folded: bool = False) -> np.ndarray:
+    """64-bit keys of byte ranges; with ``folded``, A-Z count as a-z."""
+    values = BYTE_VALUE_FOLDED if folded else BYTE_VALUE
+    keys = mix64(range_hash(prefix_hashes(data, values), starts, ends) + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES).tolist():
+        part = data[starts[i] : ends[i]]
+        digest = hashlib.blake2b((_FOLDED[part].astype(np.uint8) if folded else part).tobytes(), digest_size=8).digest()
+        keys[i] = np.uint64(int.from_bytes(digest, "little"))
+    return keys
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):

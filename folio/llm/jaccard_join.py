@@ -102,7 +102,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) ->
     rows = len(offsets) - 1
     if not len(starts):
         return np.zeros(0, U), np.zeros(rows + 1, np.int64)
-    word = A.mix64(A.range_hash(A.prefix_hashes(data, A.BYTE_VALUE_FOLDED), starts, ends) + (ends - starts).astype(U))
+    word = A.range_keys(data, starts, ends, folded=True)
     count = np.diff(words)
     size = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     cut = np.concatenate([[0], np.cumsum(size)])

@@ -5,7 +5,9 @@ from __future__ import annotations
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.session import scratch_path
+from folio.session import scratch_path, ship_package
+
+__all__ = ["Publication", "by_file", "discard", "open_folder", "shared_folder", "ship_package", "stored"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -64,27 +66,3 @@ class Publication:
     def publish(self) -> None:
         self.out.close()
         self.fs.move(self.temporary, self.final)
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers: Spark itself hands a zip
-    of the sources to every executor (once per application). Only the driver
-    reads the zip from its own disk."""
-    import os
-    import tempfile
-    import zipfile
-
-    import folio
-
-    context = spark.sparkContext
-    if getattr(context, "_folio_shipped", False):
-        return
-    root = os.path.dirname(os.path.abspath(folio.__file__))
-    target = os.path.join(tempfile.mkdtemp(), "folio_sources.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
-        for folder, _, names in os.walk(root):
-            for name in sorted(n for n in names if n.endswith(".py")):
-                path = os.path.join(folder, name)
-                archive.write(path, os.path.join("folio", os.path.relpath(path, root)))
-    context.addPyFile(target)
-    context._folio_shipped = True

@@ -33,9 +33,14 @@ _ODD[0x0A] = False
 _ODD[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 
 
+#: Ids a worker keeps: 32 MB.
+MEMORY_IDS = 8 << 20
+
+
 class PieceMemory:
     """Ids of text pieces by a 64-bit key: an open-addressing table read and
-    filled with whole arrays of keys. When half full it starts anew."""
+    filled with whole arrays of keys. When half full, or when it holds
+    ``MEMORY_IDS`` ids (a piece may be a whole text), it starts anew."""
 
     def __init__(self, slots: int = SLOTS):
         self.slots = slots
@@ -51,7 +56,7 @@ class PieceMemory:
         return len(self.start) - 1
 
     def full(self) -> bool:
-        return 2 * len(self) > self.slots
+        return 2 * len(self) > self.slots or len(self.ids) > MEMORY_IDS
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Piece number per (odd) key, -1 where unknown."""
@@ -97,8 +102,7 @@ class PieceMemory:
 
 def piece_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Odd 64-bit keys of byte ranges (hash of the bytes and the length)."""
-    hashed = A.range_hash(A.prefix_hashes(data), starts, ends) + (ends - starts).astype(np.uint64)
-    return A.mix64(hashed) | np.uint64(1)
+    return A.range_keys(data, starts, ends) | np.uint64(1)
 
 
 class TextEncoder:

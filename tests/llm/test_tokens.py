@@ -161,3 +161,39 @@ def test_queries_read_their_whole_table(lspark):
     for name in ("op3_sentencepiece", "op7_token_files"):
         assert QUERIES[name](lspark, SF).count() == n
     assert QUERIES["op10_packing"](lspark, SF).select("doc_id").distinct().count() == n
+
+
+def twins(n=2048):
+    """Two words that a polynomial hash modulo 2**64 takes for one, for any base."""
+    odd = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)
+
+
+def test_words_with_one_polynomial_hash():
+    """Known pieces are told apart also where the hash of their bytes is equal."""
+    from folio.llm import arrowtext as A
+    from folio.llm.jaccard_join import shingle_hashes
+
+    one, two = twins()
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    at, end = np.array([0, 2048]), np.array([2048, 4096])
+    assert len(set(A.range_hash(A.prefix_hashes(data), at, end).tolist())) == 1
+    assert len(set(A.range_keys(data, at, end).tolist())) == 2 and len(set(A.range_keys(data, at, end, folded=True).tolist())) == 2
+    upper = np.frombuffer((one + one.upper()).encode(), np.uint8)
+    assert len(set(A.range_keys(upper, at, end, folded=True).tolist())) == 1 and len(set(A.range_keys(upper, at, end).tolist())) == 2
+    assert len(set(shingle_hashes(data, np.array([0, 2048, 4096]))[0].tolist())) == 2
+    t, e = library(), TextEncoder(default_tokenizer())
+    for text in (one, two, one):
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_is_bounded_by_ids(monkeypatch):
+    from folio.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMORY_IDS", 2000)
+    t, e, rng = library(), TextEncoder(default_tokenizer()), random.Random(5)
+    for _ in range(12):
+        text = "".join(rng.choices("abcdefgh", k=1500))
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids and len(e.memory.ids) < 4000
