@@ -184,10 +184,12 @@ def _folded(ttl: int):
     def run(frames):
         for frame in frames:
             frame = frame.sort_values(["url_key", "at", "child"], ascending=[True, True, False], kind="stable")
-            keep = []
-            for rows in frame.groupby("url_key", sort=False).indices.values():
-                part = frame.iloc[rows]
-                keep += [rows[i] for i in needed_sightings(part["child"].tolist(), part["at"].tolist(), ttl)]
+            several = frame["url_key"].duplicated(keep=False).to_numpy()
+            keep = (~several).nonzero()[0].tolist()
+            at = several.nonzero()[0]
+            for rows in frame.iloc[at].groupby("url_key", sort=False).indices.values():
+                part = frame.iloc[at[rows]]
+                keep += [at[rows[i]] for i in needed_sightings(part["child"].tolist(), part["at"].tolist(), ttl)]
             yield frame.iloc[sorted(keep)]
 
     return run
@@ -204,7 +206,10 @@ def _renewing(ttl: int):
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["at", "child", "url"], ascending=[True, False, True], kind="stable")
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        if len(rows) > 1:
+            rows = rows.sort_values(["at", "child", "url"], ascending=[True, False, True], kind="stable")
         passed = []
         for i, (child, at) in enumerate(zip(rows["child"].tolist(), rows["at"].tolist())):
             if child:
