@@ -420,6 +420,23 @@ ORACLES["search_by_tags_fuzzy"] = with_corpus(
 
 ORACLES["documents_with_any_tag"] = with_corpus("SELECT id, source_type FROM corpus WHERE list_has_any(tags, ['de', 'es'])")
 
+ORACLES["tag_index_search"] = with_corpus("""
+, t AS (
+  SELECT id, CASE WHEN source_type = 'text' THEN CAST(substr(id, 2) AS BIGINT) ELSE 1 END AS k, tags FROM corpus
+), c AS (
+  SELECT id, CASE WHEN k % 11 = 0 THEN list_append(tags, 'education') WHEN k % 13 = 0 THEN ['moved']
+                  WHEN k % 17 = 0 THEN NULL ELSE tags END AS tags
+  FROM t
+)
+SELECT 'exact' AS mode, id FROM c WHERE list_has_any(tags, ['fr', 'social_media', 'moved'])
+UNION ALL
+SELECT 'fuzzy' AS mode, id FROM c WHERE len(list_filter(tags, lambda t: t LIKE '%edu%' OR t LIKE '%mach%')) > 0
+""")
+
+ORACLES["tag_index_counts"] = with_corpus("""
+SELECT tag, count(DISTINCT id) AS n_docs FROM (SELECT id, unnest(tags) AS tag FROM corpus) WHERE tag IS NOT NULL GROUP BY tag
+""")
+
 ORACLES["get_documents"] = blocks(CORPUS_CTE, JOBS) + """
 SELECT r.requested_id, c.id IS NOT NULL AS found, c.source_type
 FROM (SELECT DISTINCT result_request_id AS requested_id FROM jobs WHERE status = 'completed') r
@@ -432,6 +449,10 @@ FROM (SELECT DISTINCT 'page-' || CAST(p_partkey % 300 AS VARCHAR) AS requested_s
 LEFT JOIN (SELECT * FROM corpus WHERE slug IS NOT NULL AND seo_enabled) c ON c.slug = s.requested_slug
 """)
 
+# the same lookups, on the table laid out for them
+ORACLES["lookup_documents"] = ORACLES["get_documents"]
+ORACLES["lookup_slugs"] = ORACLES["get_by_slug"]
+
 ORACLES["slug_conflicts"] = with_corpus(f"""
 , s AS (SELECT id, slug, created_at FROM corpus WHERE slug IS NOT NULL),
 kk AS (SELECT slug, first(id ORDER BY created_at, id) AS kept_id FROM s GROUP BY slug)
@@ -680,6 +701,28 @@ ORACLES["tombstone_manual"] = with_corpus(f"""
 SELECT id, strftime(t, {FMT}) AS tombstone_at, strftime(t, {RFC}) AS tombstone_datetime FROM c
 """)
 
+ORACLES["merge_on_read"] = with_corpus(f"""
+, c AS (
+  SELECT *, CAST(substr(id, 2) AS BIGINT) AS n, source_type = 'text' AS is_text FROM corpus
+), m AS (
+  SELECT id, is_text, n, CASE WHEN is_text AND n % 11 = 0 THEN list_append(tags, 'spam') ELSE tags END AS tags,
+         list_filter(CASE WHEN is_text AND n % 11 = 0 THEN list_append(tags, 'spam') END, lambda x: x IN ('spam', 'low-quality'))[1] AS trig,
+         is_text AND n % 13 = 0 AS renewed,
+         CASE WHEN NOT is_text AND n % 4 = 0 THEN NOT seo_enabled ELSE seo_enabled END AS seo_enabled, tombstone_at
+  FROM c WHERE NOT (is_text AND n % 9 = 0)
+), f AS (
+  SELECT *, CASE WHEN renewed THEN TIMESTAMP '2024-01-25 00:00:00'
+                 WHEN NOT is_text AND n % 12 = 0 THEN NULL
+                 WHEN trig IS NOT NULL OR (NOT is_text AND n % 6 = 0) THEN {ts_plus_days(90)}
+                 ELSE tombstone_at END AS t
+  FROM m
+)
+SELECT id, {tags_sql('tags')} AS tags, seo_enabled, strftime(t, {FMT}) AS tombstone_at, t IS NOT NULL AS has_datetime,
+       CASE WHEN trig IS NOT NULL AND NOT renewed THEN 'auto-tombstone: ' || trig || ' tag' END AS tombstone_reason,
+       CASE WHEN renewed THEN 'replaced ' || id END AS note
+FROM f
+""")
+
 ORACLES["delete_documents"] = blocks(CORPUS_CTE, JOBS) + """
 , gone AS (SELECT id FROM corpus WHERE source_type = 'text' AND CAST(substr(id, 2) AS BIGINT) % 9 = 0)
 SELECT j.id, CASE WHEN g.id IS NOT NULL THEN NULL ELSE j.result_request_id END AS result_request_id

@@ -27,12 +27,15 @@ from folio.operators import merges as MG
 from folio.operators import publish as P
 from folio.operators import rollup as R
 from folio.operators import stats as S
+from folio.operators import tag_index as TI
 from folio.operators.timeline import tag_timeline, timeline_extent, timeline_stats
 from folio.plans.common import AS_OF, CORPUS_END, CORPUS_START, TIMELINE_END, TIMELINE_START, fmt_ts, r6
-from folio.session import materialised
+from folio.session import materialised, scratch_path
 from folio.sources import documents as SD
 from folio.sources import fixtures as FX
+from folio.sources import lookup as LU
 from folio.sources.fixtures import corpus_documents, timeline_documents
+from folio.sources.merge_on_read import DocumentLog
 from folio.sources.tables import forget_plans, load_table, stream_table
 from folio.streaming import jobs as ST
 
@@ -222,6 +225,50 @@ def q_documents_with_any_tag(spark, sf_dir):
     return D.documents_with_any_tag(corpus_documents(spark, sf_dir), ["de", "es"]).select("id", "source_type")
 
 
+def _tag_index(spark, sf_dir):
+    path = scratch_path(spark, "tag-index")
+    TI.build_tag_index(corpus_documents(spark, sf_dir), path)
+    return path
+
+
+@register("tag_index_search")
+def q_tag_index_search(spark, sf_dir):
+    """R13 from the index, exact and fuzzy, with documents changed (R61) or gone
+    (R34) since it was built."""
+    path = _tag_index(spark, sf_dir)
+    text, k = F.col("source_type") == "text", _k()
+    tags = F.when(k % 11 == 0, F.concat("tags", F.array(F.lit("education")))).when(k % 13 == 0, F.array(F.lit("moved")))
+    changed = corpus_documents(spark, sf_dir).filter(text & ((k % 11 == 0) | (k % 13 == 0) | (k % 17 == 0))).select("id", tags.alias("tags"))
+    exact = TI.search_by_index(spark, path, ["fr", "social_media", "moved"], changed=changed)
+    fuzzy = TI.search_by_index(spark, path, ["edu", "mach"], fuzzy=True, changed=changed)
+    return exact.select(F.lit("exact").alias("mode"), "id").unionByName(fuzzy.select(F.lit("fuzzy").alias("mode"), "id"))
+
+
+@register("tag_index_counts")
+def q_tag_index_counts(spark, sf_dir):
+    """Documents per tag, from the dictionary."""
+    return TI.indexed_tags(spark, _tag_index(spark, sf_dir))
+
+
+@register("lookup_documents")
+def q_lookup_documents(spark, sf_dir):
+    """R15 on the table laid out for lookups: what completed jobs point to."""
+    path = scratch_path(spark, "lookup")
+    LU.write_lookup(corpus_documents(spark, sf_dir), path, buckets=32)
+    ids = FX.crawl_jobs(spark, sf_dir).filter(F.col("status") == "completed").select("result_request_id").distinct()
+    return LU.lookup_documents(spark, path, ids, buckets=32).select("requested_id", "found", "source_type")
+
+
+@register("lookup_slugs")
+def q_lookup_slugs(spark, sf_dir):
+    """R16 (published only) on the table laid out for lookups."""
+    path = scratch_path(spark, "lookup")
+    LU.write_lookup(corpus_documents(spark, sf_dir), path, buckets=32)
+    slugs = load_table(spark, sf_dir, "part").select(F.concat(F.lit("page-"), (F.col("p_partkey") % 300).cast("string")).alias("slug")).distinct()
+    out = LU.lookup_slugs(spark, path, slugs, published_only=True, buckets=32)
+    return out.select("requested_slug", "found", "id")
+
+
 @register("get_documents")
 def q_get_documents(spark, sf_dir):
     """Look up the documents completed jobs point to."""
@@ -543,6 +590,30 @@ def q_tombstone_manual(spark, sf_dir):
     )
 
 
+@register("merge_on_read")
+def q_merge_on_read(spark, sf_dir):
+    """R61-R64 and R34 as a change log over a base, read after a compaction and
+    further changes."""
+    docs = corpus_documents(spark, sf_dir)
+    folder = scratch_path(spark, "document-log")
+    log = DocumentLog(spark, folder.rsplit("/", 1)[-1].replace("-", "_"), folder, buckets=16).create(docs)
+    text, url, k = F.col("source_type") == "text", F.col("source_type") == "url", _k()
+    log.replace_tags(_tag_changes(docs), seq=1, trigger_tags=TRIGGER_TAGS, as_of=AS_OF)
+    log.set_seo(docs.filter(url & (k % 4 == 0)).select("id", (~F.col("seo_enabled")).alias("seo_enabled")), seq=2)
+    log.tombstone(docs.filter(url & (k % 6 == 0)), seq=3, as_of=AS_OF)
+    note = F.to_json(F.struct(F.concat(F.lit("replaced "), F.col("id")).alias("note"), F.lit("2024-01-25T00:00:00Z").alias("tombstone_datetime")))
+    log.set_metadata(docs.filter(text & (k % 13 == 0)).select("id", note.alias("metadata")), seq=4)
+    after = log.compact()
+    after.untombstone(docs.filter(url & (k % 12 == 0)), seq=5)
+    after.delete(docs.filter(text & (k % 9 == 0)), seq=6)
+    return after.read().select(
+        "id", _tags().alias("tags"), "seo_enabled", fmt_ts("tombstone_at").alias("tombstone_at"),
+        F.get_json_object("metadata", "$.tombstone_datetime").isNotNull().alias("has_datetime"),
+        F.get_json_object("metadata", "$.tombstone_reason").alias("tombstone_reason"),
+        F.get_json_object("metadata", "$.note").alias("note"),
+    )
+
+
 @register("delete_documents")
 def q_delete_documents(spark, sf_dir):
     """Text documents with key % 9 = 0 deleted; jobs lose a result that is gone."""
