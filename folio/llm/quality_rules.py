@@ -1,11 +1,13 @@
 """Quality rules, line first, in DataFrame functions only.
 
 Base figures describe the whole text. The verdict cleans by line: a line with a
-word fails if it looks like navigation (many separators), like
-boilerplate (stock phrases), like symbol noise, or like a shouted string (exclamation marks
-on most words, or hardly any lower-case letter). Failed lines are removed; a
-document that loses more than half of its word characters, or whose base
-figures fail, is rejected.
+word fails if no sentence ends in it (punctuation), if it looks like navigation
+(three separators or more), holds a stock phrase in whatever case (boilerplate), is
+symbol noise, or is shouted (exclamation marks, or capitals without any small
+letter). A line that goes on after a finished sentence passes the punctuation rule,
+since paragraphs are also cut short; a heading or menu entry has none. Lines
+without a word stay. Failed lines are removed; a document that loses more than half
+of its characters (newlines aside), or whose base figures fail, is rejected.
 
 Everything is computed inside the row, without a shuffle: repeated three-word
 windows are found by sorting the hashes of a document's own windows (64 bits;
@@ -13,7 +15,8 @@ two different windows of one document collide with odds of about n^2 / 2^65).
 
 Edge cases: a null or empty text has no words and fails the base rule; rows
 repeating a doc_id are judged each; a null doc_id is carried; other columns stay
-in ``clean_lines`` and are ignored by ``quality_rules``.
+in ``clean_lines``, save that its own three replace columns of their names, and are
+ignored by ``quality_rules``.
 """
 
 from __future__ import annotations
@@ -31,11 +34,16 @@ MAX_REPEAT_PERCENT = 50
 #: Rules of a line; percentages are of its word characters or words.
 MAX_LINE_SYMBOL_PERCENT = 10
 MAX_LINE_LOSS_PERCENT = 50
-NAVIGATION = "([|»•][^\\n]*){3}"
+#: A sentence ends: a mark, closing quotes or brackets, then a blank or the line's end.
+SENTENCE_END = "[…。！？]|[.!?][\\x22\\x27”’»)\\]]*(?:[\\x20\\x09-\\x0D]|\\z)"
+WORD = "[^\\x20\\x09-\\x0D]"
+NAVIGATION = "[|»•›][^|»•›]*[|»•›][^|»•›]*[|»•›]"
+#: Stock phrases, found in any case of their letters.
 PHRASES = (
-    "ookie policy", "ookie Policy", "se cookies", "rivacy policy", "rivacy Policy", "erms of use", "erms of service",
-    "ights reserved", "ights Reserved", "lick here", "nable JavaScript", "orem ipsum",
+    "cookie policy", "cookie settings", "use cookies", "privacy policy", "terms of use", "terms of service",
+    "rights reserved", "click here", "enable javascript", "skip to content", "lorem ipsum",
 )
+BOILERPLATE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in phrase) for phrase in PHRASES)
 #: Up to this many repeated windows are looked up one by one.
 FEW = 32
 
@@ -85,31 +93,35 @@ def covered(places: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line is navigation, boilerplate, symbol noise or shouting."""
+    """Whether a line has no sentence, or is navigation, boilerplate, symbol noise
+    or shouting."""
+    unfinished = ~line.rlike(SENTENCE_END) & line.rlike(WORD)
     navigation = line.rlike(NAVIGATION)
-    boilerplate = F.contains(line, F.lit(PHRASES[0]))
-    for phrase in PHRASES[1:]:
-        boilerplate = boilerplate | F.contains(line, F.lit(phrase))
+    boilerplate = line.rlike(BOILERPLATE)
     symbols = F.length(line) - F.length(F.regexp_replace(line, f"[{SYMBOLS}]+", ""))
     noise = line.rlike(f"[{SYMBOLS}]") & (symbols * 100 > MAX_LINE_SYMBOL_PERCENT * F.length(line))
     marks = F.length(line) - F.length(F.replace(line, F.lit("!"), F.lit("")))
     shouting = (marks * 100 > MAX_LINE_SYMBOL_PERCENT * F.length(line)) | (line.rlike("[A-Z]{4}") & ~line.rlike("[a-z]"))
-    return navigation | boilerplate | noise | shouting
+    return unfinished | navigation | boilerplate | noise | shouting
 
 
 def clean_lines(documents: DataFrame) -> DataFrame:
     """``documents`` plus kept_text, all_chars and lost_chars (characters of all
     lines and of the failed ones, without the newlines)."""
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    parts = documents.withColumn("__lines", lines)
-    judged = parts.withColumn("__failed", F.filter("__lines", line_fails))
+    added = ("kept_text", "all_chars", "lost_chars")
+    others = [c for c in documents.columns if c.lower() not in added]
+    own = F.struct(*[F.col(f"`{c}`") for c in others])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # the caller's columns travel in a struct, so none can clash with these
+    parts = documents.select(own.alias("row"), text.alias("text"), F.split(text, "\n", -1).alias("lines"))
+    judged = parts.withColumn("failed", F.filter("lines", line_fails))
     size = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + F.length(x))
     return judged.select(
-        *documents.columns,
-        F.when(F.size("__failed") == 0, F.coalesce(F.col("text"), F.lit("")))
-        .otherwise(F.array_join(F.filter("__lines", lambda x: ~line_fails(x)), "\n")).alias("kept_text"),
-        size("__lines").alias("all_chars"),
-        size("__failed").alias("lost_chars"),
+        *[F.col("row")[c].alias(c) for c in others],
+        F.when(F.size("failed") == 0, F.col("text"))
+        .otherwise(F.array_join(F.filter("lines", lambda x: ~line_fails(x)), "\n")).alias("kept_text"),
+        size("lines").alias("all_chars"),
+        size("failed").alias("lost_chars"),
     )
 
 
@@ -158,9 +170,9 @@ def oracle_sql() -> str:
     bare = lambda c: f"length(translate({c}, {space}, ''))"
     less = lambda c, s: f"(length({c}) - length(translate({c}, '{s}', '')))"
     sym = "(length(line) - length(regexp_replace(line, '[#*$%&|<>]+', '', 'g')))"
-    phrases = " OR ".join(f"contains(line, '{p}')" for p in PHRASES)
     fails = (
-        f"(regexp_matches(line, '{NAVIGATION}') OR {phrases}"
+        f"((NOT regexp_matches(line, '{SENTENCE_END}') AND regexp_matches(line, '{WORD}'))"
+        f" OR regexp_matches(line, '{NAVIGATION}') OR regexp_matches(line, '{BOILERPLATE}')"
         f" OR {sym} * 100 > {MAX_LINE_SYMBOL_PERCENT} * length(line)"
         f" OR (length(line) - length(replace(line, '!', ''))) * 100 > {MAX_LINE_SYMBOL_PERCENT} * length(line)"
         f" OR (regexp_matches(line, '[A-Z]{{4}}') AND NOT regexp_matches(line, '[a-z]')))"

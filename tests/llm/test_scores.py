@@ -119,6 +119,30 @@ def test_lines_that_fail(lspark):
     assert row["kept_text"] == lines[0] and row["lost_chars"] == sum(map(len, lines[1:])) and row["all_chars"] == sum(map(len, lines))
 
 
+def test_each_rule_alone(lspark):
+    """One line per rule and its nearest line that passes; blank lines stay."""
+    fails = [
+        "A heading without a sentence", "version 1.2 of x", "ends,", "Home | News | Sport | More words here.",
+        "See our PRIVACY POLICY for more.", "Open the Cookie settings now.", "a$$$ ###b c.", "BUY THIS NOW.", "so!! big!! ok!!",
+    ]
+    passes = [
+        "It ends.", "It ends (so.)", "he said \u201cyes.\u201d", "One sentence. Then cut off in the", "\u597d\u7684\u3002\u7136\u540e", "Home | News | it is.",
+        "Our policy on privacy is here.", "It costs $5 or so, not more than that.", "NATO met today.", "Wow! It was a good day for us.", "", "  \t", "\r",
+    ]
+    for line in fails + passes:
+        row = quality_rules.clean_lines(lspark.createDataFrame([(1, f"{line}\nok.")], "doc_id long, text string")).first()
+        assert row["kept_text"] == ("ok." if line in fails else f"{line}\nok."), line
+
+
+def test_cleaning_keeps_clashing_columns(lspark):
+    schema = "doc_id long, text string, lines string, failed int, row string, kept_text string, `a.b` int"
+    rows = [(1, "No end\nAn end.", "x", 1, "y", "z", 2), (2, None, None, None, None, None, None)]
+    got = quality_rules.clean_lines(lspark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "lines", "failed", "row", "a.b", "kept_text", "all_chars", "lost_chars"]
+    assert sorted(got.collect(), key=lambda r: r["doc_id"])[0][2:] == ("x", 1, "y", 2, "An end.", 13, 6)
+    assert quality_rules.clean_lines(lspark.createDataFrame([], schema)).count() == 0
+
+
 # op9 -------------------------------------------------------------------------
 
 PATTERNS = [
