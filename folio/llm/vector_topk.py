@@ -26,7 +26,9 @@ hash lowest); every candidate is indexed and the search is exact.
 Edge cases: null vectors, vectors with a null or non-finite component and rows
 without an id take no part; rows repeating an id count once (greatest vector);
 missing trailing components count as zero; ties go to the smaller id; fewer
-than k candidates give all; other columns are ignored.
+than k candidates give all; other columns are ignored. Where a square of a length
+reaches 2^62 (components of some 2^22 in few dimensions), inner products might leave
+64 bits: the search fails, it gives no wrapped scores.
 """
 
 from __future__ import annotations
@@ -44,7 +46,10 @@ from folio.llm.storage import stored
 PIVOTS = 32
 BLOCK = 1024
 QUERY_BLOCK = 256
+#: Rounding of distances, relative to the longest vector: squares of lengths cancel.
 SLACK = 1e-7
+#: Largest square of a length; no inner product exceeds it.
+MAX_NORM2 = 2.0**62
 
 
 def quantised(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -88,6 +93,9 @@ class _Space:
         self.norm2 = norm2
         self.lift = np.sqrt(np.maximum(top - norm2, 0))
 
+    def slack(self, away: np.ndarray) -> np.ndarray:
+        return SLACK * (1 + away + np.sqrt(self.top))
+
     def distances(self, x: np.ndarray, norm2: np.ndarray, lifted: bool) -> np.ndarray:
         lift = np.sqrt(np.maximum(self.top - norm2, 0)) if lifted else np.zeros(len(x))
         square = (norm2 + lift**2)[:, None] + self.top - 2 * (x.astype(np.float64) @ self.pivots.T + lift[:, None] * self.lift)
@@ -143,7 +151,7 @@ def _search(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, space: _Spa
                 norm2 = (q.astype(np.float64) ** 2).sum(axis=1)
                 radius = np.sqrt(np.maximum(norm2 + space.top - 2 * least, 0))
                 away = space.distances(q, norm2, False)[:, get("pivot").as_py()]
-                slack = SLACK * (1 + away)
+                slack = space.slack(away)
                 near = (away - radius <= get("hi").as_py() + slack) & (away + radius >= get("lo").as_py() - slack)
                 if not near.any():
                     continue
@@ -170,6 +178,8 @@ def top_k(embeddings: DataFrame, *, k: int = 5, query_filter=None, id_col: str =
     if figures["top"] is None:
         return spark.createDataFrame([], schema)
     width, top = max(1, figures["width"]), figures["top"]
+    if top >= MAX_NORM2:
+        raise ValueError(f"inner products may leave 64 bits: a vector's integer square length is {top:.3g}")
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toArrow()  # a bounded sample
     space = _Space(_matrix(sample.column("vector").combine_chunks(), width), sample.column("norm2").to_numpy(), top)
 
@@ -216,7 +226,7 @@ def top_k(embeddings: DataFrame, *, k: int = 5, query_filter=None, id_col: str =
                 norm2 = (rows.astype(np.float64) ** 2).sum(axis=1)
                 radius = np.sqrt(np.maximum(norm2 + top - 2 * batch.column("least")[i].values.to_numpy(zero_copy_only=False), 0))[:, None]
                 away = space.distances(rows, norm2, False)
-                slack = SLACK * (1 + away)
+                slack = space.slack(away)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(away.shape[1], batch.column("query_block")[i].as_py())), pa.array(np.arange(away.shape[1], dtype=np.int32)),
                      pa.array((away - radius - slack).min(axis=0)), pa.array((away + radius + slack).max(axis=0))],

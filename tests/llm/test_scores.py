@@ -232,6 +232,17 @@ def test_top_k_edge_cases(lspark):
     assert [tuple(r) for r in vector_topk.top_k(few).collect()] == [(0, 1, 1, 131072)]
 
 
+def test_scores_beyond_64_bits_fail(lspark):
+    schema = "vec_id long, embedding array<double>"
+    for huge in (1e30, 2.0**24):
+        with pytest.raises(ValueError, match="64 bits"):
+            vector_topk.top_k(lspark.createDataFrame([(0, [huge, 1.0]), (1, [1.0, 2.0])], schema))
+    large = [(i, [float(2**21 + i), -float(i)]) for i in range(60)]
+    want = sorted(((-(256 * 256 * (2**21 * (2**21 + i))), i) for i in range(1, 60)))[:5]
+    got = vector_topk.top_k(lspark.createDataFrame(large, schema)).filter("query_id = 0").orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, -s) for s, i in want]
+
+
 def test_copies_of_a_vector_are_searched_once(lspark, monkeypatch):
     rows = [(i, [1.0, 2.0] if i % 3 == 0 else [i / 256.0, 1.0]) for i in range(1500)]
     df = lspark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
