@@ -5,9 +5,11 @@ then the index - block offsets, document ids and token counts - and a trailer
 that points at it. A reader seeks to any block through the offsets and unpacks
 it with numpy. Ids lie most significant bit first.
 
-``write`` range-partitions by doc_id and writes one file per partition into the
+``write`` range-partitions by doc_id and a hash of the text, so that an id of many
+texts (null, say) spreads over tasks, and writes one file per partition into the
 shared folder, ids in ascending doc_id order (null first, rows repeating an id
-side by side), so the files in order of their number are the whole sequence.
+side by side), so the files in order of their number are the whole sequence. Only
+rows equal in both lie in one file.
 
 Edge cases: a null or empty text is the end id alone; other columns are
 ignored; an empty table gives no files and no rows.
@@ -148,7 +150,8 @@ def write(documents: DataFrame, folder: str, *, tokenizer: str | None = None, en
                 [pa.array([part]), pa.array([f"ids-{part:06d}.bits"]), pa.array([len(writer.docs)]), pa.array([int(sum(writer.counts))])],
                 names=["part", "file", "n_docs", "n_tokens"])
 
-    ordered = documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    keyed = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     return stored(ordered.mapInArrow(A.tidy(run), "part long, file string, n_docs long, n_tokens long"), "token-manifest")
 
 

@@ -58,6 +58,22 @@ def expected_ids(text, end):
     return np.array([*library().encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
+def test_an_id_of_many_texts_spreads_over_files(lspark, tmp_path):
+    rows = [(None, f"text number {i}") for i in range(400)] + [(i, "one") for i in range(40)]
+    docs = lspark.createDataFrame(rows, "doc_id long, text string")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # else so few rows go into one task
+    before = lspark.conf.get(key)
+    lspark.conf.set(key, "false")
+    try:
+        manifest = token_files.write(docs, str(tmp_path / "ids"))
+    finally:
+        lspark.conf.set(key, before)
+    assert len([n for n in manifest.collect() if n["n_docs"] > 1]) >= 3
+    got = sorted(token_files.read(manifest, str(tmp_path / "ids")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 400 + list(range(40))
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:], strict=False)) and got[0]["start"] == 0
+
+
 def test_token_files_against_the_library(lspark, edge_docs, no_docs):
     got = token_files.token_digest(edge_docs).collect()
     rows = sorted(((r["doc_id"], r["text"]) for r in edge_docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
